@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import simhash
+from voxmill.llm import chat, secrets, simhash, tokens
+
+#: Where the public vocabulary files lie.
+TOKENIZERS = "public_tokenizers"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], turns.schema)
+    return chat.digests(chat.format_messages(chat.event_log(turns.unionByName(more))))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = str(files(TOKENIZERS) / "byte_bpe_50k.json")
+    return tokens.token_counts(table(spark, sf_dir, "documents"), path)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_simhash_near_dedup": op10_simhash_near_dedup}
+QUERIES = {x.__name__: x for x in (op4_secret_scan, op8_chat_format, op9_token_counts, op10_simhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
