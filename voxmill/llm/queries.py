@@ -6,7 +6,7 @@ from importlib.resources import files
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import chat, secrets, simhash, tokens
+from voxmill.llm import chat, lm, secrets, simhash, tokens
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = "public_tokenizers"
@@ -20,6 +20,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.interpolated_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -36,6 +40,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {x.__name__: x for x in (op4_secret_scan, op8_chat_format, op9_token_counts, op10_simhash_near_dedup)}
+QUERIES = {x.__name__: x for x in (op4_secret_scan, op5_lm_score, op8_chat_format, op9_token_counts, op10_simhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
