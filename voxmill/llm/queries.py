@@ -6,7 +6,7 @@ from importlib.resources import files
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import chat, lm, secrets, simhash, tokens
+from voxmill.llm import chat, decontaminate, lm, quality, secrets, simhash, tokens
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = "public_tokenizers"
@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -40,6 +48,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {x.__name__: x for x in (op4_secret_scan, op5_lm_score, op8_chat_format, op9_token_counts, op10_simhash_near_dedup)}
+QUERIES = {
+    x.__name__: x
+    for x in (op1_quality_resample, op3_decontaminate, op4_secret_scan, op5_lm_score, op8_chat_format, op9_token_counts, op10_simhash_near_dedup)
+}
 
 ORACLES: dict[str, str] = {}
