@@ -33,9 +33,10 @@ AVOID_BITS = 20
 #: Labelled rows that are used, at most.
 LABELLED = 50_000
 #: Added to both counts of a ratio: rare n-grams prove little.
-PRIOR, AVOID_PRIOR = 5.0, 3.0
-#: Words must be so much more frequent (in logarithms) among documents to avoid.
-AVOID_CUT = 1.0
+PRIOR, AVOID_PRIOR = 5.0, 1.0
+#: Words must surely be so much more frequent (in logarithms) among documents to avoid, where
+#: surely means: by so many standard deviations of their count.
+AVOID_CUT, AVOID_SURE = 1.4, 1.0
 #: Log weights are so many Gumbel units for each unit of margin.
 SHARPNESS = 40.0
 #: A good document lost counts as much as so many bad ones kept, when thresholds are fitted.
@@ -93,23 +94,29 @@ def threshold(values: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return float((v[best] + v[min(best + 1, len(v) - 1)]) / 2), spread
 
 
-def labelled_sample(labels: DataFrame) -> DataFrame:
-    """At most ``LABELLED`` rows: doc_id, good, bad (to avoid) and hold (not learned from)."""
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """At most ``LABELLED`` rows: doc_id, fine, good, bad (to avoid), hold (not learned from), first.
+
+    Of documents with equal texts one is the first; the others' words don't count as proof of bad.
+    """
     one = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     some = one.select("doc_id", (F.coalesce("quality", F.lit(0)) == 1).alias("fine"), (F.coalesce("toxic", F.lit(0)) == 1).alias("bad"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(LABELLED)
-    return some.select("doc_id", F.col("fine"), (F.col("fine") & ~F.col("bad")).alias("good"), "bad", (F.pmod("h", F.lit(2)) == 0).alias("hold"))
+    texts = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("copy")).join(F.broadcast(some), "doc_id")
+    firsts = texts.groupBy("copy").agg(F.min("doc_id").alias("first_id")).select(F.col("first_id").alias("doc_id"), F.lit(True).alias("first")).distinct()
+    flagged = some.join(firsts, "doc_id", "left")
+    return flagged.select("doc_id", "fine", (F.col("fine") & ~F.col("bad")).alias("good"), "bad", (F.pmod("h", F.lit(2)) == 0).alias("hold"), F.coalesce("first", F.lit(False)).alias("first"))
 
 
 def count_grams(docs: DataFrame, sample: DataFrame) -> DataFrame:
     """kind (0 words, 1 pairs, 2 words of labelled documents), bucket, and two counts: all, wanted."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id", "left").select("text", "good", "bad", "hold")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id", "left").select("text", "good", "bad", "hold", "first")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         sizes = (1 << BITS, 1 << BITS, 1 << AVOID_BITS)
         seen = [[np.zeros(n, np.int64), np.zeros(n, np.int64)] for n in sizes]
         for part in parts:
-            for text, good, bad, hold in zip(part["text"], part["good"], part["bad"], part["hold"]):
+            for text, good, bad, hold, first in zip(part["text"], part["good"], part["bad"], part["hold"], part["first"]):
                 tokens = lower_words(text)
                 if not tokens:
                     continue
@@ -117,7 +124,7 @@ def count_grams(docs: DataFrame, sample: DataFrame) -> DataFrame:
                     np.add.at(seen[kind][0], at, 1)
                     if good is True and hold is False:
                         np.add.at(seen[kind][1], at, 1)
-                if hold is False:
+                if hold is False and first is True:
                     at = word_buckets(tokens, hashes)
                     seen[2][0][at] += 1
                     if bad is True:
@@ -137,10 +144,10 @@ def log_ratio(n: np.ndarray, wanted: np.ndarray, prior: float, share: float) ->
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     """The model, with thresholds, and the scores (doc_id, ratio, against) of every row."""
     spark = docs.sparkSession
-    sample = staged(labelled_sample(labels), "labelled")
+    sample = staged(labelled_sample(docs, labels), "labelled")
     with short_lived_shuffles(spark):
         counts = count_grams(docs, sample).toPandas()  # at most 2 * 2 ** BITS + 2 ** AVOID_BITS rows
-        totals = sample.where("not hold").agg(F.count("*"), F.sum(F.col("bad").cast("int"))).first()
+        totals = sample.where("first and not hold").agg(F.count("*"), F.sum(F.col("bad").cast("int"))).first()
     tables = []
     for kind, bits in enumerate((BITS, BITS, AVOID_BITS)):
         n, wanted = np.zeros(1 << bits), np.zeros(1 << bits)
@@ -149,7 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
         if kind < 2:
             tables.append(log_ratio(n, wanted, PRIOR, wanted.sum() / max(n.sum(), 1)) if wanted.sum() else np.zeros(1 << bits, np.float32))
         else:
-            lift = log_ratio(n, wanted, AVOID_PRIOR, (totals[1] or 0) / max(totals[0], 1))
+            sure = np.maximum(wanted - AVOID_SURE * np.sqrt(wanted), 0)
+            lift = log_ratio(n, sure, AVOID_PRIOR, (totals[1] or 0) / max(totals[0], 1))
             tables.append(np.where(lift > AVOID_CUT, lift, 0).astype(np.float32))
     model = Model(*tables)
     scores = staged(evidence(docs, model, "doc_id"), "scores")
