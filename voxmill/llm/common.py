@@ -52,6 +52,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has each ``key`` once and in ``weight`` its rows.
+
+    Keys with over a thousandth of the weight are at most a thousand, so they are broadcast;
+    the rest is shuffled, and no key of it is hot.
+    """
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hot = F.col(weight) > F.lit(total / 1000)
+    few = table.where(hot).drop(weight)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(table.where(~hot).drop(weight), key)
+    return rows.join(F.broadcast(few), key).unionByName(rest)
+
+
 def words(text: str | None) -> list[bytes]:
     """Maximal runs of characters other than space and U+0009..U+000D, as UTF-8."""
     return (text or "").encode("utf-8", "replace").split()

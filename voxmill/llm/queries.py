@@ -6,7 +6,7 @@ from importlib.resources import files
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import chat, decontaminate, lm, quality, secrets, simhash, tokens
+from voxmill.llm import chat, decontaminate, lm, quality, repeats, secrets, simhash, tokens
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = "public_tokenizers"
@@ -32,6 +32,10 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.interpolated_scores(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -50,7 +54,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     x.__name__: x
-    for x in (op1_quality_resample, op3_decontaminate, op4_secret_scan, op5_lm_score, op8_chat_format, op9_token_counts, op10_simhash_near_dedup)
+    for x in (op1_quality_resample, op3_decontaminate, op4_secret_scan, op5_lm_score, op7_substring_dedup, op8_chat_format, op9_token_counts, op10_simhash_near_dedup)
 }
 
 ORACLES: dict[str, str] = {}
