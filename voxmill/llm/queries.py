@@ -5,8 +5,9 @@ from __future__ import annotations
 from importlib.resources import files
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxmill.llm import chat, decontaminate, lm, quality, repeats, secrets, simhash, tokens
+from voxmill.llm import audio, chat, decontaminate, lm, mixing, quality, repeats, secrets, simhash, tokens
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = "public_tokenizers"
@@ -20,6 +21,12 @@ def op1_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    excerpts = audio.played(vectors.where("vec_id % 100 = 0")).select("rec_id", "rate", F.col("excerpt").alias("pcm"))
+    return audio.search(audio.played(vectors), excerpts)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,6 +39,10 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.interpolated_scores(table(spark, sf_dir, "documents"))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(mixing.with_domain(table(spark, sf_dir, "documents")), mixing.LEVELS, mixing.WEIGHTS)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -54,7 +65,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     x.__name__: x
-    for x in (op1_quality_resample, op3_decontaminate, op4_secret_scan, op5_lm_score, op7_substring_dedup, op8_chat_format, op9_token_counts, op10_simhash_near_dedup)
+    for x in (
+        op1_quality_resample,
+        op2_audio_fingerprints,
+        op3_decontaminate,
+        op4_secret_scan,
+        op5_lm_score,
+        op6_mix_sources,
+        op7_substring_dedup,
+        op8_chat_format,
+        op9_token_counts,
+        op10_simhash_near_dedup,
+    )
 }
 
 ORACLES: dict[str, str] = {}
