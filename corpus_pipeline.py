@@ -1,16 +1,65 @@
-"""A training corpus from raw documents: the text operators as stages."""
+"""A training corpus from raw documents: the text operators as stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+read again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+Nulls, empty texts and repeated rows are handled as the operators' docstrings say; an empty table
+passes through empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from voxmill.llm import decontaminate, mixing, neardup, quality, secrets
+from voxmill.llm.common import shared_dir
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling draws; what the classifier rejects goes."""
+    return quality.keep_drawn(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates."""
+    return neardup.keep_first(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the budgets of the source tree take: ids, epochs and token prefixes."""
+    return mixing.mix(mixing.with_domain(docs), mixing.LEVELS, mixing.WEIGHTS)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("near-duplicates", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("secret scan", mask_secrets),
+    ("mixing sources", mix_sources),
+]
 
+#: The classifier and the fingerprints are beyond SQL: tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """The stages one after another over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    folder = shared_dir(spark)
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/stage{k}")
+        docs = spark.read.parquet(f"{folder}/stage{k}")
     return docs

@@ -16,11 +16,12 @@ broadcast. Repeated rows yield one result.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,17 +179,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR)
     return all_found.distinct()
 
 
+def leak_flag(shared: Broadcast) -> Callable[[F.Column], F.Column]:
+    """A column function: does the text hold an item of the broadcast index?"""
+
+    def leaks(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = WordHashes()
+        for texts in parts:
+            yield pd.Series([bool(shared.value.search(x, hashes)) for x in texts], dtype=bool)
+
+    leaks.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(leaks, "boolean")
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
     context = docs.sparkSession.sparkContext
     for index in indexes(benchmark, similar):
-        shared = context.broadcast(index)
-
-        def leaks(parts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            hashes = WordHashes()
-            for texts in parts:
-                yield pd.Series([bool(shared.value.search(x, hashes)) for x in texts], dtype=bool)
-
-        leaks.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        docs = docs.where(~F.pandas_udf(leaks, "boolean")(F.col("text").cast("string")))
+        docs = docs.where(~leak_flag(context.broadcast(index))(F.col("text").cast("string")))
     return docs
