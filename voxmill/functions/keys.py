@@ -20,27 +20,32 @@ def bits(n: int) -> Column:
     return F.lit(n).cast("long")
 
 
-def spread(v: Column) -> Column:
-    for shift, keep in SPREAD:
+def steps(depth: int) -> list[tuple[int, int]]:
+    """The spreading steps that values of ``depth`` bits need: each halves the runs of bits."""
+    return [(shift, keep) for shift, keep in SPREAD if shift < 2 * depth or shift == 2]
+
+
+def spread(v: Column, depth: int = 16) -> Column:
+    for shift, keep in steps(depth):
         v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(bits(keep))
     return v
 
 
-def gather(v: Column) -> Column:
+def gather(v: Column, depth: int = 16) -> Column:
+    taken = steps(depth)
     v = v.bitwiseAND(bits(SPREAD[-1][1]))
-    for (shift, _), keep in zip(SPREAD[::-1], [k for _, k in SPREAD[-2::-1]] + [0xFFFF]):
+    for (shift, _), keep in zip(taken[::-1], [k for _, k in taken[-2::-1]] + [0xFFFF]):
         v = v.bitwiseOR(F.shiftright(v, shift)).bitwiseAND(bits(keep))
-    return v
+    return v.bitwiseAND(bits((1 << depth) - 1))
 
 
 def xyz_to_key(x: Column, y: Column, z: Column, depth: int) -> Column:
-    parts = [F.shiftleft(spread(c.cast("long").bitwiseAND(bits((1 << depth) - 1))), s) for c, s in ((x, 2), (y, 1), (z, 0))]
+    parts = [F.shiftleft(spread(c.cast("long").bitwiseAND(bits((1 << depth) - 1)), depth), s) for c, s in ((x, 2), (y, 1), (z, 0))]
     return parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2])
 
 
 def key_to_xyz(key: Column, depth: int = 16) -> tuple[Column, Column, Column]:
-    within = key.bitwiseAND(bits((1 << 3 * depth) - 1))
-    return tuple(gather(F.shiftright(within, s)) for s in (2, 1, 0))
+    return tuple(gather(F.shiftright(key, s), depth) for s in (2, 1, 0))
 
 
 def pack_key(cloud: Column, key: Column) -> Column:

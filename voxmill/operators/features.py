@@ -115,7 +115,7 @@ def nearest_upsample(feat: DataFrame, depth: int, nodes: DataFrame | None = None
 def upsample(feat: DataFrame, nodes: DataFrame, depth: int, target: int, channels: int, method: str = "linear", nempty: bool = True) -> DataFrame:
     """Features of ``depth`` at the cell centres of ``target``."""
     level = nodes.where((F.col("depth") == target) & (F.col("nempty") if nempty else F.lit(True)))
-    x, y, z = [(c + 0.5) * 2.0 ** (depth - target) for c in key_to_xyz(F.col("key"))]
+    x, y, z = [(c + 0.5) * 2.0 ** (depth - target) for c in key_to_xyz(F.col("key"), target)]
     query = level.select("cloud_id", F.col("key").alias("point_id"), x.alias("x"), y.alias("y"), z.alias("z"))
     found = interpolate(feat, query, depth, channels, method, 0.0, float(1 << depth))
     return found.select("cloud_id", F.lit(target).alias("depth"), F.col("point_id").alias("key"), "data")
@@ -124,7 +124,7 @@ def upsample(feat: DataFrame, nodes: DataFrame, depth: int, target: int, channel
 def to_voxels(feat: DataFrame, clouds: DataFrame, depth: int, channels: int) -> DataFrame:
     """The dense grid of each cloud: cloud_id, x, y, z, data (zeros where absent)."""
     spine = clouds.select("cloud_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8**depth - 1).cast("long"))).alias("key"))
-    x, y, z = key_to_xyz(F.col("key"))
+    x, y, z = key_to_xyz(F.col("key"), depth)
     return align(feat, spine, channels).select("cloud_id", x.alias("x"), y.alias("y"), z.alias("z"), "data")
 
 

@@ -154,7 +154,7 @@ def node_xyz(nodes: DataFrame) -> DataFrame:
 
 def to_points(leaves: DataFrame, depth: int, rescale: bool = True) -> DataFrame:
     """Average points, or cell centres where there is none, scaled to [-1, 1]."""
-    centres = [c + 0.5 for c in key_to_xyz(F.col("key"))]
+    centres = [c + 0.5 for c in key_to_xyz(F.col("key"), depth)]
     at = {n: F.coalesce(F.col(p), c) for n, p, c in zip("xyz", ("px", "py", "pz"), centres)}
     if rescale:
         at = {n: v * 2.0 ** (1 - depth) - 1.0 for n, v in at.items()}
@@ -194,7 +194,7 @@ def neighbors(nodes: DataFrame, depth: int, kernel: str = "333", stride: int = 1
     level = nodes.where(F.col("depth") == depth)
     ends = (level.where("nempty") if nempty else level).select("cloud_id", F.col("key").alias("nkey"))
     rows = level.where(F.col("key") % 8 == 0) if stride == 2 else level.where("nempty") if nempty else level
-    x, y, z = key_to_xyz(F.col("key"))
+    x, y, z = key_to_xyz(F.col("key"), depth)
     offsets = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(o // 9 - 1).alias("dx"), F.lit(o // 3 % 3 - 1).alias("dy"), F.lit(o % 3 - 1).alias("dz")) for k, o in enumerate(kernel_offsets(kernel))])
     wide = rows.select("cloud_id", "key", x.alias("x"), y.alias("y"), z.alias("z"), F.explode(offsets).alias("o"))
     at = [F.col(c) + F.col(f"o.d{c}") for c in "xyz"]

@@ -110,7 +110,7 @@ def conv_blocks(feat: DataFrame, depth: int, weights: np.ndarray, kernel: str =
     offsets = [((o // 9 - 1), (o // 3 % 3 - 1), (o % 3 - 1)) for o in kernel_offsets(kernel)]
     reach = [sorted({o[a] for o in offsets} | {0} | {-o[a] for o in offsets}) for a in range(3)]
     cout = weights.shape[2]
-    x, y, z = key_to_xyz(F.col("key"))
+    x, y, z = key_to_xyz(F.col("key"), depth)
     moves = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("dx", "dy", "dz"), (a, b, c))]) for a in reach[0] for b in reach[1] for c in reach[2]])
     wide = feat.select("cloud_id", "key", "data", x.alias("x"), y.alias("y"), z.alias("z"), F.explode(moves).alias("o"))
     at = [F.col(c) + F.col(f"o.d{c}") for c in "xyz"]
