@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Spark drops a job's shuffle files when the job ends; staged tables hold what later jobs read.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -29,26 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-@contextmanager
-def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Jobs run inside drop their shuffle files as soon as they end."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the files of shuffles that no plan refers to any more.
+
+    The cleaner learns of them from the driver's garbage collector, which may not run for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    with short_lived_shuffles(spark):
-        df.write.parquet(path)
+    df.write.parquet(path)
+    release_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import WordHashes, lower_words, mix, short_lived_shuffles, staged, uniform
+from voxmill.llm.common import WordHashes, lower_words, mix, release_shuffles, staged, uniform
 
 #: Buckets of each n-gram model: 2 ** BITS.
 BITS = 18
@@ -143,11 +143,11 @@ def log_ratio(n: np.ndarray, wanted: np.ndarray, prior: float, share: float) ->
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     """The model, with thresholds, and the scores (doc_id, ratio, against) of every row."""
-    spark = docs.sparkSession
     sample = staged(labelled_sample(docs, labels), "labelled")
-    with short_lived_shuffles(spark):
-        counts = count_grams(docs, sample).toPandas()  # at most 2 * 2 ** BITS + 2 ** AVOID_BITS rows
-        totals = sample.where("first and not hold").agg(F.count("*"), F.sum(F.col("bad").cast("int"))).first()
+    # at most 2 * 2 ** BITS rows, and the words to avoid
+    counts = count_grams(docs, sample).where("kind < 2 or wanted > 2").toArrow().to_pandas()
+    release_shuffles(docs.sparkSession)
+    totals = sample.where("first and not hold").agg(F.count("*"), F.sum(F.col("bad").cast("int"))).first()
     tables = []
     for kind, bits in enumerate((BITS, BITS, AVOID_BITS)):
         n, wanted = np.zeros(1 << bits), np.zeros(1 << bits)
@@ -218,9 +218,8 @@ def draw(scores: DataFrame, model: Model, seed: int = 42) -> DataFrame:
     """The drawn rows of ``scores`` with log_weight, key and selected; sets ``model.cut``."""
     weight, key = gumbel_key(model, seed)
     keyed = scores.select("*", weight.alias("log_weight"), key.alias("key"))
-    with short_lived_shuffles(scores.sparkSession):
-        k = keyed.where("log_weight > 0").count()
-        model.cut = kth_largest(keyed, k) if k else None
+    k = keyed.where("log_weight > 0").count()
+    model.cut = kth_largest(keyed, k) if k else None
     chosen = keyed.where(F.col("key") >= model.cut) if model.cut is not None else keyed.limit(0)
     return chosen.select("doc_id", "ratio", "against", "log_weight", (F.col("key") / 1e6).alias("gumbel_key"), F.lit(True).alias("selected"))
 

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import shared_dir, short_lived_shuffles
+from voxmill.llm.common import release_shuffles, shared_dir
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens bigint"
 
@@ -106,8 +106,8 @@ def add_misses(docs: DataFrame, path: str, cache: str, text: str = "text") -> No
             yield pd.DataFrame({"digest": part["digest"], "tokenizer": name, "n_tokens": [count(x) for x in part["content"]]})
 
     misses = texts.join(stored, "digest", "left_anti").dropDuplicates(["digest"])
-    with short_lived_shuffles(spark):
-        misses.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    misses.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    release_shuffles(spark)
 
 
 def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: int = 1024, text: str = "text") -> DataFrame:
