@@ -17,6 +17,7 @@ and returned as null. Repeated rows are scored, and counted, each.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from math import ceil, log2
 
@@ -26,12 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import lower_words, mix, short_lived_shuffles, staged
+from voxmill.llm.common import lower_words, mix, release_shuffles, staged
 
 #: Of crc32(id) mod FOLDS: scored but not learned from; held out for the mixture weights.
 FOLDS, HELD_OUT, TUNING = 5, 1, 2
 #: Bytes of text in a chunk, and of text behind a range of hashes.
-CHUNK_BYTES, RANGE_BYTES = 16 << 20, 8 << 20
+CHUNK_BYTES, RANGE_BYTES = 9 << 20, 4 << 20
 #: Tokens that stand for the start (a context only) and the end of a text: no words.
 START, END = b"", b" "
 #: Probabilities are told apart by an eighth of a doubling when weights are learned.
@@ -84,6 +85,32 @@ class Chunk:
             self.context, self.word, self.pair = rank[before], rank[now], rank[len(index) + at]
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts are mostly small and alike: a few bits each."""
+    return zlib.compress(counts.astype(np.int64).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.int64)
+
+
+def narrow(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences of six bytes each (eight if one is larger), after a byte that says which."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    gaps[0] = 0
+    width = 6 if not len(gaps) or int(gaps.max()) < 1 << 48 else 8
+    return bytes([width]) + keys[:1].tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def widened(data: bytes) -> np.ndarray:
+    width = data[0]
+    if len(data) == 1:
+        return np.empty(0, np.uint64)
+    gaps = np.zeros(((len(data) - 9) // width, 8), np.uint8)
+    gaps[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64) + np.frombuffer(data, np.uint64, 1, 1)
+
+
 START_KEY = mix(np.array([xxhash.xxh64_intdigest(START, 42)], np.uint64))[0] | np.uint64(1)
 
 
@@ -139,13 +166,13 @@ def interpolated_scores(docs: DataFrame, text: str = "text") -> DataFrame:
         number = int(part["chunk"].iloc[0])
         n = chunk.n if number // spread != HELD_OUT else np.zeros_like(chunk.n)
         cuts = np.searchsorted(chunk.keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64)) if bits else np.array([0, len(chunk.keys)])
-        keys = chunk.keys.view(np.int64)
         some = [k for k in range(1 << bits) if cuts[k] < cuts[k + 1]]
-        return pd.DataFrame({"part": some, "chunk": number, "keys": [keys[cuts[k] : cuts[k + 1]] for k in some], "n": [n[cuts[k] : cuts[k + 1]].astype(np.int32) for k in some]})
+        return pd.DataFrame({"part": some, "chunk": number, "keys": [narrow(chunk.keys[cuts[k] : cuts[k + 1]]) for k in some], "n": [n[cuts[k] : cuts[k + 1]].astype(np.int32) for k in some]})
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
-        sizes = part["keys"].map(len).to_numpy()
-        keys = np.concatenate(part["keys"].to_list())
+        lists = [widened(x) for x in part["keys"]]
+        sizes = np.array([len(x) for x in lists])
+        keys = np.concatenate(lists)
         n = np.concatenate(part["n"].to_list()).astype(np.int64)
         order = np.argsort(keys)
         new = np.append(True, np.diff(keys[order]) != 0)
@@ -154,16 +181,20 @@ def interpolated_scores(docs: DataFrame, text: str = "text") -> DataFrame:
         tuning = np.repeat(part["chunk"].to_numpy() // spread == TUNING, sizes)
         total = np.bincount(group, n).astype(np.int64)
         rest = np.bincount(group, np.where(tuning, 0, n)).astype(np.int64)
-        kind = keys[order][new].view(np.uint64)
+        kind = keys[order][new]
         word = ((kind & np.uint64(1)) == 1) & (kind != START_KEY)
         ends = np.cumsum(sizes)[:-1]
         out = {"chunk": [*part["chunk"], -1], "part": [*part["part"], int(part["part"].iloc[0])]}
         for name, count in (("total", total), ("rest", rest)):
-            out[name] = [*np.split(count[group], ends), np.array([count[word].sum(), (count[word] > 0).sum()])]
+            out[name] = [packed(x) for x in (*np.split(count[group], ends), np.array([count[word].sum(), (count[word] > 0).sum()]))]
         return pd.DataFrame(out)
 
     def counts(part: pd.DataFrame, name: str) -> np.ndarray:
-        return np.concatenate(part.sort_values("part")[name].to_list())
+        return np.concatenate([unpacked(x) for x in part.sort_values("part")[name]])
+
+    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame([(*unpacked(a), *unpacked(b)) for a, b in zip(part["total"], part["rest"])], columns=list("abcd"))
 
     def cells(key: tuple, part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(part):
@@ -188,13 +219,13 @@ def interpolated_scores(docs: DataFrame, text: str = "text") -> DataFrame:
             "base_score": by_text(np.log10((c1 + 0.5) / (tokens + 0.5 * (kinds + 1)))), "score": by_text(np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0)),
         })
 
-    sent = rows.groupBy("chunk").applyInPandas(send, "part bigint, chunk bigint, keys array<bigint>, n array<int>")
-    told = staged(sent.groupBy("part").applyInPandas(answer, "chunk bigint, part bigint, total array<bigint>, rest array<bigint>"), "counts")
-    sums = told.where("chunk = -1").agg(*(F.coalesce(F.sum(F.col(c)[k]), F.lit(0)) for c in ("total", "rest") for k in (0, 1))).first()
+    sent = rows.groupBy("chunk").applyInPandas(send, "part bigint, chunk bigint, keys binary, n array<int>")
+    told = staged(sent.groupBy("part").applyInPandas(answer, "chunk bigint, part bigint, total binary, rest binary"), "counts")
+    sums = told.where("chunk = -1").select("total", "rest").mapInPandas(add, "a bigint, b bigint, c bigint, d bigint").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in "abcd")).first()
     tokens, kinds, rest_tokens, rest_kinds = map(int, sums)
     tune = F.expr(f"chunk div {spread} = {TUNING}")
-    with short_lived_shuffles(spark):
-        found = rows.where(tune).groupBy("chunk").cogroup(told.where(tune).groupBy("chunk")).applyInPandas(cells, "b bigint, q2 bigint, q1 bigint, n bigint")
-        weights = learn(found.groupBy("b", "q2", "q1").agg(F.sum("n").alias("n")).toPandas(), 1 / (rest_kinds + 1))
+    found = rows.where(tune).groupBy("chunk").cogroup(told.where(tune).groupBy("chunk")).applyInPandas(cells, "b bigint, q2 bigint, q1 bigint, n bigint")
+    weights = learn(found.groupBy("b", "q2", "q1").agg(F.sum("n").alias("n")).toPandas(), 1 / (rest_kinds + 1))
+    release_shuffles(spark)
     schema = f"doc_id {id_kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return rows.groupBy("chunk").cogroup(told.where("chunk >= 0").groupBy("chunk")).applyInPandas(scores, schema)
