@@ -306,13 +306,20 @@ def g2(spark, d):
     return flat(G.depad(padded(spark, d), nodes(spark, d)))
 
 
-POOLED = f"(SELECT cloud_id, key >> 3 AS key, {', '.join(f'max({c}) AS {c}, arg_max((key % 8)::INT, struct_pack(v := {c}, s := -(key % 8))) AS i{k}' for k, c in enumerate(DATA))} FROM {FEAT} GROUP BY cloud_id, key >> 3)"
+# rounded first, so that ties are ties in either engine
+POOLED = f"(SELECT cloud_id, key >> 3 AS key, {', '.join(f'max({c}) AS {c}, arg_max((key % 8)::INT, struct_pack(v := {c}, s := -(key % 8))) AS i{k}' for k, c in enumerate(DATA))} FROM (SELECT cloud_id, key, {r(*DATA)} FROM {FEAT}) GROUP BY cloud_id, key >> 3)"
+
+
+def even(spark, d) -> DataFrame:
+    return feat(spark, d).withColumn("data", F.transform("data", lambda v: F.round(v, 6) + F.lit(0.0)))
+
+
 IDX = [f"i{k}" for k in range(CH)]
 
 
 @query("g3_max_pool", f"SELECT cloud_id, 3 AS depth, key, {r(*DATA)}, {', '.join(IDX)} FROM {POOLED}")
 def g3(spark, d):
-    out = G.max_pool(feat(spark, d), DEPTH, CH)
+    out = G.max_pool(even(spark, d), DEPTH, CH)
     return out.select("cloud_id", "depth", "key", *[rounded(F.col("data")[k], f"d{k}") for k in range(CH)], *[F.col("idx")[k].alias(f"i{k}") for k in range(CH)])
 
 
@@ -323,7 +330,7 @@ def g3b(spark, d):
 
 @query("g4_max_unpool", f"SELECT p.cloud_id, 4 AS depth, p.key * 8 + s AS key, {r(*[f'CASE WHEN i{k} = s THEN d{k} ELSE 0 END AS d{k}' for k in range(CH)])} FROM {POOLED} p CROSS JOIN range(8) AS t(s) JOIN (SELECT cloud_id, key AS nk FROM {NODES} WHERE depth = 4 AND nempty) n ON n.cloud_id = p.cloud_id AND n.nk = p.key * 8 + s")
 def g4(spark, d):
-    return flat(G.max_unpool(G.max_pool(feat(spark, d), DEPTH, CH), 3, CH, nodes(spark, d)))
+    return flat(G.max_unpool(G.max_pool(even(spark, d), DEPTH, CH), 3, CH, nodes(spark, d)))
 
 
 for _kernel, _stride, _nempty in (("222", 2, True), ("333", 1, True), ("333", 2, True)):

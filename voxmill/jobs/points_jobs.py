@@ -17,8 +17,8 @@ from voxmill.schema import check_finite, validate_points
 ALL = ("x", "y", "z", "nx", "ny", "nz")
 
 
-def shown(df: DataFrame, *cols: str) -> DataFrame:
-    return df.select("cloud_id", "point_id", *[rounded(c) for c in cols or ALL])
+def shown(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    return df.select("cloud_id", "point_id", *[rounded(c, digits=digits) for c in cols or ALL])
 
 
 def sql(cols: str, source: str) -> str:
@@ -95,8 +95,8 @@ MID = {c: f"(min_{c} + max_{c}) * 0.5::DOUBLE" for c in "xyz"}
 EXT = "greatest(max_x - min_x, max_y - min_y, max_z - min_z)"
 
 
-def boxed(cols: list[str], cloud: str) -> str:
-    return f"SELECT cloud_id, point_id, {r(*cols)} FROM {cloud} JOIN {BOX.format(cloud)} USING (cloud_id)"
+def boxed(cols: list[str], cloud: str, digits: int = 6) -> str:
+    return f"SELECT cloud_id, point_id, {r(*cols, digits=digits)} FROM {cloud} JOIN {BOX.format(cloud)} USING (cloud_id)"
 
 
 @query("p10_bbox", f"SELECT cloud_id, {r(*[f'{f}_{c}' for f in ('min', 'max') for c in 'xyz'])} FROM {BOX.format(CLOUD_L)}")
@@ -119,9 +119,9 @@ def p13(spark, d):
     return shown(P.preprocess_scene(cloud_l(spark, d)).withColumn("f0", F.col("features")[0]), *"xyz", "f0")
 
 
-@query("p14_preprocess_lidar", boxed([f"({c} - {MID[c]}) / 100.0::DOUBLE AS {c}" for c in "xyz"], CLOUD_L))
+@query("p14_preprocess_lidar", boxed([f"({c} - {MID[c]}) / 100.0::DOUBLE AS {c}" for c in "xyz"], CLOUD_L, 9))
 def p14(spark, d):
-    return shown(P.preprocess_lidar(cloud_l(spark, d)), *"xyz")
+    return shown(P.preprocess_lidar(cloud_l(spark, d)), *"xyz", digits=9)
 
 
 @query("p15_preprocess_mesh_samples", boxed([f"({c} - {MID[c]}) / ({EXT} / 2 + 1e-6) AS {c}" for c in "xyz"], CLOUD_E))
