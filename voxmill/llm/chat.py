@@ -13,7 +13,7 @@ message's events must be neighbours in that order. Messages are rendered as
 
     ``<|role|>`` newline, text, ``<|end|>`` newline
 
-with ``\`` and ``<`` inside roles and texts written ``\\`` and ``\<``, so that no text can
+with ``\`` and ``<`` inside roles and texts (``|`` inside roles too) written with a ``\`` before, so that no text can
 look like the template and everything can be read back. Loss falls on assistant texts only.
 
 Nulls: a null text is empty, a null role is the empty role, null conversation ids form one
@@ -31,16 +31,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPECIAL = re.compile(r"[\\<]")
-ESCAPED = re.compile(r"\\([\\<])")
-TURN = re.compile(r"<\|((?:[^\\<|]|\\[\\<]|\|(?!>))*)\|>\n((?:[^\\<]|\\[\\<])*)<\|end\|>\n")
+SPECIAL, IN_ROLES = re.compile(r"[\\<]"), re.compile(r"[\\<|]")
+ESCAPED = re.compile(r"\\([\\<|])")
+TURN = re.compile(r"<\|((?:[^\\<|]|\\[\\<|])*)\|>\n((?:[^\\<]|\\[\\<])*)<\|end\|>\n")
+
+ESCAPE = r"\\\g<0>"
 
 #: A streamed piece has at most so many characters.
 PIECE = 256
 
 
 def escape(text: str) -> str:
-    return SPECIAL.sub(r"\\\g<0>", text)
+    return SPECIAL.sub(ESCAPE, text)
 
 
 def unescape(text: str) -> str:
@@ -49,7 +51,7 @@ def unescape(text: str) -> str:
 
 def render(role: str, text: str) -> tuple[str, int, int]:
     """A message's segment and where its escaped text starts and ends in it."""
-    head, body = f"<|{escape(role)}|>\n", escape(text)
+    head, body = f"<|{IN_ROLES.sub(ESCAPE, role)}|>\n", escape(text)
     return f"{head}{body}<|end|>\n", len(head), len(head) + len(body)
 
 
