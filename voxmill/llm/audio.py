@@ -14,11 +14,9 @@ with nothing. Repeated rows come back as often as they came in; null ids never a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,15 +88,12 @@ def fingerprint(pcm: bytes | None, rate: int) -> np.ndarray:
 
 
 def fingerprints(recordings: DataFrame) -> DataFrame:
-    """rec_id and ``prints`` (array of int) of recordings (rec_id, pcm, rate)."""
-    kind = recordings.schema["rec_id"].dataType.simpleString()
+    """rec_id and ``prints`` (array of int) of recordings (rec_id, pcm, rate).
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            prints = [fingerprint(pcm, 8000 if pd.isna(rate) else int(rate)) for pcm, rate in zip(part["pcm"], part["rate"])]
-            yield pd.DataFrame({"rec_id": part["rec_id"], "prints": prints})
-
-    return recordings.select("rec_id", "pcm", "rate").mapInPandas(run, f"rec_id {kind}, prints array<int>")
+    Samples are large and the work on each is long, so they are sent row by row, never in batches of thousands.
+    """
+    prints = F.udf(lambda pcm, rate: fingerprint(pcm, 8000 if rate is None else rate).tolist(), "array<int>", useArrow=False)
+    return recordings.select("rec_id", prints("pcm", "rate").alias("prints"))
 
 
 def align(queries: DataFrame, classes: DataFrame) -> DataFrame:
@@ -139,29 +134,29 @@ def search(recordings: DataFrame, excerpts: DataFrame) -> DataFrame:
     return named.drop("digest").unionByName(silent, allowMissingColumns=True)
 
 
-def played(vectors: DataFrame, rate: int = 8000, note: int = 512) -> DataFrame:
-    """Recordings derived from vectors: each value sounds as a note for ``note`` samples.
+def sound(vector: list[float] | None, rate: int = 8000, note: int = 512) -> np.ndarray | None:
+    """Samples in which each value of the vector sounds as a note for ``note`` samples."""
+    if not vector:
+        return None
+    time, edge = np.arange(note) / rate, np.arange(note)
+    pitch = np.floor(np.nan_to_num(np.array([0.0 if v is None else v for v in vector], np.float64)) * 96) % 24
+    wave = np.sin(2 * np.pi * 220 * 2 ** (pitch[:, None] / 12) * time) * np.minimum(1, np.minimum(edge, edge[::-1]) / 32)
+    return np.round(wave.ravel() * 16000).astype("<i2")
 
-    rec_id, rate, pcm; and ``excerpt``, the middle of the recording off the frame raster with faint noise.
-    """
-    kind = vectors.schema["vec_id"].dataType.simpleString()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        time = np.arange(note) / rate
-        fade = np.minimum(1, np.minimum(np.arange(note), np.arange(note)[::-1]) / 32)
-        for part in parts:
-            pcm, cut = [], []
-            for x in part["embedding"]:
-                if x is None or len(x) == 0:
-                    pcm.append(None)
-                    cut.append(None)
-                    continue
-                pitch = np.floor(np.nan_to_num(np.asarray(x, np.float64)) * 96) % 24
-                wave = np.sin(2 * np.pi * 220 * 2 ** (pitch[:, None] / 12) * time) * fade
-                samples = np.round(wave.ravel() * 16000).astype("<i2")
-                pcm.append(samples.tobytes())
-                some = samples[len(samples) // 5 + 37 : len(samples) * 4 // 5]
-                cut.append((some + (np.arange(len(some)) * 7919 % 401 - 200).astype("<i2")).astype("<i2").tobytes())
-            yield pd.DataFrame({"rec_id": part["vec_id"], "rate": rate, "pcm": pcm, "excerpt": cut})
-
-    return vectors.select("vec_id", "embedding").mapInPandas(run, f"rec_id {kind}, rate int, pcm binary, excerpt binary")
+
+def excerpt(samples: np.ndarray | None) -> np.ndarray | None:
+    """The middle of a recording, off the frame raster, with faint noise."""
+    if samples is None:
+        return None
+    some = samples[len(samples) // 5 + 37 : len(samples) * 4 // 5]
+    return (some + (np.arange(len(some)) * 7919 % 401 - 200).astype("<i2")).astype("<i2")
+
+
+def played(vectors: DataFrame, part: bool = False) -> DataFrame:
+    """Recordings (rec_id, rate, pcm) derived from vectors (vec_id, embedding); with ``part`` their excerpts."""
+
+    def make(vector: list[float] | None) -> bytes | None:
+        samples = excerpt(sound(vector)) if part else sound(vector)
+        return None if samples is None else samples.tobytes()
+
+    return vectors.select(F.col("vec_id").alias("rec_id"), F.lit(8000).alias("rate"), F.udf(make, "binary", useArrow=False)("embedding").alias("pcm"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from importlib.resources import files
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from voxmill.llm import audio, chat, decontaminate, lm, mixing, quality, repeats, secrets, simhash, tokens
 
@@ -23,8 +22,7 @@ def op1_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    excerpts = audio.played(vectors.where("vec_id % 100 = 0")).select("rec_id", "rate", F.col("excerpt").alias("pcm"))
-    return audio.search(audio.played(vectors), excerpts)
+    return audio.search(audio.played(vectors), audio.played(vectors.where("vec_id % 100 = 0"), part=True))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
