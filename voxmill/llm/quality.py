@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +51,28 @@ def ngram_buckets(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (mix(ids) >> shift).astype(np.int64), (mix(pairs) >> shift).astype(np.int64)
 
 
-def word_buckets(tokens: list[bytes], hashes: WordHashes) -> np.ndarray:
-    """Buckets of the distinct words and of their first four and five bytes."""
-    distinct = {t.strip(b".,;:!?\"'()") for t in set(tokens)}
-    parts = distinct | {b"\0" + t[:4] for t in distinct if len(t) > 4} | {b"\0" + t[:5] for t in distinct if len(t) > 5}
-    return np.unique(mix(hashes.array(sorted(parts))) >> np.uint64(64 - AVOID_BITS)).astype(np.int64)
+class WordBuckets(dict):
+    """token -> buckets of the word without punctuation and of its first four and five bytes; limited in size.
+
+    With ``only`` (a table of lifts), buckets without lift are left out.
+    """
+
+    def __init__(self, only: np.ndarray | None = None, limit: int = 500_000) -> None:
+        super().__init__()
+        self.only, self.limit = only, limit
+
+    def __missing__(self, token: bytes) -> tuple[int, ...]:
+        if len(self) >= self.limit:
+            self.clear()
+        word = token.strip(b".,;:!?\"'()")
+        parts = [word, *(b"\0" + word[:n] for n in (4, 5) if len(word) > n)]
+        found = [xxhash.xxh64_intdigest(p, 7) >> (64 - AVOID_BITS) for p in parts]
+        value = self[token] = tuple(b for b in found if self.only is None or self.only[b] > 0)
+        return value
+
+    def of(self, tokens: list[bytes]) -> list[int]:
+        """Buckets of the distinct words."""
+        return sorted({b for t in set(tokens) for b in self[t]})
 
 
 @dataclass
@@ -68,14 +86,14 @@ class Model:
     refuse: tuple[float, float] = (math.inf, 1.0)
     cut: int | None = None
 
-    def evidence(self, texts: "pd.Series", hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    def evidence(self, texts: "pd.Series", hashes: WordHashes, buckets: WordBuckets) -> tuple[np.ndarray, np.ndarray]:
         ratio, against = np.zeros(len(texts)), np.zeros(len(texts))
         for k, text in enumerate(texts):
             tokens = lower_words(text)
             if tokens:
                 one, two = ngram_buckets(hashes.array(tokens))
                 ratio[k] = (self.words[one].sum(dtype=np.float64) + self.pairs[two].sum(dtype=np.float64)) / len(tokens)
-                against[k] = self.avoid[word_buckets(tokens, hashes)].sum(dtype=np.float64)
+                against[k] = self.avoid[np.array(buckets.of(tokens), np.int64)].sum(dtype=np.float64)
         return ratio, against
 
 
@@ -112,7 +130,7 @@ def count_grams(docs: DataFrame, sample: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id", "left").select("text", "good", "bad", "hold", "first")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, buckets = WordHashes(), WordBuckets()
         sizes = (1 << BITS, 1 << BITS, 1 << AVOID_BITS)
         seen = [[np.zeros(n, np.int64), np.zeros(n, np.int64)] for n in sizes]
         for part in parts:
@@ -125,7 +143,7 @@ def count_grams(docs: DataFrame, sample: DataFrame) -> DataFrame:
                     if good is True and hold is False:
                         np.add.at(seen[kind][1], at, 1)
                 if hold is False and first is True:
-                    at = word_buckets(tokens, hashes)
+                    at = buckets.of(tokens)
                     seen[2][0][at] += 1
                     if bad is True:
                         seen[2][1][at] += 1
@@ -173,9 +191,9 @@ def evidence(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, buckets = WordHashes(), WordBuckets(shared.value.avoid)
         for texts in parts:
-            ratio, against = shared.value.evidence(texts, hashes)
+            ratio, against = shared.value.evidence(texts, hashes, buckets)
             yield pd.DataFrame({"ratio": ratio, "against": against})
 
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
