@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxmill.llm.common import WordHashes, grams, join_hot, lower_words, mix, staged
-from voxmill.llm.simhash import LEAF, SAMPLE, Links, VantageTree, components, fingerprint, near_links
+from voxmill.llm.simhash import LEAF, Links, components, fingerprint, fitted_tree, near_links
 
 RADIUS, SHINGLE, BINS, ACCEPT = 14, 5, 256, 0.76
 #: Sizes in a band differ by less than a quarter; similar sets lie in the same or the next band.
@@ -65,8 +65,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def similar_links(nodes: DataFrame, count: int) -> DataFrame:
     """Links (a, b) between ``fp`` values of nodes (fp, sketch, size) of similar sets."""
     depth = max(0, math.ceil(math.log2(max(count, 1) / (16 * LEAF))))
-    sample = nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = VantageTree(sample, depth if len(sample) else 0)
+    tree = fitted_tree(nodes, depth, count)
 
     def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

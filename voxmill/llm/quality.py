@@ -8,7 +8,7 @@ the models, and the documents are drawn by Gumbel top-k: log weight plus seeded
 as many as have a positive weight. The k-th key is found exactly by counting keys by
 their digits, so nothing is sorted or gathered.
 
-Labels are taken from a bounded sample (``LABELLED`` rows with the smallest hashes); the
+Labels are taken from a bounded sample (about ``LABELLED`` rows, those with the smallest hashes); the
 model of all documents covers every row. Nulls: a null text is empty and has weight zero evidence;
 null ids share one noise value; null labels count as absent. Equal keys at the boundary are
 all kept. Repeated rows are judged each. Without usable labels every document is kept.
@@ -31,7 +31,7 @@ from voxmill.llm.common import WordHashes, lower_words, mix, release_shuffles, s
 #: Buckets of each n-gram model: 2 ** BITS.
 BITS = 18
 AVOID_BITS = 20
-#: Labelled rows that are used, at most.
+#: Labelled rows that are used, on average at most.
 LABELLED = 50_000
 #: Added to both counts of a ratio: rare n-grams prove little.
 PRIOR, AVOID_PRIOR = 5.0, 1.0
@@ -113,12 +113,12 @@ def threshold(values: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """At most ``LABELLED`` rows: doc_id, fine, good, bad (to avoid), hold (not learned from), first.
+    """About ``LABELLED`` rows at most: doc_id, fine, good, bad (to avoid), hold (not learned from), first.
 
     Of documents with equal texts one is the first; the others' words don't count as proof of bad.
     """
     one = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    some = one.select("doc_id", (F.coalesce("quality", F.lit(0)) == 1).alias("fine"), (F.coalesce("toxic", F.lit(0)) == 1).alias("bad"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(LABELLED)
+    some = one.select("doc_id", (F.coalesce("quality", F.lit(0)) == 1).alias("fine"), (F.coalesce("toxic", F.lit(0)) == 1).alias("bad"), F.xxhash64("doc_id").alias("h")).where(uniform(3, F.col("doc_id")) < LABELLED / max(one.count(), 1))
     texts = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("copy")).join(F.broadcast(some), "doc_id")
     firsts = texts.groupBy("copy").agg(F.min("doc_id").alias("first_id")).select(F.col("first_id").alias("doc_id"), F.lit(True).alias("first")).distinct()
     flagged = some.join(firsts, "doc_id", "left")
