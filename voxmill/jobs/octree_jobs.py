@@ -83,7 +83,7 @@ def o5(spark, d):
 
 @query("o6_child_index", f"SELECT cloud_id, depth, key, child FROM {NODES}")
 def o6(spark, d):
-    return nodes(spark, d).select("cloud_id", "depth", "key", "child")
+    return nodes(spark, d, index=True).select("cloud_id", "depth", "key", "child")
 
 
 INDEXED = f"(SELECT *, row_number() OVER (PARTITION BY cloud_id, depth ORDER BY key) - 1 AS idx FROM {NODES})"
@@ -102,7 +102,7 @@ def o8(spark, d):
 @query("o9_merge_octrees", f"""SELECT dense_rank() OVER (ORDER BY cloud_id)::INT - 1 AS batch_id, depth, key, nempty,
  CASE WHEN nempty THEN (sum(nempty::INT) OVER (PARTITION BY depth ORDER BY cloud_id, key))::BIGINT - 1 ELSE -1 END AS child FROM {NODES}""")
 def o9(spark, d):
-    return O.merge_octrees(nodes(spark, d))
+    return O.merge_octrees(nodes(spark, d, index=True))
 
 
 @query("o10_init_octree", f"SELECT cloud_id, d::INT AS depth, k AS key, true AS nempty, k AS child FROM {CLOUDS}, range(4) AS t(d), range(512) AS u(k) WHERE k < 1 << (3 * d)")
@@ -190,7 +190,7 @@ LEVEL = f"(SELECT cloud_id, key, nempty, child, idx FROM {INDEXED} WHERE depth =
 @query("j1_search_key", f"SELECT q.cloud_id, q.point_id, q.key, coalesce(n.child, -1) AS idx FROM {QK} q LEFT JOIN (SELECT * FROM {LEVEL} WHERE nempty) n USING (cloud_id, key)")
 def j1(spark, d):
     asked = queries(spark, d).withColumn("key", K.xyz_to_key(F.col("x"), F.col("y"), F.col("z"), DEPTH)).select("cloud_id", "point_id", "key")
-    return J.search_key(asked, nodes(spark, d), DEPTH, nempty=True)
+    return J.search_key(asked, nodes(spark, d, index=True), DEPTH, nempty=True)
 
 
 @query("j2_search_xyzb", f"SELECT q.cloud_id, q.point_id, coalesce(n.idx, -1) AS idx FROM {QK} q LEFT JOIN {LEVEL} n USING (cloud_id, key)")

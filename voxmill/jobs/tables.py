@@ -69,8 +69,8 @@ def leaf(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> DataFrame:
     return octree.average_signal(octree.voxelize(clipped(spark, sf_dir), depth), channels=2)
 
 
-def nodes(spark: SparkSession, sf_dir: str, depth: int = DEPTH, full: int = FULL) -> DataFrame:
-    return octree.build_nodes(octree.voxelize(clipped(spark, sf_dir), depth), depth, full)
+def nodes(spark: SparkSession, sf_dir: str, depth: int = DEPTH, full: int = FULL, index: bool = False) -> DataFrame:
+    return octree.build_nodes(octree.voxelize(clipped(spark, sf_dir), depth), depth, full, index)
 
 
 def feat(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> DataFrame:

@@ -64,11 +64,6 @@ def children(parents: DataFrame) -> DataFrame:
     return parents.select("cloud_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.shiftleft("key", 3) + k)).alias("key"))
 
 
-def flagged(keys: DataFrame, occupied: DataFrame) -> DataFrame:
-    """``keys`` with nempty: whether the key is occupied."""
-    return keys.join(occupied.withColumn("nempty", F.lit(True)), ["cloud_id", "key"], "left").withColumn("nempty", F.coalesce("nempty", F.lit(False)))
-
-
 def child_index(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """Add ``child``: the node's rank among the non-empty ones of its cloud and depth, -1 if empty.
 
@@ -83,14 +78,24 @@ def child_index(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     return ranked.withColumn("child", F.when(F.col("nempty"), F.col("start") + F.col("rank") - 1).otherwise(F.lit(-1)).cast("long")).drop("block", "start", "rank")
 
 
-def build_nodes(voxels: DataFrame, depth: int, full_depth: int) -> DataFrame:
-    """All nodes of the levels 0 to depth."""
-    levels = level_keys(voxels, depth, full_depth)
-    clouds = levels[full_depth].select("cloud_id").distinct()
-    parts = [full_level(clouds, d).withColumn("nempty", F.lit(True)).withColumn("depth", F.lit(d)) for d in range(full_depth)]
-    parts.append(flagged(full_level(clouds, full_depth), levels[full_depth]).withColumn("depth", F.lit(full_depth)))
-    parts += [flagged(children(levels[d - 1]), levels[d]).withColumn("depth", F.lit(d)) for d in range(full_depth + 1, depth + 1)]
-    return child_index(reduce(DataFrame.unionByName, parts)).select("cloud_id", "depth", "key", "nempty", "child")
+def build_nodes(voxels: DataFrame, depth: int, full_depth: int, index: bool = True) -> DataFrame:
+    """All nodes of the levels 0 to depth; without ``index`` there is no ``child``.
+
+    One pass over the points and no join: occupied keys of all levels are made distinct, each says that it is there
+    and that its eight children exist, the root stands in for the complete levels, and what is said of a
+    node is put together in one grouped aggregation.
+    """
+    leaves = voxels.select("cloud_id", "key").distinct()
+    d = F.explode(F.sequence(F.lit(0), F.lit(depth)))
+    occupied = leaves.select("cloud_id", "key", d.alias("depth")).select("cloud_id", "depth", F.expr(f"shiftright(key, 3 * ({depth} - depth))").alias("key")).distinct()
+    says = lambda at, key, there: F.struct(at.alias("depth"), key.cast("long").alias("key"), there.alias("nempty"))
+    here = F.array(says(F.col("depth"), F.col("key"), F.lit(True)))
+    below = F.when(F.col("depth") < depth, F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: says(F.col("depth") + 1, F.shiftleft("key", 3) + k, F.lit(False)))).otherwise(F.slice(here, 1, F.lit(0)))
+    level = lambda k: F.transform(F.sequence(F.lit(0), F.lit(8**k - 1)), lambda n: says(F.lit(k), n, F.lit(k < full_depth)))
+    top = F.concat(*[level(k) for k in range(full_depth + 1)])
+    said = F.concat(F.when((F.col("depth") >= full_depth), F.concat(here, below)).otherwise(F.slice(here, 1, F.lit(0))), F.when(F.col("depth") == 0, top).otherwise(F.slice(here, 1, F.lit(0))))
+    nodes = occupied.select("cloud_id", F.explode(said).alias("n")).select("cloud_id", "n.*").groupBy("cloud_id", "depth", "key").agg(F.max("nempty").alias("nempty"))
+    return child_index(nodes).select("cloud_id", "depth", "key", "nempty", "child") if index else nodes
 
 
 def init_octree(clouds: DataFrame, full_depth: int) -> DataFrame:
