@@ -40,10 +40,12 @@ def augment_params(clouds: DataFrame, seed: int, epoch: int, angle: tuple, inter
 def augment(points: DataFrame, params: DataFrame, orient: str | None = None) -> DataFrame:
     """Flip, rotate, shift, scale, orient normals, and clip to the unit cube, in this order."""
     cols = points.columns
-    p = points.join(params, "cloud_id")
-    p = p.withColumns({n: F.when(F.col(f"f{c}"), -F.col(n)).otherwise(F.col(n)) for c in "xyz" for n in (c, f"n{c}")})
     m = rotation(tuple(F.col(f"a{c}") for c in "xyz"))
-    turned = {names[j]: F.col(names[0]) * m[0][j] + F.col(names[1]) * m[1][j] + F.col(names[2]) * m[2][j] for names in (XYZ, NORMAL) for j in range(3)}
+    sure = lambda v, name: F.coalesce(v, F.lit(0.0)).alias(name)  # noqa: E731  never null, so no null filter drags the draws down to the points
+    turns = params.select("cloud_id", *[F.col(f"f{c}") for c in "xyz"], *[sure(F.col(f"{p}{c}"), f"{p}{c}") for p in "st" for c in "xyz"], *[sure(m[i][j], f"m{i}{j}") for i in range(3) for j in range(3)])  # once a cloud
+    p = points.join(turns, "cloud_id")
+    p = p.withColumns({n: F.when(F.col(f"f{c}"), -F.col(n)).otherwise(F.col(n)) for c in "xyz" for n in (c, f"n{c}")})
+    turned = {names[j]: F.col(names[0]) * F.col(f"m0{j}") + F.col(names[1]) * F.col(f"m1{j}") + F.col(names[2]) * F.col(f"m2{j}") for names in (XYZ, NORMAL) for j in range(3)}
     p = p.withColumns(turned)
     p = p.withColumns({c: F.col(c) + F.col(f"t{c}") for c in "xyz"})
     same = (F.col("sx") == F.col("sy")) & (F.col("sy") == F.col("sz"))

@@ -43,20 +43,20 @@ def linear(feat: DataFrame, query: DataFrame, depth: int, channels: int, bound_c
     """Trilinear feature over cell centres; weights of the cells found are scaled to one.
 
     (cloud_id, point_id, data). Without ``bound_check`` cells outside wrap to the far side.
-    Points are known by (cloud_id, point_id). Only points that meet a cell come back from the join,
-    all others get zeros.
+    Points are known by (cloud_id, point_id), and their eight probes are summed where they meet again; points
+    that meet no cell get zeros.
     """
     base = [F.floor(F.col(c) - 0.5) for c in "xyz"]
     corners = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(c).alias("z")) for a in (0, 1) for b in (0, 1) for c in (0, 1)])
     wide = query.select("cloud_id", "point_id", *[b.cast("long").alias(f"i{c}") for b, c in zip(base, "xyz")], *[(F.col(c) - 0.5 - b).alias(f"f{c}") for b, c in zip(base, "xyz")], F.explode(corners).alias("o"))
     at = [F.col(f"i{c}") + F.col(f"o.{c}") for c in "xyz"]
     weight = reduce(lambda a, b: a * b, [F.abs(F.lit(1.0) - F.col(f"o.{c}") - F.col(f"f{c}")) for c in "xyz"])
-    if bound_check:
-        wide = wide.where(in_bounds(depth, *at))
-    met = wide.select("cloud_id", "point_id", xyz_to_key(*at, depth).alias("key"), weight.alias("w")).join(feat.select("cloud_id", "key", "data"), ["cloud_id", "key"])
-    sums = met.groupBy("cloud_id", "point_id").agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col("data")[k]).alias(f"s{k}") for k in range(channels)])
-    found = sums.select("cloud_id", "point_id", F.array(*[F.col(f"s{k}") / (F.col("w") + 1e-12) for k in range(channels)]).alias("data"))
-    return query.select("cloud_id", "point_id").join(found, ["cloud_id", "point_id"], "left").withColumn("data", F.coalesce("data", zeros(channels)))
+    key = xyz_to_key(*at, depth)
+    asked = wide.select("cloud_id", "point_id", (F.when(in_bounds(depth, *at), key) if bound_check else key).alias("key"), weight.alias("w"))
+    met = asked.join(feat.select("cloud_id", "key", "data"), ["cloud_id", "key"], "left")
+    total = F.sum(F.when(F.col("data").isNotNull(), F.col("w")))
+    sums = met.groupBy("cloud_id", "point_id").agg(total.alias("w"), *[F.sum(F.col("w") * F.col("data")[k]).alias(f"s{k}") for k in range(channels)])
+    return sums.select("cloud_id", "point_id", F.array(*[F.coalesce(F.col(f"s{k}") / (F.col("w") + 1e-12), F.lit(0.0)) for k in range(channels)]).alias("data"))
 
 
 def interpolate(feat: DataFrame, query: DataFrame, depth: int, channels: int, method: str = "linear", low: float = -1.0, high: float = 1.0) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxmill.functions.keys import key_to_xyz, normalized, parent, xyz_to_key
+from voxmill.functions.keys import axis_steps, key_to_xyz, normalized, parent, xyz_to_key
 from voxmill.operators.points import normalize_box
 
 #: Keys in a block of the running counts: 2 ** BLOCK.
@@ -199,13 +199,12 @@ def neighbors(nodes: DataFrame, depth: int, kernel: str = "333", stride: int = 1
     level = nodes.where(F.col("depth") == depth)
     ends = (level.where("nempty") if nempty else level).select("cloud_id", F.col("key").alias("nkey"))
     rows = level.where(F.col("key") % 8 == 0) if stride == 2 else level.where("nempty") if nempty else level
-    x, y, z = key_to_xyz(F.col("key"), depth)
-    offsets = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(o // 9 - 1).alias("dx"), F.lit(o // 3 % 3 - 1).alias("dy"), F.lit(o % 3 - 1).alias("dz")) for k, o in enumerate(kernel_offsets(kernel))])
-    wide = rows.select("cloud_id", "key", x.alias("x"), y.alias("y"), z.alias("z"), F.explode(offsets).alias("o"))
-    at = [F.col(c) + F.col(f"o.d{c}") for c in "xyz"]
-    bound = 1 << depth
-    inside = reduce(lambda a, b: a & b, [(v >= 0) & (v < bound) for v in at])
-    asked = wide.where(inside).select("cloud_id", "key", F.col("o.k").alias("k"), xyz_to_key(*at, depth).alias("nkey"))
-    found = asked.join(ends, ["cloud_id", "nkey"])
+    steps = {f"{c}{n}": step for a, c in enumerate("xyz") for n, step in enumerate(axis_steps(F.col("key"), a, depth))}
+    moved = rows.select("cloud_id", "key", *[v.alias(n) for n, v in steps.items()])
+    there = [F.col(f"x{o // 9}").bitwiseOR(F.col(f"y{o // 3 % 3}")).bitwiseOR(F.col(f"z{o % 3}")) for o in kernel_offsets(kernel)]
+    wide = moved.select("cloud_id", "key", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("nkey")) for k, v in enumerate(there)])).alias("o"))
+    asked = wide.select("cloud_id", "key", "o.k", "o.nkey").where("nkey is not null")
+    # the exploded side is many times what its input suggests, so it must not be broadcast
+    found = asked.join(ends.hint("shuffle_hash"), ["cloud_id", "nkey"])
     key = parent(F.col("key")) if stride == 2 else F.col("key")
     return found.select("cloud_id", F.lit(depth).alias("depth"), key.alias("key"), "k", "nkey")
