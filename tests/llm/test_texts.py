@@ -242,6 +242,19 @@ def test_nested_layers(token):
     assert secrets.mask(text) == f"é before [SECRET]{token[len(inside):]} after"
 
 
+@pytest.mark.parametrize("token", wrapped())
+def test_every_copy_of_a_blob_has_its_span(token):
+    text = f"{token} again {token} and {token}"
+    alone = secrets.scan(token)[1]
+    places = [m.start() for m in re.finditer(re.escape(token), text)]
+    assert len(places) == 3 and secrets.scan(text)[1] == [(p + a, kind, p + b) for p in places for a, kind, b in alone]
+    assert secrets.mask(text).count("[SECRET]") == 3
+
+
+def test_different_blobs_of_one_text_have_their_spans():
+    assert len(secrets.scan(" ".join(wrapped()))[1]) == len(wrapped())
+
+
 def test_scan_ends_on_cycles_and_long_texts():
     assert secrets.scan("%25" * 1000)[2] < 1100
     assert secrets.scan("%2525252541" + "a" * 100_000)[0] == [(10 - 1 - 0, 2, 0)][:0] + brute_base("%2525252541" + "a" * 100_000)

@@ -3,9 +3,9 @@ r"""Secret scans through nested encodings.
 Each text starts a worklist of layers. A layer is scanned, then unwrapped: percent and
 backslash or character-reference escapes are replaced in place; base64 runs become layers of
 their own, inflated first if they hold gzip or zlib data. New layers join the worklist until
-none is left; a layer whose content was seen before is not entered again. Every layer carries
-a map from its characters to the root's, so that whatever is found is reported as a span
-of code points in the root text.
+none is left. Every layer carries a map from its characters to the root's, so that whatever is
+found is reported as a span of code points in the root text. A layer is entered once for each
+content and map: the same content at another place of the root is a layer of its own.
 
 Null text is empty: no findings. Repeated rows are scanned each. Long texts are scanned whole.
 """
@@ -57,6 +57,14 @@ class Layer:
     def __init__(self, text: str, first: np.ndarray | None = None, last: np.ndarray | None = None) -> None:
         self.text, self.first, self.last = text, first, last
 
+    def key(self) -> bytes:
+        """Equal for layers of equal content and map."""
+        digest = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        for spots in (self.first, self.last):
+            if spots is not None:
+                digest.update(b"|" + spots.tobytes())
+        return digest.digest()
+
     def root(self, start: int, end: int) -> tuple[int, int]:
         if self.first is None:
             return start, end
@@ -149,7 +157,7 @@ def unbase64(layer: Layer) -> Iterator[Layer]:
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """Base matches, all matches (each (start, kind, end), sorted) and the number of layers."""
     base = base_matches(text)
-    found, work, seen, layers = set(base), [Layer(text)], {text}, 0
+    found, work, seen, layers = set(base), [Layer(text)], set(), 0
     while work:
         layer = work.pop()
         if layers:
@@ -157,8 +165,8 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         layers += 1
         nested = [x for x in (unpercent(layer) if "%" in layer.text else None, unescape(layer) if "\\" in layer.text or "&" in layer.text else None) if x]
         for new in (*nested, *unbase64(layer)):
-            if new.text not in seen:
-                seen.add(new.text)
+            if (key := new.key()) not in seen:
+                seen.add(key)
                 work.append(new)
     return base, sorted(found), layers
 
