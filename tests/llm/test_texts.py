@@ -255,6 +255,24 @@ def test_different_blobs_of_one_text_have_their_spans():
     assert len(secrets.scan(" ".join(wrapped()))[1]) == len(wrapped())
 
 
+@pytest.mark.parametrize("blob", [base64.b64encode(x).rstrip(b"=").decode() for x in (SECRET.encode(), b"\0\xff" + SECRET.encode() + b"\xe9", gzip.compress(SECRET.encode()), gzip.compress(b"first") + gzip.compress(SECRET.encode()), zlib.compress(b"pass") + zlib.compress(SECRET[4:].encode()), gzip.compress(b"x y " * 9 + SECRET.encode() + b" z" * 99)[:-12])])
+@pytest.mark.parametrize("before", ["https://example.com/", "/", "id_", "key-", "a/b_c-", "x"])
+@pytest.mark.parametrize("after", ["", "-tail", "/more_of/it"])
+def test_blobs_joined_to_other_text(blob, before, after):
+    text = f"see {before}{blob}{after} there"
+    at, end = text.index(blob), text.index(blob) + len(blob)
+    found = secrets.scan(text)[1]
+    assert [kind for _, kind, _ in found] == [0] and at - 4 <= found[0][0] < found[0][2] <= end + len(after) + 4
+    assert base64.b64encode(SECRET.encode()).decode()[:20] not in secrets.mask(text)
+
+
+@pytest.mark.parametrize("filler", [b"line of text\n", b"a"])
+def test_secrets_beyond_64_mb_of_inflated_data(filler):
+    data = filler * ((70 << 20) // len(filler)) + b" " + SECRET.encode()
+    text = "x " + base64.b64encode(gzip.compress(data)).decode() + " y"
+    assert [(a, kind, b) for a, kind, b in secrets.scan(text)[1] if kind == 0] == [(2, 0, len(text) - 2)]
+
+
 def test_scan_ends_on_cycles_and_long_texts():
     assert secrets.scan("%25" * 1000)[2] < 1100
     assert secrets.scan("%2525252541" + "a" * 100_000)[0] == [(10 - 1 - 0, 2, 0)][:0] + brute_base("%2525252541" + "a" * 100_000)

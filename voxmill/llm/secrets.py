@@ -2,7 +2,8 @@ r"""Secret scans through nested encodings.
 
 Each text starts a worklist of layers. A layer is scanned, then unwrapped: percent and
 backslash or character-reference escapes are replaced in place; base64 runs become layers of
-their own, inflated first if they hold gzip or zlib data. New layers join the worklist until
+their own at each of the four alignments, and so does what gzip or zlib members in them hold. In
+such layers every byte that no pattern has is a line end, so that a stray byte costs nothing. New layers join the worklist until
 none is left. Every layer carries a map from its characters to the root's, so that whatever is
 found is reported as a span of code points in the root text. A layer is entered once for each
 content and map: the same content at another place of the root is a layer of its own.
@@ -35,8 +36,15 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|&(?:quot|apos|amp|lt|gt|equals|colon);")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
-#: Inflated layers end here: a documented guard against bombs, not a cap on texts.
-INFLATE_LIMIT = 1 << 26
+#: Bytes that stand in no pattern and no encoding become line ends: no match crosses one.
+PLAIN = bytes(k if k in b"+/_.=- \"':\\{}&#;%" or k < 128 and chr(k).isalnum() else 10 for k in range(256))
+#: No match and no encoding of one is shorter than 12 characters.
+STRETCH = re.compile(rb"[^\n]{12,}")
+PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+
+#: Inflated data is read in steps of STEP bytes and scanned in pieces of about PIECE bytes, cut at line ends.
+#: LONGEST bytes without any are cut all the same, and the pieces then overlap by half.
+STEP, PIECE, LONGEST = 1 << 20, 1 << 22, 1 << 26
 
 
 def base_matches(text: str) -> list[tuple[int, int, int]]:
@@ -62,7 +70,7 @@ class Layer:
         digest = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
         for spots in (self.first, self.last):
             if spots is not None:
-                digest.update(b"|" + spots.tobytes())
+                digest.update(b"|" + (spots if spots.strides[0] else spots[:1]).tobytes())
         return digest.digest()
 
     def root(self, start: int, end: int) -> tuple[int, int]:
@@ -74,6 +82,12 @@ class Layer:
 def replaced(layer: Layer, pieces: list[tuple[int, int, str, list[tuple[int, int]]]]) -> Layer:
     """The layer with each (start, end, new text, span of every new character) put in place."""
     out, first, last, at = [], [], [], 0
+    if layer.first is not None and not layer.first.strides[0]:  # one span for all of it
+        for start, end, new, _ in pieces:
+            out += [layer.text[at:start], new]
+            at = end
+        text = "".join([*out, layer.text[at:]])
+        return Layer(text, np.broadcast_to(layer.first[0], len(text)), np.broadcast_to(layer.last[0], len(text)))
     whole = np.arange(len(layer.text))
     old_first = whole if layer.first is None else layer.first
     old_last = whole + 1 if layer.last is None else layer.last
@@ -122,52 +136,96 @@ def unescape(layer: Layer) -> Layer | None:
     return replaced(layer, pieces) if pieces else None
 
 
-def inflated(data: bytes) -> bytes | None:
-    if not (data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
-        return None
-    try:
-        return zlib.decompressobj(47).decompress(data, INFLATE_LIMIT)
-    except zlib.error:
-        return None
+def inflated(data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """(content, end of the last whole member so far) of the gzip or zlib members that follow each other from ``at``, in steps."""
+    end = at
+    while PACKED.match(data, at):
+        unpack, rest, out = zlib.decompressobj(47), memoryview(data)[at:], b""
+        while not unpack.eof:
+            before = unpack.copy()
+            try:
+                out = unpack.decompress(rest, STEP)
+            except zlib.error:  # what comes before the fault counts
+                try:
+                    for k in range(len(rest)):
+                        yield before.decompress(rest[k : k + 1]), end
+                except zlib.error:
+                    return
+            rest = memoryview(unpack.unconsumed_tail)
+            if not out and not rest and not unpack.eof:
+                return
+            yield out, end
+        end = at = len(data) - len(unpack.unused_data)
+        yield b"", end
+
+
+def pieces(data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """What ``inflated`` yields, as plain bytes in pieces that no match crosses."""
+    held, end = b"", at
+    for out, end in inflated(data, at):
+        held += out.translate(PLAIN)
+        if len(held) >= PIECE:
+            cut = held.rfind(b"\n") + 1
+            if cut:
+                yield held[:cut], end
+                held = held[cut:]
+            elif len(held) >= LONGEST:
+                yield held, end
+                held = held[len(held) // 2 :]
+    yield held, end
 
 
 def unbase64(layer: Layer) -> Iterator[Layer]:
+    """Layers of the base64 runs, at all four alignments: other text may stand right before or after a blob."""
     for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        for skip in range(1 if len(body) % 4 != 1 else 2):  # a run one too long may hold a stray first sign
+        body = m[0].rstrip("=").translate({45: 43, 95: 47})
+        for skip in range(4):
             token = body[skip:]
             if len(token) % 4 == 1:
-                continue
-            data = base64.b64decode(token.translate({45: 43, 95: 47}) + "=" * (-len(token) % 4))
-            start, end = m.start() + skip, m.end()
-            packed = inflated(data)
-            if packed is not None:
-                text = packed.decode("utf-8", "replace")
-                a, b = layer.root(start, end)
-                yield Layer(text, np.full(len(text), a), np.full(len(text), b))
-                continue
-            chars = decoded(data)
-            if chars is None or any(c < " " and c not in "\t\n\r" for c, _, _ in chars):
-                continue
-            ends = m.start() + skip + len(token)
-            spans = [layer.root(start + a // 3 * 4, min(start + (b + 2) // 3 * 4, ends)) for _, a, b in chars]
-            yield Layer("".join(c for c, _, _ in chars), np.array([a for a, _ in spans], np.int64), np.array([b for _, b in spans], np.int64))
+                token = token[:-1]
+            data = base64.b64decode(token + "=" * (-len(token) % 4))
+            start, ends = m.start() + skip, m.start() + skip + len(token)
+            plain, at = data.translate(PLAIN), 0
+            while packed := PACKED.search(data, at):
+                at, end = packed.start(), packed.start()
+                a, b = layer.root(start + at // 3 * 4, m.end())
+                for piece, end in pieces(data, at):
+                    if STRETCH.search(piece):
+                        yield Layer(piece.decode("ascii"), np.broadcast_to(np.int64(a), len(piece)), np.broadcast_to(np.int64(b), len(piece)))
+                plain = plain[:at] + b"\n" * (end - at) + plain[end:] if end > at else plain
+                at = max(end, at + 2)
+            if STRETCH.search(plain):
+                k = np.arange(len(plain))
+                first, last = start + k // 3 * 4, np.minimum(start + (k + 3) // 3 * 4, ends)
+                if layer.first is not None:
+                    first, last = layer.first[first], layer.last[last - 1]
+                yield Layer(plain.decode("ascii"), first, last)
+
+
+def nested(layer: Layer) -> Iterator[Layer]:
+    if "%" in layer.text and (new := unpercent(layer)):
+        yield new
+    if ("\\" in layer.text or "&" in layer.text) and (new := unescape(layer)):
+        yield new
+    yield from unbase64(layer)
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """Base matches, all matches (each (start, kind, end), sorted) and the number of layers."""
     base = base_matches(text)
-    found, work, seen, layers = set(base), [Layer(text)], set(), 0
+    found, work, seen, layers = set(base), [iter([Layer(text)])], set(), 0
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if (key := layer.key()) in seen:
+            continue
+        seen.add(key)
         if layers:
             found |= {((span := layer.root(a, b))[0], kind, span[1]) for a, kind, b in base_matches(layer.text)}
         layers += 1
-        nested = [x for x in (unpercent(layer) if "%" in layer.text else None, unescape(layer) if "\\" in layer.text or "&" in layer.text else None) if x]
-        for new in (*nested, *unbase64(layer)):
-            if (key := new.key()) not in seen:
-                seen.add(key)
-                work.append(new)
+        work.append(nested(layer))
     return base, sorted(found), layers
 
 
