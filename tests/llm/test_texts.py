@@ -343,6 +343,31 @@ def test_leaks_against_all_windows(docs, rows, spark):
     assert Counter(r.doc_id for r in kept.select("doc_id").collect()) == Counter(r[0] for r in rows if not any(k[0] == r[0] and (r[0] is not None) for k in want) and not (r[0] is None and r[1].startswith("no id")) and not (r[0] is None and (None, 0) in want))
 
 
+def test_leaks_in_documents_shorter_than_the_item(spark):
+    rng = random.Random(4)
+    item = prose(rng, 40, 4000).split()
+    texts = [item[a : 40 - b] for a in range(10) for b in range(10)] + [item[1:20] + ["other"] + item[21:], prose(rng, 38).split(), item[:4], item, ["x"] + item[:39]]
+    texts += [(item[:5] * 9)[:n] for n in (39, 41)] + [[]]
+    items = [(0, " ".join(item)), (1, " ".join((item[:5] * 9)[:41])), (2, " ".join(item[:6])), (3, " ".join(item[:9]))]
+    df = spark.createDataFrame([(k, " ".join(t), "en", "s", 0) for k, t in enumerate(texts)], SCHEMA)
+    want = {}
+    for d, t in enumerate(texts):
+        sh = [tuple(t[i : i + 5]) for i in range(len(t) - 4)]
+        for i, text in items:
+            w = text.split()
+            bag = Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+            n = min(len(w) - 4, len(sh))
+            both = max((sum((bag & Counter(sh[s : s + n])).values()) for s in range(len(sh) - n + 1)), default=0)
+            if both / (len(w) - 4 + n - both) >= 0.8:
+                want[d, i] = both / (len(w) - 4 + n - both), min(len(w), len(t))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(df, benchmark).collect()}
+    assert {k: r.similarity for k, r in got.items()} == pytest.approx({k: s for k, (s, _) in want.items()})
+    assert all(r.n_words == want[k][1] and r.first_word + r.n_words <= len(texts[k[0]]) for k, r in got.items())
+    assert sum(len(texts[d]) < 40 for d, i in want if i == 0) > 30
+    assert {r.doc_id for r in decontaminate.drop_leaks(df, benchmark).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
 # ------------------------------------------------------------------ 8: chat
 
 

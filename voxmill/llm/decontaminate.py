@@ -5,7 +5,8 @@ gets a SimHash fingerprint over its five-word shingles. Item fingerprints are in
 eight byte blocks, each under all values within two bits, which finds every item within
 23 bits; candidates are then compared exactly by the weighted Jaccard similarity of their
 shingles (weights: how often a shingle occurs). Windows that share too few shingles with any item
-of their size to reach the similarity are passed over first; this loses nothing.
+of their size to reach the similarity are passed over first; this loses nothing. A document with fewer
+shingles than the item is one window, all of it, compared exactly without a fingerprint.
 
 Words are runs of letters, digits and other non-ASCII characters, A-Z in lower case. An item of
 fewer than five words has one shingle, all its words; an item without words (or null) matches
@@ -101,7 +102,6 @@ class Group:
         self.maybe = np.zeros(1 << TABLE_BITS, bool)
         self.maybe[self.shingle >> np.uint64(64 - TABLE_BITS)] = True
         self.prints = np.array([fingerprints(prefix_bits(s), np.array([0]), len(s))[0] for _, s in items], np.uint64)
-        self.need = np.ceil(2 * self.sizes * similar / (1 + similar) - 1e-9).astype(np.int64)
         near = [[v for v in range(256) if (v ^ b).bit_count() <= BLOCK_BITS] for b in range(256)]
         blocks = self.prints.view(np.uint8).reshape(-1, 8)
         self.block: list[list[list[int]]] = [[[] for _ in range(256)] for _ in range(8)]
@@ -125,15 +125,19 @@ class Group:
         spot = np.repeat(at, high - low)
         owner = self.owner[np.concatenate([np.arange(a, b) for a, b in zip(low, high)])] if len(spot) else spot
         hits = np.bincount(owner, minlength=len(self.items))
+        need = np.ceil((self.sizes + np.minimum(self.sizes, len(h))) * self.similar / (1 + self.similar) - 1e-9).astype(np.int64)
         windows: dict[int, set[int]] = {}
-        for k in np.flatnonzero(hits >= self.need):
+        best: dict[int, tuple[float, int]] = {}
+        for k in np.flatnonzero(hits >= need):
             n, places = int(self.sizes[k]), np.sort(spot[owner == k])
-            if n > len(h):
+            if n > len(h):  # the whole document is the only window
+                s = similarity(self.bags[k], h)
+                if s >= self.similar:
+                    best[k] = s, 0
                 continue
             starts = np.unique(np.concatenate([np.arange(max(0, p - n + 1), min(p, len(h) - n) + 1) for p in places]))
             inside = np.searchsorted(places, starts + n) - np.searchsorted(places, starts)
-            windows.setdefault(n, set()).update(starts[inside >= self.need[k]].tolist())
-        best: dict[int, tuple[float, int]] = {}
+            windows.setdefault(n, set()).update(starts[inside >= need[k]].tolist())
         for n, starts in windows.items():
             if not starts:
                 continue
@@ -144,7 +148,7 @@ class Group:
                     s = similarity(self.bags[k], h[start : start + n])
                     if s >= self.similar and s > best.get(k, (0, 0))[0]:
                         best[k] = s, start
-        return [(self.items[k][0], start, int(self.sizes[k]) + self.width - 1, s) for k, (s, start) in sorted(best.items())]
+        return [(self.items[k][0], start, min(int(self.sizes[k]), len(h)) + self.width - 1, s) for k, (s, start) in sorted(best.items())]
 
 
 def indexes(benchmark: DataFrame, similar: float = SIMILAR) -> Iterator[Index]:
