@@ -146,6 +146,26 @@ def test_near_duplicates(docs, rows):
     assert set(ids) - {None} == set(got.values()) and ids[None] == 2 and max(ids[k] for k in ids if k is not None) == 1
 
 
+@pytest.mark.parametrize("block", [4096, 8])
+def test_near_duplicates_on_both_sides_of_the_bound(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng, texts, near = random.Random(6), [], {}
+    for k in range(240):  # a block edited, or text appended; similarities of 0.70 to 0.87
+        base = prose(rng, 304, 5000).split()
+        n = rng.randrange(45, 90)
+        copy = base + prose(rng, n, 5000).split() if k % 2 else base[:50] + prose(rng, n // 2, 5000).split() + base[50 + n // 2 :]
+        texts += [" ".join(base), " ".join(copy)]
+        a, b = map(shingle_set, texts[-2:])
+        near[k] = len(a & b) / len(a | b)
+    chain = prose(rng, 304, 5000).split()  # one large cluster
+    texts += [" ".join(chain[:10 * k] + prose(rng, 2, 5000).split() + chain[10 * k :]) for k in range(30)]
+    got = {r.doc_id: r.group_id for r in neardup.groups(spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], SCHEMA)).collect()}
+    bits = {k: (simhash.fingerprint(texts[2 * k]) ^ simhash.fingerprint(texts[2 * k + 1])).bit_count() for k in near}
+    want = {k: s >= 0.8 or bits[k] <= 3 for k, s in near.items()}
+    assert {k: got[2 * k] == got[2 * k + 1] for k in near} == want and 60 < sum(want.values()) < 180
+    assert {got[k] for k in range(480, 510)} == {480}
+
+
 # ------------------------------------------------------------------ 7: substrings
 
 

@@ -1,15 +1,17 @@
 """Near-duplicates of five-word similarity 0.8 by SimHash candidates.
 
-Links are those of ``simhash`` (fingerprints of three-word shingles within 3 bits) and more:
-texts within ``RADIUS`` bits whose five-word shingle sets have an estimated Jaccard similarity of at
-least ``ACCEPT``. The estimate compares 256 one-byte minima, made in one pass over the shingles; its
-spread at 0.8 is 0.025, so that the bound lies below 0.8. Fingerprints of unrelated texts
+Links are those of ``simhash`` (fingerprints of three-word shingles within 3 bits, near-duplicates by
+that operator's definition) and more: texts whose five-word shingle sets have a Jaccard similarity of at least 0.8.
+Candidates for these lie within ``RADIUS`` bits and have an estimated similarity of at
+least ``LOOSE``. The estimate compares 256 one-byte minima, made in one pass over the shingles; its
+spread at 0.8 is 0.025, so that the bound lies four spreads below. Fingerprints of unrelated texts
 are 32 bits apart with a spread of 4, which leaves triangle bounds little to cut at this radius;
 sizes cut first: similar sets differ in size by a quarter at most, so bands of sizes are
 searched against themselves and the next band only.
 
-Within a leaf only spanning links are put out. Null and empty texts are one group (their
-fingerprint is zero); rows with a null id are always kept.
+Within a leaf only spanning candidates are put out. What they connect is a cluster, and every similar
+pair lies in one; inside the clusters candidates are compared by their exact sets, unless they are joined up already.
+Null and empty texts are one group (their fingerprint is zero); rows with a null id are always kept.
 """
 
 from __future__ import annotations
@@ -26,20 +28,26 @@ from pyspark.sql.window import Window
 from voxmill.llm.common import WordHashes, grams, join_hot, lower_words, mix, staged
 from voxmill.llm.simhash import LEAF, Links, components, fingerprint, fitted_tree, near_links
 
-RADIUS, SHINGLE, BINS, ACCEPT = 14, 5, 256, 0.76
+RADIUS, SHINGLE, BINS, LOOSE = 20, 5, 256, 0.7
+#: Nodes whose exact sets are compared in one task; larger clusters go by pairs of blocks.
+BLOCK = 4096
 #: Sizes in a band differ by less than a quarter; similar sets lie in the same or the next band.
 RATIO = 0.8
 
 
-def sketch(text: str | None, hashes: WordHashes) -> tuple[bytes, int]:
-    """One byte for each bin: 0 if empty, else 1 to 255 of its smallest hash; and the set's size."""
+def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
+    """Sorted hashes of the five-word shingles."""
     ids = hashes.array(lower_words(text))
-    h = np.unique(grams(ids, min(SHINGLE, len(ids))) if len(ids) else ids)
+    return np.unique(grams(ids, min(SHINGLE, len(ids))) if len(ids) else ids)
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """One byte for each bin of a shingle set: 0 if empty, else 1 to 255 of its smallest hash."""
     out = np.zeros(BINS, np.uint8)
     bins = (h >> np.uint64(56)).astype(np.int64)
     first = np.append(True, np.diff(bins) != 0) if len(h) else np.empty(0, bool)  # h is sorted: a bin's first is its smallest
     out[bins[first]] = 1 + (mix(h[first]) % np.uint64(255)).astype(np.uint8)
-    return out.tobytes(), len(h)
+    return out.tobytes()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -49,7 +57,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for part in parts:
-            found = [sketch(t, hashes) for t in part["text"]]
+            found = [(sketch(h), len(h)) for h in (shingle_set(t, hashes) for t in part["text"])]
             part["fp"] = np.array([fingerprint(t) for t in part.pop("text")], np.uint64).view(np.int64)
             part["sketch"], part["size"] = [s for s, _ in found], [n for _, n in found]
             yield part
@@ -63,7 +71,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def similar_links(nodes: DataFrame, count: int) -> DataFrame:
-    """Links (a, b) between ``fp`` values of nodes (fp, sketch, size) of similar sets."""
+    """Spanning candidates (a, b) between ``fp`` values of nodes (fp, sketch, size)."""
     depth = max(0, math.ceil(math.log2(max(count, 1) / (16 * LEAF))))
     tree = fitted_tree(nodes, depth, count)
 
@@ -93,7 +101,7 @@ def similar_links(nodes: DataFrame, count: int) -> DataFrame:
                     x, y = a[n : n + (1 << 15)], b[n : n + (1 << 15)]
                     open_ = links.parent[x] != links.parent[y]  # joined up already: nothing to add
                     x, y = x[open_], y[open_]
-                    near = alike(sketches[x], sketches[y]) >= ACCEPT
+                    near = alike(sketches[x], sketches[y]) >= LOOSE
                     links.add(x[near], y[near])
         moved = np.flatnonzero(links.parent != np.arange(len(points)))
         return pd.DataFrame({"a": points[moved].view(np.int64), "b": points[links.parent[moved]].view(np.int64)})
@@ -102,6 +110,58 @@ def similar_links(nodes: DataFrame, count: int) -> DataFrame:
     return dealt.groupBy("leaf").applyInPandas(link, "a bigint, b bigint")
 
 
+def verified(part: pd.DataFrame) -> pd.DataFrame:
+    """Spanning links (a, b) of the rows (fp, block, shingles) with a similarity of 0.8; of two blocks, those across."""
+    part = part.sort_values(["fp", "shingles"]).drop_duplicates("fp")
+    points, block = part["fp"].to_numpy(np.int64).view(np.uint64), part["block"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
+    sketches = np.frombuffer(b"".join(map(sketch, sets)), np.uint8).reshape(-1, BINS)
+    links, across = Links(len(points)), block.min() != block.max() or part["i"].iat[0] != part["j"].iat[0]
+    for k in range(0, len(points), 1024):
+        for m in range(k, len(points), 1024):
+            i, j = np.nonzero(np.bitwise_count(points[k : k + 1024][:, None] ^ points[m : m + 1024][None, :]) <= RADIUS)
+            a, b = i + k, j + m
+            ahead = (a < b) & (block[a] != block[b] if across else True)
+            a, b = a[ahead], b[ahead]
+            for n in range(0, len(a), 1 << 15):
+                x, y = a[n : n + (1 << 15)], b[n : n + (1 << 15)]
+                open_ = links.parent[x] != links.parent[y]
+                x, y = x[open_], y[open_]
+                near = alike(sketches[x], sketches[y]) >= LOOSE
+                for p, q in zip(x[near].tolist(), y[near].tolist()):
+                    if links.parent[p] != links.parent[q]:
+                        both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                        if 5 * both >= 4 * (len(sets[p]) + len(sets[q]) - both):
+                            links.add(np.array([p]), np.array([q]))
+    moved = np.flatnonzero(links.parent != np.arange(len(points)))
+    return pd.DataFrame({"a": points[moved].view(np.int64), "b": points[links.parent[moved]].view(np.int64)})
+
+
+def exact_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Links (a, b) of exactly compared sets within clusters (node, label); the sets are those of the nodes' ``first_id``."""
+    counts = clusters.groupBy("label").agg(F.count("*").alias("n")).withColumn("members", F.col("n"))
+    buckets = max(1, math.ceil(clusters.count() / BLOCK))
+    blocks = F.ceil(F.col("members") / BLOCK)
+    home = F.when(blocks > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(buckets)))
+    placed = join_hot(clusters, counts, "label").select(F.col("node").alias("fp"), home.alias("home"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block"))
+    placed = placed.join(nodes.select("fp", "first_id"), "fp")
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for part in parts:
+            texts = part.pop("text")
+            same = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64) == part["fp"].to_numpy(np.int64)
+            part = part[same]
+            yield part.assign(shingles=[shingle_set(t, hashes).tobytes() for t in texts[same]])
+
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    chosen = texts.join(placed, F.col("doc_id") == F.col("first_id")).select("fp", "home", "blocks", "block", "text")
+    sets = chosen.mapInPandas(read, "fp bigint, home bigint, blocks bigint, block bigint, shingles binary")
+    dealt = sets.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("fp", "home", "blocks", "block", "shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return dealt.groupBy("home", "blocks", "i", "j").applyInPandas(verified, "a bigint, b bigint")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id and group_id (smallest id of its near-duplicates) of every row."""
     signed = staged(signatures(docs), "signatures")
@@ -109,7 +169,8 @@ def groups(docs: DataFrame) -> DataFrame:
     nodes = signed.groupBy("fp").agg(F.min("doc_id").alias("first_id"), best.alias("x"), F.count("*").alias("n"))
     nodes = staged(nodes.where("first_id is not null").select("fp", "first_id", "n", "x.*"), "nodes")
     count = nodes.count()
-    labels = components(near_links(nodes.select("fp"), 3, count).union(similar_links(nodes, count)))
+    similar = exact_links(docs, nodes, components(similar_links(nodes, count)))
+    labels = components(near_links(nodes.select("fp"), 3, count).union(similar))
     named = labels.join(nodes.select("fp", "first_id"), labels["node"] == F.col("fp"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("group_id"))
     linked = named.join(smallest, "label").select("fp", "group_id")
