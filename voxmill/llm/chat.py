@@ -112,7 +112,7 @@ def format_messages(log: DataFrame) -> DataFrame:
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (x for part in parts for x in zip(part["conv_id"].astype(object).where(part["conv_id"].notna(), None), part["op"], part["role"], part["text"]))
+        rows = (x for part in parts for x in zip(part["conv_id"], part["op"], part["role"], part["text"]))
         out = []
         for conv, at, role, text in fold(rows):
             segment, a, b = render(role, text)
@@ -123,14 +123,13 @@ def format_messages(log: DataFrame) -> DataFrame:
         yield frame(out)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["conv_id", "position", "role", "segment", "loss_start", "loss_end"])
-        return out.astype({"conv_id": "Int64"}) if whole else out
+        return pd.DataFrame(rows, columns=["conv_id", "position", "role", "segment", "loss_start", "loss_end"])
 
-    kind = log.schema["conv_id"].dataType.simpleString()
-    whole = kind in ("bigint", "int")
+    kind = log.schema["conv_id"].dataType
     order = ["conv_id", "seq", "message", "part"]
     dealt = log.repartition("conv_id").sortWithinPartitions(*order)
-    return dealt.select("conv_id", "op", "role", "text").mapInPandas(run, f"conv_id {kind}, position bigint, role string, segment string, loss_start bigint, loss_end bigint")
+    done = dealt.select(F.col("conv_id").cast("string"), "op", "role", "text").mapInPandas(run, "conv_id string, position bigint, role string, segment string, loss_start bigint, loss_end bigint")
+    return done.withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 def digests(messages: DataFrame) -> DataFrame:
@@ -143,8 +142,7 @@ def digests(messages: DataFrame) -> DataFrame:
         now = None
         for part in parts:
             out = []
-            ids = part["conv_id"].astype(object).where(part["conv_id"].notna(), None)
-            for conv, at, segment, a, b in zip(ids, part["position"], part["segment"], part["loss_start"], part["loss_end"]):
+            for conv, at, segment, a, b in zip(part["conv_id"], part["position"], part["segment"], part["loss_start"], part["loss_end"]):
                 if at == 0:
                     if now:
                         out.append(ended(now))
@@ -164,8 +162,8 @@ def digests(messages: DataFrame) -> DataFrame:
         return x[0], x[1], x[2].hexdigest(), x[3], x[4].hexdigest(), x[5]
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-        return out.astype({"conv_id": "Int64"}) if kind in ("bigint", "int") else out
+        return pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    kind = messages.schema["conv_id"].dataType.simpleString()
-    return messages.mapInPandas(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    kind = messages.schema["conv_id"].dataType
+    told = messages.withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(run, "conv_id string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return told.withColumn("conv_id", F.col("conv_id").cast(kind))

@@ -5,11 +5,14 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -25,6 +28,38 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def by_row(make: Callable[[], Callable[..., tuple]], schema: str) -> Callable[..., Column]:
+    """A column function from values to a struct of ``schema``.
+
+    ``make`` is called once for each task and returns what is called for each row. Other columns of the
+    table, ids above all, never leave Spark: pandas would turn long ids beside a null into floats.
+    """
+    names = StructType.fromDDL(schema).names
+
+    def frame(one: Callable[..., tuple], columns: tuple[pd.Series, ...]) -> pd.DataFrame:
+        rows = [one(*row) for row in zip(*columns)]
+        return pd.DataFrame({n: pd.Series([row[k] for row in rows], dtype=object) for k, n in enumerate(names)})
+
+    def single(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        one = make()
+        for part in parts:
+            yield frame(one, (part,))
+
+    def several(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        one = make()
+        for part in parts:
+            yield frame(one, part)
+
+    single.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    several.__annotations__ = {"parts": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
+    return lambda *columns: F.pandas_udf(single if len(columns) == 1 else several, schema)(*columns)
+
+
+def signed(x: int) -> int:
+    """64 unsigned bits as a long."""
+    return x - (1 << 64) if x >> 63 else x
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the files of shuffles that no plan refers to any more.
 
@@ -114,7 +149,7 @@ def rolling(ids: np.ndarray, n: int) -> np.ndarray:
     return mix((total[first + n] - total[first]) * inverse[first])
 
 
-def uniform(*parts: object) -> "F.Column":
+def uniform(*parts: object) -> Column:
     """A seeded uniform in (0, 1) of the given columns or literals."""
     cols = [p if not isinstance(p, int | str | float) else F.lit(p) for p in parts]
     bits = F.shiftrightunsigned(F.xxhash64(*cols), 11)

@@ -153,7 +153,7 @@ class Group:
 
 def indexes(benchmark: DataFrame, similar: float = SIMILAR) -> Iterator[Index]:
     """One index for each block of items, BLOCK_BYTES of text at most on average."""
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", F.col("text").cast("string").alias("text"))
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     blocks = max(1, ceil(size / BLOCK_BYTES))
     for k in range(blocks):
@@ -163,8 +163,8 @@ def indexes(benchmark: DataFrame, similar: float = SIMILAR) -> Iterator[Index]:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, item_id, first_word, n_words and similarity of every item in every document."""
-    kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, first_word bigint, n_words bigint, similarity double"
+    ids = {"doc_id": docs.schema["doc_id"].dataType, "item_id": benchmark.schema["item_id"].dataType}
+    schema = "doc_id string, item_id string, first_word bigint, n_words bigint, similarity double"
     context = docs.sparkSession.sparkContext
     found = []
     for index in indexes(benchmark, similar):
@@ -176,11 +176,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR)
                 out = [(doc, *x) for doc, text in zip(part["doc_id"], part["text"]) for x in shared.value.search(text, hashes)]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
-        found.append(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, schema))
+        found.append(docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema))
     all_found = found[0]
     for more in found[1:]:
         all_found = all_found.union(more)
-    return all_found.distinct()
+    return all_found.distinct().withColumns({n: F.col(n).cast(kind) for n, kind in ids.items()})
 
 
 def leak_flag(shared: Broadcast) -> Callable[[F.Column], F.Column]:

@@ -158,16 +158,16 @@ def interpolated_scores(docs: DataFrame, text: str = "text") -> DataFrame:
     spread = max(1, ceil(size / FOLDS / CHUNK_BYTES))
     bits = max(0, ceil(log2(max(size, 1) / RANGE_BYTES)))
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
-    rows = docs.select("doc_id", content.alias("content"), (fold * spread + F.pmod(F.xxhash64("doc_id", content), F.lit(spread))).cast("long").alias("chunk"))
-    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select(F.col("doc_id").cast("string"), content.alias("content"), (fold * spread + F.pmod(F.xxhash64("doc_id", content), F.lit(spread))).cast("long").alias("chunk"))
 
     def send(part: pd.DataFrame) -> pd.DataFrame:
         chunk = Chunk(part["content"])
         number = int(part["chunk"].iloc[0])
         n = chunk.n if number // spread != HELD_OUT else np.zeros_like(chunk.n)
-        cuts = np.searchsorted(chunk.keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64)) if bits else np.array([0, len(chunk.keys)])
-        some = [k for k in range(1 << bits) if cuts[k] < cuts[k + 1]]
-        return pd.DataFrame({"part": some, "chunk": number, "keys": [narrow(chunk.keys[cuts[k] : cuts[k + 1]]) for k in some], "n": [n[cuts[k] : cuts[k + 1]].astype(np.int32) for k in some]})
+        at = chunk.keys >> np.uint64(64 - bits) if bits else np.zeros(len(chunk.keys), np.uint64)
+        some, first = np.unique(at, return_index=True)  # the ranges that this chunk reaches
+        cuts = list(zip(first, [*first[1:], len(at)]))
+        return pd.DataFrame({"part": some.astype(np.int64), "chunk": number, "keys": [narrow(chunk.keys[a:b]) for a, b in cuts], "n": [n[a:b].astype(np.int32) for a, b in cuts]})
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
         lists = [widened(x) for x in part["keys"]]
@@ -227,5 +227,5 @@ def interpolated_scores(docs: DataFrame, text: str = "text") -> DataFrame:
     found = rows.where(tune).groupBy("chunk").cogroup(told.where(tune).groupBy("chunk")).applyInPandas(cells, "b bigint, q2 bigint, q1 bigint, n bigint")
     weights = learn(found.groupBy("b", "q2", "q1").agg(F.sum("n").alias("n")).toPandas(), 1 / (rest_kinds + 1))
     release_shuffles(spark)
-    schema = f"doc_id {id_kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return rows.groupBy("chunk").cogroup(told.where("chunk >= 0").groupBy("chunk")).applyInPandas(scores, schema)
+    schema = "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return rows.groupBy("chunk").cogroup(told.where("chunk >= 0").groupBy("chunk")).applyInPandas(scores, schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -17,7 +17,7 @@ Null and empty texts are one group (their fingerprint is zero); rows with a null
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxmill.llm.common import WordHashes, grams, join_hot, lower_words, mix, staged
+from voxmill.llm.common import WordHashes, by_row, grams, join_hot, lower_words, mix, signed, staged
 from voxmill.llm.simhash import LEAF, Links, components, fingerprint, fitted_tree, near_links
 
 RADIUS, SHINGLE, BINS, LOOSE = 20, 5, 256, 0.7
@@ -52,17 +52,18 @@ def sketch(h: np.ndarray) -> bytes:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, fp, sketch and size of every row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[str | None], tuple]:
         hashes = WordHashes()
-        for part in parts:
-            found = [(sketch(h), len(h)) for h in (shingle_set(t, hashes) for t in part["text"])]
-            part["fp"] = np.array([fingerprint(t) for t in part.pop("text")], np.uint64).view(np.int64)
-            part["sketch"], part["size"] = [s for s, _ in found], [n for _, n in found]
-            yield part
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, fp bigint, sketch binary, size bigint")
+        def one(text: str | None) -> tuple:
+            h = shingle_set(text, hashes)
+            return signed(fingerprint(text)), sketch(h), len(h)
+
+        return one
+
+    made = by_row(make, "fp bigint, sketch binary, size bigint")(F.col("text").cast("string"))
+    return docs.select("doc_id", made.alias("__made")).select("doc_id", "__made.*")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:

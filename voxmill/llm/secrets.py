@@ -21,10 +21,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxmill.llm.common import by_row
+
 KINDS = ("assign", "access", "hex")
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -236,17 +237,13 @@ def joined(found: list[tuple[int, int, int]]) -> str:
 def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, base counts by kind, the digest of the base spans, all spans, and layers read."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for x in part.pop("__text"):
-                base, found, layers = scan(x or "")
-                kinds = [k for _, k, _ in base]
-                rows.append((*(kinds.count(k) for k in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(found), layers))
-            yield pd.concat([part.reset_index(drop=True), pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers"])], axis=1)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col(text).cast("string").alias("__text")).mapInPandas(run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_layers bigint")
+    def one(content: str | None) -> tuple:
+        base, found, layers = scan(content or "")
+        kinds = [k for _, k, _ in base]
+        return *(kinds.count(k) for k in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(found), layers
+
+    made = by_row(lambda: one, "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_layers bigint")
+    return docs.select("doc_id", made(F.col(text).cast("string")).alias("__made")).select("doc_id", "__made.*")
 
 
 def mask(text: str | None, sign: str = "[SECRET]") -> str | None:
