@@ -1,14 +1,19 @@
 r"""Secret scans through nested encodings.
 
-Each text starts a worklist of layers. A layer is scanned, then unwrapped: percent and
-backslash or character-reference escapes are replaced in place; base64 runs become layers of
+Each text starts a worklist of layers. A layer is scanned, then unwrapped: URL and Unicode escapes
+(percent, backslash, character references) are undone in place; base64 runs become layers of
 their own at each of the four alignments, and so does what gzip or zlib members in them hold. In
 such layers every byte that no pattern has is a line end, so that a stray byte costs nothing. New layers join the worklist until
 none is left. Every layer carries a map from its characters to the root's, so that whatever is
 found is reported as a span of code points in the root text. A layer is entered once for each
 content and map: the same content at another place of the root is a layer of its own.
 
-Null text is empty: no findings. Repeated rows are scanned each. Long texts are scanned whole.
+Escapes that make up new escapes (``%252541``, ``&amp;#37;41``) are undone in the same pass over the text, however
+deeply they are nested: a text of n characters costs one layer, not n. Base64 is read on across line
+breaks. Data of two-byte characters are read without their zero bytes, too.
+
+Null text is empty: no findings. Repeated rows are scanned each. Long texts are scanned whole. Only the text
+column is read, so other columns may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,9 +38,19 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|&(?:quot|apos|amp|lt|gt|equals|colon);")
+#: What may start an escape.
+STARTERS = "%\\&"
+STARTER = re.compile(r"[%\\&]")
+#: An escape at the end of a text, and the characters it may end with.
+ESCAPE = re.compile(r"(?:%([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|&(quot|apos|amp|lt|gt|equals|colon);)\Z")
+CLOSERS = frozenset("0123456789abcdefABCDEF;}")
+#: Characters of the longest escape.
+REACH = 12
+#: No match is shorter than 12 characters, so no base64 of one is shorter than 16 signs.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 broken over lines of 20 signs or more; the last line may be shorter.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{20,}+(?:\r?\n|\\r\\n|\\n)[ \t]*+)+[A-Za-z0-9+/_-]+={0,2}")
+BREAKS = re.compile(r"(?:\r?\n|\\r\\n|\\n)[ \t]*|=+\Z")
 
 #: Bytes that stand in no pattern and no encoding become line ends: no match crosses one.
 PLAIN = bytes(k if k in b"+/_.=- \"':\\{}&#;%" or k < 128 and chr(k).isalnum() else 10 for k in range(256))
@@ -80,61 +95,57 @@ class Layer:
         return int(self.first[start:end].min()), int(self.last[start:end].max())
 
 
-def replaced(layer: Layer, pieces: list[tuple[int, int, str, list[tuple[int, int]]]]) -> Layer:
-    """The layer with each (start, end, new text, span of every new character) put in place."""
-    out, first, last, at = [], [], [], 0
+def unescaped(m: re.Match) -> str | None:
+    """The character of an escape; a sign that no pattern has for bytes beyond ASCII; None if it is no character."""
+    if m[1]:
+        return chr(int(m[1], 16)) if int(m[1], 16) < 128 else "\ufffd"
+    if m[8]:
+        return html.unescape(m[0])
+    point = int(m[7]) if m[7] else int(m[2] or m[3] or m[4] or m[5] or m[6], 16)
+    return chr(point) if point < 0x110000 and not 0xD800 <= point < 0xE000 else None
+
+
+def undone(layer: Layer) -> Layer | None:
+    """The layer with its escapes undone to the last, in one pass; None if there are none.
+
+    What has been read is a stack of characters; whenever its end is an escape, the character meant takes its
+    place and is looked at in turn.
+    """
+    text, changed, k, parts = layer.text, False, 0, []
+    chars, begins, ends, starters = [], [], [], []
+    while True:
+        if not starters or len(chars) - starters[-1] > REACH:  # nothing is open: on to what may start an escape
+            m = STARTER.search(text, k)
+            stop = m.start() if m else len(text)
+            parts += [("".join(chars), begins, ends), (text[k:stop], np.arange(k, stop), np.arange(k + 1, stop + 1))]
+            chars, begins, ends, starters, k = [], [], [], [], stop
+        if k == len(text):
+            break
+        c, a = text[k], k
+        k += 1
+        while True:
+            if c in STARTERS:
+                starters.append(len(chars))
+            chars.append(c)
+            begins.append(a)
+            ends.append(k)
+            if c not in CLOSERS or not starters or len(chars) - starters[-1] > REACH:
+                break
+            m = ESCAPE.match("".join(chars[starters[-1] :]))
+            new = unescaped(m) if m else None
+            if new is None:
+                break
+            spot = starters.pop()
+            c, a, changed = new, begins[spot], True
+            del chars[spot:], begins[spot:], ends[spot:]
+    parts.append(("".join(chars), begins, ends))
+    if not changed:
+        return None
+    text = "".join(x for x, _, _ in parts)
     if layer.first is not None and not layer.first.strides[0]:  # one span for all of it
-        for start, end, new, _ in pieces:
-            out += [layer.text[at:start], new]
-            at = end
-        text = "".join([*out, layer.text[at:]])
         return Layer(text, np.broadcast_to(layer.first[0], len(text)), np.broadcast_to(layer.last[0], len(text)))
-    whole = np.arange(len(layer.text))
-    old_first = whole if layer.first is None else layer.first
-    old_last = whole + 1 if layer.last is None else layer.last
-    for start, end, new, spans in pieces:
-        out += [layer.text[at:start], new]
-        first += [old_first[at:start], np.array([old_first[a] for a, _ in spans], np.int64)]
-        last += [old_last[at:start], np.array([old_last[b - 1] for _, b in spans], np.int64)]
-        at = end
-    out.append(layer.text[at:])
-    return Layer("".join(out), np.concatenate([*first, old_first[at:]]), np.concatenate([*last, old_last[at:]]))
-
-
-def decoded(data: bytes) -> list[tuple[str, int, int]] | None:
-    """(character, first byte, end byte) of UTF-8 data; None if it isn't any."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    out, at = [], 0
-    for c in text:
-        n = len(c.encode("utf-8"))
-        out.append((c, at, at + n))
-        at += n
-    return out
-
-
-def unpercent(layer: Layer) -> Layer | None:
-    pieces = []
-    for m in PERCENT.finditer(layer.text):
-        chars = decoded(bytes.fromhex(m[0].replace("%", "")))
-        if chars is not None:
-            pieces.append((m.start(), m.end(), "".join(c for c, _, _ in chars), [(m.start() + 3 * a, m.start() + 3 * b) for _, a, b in chars]))
-    return replaced(layer, pieces) if pieces else None
-
-
-def unescape(layer: Layer) -> Layer | None:
-    pieces = []
-    for m in ESCAPE.finditer(layer.text):
-        if m[0][0] == "&":
-            new = html.unescape(m[0])
-        else:
-            point = int(m[0][2:].strip("{}"), 16)
-            new = chr(point) if point < 0x110000 and not 0xD800 <= point < 0xE000 else ""
-        if new and new != m[0]:
-            pieces.append((m.start(), m.end(), new, [(m.start(), m.end())] * len(new)))
-    return replaced(layer, pieces) if pieces else None
+    begin, end = (np.concatenate([np.asarray(x[n], np.int64) for x in parts]) for n in (1, 2))
+    return Layer(text, begin, end) if layer.first is None else Layer(text, layer.first[begin], layer.last[end - 1])
 
 
 def inflated(data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
@@ -176,37 +187,53 @@ def pieces(data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
     yield held, end
 
 
+def blobs(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Base64 runs, without line breaks, and where their signs stand."""
+    for m in BASE64.finditer(text):
+        body = m[0].rstrip("=")
+        yield body, np.arange(m.start(), m.start() + len(body))
+    for m in WRAPPED.finditer(text):
+        keep = np.ones(len(m[0]), bool)
+        for gap in BREAKS.finditer(m[0]):
+            keep[gap.start() : gap.end()] = False
+        yield BREAKS.sub("", m[0]), m.start() + np.flatnonzero(keep)
+
+
 def unbase64(layer: Layer) -> Iterator[Layer]:
     """Layers of the base64 runs, at all four alignments: other text may stand right before or after a blob."""
-    for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").translate({45: 43, 95: 47})
+    for body, spots in blobs(layer.text):
+        body = body.translate({45: 43, 95: 47})
+        end = int(spots[-1]) + 1
         for skip in range(4):
-            token = body[skip:]
+            token, spot = body[skip:], spots[skip:]
             if len(token) % 4 == 1:
-                token = token[:-1]
+                token, spot = token[:-1], spot[:-1]
+            if len(token) < 16:
+                continue
             data = base64.b64decode(token + "=" * (-len(token) % 4))
-            start, ends = m.start() + skip, m.start() + skip + len(token)
             plain, at = data.translate(PLAIN), 0
             while packed := PACKED.search(data, at):
-                at, end = packed.start(), packed.start()
-                a, b = layer.root(start + at // 3 * 4, m.end())
-                for piece, end in pieces(data, at):
+                at, stop = packed.start(), packed.start()
+                for piece, stop in pieces(data, at):
+                    a, b = layer.root(int(spot[at // 3 * 4]), end)
                     if STRETCH.search(piece):
                         yield Layer(piece.decode("ascii"), np.broadcast_to(np.int64(a), len(piece)), np.broadcast_to(np.int64(b), len(piece)))
-                plain = plain[:at] + b"\n" * (end - at) + plain[end:] if end > at else plain
-                at = max(end, at + 2)
-            if STRETCH.search(plain):
-                k = np.arange(len(plain))
-                first, last = start + k // 3 * 4, np.minimum(start + (k + 3) // 3 * 4, ends)
-                if layer.first is not None:
-                    first, last = layer.first[first], layer.last[last - 1]
-                yield Layer(plain.decode("ascii"), first, last)
+                plain = plain[:at] + b"\n" * (stop - at) + plain[stop:] if stop > at else plain
+                at = max(stop, at + 2)
+            k = np.arange(len(plain))
+            views = [(plain, k)]
+            if 3 * data.count(0) > len(data):  # two-byte characters
+                views += [(plain[0::2], k[0::2]), (plain[1::2], k[1::2])]
+            for view, k in views:
+                if STRETCH.search(view):
+                    first, last = spot[k // 3 * 4], spot[np.minimum((k // 3 + 1) * 4, len(spot)) - 1] + 1
+                    if layer.first is not None:
+                        first, last = layer.first[first], layer.last[last - 1]
+                    yield Layer(view.decode("ascii"), first, last)
 
 
 def nested(layer: Layer) -> Iterator[Layer]:
-    if "%" in layer.text and (new := unpercent(layer)):
-        yield new
-    if ("\\" in layer.text or "&" in layer.text) and (new := unescape(layer)):
+    if any(c in layer.text for c in STARTERS) and (new := undone(layer)):
         yield new
     yield from unbase64(layer)
 
