@@ -48,17 +48,18 @@ def key_to_xyz(key: Column, depth: int = 16) -> tuple[Column, Column, Column]:
     return tuple(gather(F.shiftright(key, s), depth) for s in (2, 1, 0))
 
 
-def axis_steps(key: Column, axis: int, depth: int) -> list[Column]:
-    """The key's bits of one axis (0 x, 1 y, 2 z) one cell back, as they are, and one cell on; null beyond the cube.
+def axis_steps(key: Column, axis: int, depth: int, wrap: bool = False) -> list[Column]:
+    """The key's bits of one axis (0 x, 1 y, 2 z) one cell back, as they are, and one cell on.
+
+    Beyond the cube they are null or, with ``wrap``, those of the far side.
 
     Works on the spread bits themselves: the other axes' bits carry the addition across.
     """
     unit = 4 >> axis
     mask = sum(unit << 3 * i for i in range(depth))
     own = key.bitwiseAND(bits(mask))
-    back = F.when(own != 0, (own - bits(unit)).bitwiseAND(bits(mask)))
-    on = F.when(own != mask, (own.bitwiseOR(bits(~mask)) + bits(unit)).bitwiseAND(bits(mask)))
-    return [back, own, on]
+    back, on = (own - bits(unit)).bitwiseAND(bits(mask)), (own.bitwiseOR(bits(~mask)) + bits(unit)).bitwiseAND(bits(mask))
+    return [back, own, on] if wrap else [F.when(own != 0, back), own, F.when(own != mask, on)]
 
 
 def pack_key(cloud: Column, key: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxmill.functions import keys as K
 from voxmill.jobs.registry import query, r, rounded
-from voxmill.jobs.tables import CLIPPED, CLOUD_L, DEPTH, FULL, clipped, cloud_l, feat, feat_sql, keyed_sql, key_sql, leaf, leaf_sql, nodes, nodes_sql, xyz_sql
+from voxmill.jobs.tables import CLIPPED, CLOUD_L, DEPTH, FULL, clipped, cloud_l, feat, feat_sql, keyed_sql, key_sql, leaf, leaf_sql, nodes, nodes_sql, tree, xyz_sql
 from voxmill.operators import features as G
 from voxmill.operators import lookup as J
 from voxmill.operators import octree as O
@@ -335,7 +335,7 @@ def g4(spark, d):
 
 for _kernel, _stride, _nempty in (("222", 2, True), ("333", 1, True), ("333", 2, True)):
     query(f"g5_avg_pool_{_kernel}_{_stride}", f"SELECT cloud_id, {DEPTH - (_stride == 2)} AS depth, key, {r(*[f'sum({c}) / (count(*) + 1e-8) AS {c}' for c in DATA])} FROM (SELECT n.cloud_id, n.key, {', '.join(DATA)} FROM {neigh_sql(_kernel, _stride, _nempty)} n JOIN {FEAT} f ON f.cloud_id = n.cloud_id AND f.key = n.nkey) GROUP BY cloud_id, key")(
-        lambda spark, d, a=(_kernel, _stride, _nempty): flat(G.avg_pool(feat(spark, d), nodes(spark, d), DEPTH, CH, *a))
+        lambda spark, d, a=(_kernel, _stride, _nempty): flat(G.avg_pool(*tree(spark, d), DEPTH, CH, *a))
     )
 
 
@@ -414,12 +414,12 @@ def met_sql(kernel: str, stride: int, nempty: bool = True, depth: int = DEPTH, s
 
 @query("c1_octree2col", f"SELECT cloud_id, key, k, {r(*DATA)} FROM {met_sql('222', 1)}")
 def c1(spark, d):
-    return values(C.columns(feat(spark, d), nodes(spark, d), DEPTH, "222", 1), "cloud_id", "key", "k")
+    return values(C.columns(*tree(spark, d), DEPTH, "222", 1), "cloud_id", "key", "k")
 
 
 @query("c2_col2octree", f"SELECT cloud_id, 4 AS depth, nkey AS key, {r(*[f'sum({c}) AS {c}' for c in DATA])} FROM {neigh_sql('222', 1, True)} JOIN {met_sql('222', 1)} USING (cloud_id, key, k) GROUP BY cloud_id, nkey")
 def c2(spark, d):
-    f, n = feat(spark, d), nodes(spark, d)
+    f, n = tree(spark, d)
     return flat(C.scatter_columns(C.columns(f, n, DEPTH, "222", 1), n, DEPTH, CH, "222", 1))
 
 
@@ -440,12 +440,12 @@ D3 = DATA[:3]
 
 @query("c3_conv", f"SELECT cloud_id, 4 AS depth, key, {r(*D3)} FROM {conv_sql('333', 1, W3, BIAS)}")
 def c3(spark, d):
-    return values(C.conv(feat(spark, d), nodes(spark, d), DEPTH, W3, BIAS), "cloud_id", "depth", "key", channels=3)
+    return values(C.conv(*tree(spark, d), DEPTH, W3, BIAS), "cloud_id", "depth", "key", channels=3)
 
 
 @query("c3_conv_stride2", f"SELECT cloud_id, 3 AS depth, key, {r(*D3)} FROM {conv_sql('222', 2, C.example_weights(8, CH, 3), BIAS)}")
 def c3b(spark, d):
-    return values(C.conv(feat(spark, d), nodes(spark, d), DEPTH, C.example_weights(8, CH, 3), BIAS, "222", 2), "cloud_id", "depth", "key", channels=3)
+    return values(C.conv(*tree(spark, d), DEPTH, C.example_weights(8, CH, 3), BIAS, "222", 2), "cloud_id", "depth", "key", channels=3)
 
 
 @query("c3_conv_blocks", f"SELECT cloud_id, 4 AS depth, key, {r(*D3)} FROM {conv_sql('333', 1, W3)}")
@@ -465,7 +465,7 @@ def deconv_sql(kernel: str, stride: int, w, depth: int, source: str) -> str:
 
 @query("c4_deconv", deconv_sql("333", 1, _WD, DEPTH, FEAT))
 def c4(spark, d):
-    return values(C.deconv(feat(spark, d), nodes(spark, d), DEPTH, _WD), "cloud_id", "depth", "key", channels=3)
+    return values(C.deconv(*tree(spark, d), DEPTH, _WD), "cloud_id", "depth", "key", channels=3)
 
 
 @query("c4_deconv_stride2", deconv_sql("222", 2, C.example_weights(8, 3, CH), DEPTH, COARSE))
@@ -478,7 +478,7 @@ _WC = C.example_weights(27, CH)
 
 @query("c5_depthwise_conv", f"SELECT cloud_id, 4 AS depth, key, {r(*DATA)} FROM (SELECT cloud_id, key, {', '.join(f'sum({c} * w{k}) AS {c}' for k, c in enumerate(DATA))} FROM {met_sql('333', 1)} JOIN {weights_sql(_WC)} USING (k) GROUP BY cloud_id, key)")
 def c5(spark, d):
-    return flat(C.depthwise_conv(feat(spark, d), nodes(spark, d), DEPTH, _WC))
+    return flat(C.depthwise_conv(*tree(spark, d), DEPTH, _WC))
 
 
 _WG = [C.example_weights(27, 2, 2), C.example_weights(27, 2, 2) * 2]
@@ -486,7 +486,7 @@ _WG = [C.example_weights(27, 2, 2), C.example_weights(27, 2, 2) * 2]
 
 @query("c6_group_conv", f"SELECT cloud_id, 4 AS depth, key, {r(*DATA)} FROM (SELECT cloud_id, key, {', '.join(f'sum(d{2 * (o // 2)} * w{o % 2} + d{2 * (o // 2) + 1} * w{2 + o % 2}) * {1 + o // 2} AS d{o}' for o in range(4))} FROM {met_sql('333', 1)} JOIN {weights_sql(_WG[0])} USING (k) GROUP BY cloud_id, key)")
 def c6(spark, d):
-    return flat(C.group_conv(feat(spark, d), nodes(spark, d), DEPTH, _WG))
+    return flat(C.group_conv(*tree(spark, d), DEPTH, _WG))
 
 
 _WL = C.example_weights(CH, 3)

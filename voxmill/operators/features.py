@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxmill.functions.keys import key_to_xyz, parent, uniform, vector_avg, vector_sum, zeros
 from voxmill.operators.lookup import align, interpolate
-from voxmill.operators.octree import neighbors
+from voxmill.operators.stencil import reached, rows_of
 
 NODE = ["cloud_id", "depth", "key"]
 
@@ -52,8 +52,9 @@ def max_unpool(pooled: DataFrame, depth: int, channels: int, nodes: DataFrame |
 
 def avg_pool(feat: DataFrame, nodes: DataFrame, depth: int, channels: int, kernel: str = "222", stride: int = 2, nempty: bool = False) -> DataFrame:
     """Means over the neighbours that exist; rows without any are absent."""
-    met = neighbors(nodes, depth, kernel, stride, nempty).join(feat.select("cloud_id", F.col("key").alias("nkey"), "data"), ["cloud_id", "nkey"])
-    sums = met.groupBy("cloud_id", "key").agg(F.count("*").alias("n"), *[F.sum(F.col("data")[k]).alias(f"s{k}") for k in range(channels)])
+    sent = reached(feat, depth, kernel, stride)
+    sums = sent.groupBy("cloud_id", "key").agg(F.count("*").alias("n"), *[F.sum(F.col("data")[k]).alias(f"s{k}") for k in range(channels)])
+    sums = sums.join(rows_of(nodes, depth, stride, nempty), ["cloud_id", "key"], "left_semi")
     data = F.array(*[F.col(f"s{k}") / (F.col("n") + 1e-8) for k in range(channels)])
     return sums.select("cloud_id", F.lit(depth - 1 if stride == 2 else depth).alias("depth"), "key", data.alias("data"))
 

@@ -190,6 +190,13 @@ def kernel_offsets(kernel: str = "333") -> list[int]:
     return [9 * a + 3 * b + c for a in ranges[0] for b in ranges[1] for c in ranges[2]]
 
 
+def kernel_keys(key: Column, depth: int, kernel: str, back: bool = False) -> list[Column]:
+    """The key one kernel offset on (or back) for each offset of the kernel; null beyond the cube."""
+    steps = [axis_steps(key, axis, depth) for axis in range(3)]
+    at = (lambda n: 2 - n) if back else (lambda n: n)
+    return [steps[0][at(o // 9)].bitwiseOR(steps[1][at(o // 3 % 3)]).bitwiseOR(steps[2][at(o % 3)]) for o in kernel_offsets(kernel)]
+
+
 def neighbors(nodes: DataFrame, depth: int, kernel: str = "333", stride: int = 1, nempty: bool = False) -> DataFrame:
     """(cloud_id, depth, key, k, nkey) of the neighbours that exist, k counted within the kernel.
 
@@ -199,12 +206,10 @@ def neighbors(nodes: DataFrame, depth: int, kernel: str = "333", stride: int = 1
     level = nodes.where(F.col("depth") == depth)
     ends = (level.where("nempty") if nempty else level).select("cloud_id", F.col("key").alias("nkey"))
     rows = level.where(F.col("key") % 8 == 0) if stride == 2 else level.where("nempty") if nempty else level
-    steps = {f"{c}{n}": step for a, c in enumerate("xyz") for n, step in enumerate(axis_steps(F.col("key"), a, depth))}
-    moved = rows.select("cloud_id", "key", *[v.alias(n) for n, v in steps.items()])
-    there = [F.col(f"x{o // 9}").bitwiseOR(F.col(f"y{o // 3 % 3}")).bitwiseOR(F.col(f"z{o % 3}")) for o in kernel_offsets(kernel)]
-    wide = moved.select("cloud_id", "key", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("nkey")) for k, v in enumerate(there)])).alias("o"))
+    there = kernel_keys(F.col("key"), depth, kernel)
+    wide = rows.select("cloud_id", "key", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("nkey")) for k, v in enumerate(there)])).alias("o"))
     asked = wide.select("cloud_id", "key", "o.k", "o.nkey").where("nkey is not null")
-    # the exploded side is many times what its input suggests, so it must not be broadcast
-    found = asked.join(ends.hint("shuffle_hash"), ["cloud_id", "nkey"])
+    # the exploded side is many times what its input suggests, so it must not be broadcast; a merge join may spill
+    found = asked.join(ends.hint("merge"), ["cloud_id", "nkey"])
     key = parent(F.col("key")) if stride == 2 else F.col("key")
     return found.select("cloud_id", F.lit(depth).alias("depth"), key.alias("key"), "k", "nkey")

@@ -1,6 +1,8 @@
 """Stencils over neighbourhoods with given weights.
 
-The join forms send each (row, neighbour) pair through a join and a grouped sum; weights
+A node's key says which rows have it as a neighbour, so features are sent to those rows without a join,
+multiplied on the way, and summed by row: one shuffle, of partial sums. What no row asked for is dropped by a semi-join on the
+same key, which moves the nodes only. Features are those of non-empty nodes where ``nempty`` says so. Weights
 (kernel size x channels x channels, part of the query, not of the data) are broadcast. For wide channels
 ``conv_blocks`` copies each node to the blocks of space its neighbourhood touches and does the
 arithmetic with NumPy inside a block; a block holds at most 8 ** height nodes and their rim.
@@ -15,21 +17,44 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.functions.keys import key_to_xyz, parent, xyz_to_key, zeros
-from voxmill.operators.octree import kernel_offsets, neighbors
+from voxmill.functions.keys import parent, zeros
+from voxmill.operators.octree import kernel_keys, kernel_offsets
+
+
+def rows_of(nodes: DataFrame, depth: int, stride: int, nempty: bool) -> DataFrame:
+    """(cloud_id, key) of the rows that a stencil has: nodes, or at stride 2 the parents of siblings."""
+    level = nodes.where(F.col("depth") == depth)
+    if stride == 2:
+        return level.where(F.col("key") % 8 == 0).select("cloud_id", parent(F.col("key")).alias("key"))
+    return (level.where("nempty") if nempty else level).select("cloud_id", "key")
+
+
+def reached(feat: DataFrame, depth: int, kernel: str = "333", stride: int = 1) -> DataFrame:
+    """(cloud_id, key, k, data): each node's feature sent to the rows whose k-th neighbour it is, by arithmetic on keys.
+
+    Nothing is joined; keys of rows that don't exist are among them.
+    """
+    there = [F.struct(F.lit(k).alias("k"), v.alias("key")) for k, v in enumerate(kernel_keys(F.col("key"), depth, kernel, back=True))]
+    sent = feat.select("cloud_id", "data", F.explode(F.array(*there)).alias("o")).where("o.key is not null")
+    if stride == 2:
+        sent = sent.where(F.col("o.key") % 8 == 0)
+    return sent.select("cloud_id", (parent(F.col("o.key")) if stride == 2 else F.col("o.key")).alias("key"), "o.k", "data")
 
 
 def columns(feat: DataFrame, nodes: DataFrame, depth: int, kernel: str = "333", stride: int = 1, nempty: bool = True) -> DataFrame:
     """(cloud_id, key, k, data): the neighbours' features in long format; absent rows stand for zeros."""
-    met = neighbors(nodes, depth, kernel, stride, nempty)
-    return met.join(feat.select("cloud_id", F.col("key").alias("nkey"), "data"), ["cloud_id", "nkey"]).select("cloud_id", "key", "k", "data")
+    sent = reached(feat, depth, kernel, stride)
+    return sent.join(rows_of(nodes, depth, stride, nempty).hint("merge"), ["cloud_id", "key"], "left_semi")
 
 
 def scatter_columns(cols: DataFrame, nodes: DataFrame, depth: int, channels: int, kernel: str = "333", stride: int = 1, nempty: bool = True) -> DataFrame:
     """The reverse of ``columns``: each neighbour's sum of what rows hold for it."""
-    met = neighbors(nodes, depth, kernel, stride, nempty).join(cols, ["cloud_id", "key", "k"])
-    sums = met.groupBy("cloud_id", F.col("nkey").alias("key")).agg(*[F.sum(F.col("data")[c]).alias(f"s{c}") for c in range(channels)])
-    return sums.select("cloud_id", F.lit(depth).alias("depth"), "key", F.array(*[F.col(f"s{c}") for c in range(channels)]).alias("data"))
+    own = F.shiftleft("key", 3) if stride == 2 else F.col("key")
+    there = F.get(F.array(*kernel_keys(own, depth, kernel)), F.col("k"))
+    sums = cols.select("cloud_id", there.alias("key"), "data").groupBy("cloud_id", "key").agg(*[F.sum(F.col("data")[c]).alias(f"s{c}") for c in range(channels)])
+    level = nodes.where(F.col("depth") == depth)
+    met = sums.join((level.where("nempty") if nempty else level).select("cloud_id", "key"), ["cloud_id", "key"], "left_semi")
+    return met.select("cloud_id", F.lit(depth).alias("depth"), "key", F.array(*[F.col(f"s{c}") for c in range(channels)]).alias("data"))
 
 
 def _weights(df: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -56,10 +81,11 @@ def conv(feat: DataFrame, nodes: DataFrame, depth: int, weights: np.ndarray, bia
     and nempty), or all nodes of the level above, zeros and bias where there are no children.
     """
     cout = weights.shape[2]
-    out = _products(columns(feat, nodes, depth, kernel, stride, nempty), weights)
-    if not (nempty and stride == 2):
-        level = nodes.where(F.col("depth") == (depth - 1 if stride == 2 else depth))
-        rows = (level.where("nempty") if nempty else level).select("cloud_id", "key")
+    out = _products(reached(feat, depth, kernel, stride), weights)
+    if nempty:
+        out = out.join(rows_of(nodes, depth, stride, nempty), ["cloud_id", "key"], "left_semi")
+    else:
+        rows = nodes.where(F.col("depth") == (depth - 1 if stride == 2 else depth)).select("cloud_id", "key")
         out = rows.join(out, ["cloud_id", "key"], "left").withColumn("data", F.coalesce("data", zeros(cout)))
     data = F.array(*[F.col("data")[o] + F.lit(float((bias or [0.0] * cout)[o])) for o in range(cout)])
     return out.select("cloud_id", F.lit(depth - 1 if stride == 2 else depth).alias("depth"), "key", data.alias("data"))
@@ -71,17 +97,22 @@ def deconv(feat: DataFrame, nodes: DataFrame, depth: int, weights: np.ndarray, k
     With stride 2 rows are at ``depth`` and neighbours at depth + 1. Only nodes that receive something are returned.
     """
     deep = depth + 1 if stride == 2 else depth
-    met = neighbors(nodes, deep, kernel, stride, nempty).join(feat.select("cloud_id", "key", "data"), ["cloud_id", "key"])
-    sums = _products(met.select("cloud_id", F.col("nkey").alias("key"), "k", "data"), weights, transpose=True)
-    return sums.select("cloud_id", F.lit(deep).alias("depth"), "key", "data")
+    own = F.shiftleft("key", 3) if stride == 2 else F.col("key")
+    there = [F.struct(F.lit(k).alias("k"), v.alias("key")) for k, v in enumerate(kernel_keys(own, deep, kernel))]
+    sent = feat.select("cloud_id", "data", F.explode(F.array(*there)).alias("o")).where("o.key is not null").select("cloud_id", "o.key", "o.k", "data")
+    sums = _products(sent, weights, transpose=True)
+    level = nodes.where(F.col("depth") == deep)
+    met = sums.join((level.where("nempty") if nempty else level).select("cloud_id", "key"), ["cloud_id", "key"], "left_semi")
+    return met.select("cloud_id", F.lit(deep).alias("depth"), "key", "data")
 
 
 def depthwise_conv(feat: DataFrame, nodes: DataFrame, depth: int, weights: np.ndarray, kernel: str = "333", stride: int = 1, nempty: bool = True) -> DataFrame:
     """out[i, c] = sum over k of data[neighbour(i, k), c] weights[k, c]."""
     channels = weights.shape[1]
-    joined = columns(feat, nodes, depth, kernel, stride, nempty).join(F.broadcast(_weights(feat, weights)), "k")
+    joined = reached(feat, depth, kernel, stride).join(F.broadcast(_weights(feat, weights)), "k")
     sums = joined.groupBy("cloud_id", "key").agg(*[F.sum(F.col("data")[c] * F.col("w")[c]).alias(f"s{c}") for c in range(channels)])
-    return sums.select("cloud_id", F.lit(depth - 1 if stride == 2 else depth).alias("depth"), "key", F.array(*[F.col(f"s{c}") for c in range(channels)]).alias("data"))
+    met = sums.join(rows_of(nodes, depth, stride, nempty), ["cloud_id", "key"], "left_semi")
+    return met.select("cloud_id", F.lit(depth - 1 if stride == 2 else depth).alias("depth"), "key", F.array(*[F.col(f"s{c}") for c in range(channels)]).alias("data"))
 
 
 def group_conv(feat: DataFrame, nodes: DataFrame, depth: int, weights: list[np.ndarray], kernel: str = "333", stride: int = 1, nempty: bool = True) -> DataFrame:
@@ -108,14 +139,11 @@ def linear(feat: DataFrame, weights: np.ndarray, bias: list[float] | None = None
 def conv_blocks(feat: DataFrame, depth: int, weights: np.ndarray, kernel: str = "333", height: int = 3) -> DataFrame:
     """``conv`` at stride 1 over non-empty nodes, by blocks of space with a rim of neighbours."""
     offsets = [((o // 9 - 1), (o // 3 % 3 - 1), (o % 3 - 1)) for o in kernel_offsets(kernel)]
-    reach = [sorted({o[a] for o in offsets} | {0} | {-o[a] for o in offsets}) for a in range(3)]
     cout = weights.shape[2]
-    x, y, z = key_to_xyz(F.col("key"), depth)
-    moves = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("dx", "dy", "dz"), (a, b, c))]) for a in reach[0] for b in reach[1] for c in reach[2]])
-    wide = feat.select("cloud_id", "key", "data", x.alias("x"), y.alias("y"), z.alias("z"), F.explode(moves).alias("o"))
-    at = [F.col(c) + F.col(f"o.d{c}") for c in "xyz"]
-    inside = (at[0] >= 0) & (at[1] >= 0) & (at[2] >= 0) & (at[0] < 1 << depth) & (at[1] < 1 << depth) & (at[2] < 1 << depth)
-    copies = wide.where(inside).select("cloud_id", "key", "data", parent(xyz_to_key(*at, depth), height).alias("block")).dropDuplicates(["cloud_id", "key", "block"])
+    # the rows that have a node as a neighbour lie in at most eight blocks
+    both = [*kernel_keys(F.col("key"), depth, kernel, back=True), F.col("key")]
+    blocks = F.array_compact(F.array_distinct(F.array(*[parent(v, height) for v in both])))
+    copies = feat.select("cloud_id", "key", "data", F.explode(blocks).alias("block"))
     bound = 1 << depth
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
