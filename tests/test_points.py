@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxmill.functions.ranks import ranked, running_sum
 from voxmill.operators import features as G
 from voxmill.operators import points as P
 from voxmill.operators import scenes, splits
@@ -123,3 +124,49 @@ def test_meshes(spark, tmp_path):
     (tmp_path / "b.ply").write_bytes(b"ply\nformat binary_little_endian 1.0\nelement vertex 3\nproperty float x\nproperty float y\nproperty float z\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n" + body)
     v, f = S.read_mesh(S.binary_files(spark, str(tmp_path)))
     assert v.count() == 6 and {(r.v0, r.v1, r.v2) for r in f.collect()} == {(0, 1, 2)} and f.count() == 2
+
+
+def test_polygons_become_triangles(spark, tmp_path):
+    corners = "0 0 0\n1 0 0\n1 1 0\n0 1 0\n0.5 2 0\n"
+    (tmp_path / "a.off").write_text(f"OFF\n5 3 0\n{corners}4 0 1 2 3\n5 0 1 2 4 3\n2 0 1\n")
+    (tmp_path / "b.ply").write_bytes(f"ply\r\nformat ascii 1.0\r\nelement vertex 5\r\nproperty float x\r\nproperty float y\r\nproperty float z\r\nelement face 2\r\nproperty uchar flag\r\nproperty list uchar int vertex_indices\r\nend_header\r\n{corners}7 4 0 1 2 3\n7 3 2 4 3\n".encode())
+    body = np.arange(24, dtype="<f4").tobytes() + b"".join(bytes([n]) + np.arange(n, dtype="<i4").tobytes() for n in (3, 4))
+    (tmp_path / "c.ply").write_bytes(b"ply\r\nformat binary_little_endian 1.0\r\nelement vertex 8\r\nproperty float x\r\nproperty float y\r\nproperty float z\r\nelement face 2\r\nproperty list uchar int vertex_indices\r\nend_header\r\n" + body)
+    v, f = S.read_mesh(S.binary_files(spark, str(tmp_path)))
+    found = {}
+    for r in f.orderBy("fid").collect():
+        found.setdefault(r.path[-5:], []).append((r.v0, r.v1, r.v2))
+    assert found == {"a.off": [(0, 1, 2), (0, 2, 3), (0, 1, 2), (0, 2, 4), (0, 4, 3)], "b.ply": [(0, 1, 2), (0, 2, 3), (2, 4, 3)], "c.ply": [(0, 1, 2), (0, 1, 2), (0, 2, 3)]}
+    assert v.count() == 18
+
+
+@pytest.mark.parametrize("form", ["npz", "ply"])
+def test_points_written_and_read_again(spark, tmp_path, form):
+    rows = [(k % 2, k, k * 0.1, -k * 0.2, k * 0.3, 0.0, 1.0, 0.0, [k * 1.0, 2.0], k % 3) for k in range(20)]
+    df = spark.createDataFrame(rows, POINTS)
+    assert S.save_files(S.packed_clouds(df, form, "PNFL", 2, rows=4), f"file:{tmp_path}") == len(list(tmp_path.rglob(f"*.{form}"))) > 2
+    back = S.read_points(S.binary_files(spark, str(tmp_path)), color=False).collect()
+    assert sorted((r.x, r.y, r.z, r.nx, r.ny, r.nz, r.label) for r in back) == sorted((r[2], r[3], r[4], *r[5:8], r[9]) for r in rows)
+    with pytest.raises(ValueError):
+        S.save_files(S.packed_clouds(df, form), "s3:/nowhere")
+
+
+def test_ranks_and_running_sums(spark):
+    rng = np.random.default_rng(2)
+    values = [(int(g), int(v), int(x)) for g, v, x in zip(rng.integers(0, 3, 300), rng.permutation(300), rng.integers(-5, 5, 300))]
+    df = spark.createDataFrame(values + [(None, 1000, 4)], "g long, v long, x long")
+    block = F.floor(F.col("v") / 16)
+    got = {(r.g, r.v): r["rank"] for r in ranked(df, block, [F.col("v")], ["g"]).collect()}
+    by = {}
+    for g, v, x in sorted(values, key=lambda r: r[1]) + [(None, 1000, 4)]:
+        by.setdefault(g, []).append((v, x))
+    assert got == {(g, v): k for g, rows in by.items() for k, (v, _) in enumerate(rows)}
+    assert sorted(r["rank"] for r in ranked(df, block, [F.col("v")]).collect()) == list(range(301))
+    sums = running_sum(df, "x", block, [F.col("v")], ["g"], exclusive=True).collect()
+    assert {(r.g, r.v): r.total for r in sums} == {k: s for g, rows in by.items() for k, s in [*(((g, v), sum(x for _, x in rows[:n])) for n, (v, _) in enumerate(rows)), ((g, None), sum(x for _, x in rows))]}
+
+
+def test_category_lists_by_equal_parts(spark):
+    lines = spark.createDataFrame([("train", 0, "data/a/x"), ("val", 1, "data/ab/y"), ("test", 2, "data/a/a/z"), ("test", 3, "data/c/a")], "list string, position long, line string")
+    got = splits.category_filelists(lines, spark.createDataFrame([("a", 4), ("ab", 5)], "category string, category_id int")).collect()
+    assert {(r.list, r.position, r.line) for r in got} == {("train_val", 0, "a/x 4"), ("train_val", 1, "ab/y 5"), ("test", 2, "a/a/z 4"), ("test", 3, "a 4")}

@@ -6,11 +6,12 @@ from math import cos, sin
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from voxmill.functions import keys as K
+from voxmill.functions.ranks import running_sum
 from voxmill.jobs.registry import query, r, rounded
 from voxmill.jobs.tables import CLIPPED, CLOUD_E, CLOUD_L, cloud_e, cloud_l, clipped, key_sql, table, xyz_sql
+from voxmill.operators import octree as O
 from voxmill.operators import points as P
 from voxmill.schema import check_finite, validate_points
 
@@ -207,22 +208,26 @@ def k3(spark, d):
     return packed.select(cloud.alias("cloud_id"), key.alias("key"), "packed")
 
 
-@query("w1_cumsum", f"""SELECT cloud_id, day, {r('sum(v) OVER w AS inclusive', 'sum(v) OVER w - v AS exclusive')} FROM
- (SELECT l_linenumber AS cloud_id, l_shipdate::DATE AS day, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) WINDOW w AS (PARTITION BY cloud_id ORDER BY day)""")
+_daily = "(SELECT l_linenumber AS cloud_id, l_shipdate::DATE AS day, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"
+
+
+def daily(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("cloud_id"), F.col("l_shipdate").cast("date").alias("day")).agg(F.sum("l_quantity").alias("v"))
+
+
+@query("w1_cumsum", f"SELECT cloud_id, day, {r('sum(v) OVER w AS inclusive')} FROM {_daily} WINDOW w AS (PARTITION BY cloud_id ORDER BY day)")
 def w1(spark, d):
-    daily = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("cloud_id"), F.col("l_shipdate").cast("date").alias("day")).agg(F.sum("l_quantity").alias("v"))
-    w = Window.partitionBy("cloud_id").orderBy("day")
-    before = F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return daily.select("cloud_id", "day", rounded(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), "inclusive"), rounded(before, "exclusive"))
+    return running_sum(daily(spark, d), "v", F.year("day"), [F.col("day")], ["cloud_id"], name="inclusive").select("cloud_id", "day", rounded("inclusive"))
+
+
+@query("w1_cumsum_exclusive", f"SELECT cloud_id, day::VARCHAR AS day, {r('sum(v) OVER w - v AS exclusive')} FROM {_daily} WINDOW w AS (PARTITION BY cloud_id ORDER BY day) UNION ALL SELECT cloud_id, 'end', {r('sum(v) AS exclusive')} FROM {_daily} GROUP BY cloud_id")
+def w1b(spark, d):
+    return running_sum(daily(spark, d), "v", F.year("day"), [F.col("day")], ["cloud_id"], exclusive=True, name="exclusive").select("cloud_id", F.coalesce(F.col("day").cast("string"), F.lit("end")).alias("day"), rounded("exclusive"))
 
 
-@query("w3_range_grid", "SELECT p_partkey AS row_id, x, y, z FROM part, range(-1, 2) a(x), range(-1, 2) b(y), range(-1, 2) c(z) WHERE p_partkey % 10 = p_size % 10")
+@query("w3_range_grid", "SELECT p_partkey AS row_id, x, y, z FROM part, range(-1, 2) a(x), range(-1, 2) b(y), range(-1, 2) c(z)")
 def w3(spark, d):
-    grid = [F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))).alias(c) for c in "xyz"]
-    out = table(spark, d, "part").where(F.col("p_partkey") % 10 == F.col("p_size") % 10).select(F.col("p_partkey").alias("row_id"))
-    for g in grid:
-        out = out.select("*", g)
-    return out
+    return O.range_grid(table(spark, d, "part").select(F.col("p_partkey").alias("row_id")), -1, 1)
 
 
 @query("w5_check_finite", f"SELECT {', '.join(f'count(*) FILTER (WHERE isnan({c}) OR isinf({c})) AS {c}_bad, {r(f'max(abs({c})) AS {c}_max')}' for c in 'xyz')} FROM (SELECT CASE WHEN point_id % 7 = 0 THEN 'inf'::DOUBLE ELSE x END AS x0, CASE WHEN point_id % 7 = 0 THEN NULL ELSE x END AS x, y, z FROM {CLOUD_L})".replace("count(*) FILTER (WHERE isnan(x) OR isinf(x))", "count(*) FILTER (WHERE isnan(x0) OR isinf(x0))"))

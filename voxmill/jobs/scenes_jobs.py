@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxmill.functions.classes import PARTS, lidar_names, part_offsets, scene_classes
 from voxmill.jobs.octree_jobs import uniform_sql
 from voxmill.jobs.registry import query, r, rounded
 from voxmill.jobs.tables import CLOUD_E, CLOUD_L, cloud_e, cloud_l, table
@@ -93,16 +94,33 @@ def r1(spark, d):
     return S.remap_labels(cloud_e(spark, d), class_ids(spark)).select("cloud_id", "point_id", "label")
 
 
-#: Names of raw labels for the query: every class, and every second one moving.
-LIDAR_NAMES = [(10 + k, name) for k, name in enumerate(S.LIDAR_CLASSES)] + [(250 + k, f"moving-{name}") for k, name in enumerate(S.LIDAR_CLASSES[::2])] + [(0, "unlabeled"), (99, "other-object")]
 RAW = "((l_partkey % 300) + (l_suppkey << 16))"
-_lidar = "CASE l_partkey % 300 " + " ".join(f"WHEN {i} THEN {S.LIDAR_CLASSES.index(n.replace('moving-', '')) + 1}" for i, n in LIDAR_NAMES if n.replace("moving-", "") in S.LIDAR_CLASSES) + " ELSE 0 END"
+#: Raw labels and what becomes of them, typed in by hand: nothing here is taken from the library's tables.
+_lidar = """CASE l_partkey % 300 WHEN 40 THEN 1 WHEN 48 THEN 2 WHEN 44 THEN 3 WHEN 49 THEN 4 WHEN 50 THEN 5 WHEN 10 THEN 6 WHEN 252 THEN 6 WHEN 18 THEN 7 WHEN 258 THEN 7
+ WHEN 11 THEN 8 WHEN 15 THEN 9 WHEN 20 THEN 10 WHEN 259 THEN 10 WHEN 70 THEN 11 WHEN 71 THEN 12 WHEN 72 THEN 13 WHEN 30 THEN 14 WHEN 254 THEN 14
+ WHEN 31 THEN 15 WHEN 253 THEN 15 WHEN 32 THEN 16 WHEN 255 THEN 16 WHEN 51 THEN 17 WHEN 80 THEN 18 WHEN 81 THEN 19 ELSE 0 END"""
 
 
 @query("r2_remap_lidar_labels", f"SELECT {RAW} AS raw, {_lidar} AS label FROM lineitem")
 def r2(spark, d):
     raw = table(spark, d, "lineitem").select((F.col("l_partkey") % 300 + F.shiftleft("l_suppkey", 16)).alias("raw")).withColumn("label", F.col("raw"))
-    return S.remap_lidar_labels(raw, spark.createDataFrame(LIDAR_NAMES, "id long, name string")).select("raw", "label")
+    return S.remap_lidar_labels(raw, lidar_names(spark)).select("raw", "label")
+
+
+@query("r1_remap_scene_labels", f"SELECT l_orderkey AS row_id, coalesce(position, 0) AS label FROM lineitem LEFT JOIN (VALUES (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7), (8, 8), (9, 9), (10, 10), (11, 11), (12, 12), (14, 13), (16, 14), (24, 15), (28, 16), (33, 17), (34, 18), (36, 19), (39, 20)) AS c(id, position) ON id = l_partkey % 45")
+def r1b(spark, d):
+    raw = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row_id"), (F.col("l_partkey") % 45).cast("int").alias("label"))
+    return S.remap_labels(raw, scene_classes(spark)).select("row_id", "label")
+
+
+_shifts = "(VALUES (0, 'Aero', 0), (1, 'Bag', 4), (2, 'Cap', 6), (3, 'Car', 8), (4, 'Chair', 12), (5, 'EarPhone', 16), (6, 'Guitar', 19), (7, 'Knife', 22), (8, 'Lamp', 24), (9, 'Laptop', 28), (10, 'Motor', 30), (11, 'Mug', 36), (12, 'Pistol', 38), (13, 'Rocket', 41), (14, 'Skate', 44), (15, 'Table', 47)) AS s(n, category, shift)"
+
+
+@query("r3_shift_shape_parts", f"SELECT l_orderkey AS row_id, category, l_suppkey - shift AS label FROM lineitem JOIN {_shifts} ON n = l_partkey % 16")
+def r3b(spark, d):
+    names = F.get(F.array(*[F.lit(n) for n in PARTS]), (F.col("l_partkey") % 16).cast("int"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row_id"), names.alias("category"), F.col("l_suppkey").alias("label"))
+    return S.shift_part_labels(rows, part_offsets(spark)).select("row_id", "category", "label")
 
 
 @query("r3_shift_part_labels", f"SELECT cloud_id AS category, point_id, label + 40 - cloud_id * 5 AS label FROM {CLOUD_L}")
@@ -172,14 +190,15 @@ def r10(spark, d):
     return L.sequence_split(files(spark, d).select("name", (F.col("doc_id") % 22).alias("sequence")), sequences)
 
 
-_lists = f"(SELECT CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS list, doc_id AS position, 'data/' || category || '_/' || name AS line, category || '_/' AS path FROM {FILES})"
+_lists = f"(SELECT CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS list, doc_id AS position, category, category || '/' || name AS line FROM {FILES})"
 
 
-@query("r11_category_filelists", f"SELECT CASE WHEN list = 'test' THEN 'test' ELSE 'train_val' END AS list, path AS category, CASE list WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS part, position, substr(line, 6) || ' ' || replace(replace(path, 'src', ''), '_/', '') AS line FROM {_lists} WHERE path IN ('src1_/', 'src5_/')")
+@query("r11_category_filelists", f"SELECT CASE WHEN list = 'test' THEN 'test' ELSE 'train_val' END AS list, category, CASE list WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS part, position, line || ' ' || (dense_rank() OVER (ORDER BY category) - 1) AS line FROM {_lists} WHERE category IS NOT NULL")
 def r11(spark, d):
     i = F.col("doc_id")
-    lines = files(spark, d).select(F.when(i % 3 == 0, "train").when(i % 3 == 1, "val").otherwise("test").alias("list"), i.alias("position"), F.concat(F.lit("data/"), "category", F.lit("_/"), "name").alias("line"))
-    return L.category_filelists(lines, spark.createDataFrame([("src1_/", 1), ("src5_/", 5)], "category string, category_id int"))
+    f = files(spark, d)
+    lines = f.select(F.when(i % 3 == 0, "train").when(i % 3 == 1, "val").otherwise("test").alias("list"), i.alias("position"), F.concat(F.lit("data/"), "category", F.lit("/"), "name").alias("line"))
+    return L.category_filelists(lines, L.class_index(f.where("category is not null")).select("category", "category_id").distinct())
 
 
 @query("j11_match_listings", f"SELECT category, name FROM {FILES} WHERE name IN (SELECT name FROM {PARTNERS})")
@@ -205,7 +224,7 @@ def r13(spark, d):
 @query("a8_take", f"SELECT name FROM {FILES} ORDER BY name LIMIT (SELECT ceil(count(*) * 0.3::DOUBLE)::BIGINT FROM documents)")
 def a8(spark, d):
     f = files(spark, d)
-    return L.take(f, f.count(), 0.3, "name").select("name")
+    return L.take(f, f.count(), 0.3, "name", F.substring("name", 1, 6)).select("name")
 
 
 @query("a9_assign_batches", "SELECT c AS cloud_id, (rk // 3)::BIGINT AS batch, (rk % 3)::INT AS batch_idx FROM (SELECT *, row_number() OVER (ORDER BY md5('7:' || c), c) - 1 AS rk FROM (SELECT DISTINCT label::BIGINT AS c FROM embeddings))")

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,19 +11,13 @@ from voxmill.jobs import scenes_jobs, workloads
 from voxmill.jobs.octree_jobs import neigh_sql, uniform_sql
 from voxmill.jobs.points_jobs import alignments
 from voxmill.jobs.registry import query, r, rounded
-from voxmill.jobs.tables import CLIPPED, CLOUD_E, CLOUD_L, DEPTH, FULL, cloud_e, cloud_l, clipped, feat, table
+from voxmill.jobs.tables import CLOUD_E, CLOUD_L, DEPTH, FULL, INSIDE, cloud_e, cloud_l, clipped, feat, folder, keyed_sql, table
 from voxmill.operators import augment as A
 from voxmill.operators import octree as O
 from voxmill.operators import points as P
 from voxmill.sources import files as S
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="voxmill-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 # ---------------------------------------------------------------- augmentation
 
 EPOCH, SEED = 3, 17
@@ -58,15 +48,18 @@ _flip = [f"CASE WHEN f{c} THEN -{n} ELSE {n} END AS {n}" for c in "xyz" for n in
 _m = [["cy * cz", "cy * sz", "-sy"], ["(sx_ * sy * cz - cx * sz)", "(sx_ * sy * sz + cx * cz)", "sx_ * cy"], ["(cx * sy * cz + sx_ * sz)", "(cx * sy * sz - sx_ * cz)", "cx * cy"]]
 _trig = "sin(ax) AS sx_, cos(ax) AS cx, sin(ay) AS sy, cos(ay) AS cy, sin(az) AS sz, cos(az) AS cz"
 _turn = [" + ".join(f"{n} * {_m[i][j]}" for i, n in enumerate(names)) + f" AS {names[j]}" for names in (("x", "y", "z"), ("nx", "ny", "nz")) for j in range(3)]
-_p = params_sql(False)
-_p2 = f"(SELECT cloud_id, ax, ay, az, sx AS kx, sy AS ky, sz AS kz, tx, ty, tz, fx, fy, fz FROM {_p})"
-_s1 = f"(SELECT cloud_id, point_id, {', '.join(_flip)}, {_trig}, kx, ky, kz, tx, ty, tz FROM {CLOUD_L} JOIN {_p2} USING (cloud_id))"
-_s2 = f"(SELECT cloud_id, point_id, {', '.join(_turn)}, kx, ky, kz, tx, ty, tz FROM {_s1})"
 _thin = "greatest(sqrt((nx/kx)*(nx/kx) + (ny/ky)*(ny/ky) + (nz/kz)*(nz/kz)), 1e-12)"
-_s3 = f"(SELECT cloud_id, point_id, {', '.join(f'({c} + t{c}) * k{c} AS {c}' for c in 'xyz')}, {', '.join(f'n{c} / k{c} / {_thin} AS n{c}' for c in 'xyz')} FROM {_s2})"
 
 
-@query("a2_augment", f"SELECT cloud_id, point_id, {r('x', 'y', 'z', 'nx', 'ny', 'nz')} FROM {_s3} WHERE x > -0.99 AND x < 0.99 AND y > -0.99 AND y < 0.99 AND z > -0.99 AND z < 0.99")
+def augmented_sql(source: str, p: str) -> str:
+    """Points flipped, turned, moved and scaled by the parameters p."""
+    p2 = f"(SELECT cloud_id, ax, ay, az, sx AS kx, sy AS ky, sz AS kz, tx, ty, tz, fx, fy, fz FROM {p})"
+    s1 = f"(SELECT cloud_id, point_id, {', '.join(_flip)}, {_trig}, kx, ky, kz, tx, ty, tz FROM {source} JOIN {p2} USING (cloud_id))"
+    s2 = f"(SELECT cloud_id, point_id, {', '.join(_turn)}, kx, ky, kz, tx, ty, tz FROM {s1})"
+    return f"(SELECT cloud_id, point_id, {', '.join(f'({c} + t{c}) * k{c} AS {c}' for c in 'xyz')}, {', '.join(f'n{c} / k{c} / {_thin} AS n{c}' for c in 'xyz')} FROM {s2})"
+
+
+@query("a2_augment", f"SELECT cloud_id, point_id, {r('x', 'y', 'z', 'nx', 'ny', 'nz')} FROM {augmented_sql(CLOUD_L, params_sql(False))} WHERE {INSIDE}")
 def a2(spark, d):
     return A.augment(cloud_l(spark, d), params(spark, d, False)).select("cloud_id", "point_id", *[rounded(c) for c in ("x", "y", "z", "nx", "ny", "nz")])
 
@@ -152,28 +145,11 @@ def w4(spark, d):
 
 # ---------------------------------------------------------------- sources
 
-def packed(spark, d, kind: str) -> DataFrame:
-    """Cloud L as files (path, content) of up to some hundred points each, made from the table's rows."""
-    rows = cloud_l(spark, d).select("cloud_id", F.pmod(F.xxhash64("point_id"), F.lit(64)).alias("piece"), "x", "y", "z", "nx", "ny", "nz", F.col("label").cast("double").alias("label"))
-
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        path = f"/scans/velodyne/{part['cloud_id'].iloc[0]}_{part['piece'].iloc[0]}"
-        xyz, normal, label = (part[list(c)].to_numpy() for c in (("x", "y", "z"), ("nx", "ny", "nz"), ("label",)))
-        if kind == "npz":
-            out = io.BytesIO()
-            np.savez(out, points=xyz, normals=normal, labels=label.astype(np.int32))
-            content = out.getvalue()
-        elif kind == "ply":
-            head = "ply\nformat binary_little_endian 1.0\nelement vertex %d\n" % len(part) + "".join(f"property double {n}\n" for n in ("x", "y", "z", "nx", "ny", "nz", "label")) + "end_header\n"
-            content = head.encode() + np.concatenate([xyz, normal, label], 1).astype("<f8").tobytes()
-        else:
-            content = np.concatenate([np.round(xyz * 64) / 64, label], 1).astype("<f4").tobytes()
-        files = [(f"{path}.{kind}", content)]
-        if kind == "bin" and part["piece"].iloc[0] % 2:
-            files.append((f"{path.replace('velodyne', 'labels')}.label", label.astype("<u4").tobytes()))
-        return pd.DataFrame(files, columns=["path", "content"])
-
-    return rows.groupBy("cloud_id", "piece").applyInPandas(pack, "path string, content binary")
+def stored(spark, d, form: str) -> DataFrame:
+    """Cloud L written as files of that form and read back as (path, content)."""
+    path = folder(spark)
+    S.save_files(S.packed_clouds(cloud_l(spark, d), form, "PNL", rows=8_192), path)
+    return S.binary_files(spark, path)
 
 
 READ = f"SELECT {r('x', 'y', 'z', 'nx', 'ny', 'nz')}, label FROM {CLOUD_L}"
@@ -185,24 +161,41 @@ def read_back(df: DataFrame) -> DataFrame:
 
 @query("s1_read_points_npz", READ)
 def s1(spark, d):
-    return read_back(S.read_points_npz(packed(spark, d, "npz"), color=False))
+    return read_back(S.read_points_npz(stored(spark, d, "npz"), color=False))
 
 
 @query("s2_read_points_ply", READ)
 def s2(spark, d):
-    return read_back(S.read_points_ply(packed(spark, d, "ply"), color=False))
+    return read_back(S.read_points_ply(stored(spark, d, "ply"), color=False))
 
 
 @query("s3_read_points", f"{READ} UNION ALL {READ}")
 def s3(spark, d):
-    return read_back(S.read_points(packed(spark, d, "npz").union(packed(spark, d, "ply")), color=False))
+    return read_back(S.read_points(stored(spark, d, "npz").union(stored(spark, d, "ply")), color=False))
+
+
+def sweeps(spark, d) -> DataFrame:
+    """Cloud L as driving sweeps (path, content): a file for each cloud and 64th of its ids; every second one has labels."""
+    rows = cloud_l(spark, d).select("cloud_id", (F.col("point_id") % 64).alias("piece"), "point_id", *[(F.floor(F.col(c) * 64) / 64).alias(c) for c in "xyz"], "label")
+
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("point_id")
+        name = f"{key[0]}_{key[1]}"
+        files = [(f"velodyne/{name}.bin", part[["x", "y", "z", "label"]].to_numpy("<f4").tobytes())]
+        if key[1] % 2:
+            files.append((f"labels/{name}.label", part["label"].to_numpy("<u4").tobytes()))
+        return pd.DataFrame(files, columns=["path", "content"])
+
+    return rows.groupBy("cloud_id", "piece").applyInPandas(pack, "path string, content binary")
 
 
-@query("s4_read_lidar")
+@query("s4_read_lidar", f"SELECT cloud_id || '_' || piece || '.bin' AS name, row_number() OVER (PARTITION BY cloud_id, piece ORDER BY point_id) - 1 AS point_id, {', '.join(f'floor({c} * 64) / 64 AS {c}' for c in 'xyz')}, label::DOUBLE AS intensity, CASE WHEN piece % 2 = 1 THEN label ELSE 0 END AS label FROM (SELECT *, point_id % 64 AS piece FROM {CLOUD_L})")
 def s4(spark, d):
-    files = packed(spark, d, "bin")
+    path = folder(spark)
+    S.save_files(sweeps(spark, d), path)
+    files = S.binary_files(spark, path)
     found = S.read_lidar(files.where(F.col("path").endswith(".bin")), files.where(F.col("path").endswith(".label")))
-    return found.select("path", "point_id", "x", "y", "z", "intensity", "label")
+    return found.select(F.substring_index("path", "/", -1).alias("name"), "point_id", "x", "y", "z", "intensity", "label")
 
 
 @query("s5_read_points_txt", READ.replace("round((x)", "round(round((x)::DOUBLE, 6)"))
@@ -217,12 +210,16 @@ def s6(spark, d):
     v = scenes_jobs.vertices(spark, d).select("mesh_id", "vid", *"xyz")
     both = v.groupBy("mesh_id").agg(F.sort_array(F.collect_list(F.struct("vid", *"xyz"))).alias("v"))
 
-    def off(mesh: int, rows: list) -> bytes:
+    def mesh(number: int, rows: list) -> bytes:
         n = len(rows)
-        lines = [f"OFF{n} {max(n - 2, 0)} 0"] + [f"{p['x']!r} {p['y']!r} {p['z']!r}" for p in rows] + [f"3 {k} {k + 1} {k + 2}" for k in range(n - 2)]
-        return "\n".join(lines).encode()
+        faces = [f"3 {k} {k + 1} {k + 2}" for k in range(n - 2)]
+        head = [f"OFF{n} {len(faces)} 0"] if number % 2 else ["ply", "format ascii 1.0", f"element vertex {n}", *[f"property double {c}" for c in "xyz"], f"element face {len(faces)}", "property list uchar int vertex_indices", "end_header"]
+        return "\n".join(head + [f"{p['x']!r} {p['y']!r} {p['z']!r}" for p in rows] + faces).encode()
 
-    files = both.select(F.concat(F.lit("/m/"), F.col("mesh_id").cast("string"), F.lit(".off")).alias("path"), F.udf(off, "binary", useArrow=False)("mesh_id", "v").alias("content"))
+    name = F.concat(F.col("mesh_id").cast("string"), F.when(F.col("mesh_id") % 2 == 1, ".off").otherwise(".ply"))
+    path = folder(spark)
+    S.save_files(both.select(name.alias("path"), F.udf(mesh, "binary", useArrow=False)("mesh_id", "v").alias("content")), path)
+    files = S.binary_files(spark, path)
     vertices, faces = S.read_mesh(files)
     return faces.join(vertices.withColumnRenamed("vid", "v0"), ["path", "v0"]).select("fid", *[rounded(c) for c in "xyz"])
 
@@ -237,9 +234,13 @@ def s7(spark, d):
 @query("s8_read_segmentation_json", "SELECT user_id, count(*) AS n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS segments FROM events GROUP BY user_id")
 def s8(spark, d):
     path = folder(spark)
-    rows = table(spark, d, "events").select("user_id", F.get_json_object("props", "$.k").alias("k"), "event_id").groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "k"))), lambda v: v["k"]), ",").alias("k"))
-    rows.select("user_id", F.concat(F.lit('{"segIndices": ['), "k", F.lit("]}")).alias("value")).repartition("user_id").write.partitionBy("user_id").text(path)
-    found = S.read_segments(spark, f"{path}/*/*.txt").withColumn("user_id", F.regexp_extract("path", r"user_id=(\d+)", 1).cast("long"))
+    # a scene's segments in files of about 4096 events each, so that no scene is one row
+    events = table(spark, d, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").alias("k"))
+    pieces = events.groupBy("user_id").agg(F.ceil(F.count("*") / 4096).alias("pieces"))
+    rows = events.join(pieces, "user_id").withColumn("piece", F.pmod(F.xxhash64("event_id"), F.col("pieces")))
+    rows = rows.groupBy("user_id", "piece").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "k"))), lambda v: v["k"]), ",").alias("k"))
+    rows.select("user_id", F.concat(F.lit('{"segIndices": ['), "k", F.lit("]}")).alias("value"), "piece").repartition("user_id", "piece").write.partitionBy("user_id", "piece").text(path)
+    found = S.read_segments(spark, f"{path}/*/*/*.txt").withColumn("user_id", F.regexp_extract("path", r"user_id=(\d+)", 1).cast("long"))
     return found.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("segment").alias("segments"))
 
 
@@ -258,6 +259,16 @@ def s10(spark, d):
     return back.select(*[rounded(c) for c in ("x", "y", "z", "f0", "f1")], "label", "cloud_id")
 
 
+for _form in ("npz", "ply"):
+    query(f"s10_write_points_{_form}", READ)(lambda spark, d, form=_form: s10_files(spark, d, form))
+
+
+def s10_files(spark, d, form: str) -> DataFrame:
+    path = folder(spark)
+    S.write_points(cloud_l(spark, d), path, "PNL", form=form)
+    return read_back(S.read_points(S.binary_files(spark, path), color=False))
+
+
 @query("s11_write_clouds", f"SELECT cloud_id, count(*) AS n, {r('sum(x) AS sx')} FROM {CLOUD_L} GROUP BY cloud_id")
 def s11(spark, d):
     path = folder(spark)
@@ -267,19 +278,22 @@ def s11(spark, d):
 
 # ---------------------------------------------------------------- hooks and workloads
 
-@query("u1_preprocess_hook")
+_scaled = f"(SELECT cloud_id, point_id, {', '.join(f'{c} * 0.9::DOUBLE AS {c}' for c in 'xyz')}, nx, ny, nz FROM {CLOUD_L})"
+
+
+@query("u1_preprocess_hook", f"SELECT cloud_id, key, count(*) AS npt, {r(*[f'avg(p{c}) AS p{c}' for c in 'xyz'])} FROM {keyed_sql(DEPTH, f'(SELECT * FROM {augmented_sql(_scaled, params_sql())} WHERE {INSIDE})')} GROUP BY cloud_id, key")
 def u1(spark, d):
     """preprocess -> augment -> build with a user's own preprocess step."""
     made = workloads.transform(cloud_l(spark, d), lambda p: P.scale(p, (0.9, 0.9, 0.9)), params(spark, d), DEPTH, 2)
     return made.select("cloud_id", "key", "npt", rounded("px"), rounded("py"), rounded("pz"))
 
 
-@query("u2_read_hook")
+@query("u2_read_hook", READ)
 def u2(spark, d):
     """A reader registered for a suffix of its own."""
     S.READERS["pts"] = lambda files, **flags: S.read_points_npz(files.withColumn("path", F.regexp_replace("path", "pts$", "npz")), **flags)
     try:
-        files = packed(spark, d, "npz").withColumn("path", F.regexp_replace("path", "npz$", "pts"))
+        files = stored(spark, d, "npz").withColumn("path", F.regexp_replace("path", "npz$", "pts"))
         return read_back(S.read_points(files, color=False))
     finally:
         del S.READERS["pts"]

@@ -122,12 +122,13 @@ def elastic_distort(points: DataFrame, granularity: float, magnitude: float, see
     return out.withColumns({c: F.col(c) + F.coalesce(f"d{c}", F.lit(0.0)) for c in "xyz"}).select(*points.columns)
 
 
-def resample_with_noise(points: DataFrame, n: int, std: float, seed: int, slots: int = 64) -> DataFrame:
+def resample_with_noise(points: DataFrame, n: int, std: float, seed: int, slots: int | None = None) -> DataFrame:
     """n draws with replacement from each cloud plus Gaussian noise: (cloud_id, draw, point_id, x, y, z).
 
     Points are ranked within hash slots of the cloud, and a draw's rank is looked up by slot, so that a huge cloud is
-    ranked by many tasks.
+    ranked by many tasks. By default there are 64 slots and one more for each 65,536 points.
     """
+    slots = slots or 64 + points.count() // 65_536
     slotted = points.withColumn("slot", F.pmod(F.col("point_id"), F.lit(slots)))
     counts = slotted.groupBy("cloud_id", "slot").agg(F.count("*").alias("n"))
     w = Window.partitionBy("cloud_id").orderBy("slot")

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from voxmill.functions.keys import norm, uniform
 
-#: Faces in a block of the running areas, and slots in the look-up from area to face.
+#: Faces in a block of the running areas.
 FACES = 4096
 
 
@@ -45,27 +45,28 @@ def vertex_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def running_area(areas: DataFrame) -> DataFrame:
-    """(mesh_id, fid, area) plus ``low``, ``high`` (the running sum before and after) and ``total``, in id order."""
+    """(mesh_id, fid, area) plus ``low``, ``high`` (the running sum before and after), ``total`` and ``n_faces``, in id order."""
     blocked = areas.withColumn("block", F.expr(f"fid div {FACES}"))
-    sums = blocked.groupBy("mesh_id", "block").agg(F.sum("area").alias("block_area"))
+    sums = blocked.groupBy("mesh_id", "block").agg(F.sum("area").alias("block_area"), F.count("*").alias("block_faces"))
     whole = Window.partitionBy("mesh_id")
     before = F.coalesce(F.sum("block_area").over(whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    starts = sums.select("mesh_id", "block", before.alias("start"), F.sum("block_area").over(whole).alias("total"))
+    starts = sums.select("mesh_id", "block", before.alias("start"), F.sum("block_area").over(whole).alias("total"), F.sum("block_faces").over(whole).alias("n_faces"))
     within = F.sum("area").over(Window.partitionBy("mesh_id", "block").orderBy("fid").rowsBetween(Window.unboundedPreceding, 0))
     ranked = blocked.withColumn("within", within).join(starts, ["mesh_id", "block"])
     return ranked.withColumn("high", F.col("start") + F.col("within")).withColumn("low", F.col("high") - F.col("area")).drop("block", "within", "start")
 
 
-def pick_faces(draws: DataFrame, areas: DataFrame, slots: int = FACES) -> DataFrame:
+def pick_faces(draws: DataFrame, areas: DataFrame) -> DataFrame:
     """Draws (mesh_id, point_id, u) with the face whose stretch of the running area holds u * total.
 
-    An as-of join made an equi-join: the area axis of each mesh is cut into slots, a face is listed in
-    the slots it reaches, and a draw looks into its own.
+    An as-of join made an equi-join: the area axis of each mesh is cut into as many slots as it has faces, a face is listed in
+    the slots it reaches (in all, less than twice as many rows as faces), and a draw looks into its own.
     """
     run = running_area(areas)
-    slot = lambda v: F.least(F.floor(v / F.col("total") * slots), F.lit(slots - 1)).cast("long")
+    sizes = areas.groupBy("mesh_id").agg(F.count("*").alias("n_faces"))
+    slot = lambda v: F.least(F.floor(v / F.col("total") * F.col("n_faces")), F.col("n_faces") - 1).cast("long")
     listed = run.select("mesh_id", "fid", "low", "high", "total", F.explode(F.sequence(slot(F.col("low")), slot(F.col("high")))).alias("slot"))
-    asked = draws.withColumn("slot", F.floor(F.col("u") * slots).cast("long"))
+    asked = draws.join(sizes, "mesh_id").withColumn("slot", F.floor(F.col("u") * F.col("n_faces")).cast("long"))
     met = asked.join(listed, ["mesh_id", "slot"]).where((F.col("u") * F.col("total") >= F.col("low")) & (F.col("u") * F.col("total") < F.col("high")))
     return met.groupBy("mesh_id", "point_id").agg(F.min("fid").alias("fid"))
 

@@ -72,7 +72,7 @@ def merge_chunks(pred: DataFrame, chunks: DataFrame, channels: int) -> DataFrame
 
 def decode_labels(pred: DataFrame, classes: DataFrame) -> DataFrame:
     """The original label id of the most probable class; ``classes`` (index, class_id) is a class list."""
-    return pred.withColumn("index", argmax(F.col("prob"))).join(F.broadcast(classes), "index", "left")
+    return pred.withColumn("index", argmax(F.col("prob"))).join(classes, "index", "left")
 
 
 def part_miou(pred: DataFrame, mask: int, classes: int) -> DataFrame:
@@ -89,7 +89,7 @@ def scene_iou(pred: DataFrame, class_ids: DataFrame) -> DataFrame:
     A scene's score is its accuracy, a class's its IoU (zero if absent); then the unweighted means
     (both null: accuracy as ``mean_accuracy``, IoU as ``mean_iou``).
     """
-    valid = pred.join(F.broadcast(class_ids.withColumnRenamed("class_id", "label")), "label", "left_semi")
+    valid = pred.join(class_ids.withColumnRenamed("class_id", "label"), "label", "left_semi")
     cells = valid.groupBy("cloud_id", "pred", "label").agg(F.count("*").alias("n"))
     scenes = cells.groupBy("cloud_id").agg((F.sum(F.when(F.col("pred") == F.col("label"), F.col("n")).otherwise(0)) / F.sum("n")).alias("score"))
     sides = cells.select("pred", "label", "n", F.explode(F.array_distinct(F.array("pred", "label"))).alias("class_id"))

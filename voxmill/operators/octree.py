@@ -184,6 +184,12 @@ def input_feature(leaves: DataFrame, depth: int, which: str) -> DataFrame:
     return leaves.select("cloud_id", F.lit(depth).alias("depth"), "key", F.concat(*parts).alias("data"))
 
 
+def range_grid(rows: DataFrame, low: int, high: int) -> DataFrame:
+    """``rows``, each with all integer points x, y, z of the closed cube [low, high]^3."""
+    side = F.sequence(F.lit(low).cast("long"), F.lit(high).cast("long"))
+    return rows.withColumn("x", F.explode(side)).withColumn("y", F.explode(side)).withColumn("z", F.explode(side))
+
+
 def kernel_offsets(kernel: str = "333") -> list[int]:
     """Which of the 27 neighbours (k = 9 (dx+1) + 3 (dy+1) + dz+1) a kernel takes, in its order."""
     ranges = [{"1": (1,), "2": (1, 2), "3": (0, 1, 2)}[c] for c in kernel]

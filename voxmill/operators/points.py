@@ -11,9 +11,9 @@ from math import cos, sin
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from voxmill.functions.keys import normalized
+from voxmill.functions.ranks import ranked
 
 XYZ, NORMAL = ("x", "y", "z"), ("nx", "ny", "nz")
 
@@ -170,7 +170,8 @@ def merge_points(parts: list[DataFrame]) -> DataFrame:
     for k, p in enumerate(parts[1:], 1):
         both = both.unionByName(p.withColumn("part", F.lit(k)), allowMissingColumns=True)
     clouds = both.groupBy("part", "cloud_id").agg(F.count("*").alias("n_points"))
-    numbered = clouds.withColumn("batch_id", F.row_number().over(Window.orderBy("part", "cloud_id")) - 1)
+    block = F.struct("part", F.floor(F.col("cloud_id") / 4096))
+    numbered = ranked(clouds, block, [F.col("part"), F.col("cloud_id")], name="batch_id")
     return both.join(numbered, ["part", "cloud_id"]).drop("part")
 
 

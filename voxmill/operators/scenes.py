@@ -1,4 +1,4 @@
-"""Scenes: overlapping chunks and label tables. Class lists and label tables are small and fixed by the data set."""
+"""Scenes: overlapping chunks and label tables. Class lists and label tables are joined without a hint: Spark broadcasts those whose size allows it."""
 
 from __future__ import annotations
 
@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxmill.functions.classes import LIDAR_CLASSES
 from voxmill.operators.points import bbox
 
-#: The classes of driving scenes that are kept, in the order of their new labels 1..19.
-LIDAR_CLASSES = ("car", "bicycle", "motorcycle", "truck", "other-vehicle", "person", "bicyclist", "motorcyclist", "road", "parking", "sidewalk", "other-ground", "building", "fence", "vegetation", "trunk", "terrain", "pole", "traffic-sign")
-
 
 def assign_chunks(points: DataFrame, crop: float, stride: float, least: int) -> DataFrame:
     """(cloud_id, point_id, chunk_id): which overlapping boxes hold each point.
@@ -38,21 +36,21 @@ def assign_chunks(points: DataFrame, crop: float, stride: float, least: int) ->
 
 def remap_labels(df: DataFrame, class_ids: DataFrame, name: str = "label") -> DataFrame:
     """Labels to their index in ``class_ids`` (class_id, index), others to 0."""
-    table = F.broadcast(class_ids.withColumnRenamed("class_id", name))
+    table = class_ids.withColumnRenamed("class_id", name)
     return df.join(table, name, "left").withColumn(name, F.coalesce("index", F.lit(0))).drop("index")
 
 
 def remap_lidar_labels(df: DataFrame, names: DataFrame) -> DataFrame:
     """The low 16 bits of ``label``, looked up in ``names`` (id, name), ``moving-`` taken off, to 1..19 or 0."""
     known = F.array_position(F.array(*[F.lit(c) for c in LIDAR_CLASSES]), F.regexp_replace("name", "moving-", ""))
-    table = F.broadcast(names.select(F.col("id").alias("__id"), known.cast("int").alias("__new")))
+    table = names.select(F.col("id").alias("__id"), known.cast("int").alias("__new"))
     low = F.col("label").cast("long").bitwiseAND(F.lit(0xFFFF).cast("long"))
     return df.join(table, low == F.col("__id"), "left").withColumn("label", F.coalesce("__new", F.lit(0))).drop("__id", "__new")
 
 
 def shift_part_labels(df: DataFrame, offsets: DataFrame) -> DataFrame:
     """Labels minus their category's offset (category, shift)."""
-    return df.join(F.broadcast(offsets), "category").withColumn("label", F.col("label") - F.col("shift")).drop("shift")
+    return df.join(offsets, "category").withColumn("label", F.col("label") - F.col("shift")).drop("shift")
 
 
 def segment_labels(segments: DataFrame, groups: DataFrame, names: DataFrame, class_ids: DataFrame) -> DataFrame:
@@ -64,8 +62,8 @@ def segment_labels(segments: DataFrame, groups: DataFrame, names: DataFrame, cla
     """
     first = names.groupBy("raw_category").agg(F.min_by("id", "row").alias("id"))
     listed = class_ids.select(F.col("class_id").alias("id"), F.lit(True).alias("__known"))
-    codes = first.join(F.broadcast(listed), "id", "left").select(F.col("raw_category").alias("label"), F.when(F.col("__known"), F.col("id")).otherwise(0).alias("code"))
-    marks = groups.select("scene", "position", "label", F.explode("segments").alias("segment")).join(F.broadcast(codes), "label", "left")
+    codes = first.join(listed, "id", "left").select(F.col("raw_category").alias("label"), F.when(F.col("__known"), F.col("id")).otherwise(0).alias("code"))
+    marks = groups.select("scene", "position", "label", F.explode("segments").alias("segment")).join(codes, "label", "left")
     last = marks.groupBy("scene", "segment").agg(F.max_by(F.coalesce("code", F.lit(0)), "position").alias("code"))
     return segments.join(last, ["scene", "segment"], "left").select("scene", "point_id", "segment", F.coalesce("code", F.lit(0)).alias("label"))
 

@@ -4,21 +4,35 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxmill.functions.ranks import ranked
 
-def take(files: DataFrame, total: int, ratio: float, order: str = "position") -> DataFrame:
-    """The first ceil(total * ratio) files of a list."""
-    return files.orderBy(order).limit(ceil(total * ratio))
+
+#: Rows of a list that are ordered in one task, where positions say where to cut.
+PIECE = 4096
+
+
+def take(files: DataFrame, total: int, ratio: float, order: str = "position", block: Column | None = None) -> DataFrame:
+    """The first ceil(total * ratio) files of a list, ordered by its distinct values of ``order``.
+
+    ``block`` cuts the list into pieces along ``order`` (see ``ranked``): by default PIECE positions each.
+    """
+    block = F.floor(F.col(order) / PIECE) if block is None else block
+    return ranked(files, block, [F.col(order)], name="__rank").where(F.col("__rank") < ceil(total * ratio)).drop("__rank")
 
 
 def assign_batches(clouds: DataFrame, size: int, seed: int | None = None) -> DataFrame:
     """``batch`` and ``batch_idx`` of each cloud, in list order (``position``) or in a seeded order."""
-    order = [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cloud_id").cast("string"))), F.col("cloud_id")] if seed is not None else [F.col("position")]
-    rank = F.row_number().over(Window.orderBy(*order)) - 1
-    return clouds.withColumn("rank", rank).withColumn("batch", F.floor(F.col("rank") / size).cast("long")).withColumn("batch_idx", F.col("rank") % size).drop("rank")
+    if seed is None:
+        block, order = F.floor(F.col("position") / PIECE), [F.col("position")]
+    else:
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cloud_id").cast("string")))
+        block, order = F.substring(digest, 1, 4), [digest, F.col("cloud_id")]
+    placed = ranked(clouds, block, order, name="__rank")
+    return placed.select(*clouds.columns, F.floor(F.col("__rank") / size).cast("long").alias("batch"), (F.col("__rank") % size).cast("int").alias("batch_idx"))
 
 
 def class_index(files: DataFrame) -> DataFrame:
@@ -37,19 +51,22 @@ def ratio_split(files: DataFrame, ratios: list[float]) -> DataFrame:
 
 def sequence_split(files: DataFrame, sequences: DataFrame) -> DataFrame:
     """Files by the split of their sequence (sequence, split); train_val is both of train and val."""
-    told = files.join(F.broadcast(sequences), "sequence")
+    told = files.join(sequences, "sequence")
     both = told.where(F.col("split").isin("train", "val")).withColumn("split", F.lit("train_val"))
     return told.unionByName(both)
 
 
 def category_filelists(lines: DataFrame, categories: DataFrame) -> DataFrame:
-    """Lines (list, position, line) that contain a category's path (category, category_id), train before val.
+    """Lines (list, position, line) that have a category (category, category_id) as a part of their path, train before val.
 
-    ``line`` is cut to what follows the path and gets the category's index.
+    ``line`` is cut to begin with that part and gets the category's index. Lines are met by equal parts, never compared with
+    every category; a line with a part twice counts once, from its first place.
     """
     rank = F.when(F.col("list") == "train", 0).when(F.col("list") == "val", 1).otherwise(2)
-    met = lines.join(F.broadcast(categories), F.col("line").contains(F.col("category")))
-    cut = F.expr("substring(line, instr(line, category))")
+    parts = F.split("line", "/")
+    named = lines.select("*", F.explode(F.array_distinct(parts)).alias("category"))
+    met = named.join(categories, "category")
+    cut = F.array_join(F.expr("slice(split(line, '/'), array_position(split(line, '/'), category), size(split(line, '/')))"), "/")
     return met.select(F.when(F.col("list") == "test", "test").otherwise("train_val").alias("list"), "category", rank.alias("part"), "position", F.concat_ws(" ", cut, F.col("category_id").cast("string")).alias("line"))
 
 

@@ -1,38 +1,51 @@
 """Readers and writers of point clouds, meshes, labels and listings.
 
 Binary readers take a table of files (path, content), as Spark's ``binaryFile`` source gives it. Files are parsed one at
-a time by a small helper and exploded to rows at once; keep the results as Parquet.
+a time by a small helper, and their columns go on as Arrow batches of BATCH rows; keep the results as Parquet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.sources import parsers
 
 FIELDS = ("x", "y", "z", "nx", "ny", "nz", "r", "g", "b", "label")
-ROW = "array<struct<point_id bigint, " + ", ".join(f"{n} double" for n in FIELDS) + ">>"
+#: Rows of a file that are sent on at once.
+BATCH = 65_536
+#: Columns that are whole numbers; all others are doubles.
+WHOLE = {"label": ("int", np.int32), "code": ("bigint", np.int64), "v0": ("bigint", np.int64), "v1": ("bigint", np.int64), "v2": ("bigint", np.int64)}
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def _parsed(files: DataFrame, parse: Callable[[bytes], dict], names: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
-    """(path, point_id, names...) of each file's rows; columns the file lacks are null."""
-    kind = "array<struct<point_id bigint, " + ", ".join(f"{n} double" for n in fields) + ">>"
+def _parsed(files: DataFrame, parse: Callable[[str, bytes], dict], names: tuple[str, ...], row: str = "point_id") -> DataFrame:
+    """(path, row number, names...) of each file's rows; columns the file lacks are null."""
+    kinds = [WHOLE.get(n, ("double", np.float64)) for n in names]
+    schema = f"path string, {row} bigint, " + ", ".join(f"{n} {kind}" for n, (kind, _) in zip(names, kinds))
 
-    def rows(content: bytes | None) -> list[tuple]:
-        found = parse(bytes(content)) if content else {}
-        columns = [found[n].astype(float).tolist() if n in found else None for n in fields]
-        size = next((len(c) for c in columns if c is not None), 0)
-        return list(zip(range(size), *[c if c is not None else [None] * size for c in columns]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                data = content.as_py()
+                found = parse(path.as_py(), data) if data else {}
+                size = len(next((found[n] for n in names if n in found), ()))
+                for k in range(0, size, BATCH):
+                    n = min(BATCH, size - k)
+                    columns = [pa.array(np.asarray(found[c][k : k + n]).astype(kind)) if c in found else pa.nulls(n, pa.from_numpy_dtype(kind)) for c, (_, kind) in zip(names, kinds)]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(path.as_py(), n), pa.array(np.arange(k, k + n)), *columns], ["path", row, *names])
 
-    points = files.select("path", F.explode(F.udf(rows, kind, useArrow=False)("content")).alias("p")).select("path", "p.*")
-    return points.select("path", "point_id", *[F.col(n).cast("int").alias(n) if n == "label" else F.col(n) for n in names])
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def _wanted(normal: bool, color: bool, label: bool) -> tuple[str, ...]:
@@ -41,12 +54,12 @@ def _wanted(normal: bool, color: bool, label: bool) -> tuple[str, ...]:
 
 def read_points_npz(files: DataFrame, normal: bool = True, color: bool = True, label: bool = True) -> DataFrame:
     names = _wanted(normal, color, label)
-    return _parsed(files, parsers.npz_points, names, names)
+    return _parsed(files, lambda _, data: parsers.npz_points(data), names)
 
 
 def read_points_ply(files: DataFrame, normal: bool = True, color: bool = True, label: bool = True) -> DataFrame:
     names = _wanted(normal, color, label)
-    return _parsed(files, parsers.ply_points, names, names)
+    return _parsed(files, lambda _, data: parsers.ply_points(data), names)
 
 
 #: Readers by what follows the last dot of a path; users may add their own.
@@ -66,11 +79,11 @@ def read_points(files: DataFrame, **flags: bool) -> DataFrame:
 def read_lidar(scans: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(path, point_id, x, y, z, intensity, label) of LiDAR scans; label files lie beside them, zero where there is none."""
     fields = ("x", "y", "z", "intensity")
-    points = _parsed(scans, parsers.lidar_points, fields, fields)
+    points = _parsed(scans, lambda _, data: parsers.lidar_points(data), fields)
     if labels is None:
         return points.withColumn("label", F.lit(0).cast("long"))
-    codes = _parsed(labels, lambda data: {"code": parsers.np.frombuffer(data, "<u4").astype("f8")}, ("code",), ("code",))
-    codes = codes.select(F.col("path").alias("label_path"), "point_id", F.col("code").cast("long").alias("label"))
+    codes = _parsed(labels, lambda _, data: {"code": np.frombuffer(data, "<u4")}, ("code",))
+    codes = codes.select(F.col("path").alias("label_path"), "point_id", F.col("code").alias("label"))
     beside = F.regexp_replace(F.regexp_replace("path", "velodyne", "labels"), r"\.bin$", ".label")
     return points.withColumn("label_path", beside).join(codes, ["label_path", "point_id"], "left").select("path", "point_id", *fields, F.coalesce("label", F.lit(0).cast("long")).alias("label"))
 
@@ -82,15 +95,15 @@ def read_points_txt(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mesh(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices (path, vid, x, y, z) and triangles (path, fid, v0, v1, v2) of PLY and OFF files."""
+    """Vertices (path, vid, x, y, z) and triangles (path, fid, v0, v1, v2) of PLY and OFF files; polygons are cut into triangles."""
 
-    def mesh(path: str, content: bytes) -> tuple[list, list]:
-        vertices, faces = (parsers.ply_mesh if path.lower().endswith("ply") else parsers.off_mesh)(bytes(content))
-        return [(k, *v) for k, v in enumerate(vertices.tolist())], [(k, *f) for k, f in enumerate(faces.tolist())]
+    def mesh(path: str, content: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return (parsers.ply_mesh if path.lower().endswith("ply") else parsers.off_mesh)(content)
 
-    kind = "struct<v array<struct<vid bigint, x double, y double, z double>>, f array<struct<fid bigint, v0 bigint, v1 bigint, v2 bigint>>>"
-    parsed = files.select("path", F.udf(mesh, kind, useArrow=False)("path", "content").alias("m"))
-    return tuple(parsed.select("path", F.explode(f"m.{n}").alias("p")).select("path", "p.*") for n in "vf")
+    def table(part: int, names: tuple[str, ...], row: str) -> DataFrame:
+        return _parsed(files, lambda path, content: dict(zip(names, mesh(path, content)[part].T)), names, row)
+
+    return table(0, ("x", "y", "z"), "vid"), table(1, ("v0", "v1", "v2"), "fid")
 
 
 def read_filelist(spark: SparkSession, path: str) -> DataFrame:
@@ -130,8 +143,50 @@ def letters(points: DataFrame, info: str = "PNFLB", channels: int = 0) -> DataFr
     return points.select(*cols)
 
 
+def save_files(files: DataFrame, folder: str) -> int:
+    """Write files (path below ``folder``, content), each by the task that holds it; returns their number.
+
+    ``folder`` must be mounted on all executors. A file appears whole or not at all, and one written again by a
+    repeated task is the same.
+    """
+    scheme, _, rest = folder.rpartition(":")
+    if scheme not in ("", "file"):
+        raise ValueError(f"no mounted folder: {folder}")
+    root = os.path.normpath(rest) if scheme else folder
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                target = os.path.join(root, path.lstrip("/"))
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                part = f"{target}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(content.as_py())
+                os.replace(part, target)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def packed_clouds(points: DataFrame, form: str, info: str = "PNFLB", channels: int = 0, rows: int = 1_000_000) -> DataFrame:
+    """Files (path, content) of clouds in ``npz`` or ``ply`` form; a cloud becomes one file for every ``rows`` points, about."""
+    pack = {"npz": parsers.npz_bytes, "ply": parsers.ply_bytes}[form]
+    names = letters(points, info.replace("B", ""), channels).columns
+    pieces = points.groupBy("cloud_id").agg(F.ceil(F.count("*") / rows).alias("__pieces"))
+    flat = {f"f{k}": F.col("features")[k] for k in range(channels)} if "F" in info and "features" in points.columns else {}
+    dealt = points.withColumns(flat).join(pieces, "cloud_id").select(F.col("cloud_id").cast("string").alias("__cloud"), F.pmod(F.xxhash64("point_id"), F.col("__pieces")).alias("__piece"), *names)
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"path": [f"{key[0]}/{key[1]}.{form}"], "content": [pack({n: part[n].to_numpy() for n in names})]})
+
+    return dealt.groupBy("__cloud", "__piece").applyInPandas(run, "path string, content binary")
+
+
 def write_points(points: DataFrame, path: str, info: str = "PNFLB", channels: int = 0, form: str = "parquet") -> None:
-    """Parquet, or ``xyz`` text: values with six digits joined by spaces."""
+    """Parquet; ``xyz`` text (values with six digits joined by spaces); or ``npz`` and ``ply`` files, a folder for each cloud."""
+    if form in ("npz", "ply"):
+        save_files(packed_clouds(points, form, info, channels), path)
+        return
     chosen = letters(points, info, channels)
     if form == "parquet":
         chosen.write.parquet(path)
@@ -139,6 +194,8 @@ def write_points(points: DataFrame, path: str, info: str = "PNFLB", channels: in
         chosen.select(F.concat_ws(" ", *[F.format_string("%.6f", F.col(c).cast("double")) for c in chosen.columns])).write.text(path)
 
 
-def write_clouds(points: DataFrame, path: str) -> None:
-    """A folder for each cloud. Rows are spread by cloud and a hash, so that a huge cloud becomes several files."""
-    points.repartition("cloud_id", F.pmod(F.xxhash64("point_id"), F.lit(8))).write.partitionBy("cloud_id").parquet(path)
+def write_clouds(points: DataFrame, path: str, rows: int = 4_000_000) -> None:
+    """A folder for each cloud, with one file for every ``rows`` points, about: a huge cloud is written by many tasks."""
+    pieces = points.groupBy("cloud_id").agg(F.ceil(F.count("*") / rows).alias("__pieces"))
+    dealt = points.join(pieces, "cloud_id").withColumn("__piece", F.pmod(F.xxhash64("point_id"), F.col("__pieces")))
+    dealt.repartition("cloud_id", "__piece").select(*points.columns).write.partitionBy("cloud_id").parquet(path)

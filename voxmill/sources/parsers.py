@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 
 import numpy as np
 
@@ -23,11 +24,13 @@ def npz_points(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def ply_elements(data: bytes) -> dict[str, dict[str, np.ndarray]]:
-    """Elements of a polygon file, ascii or binary (either byte order), as columns; lists as equal-length rows."""
-    head, _, body = data.partition(b"end_header\n")
+def ply_header(data: bytes) -> tuple[str, list[tuple[str, int, list]], bytes]:
+    """Format, elements (name, rows, properties (name, type or (count type, value type))) and the body."""
+    end = re.search(rb"end_header[ \t]*\r?\n", data)
+    if end is None:
+        raise ValueError("no end of the header")
     form, elements = "ascii", []
-    for line in head.decode("ascii", "replace").split("\n"):
+    for line in data[: end.start()].decode("ascii", "replace").splitlines():
         word = line.split()
         if word[:1] == ["format"]:
             form = word[1]
@@ -35,36 +38,51 @@ def ply_elements(data: bytes) -> dict[str, dict[str, np.ndarray]]:
             elements.append((word[1], int(word[2]), []))
         elif word[:1] == ["property"]:
             elements[-1][2].append((word[-1], PLY_TYPES[word[1]] if word[1] != "list" else (PLY_TYPES[word[2]], PLY_TYPES[word[3]])))
-    out, at = {}, 0
+    return form, elements, data[end.end() :]
+
+
+def ply_elements(data: bytes) -> dict[str, dict]:
+    """Elements of a polygon file, ascii or binary (either byte order), as columns; of lists, a list of arrays."""
+    form, elements, body = ply_header(data)
     order = ">" if form.endswith("big_endian") else "<"
-    tokens = body.split() if form == "ascii" else None
+    tokens, at, out = body.split() if form == "ascii" else None, 0, {}
     for name, count, props in elements:
-        lists = any(isinstance(t, tuple) for _, t in props)
-        if tokens is not None:
-            width, first = len(props), {}
-            if lists:
-                sizes = int(tokens[at]) if count else 0
-                width = sizes + 1
-            rows = np.array(tokens[at : at + count * width], np.float64).reshape(count, width)
-            at += count * width
-            first = {props[0][0]: rows[:, 1:]} if lists else {n: rows[:, k] for k, (n, _) in enumerate(props)}
-            out[name] = first
-            continue
-        fields = []
-        spot = at
-        for n, t in props:
-            if isinstance(t, tuple):
-                size = int(np.frombuffer(body, order + t[0], 1, spot)[0]) if count else 0
-                fields += [(f"{n}_size", order + t[0]), (n, order + t[1], (size,))]
+        if not any(isinstance(t, tuple) for _, t in props):
+            if tokens is not None:
+                rows = np.array(tokens[at : at + count * len(props)], np.float64).reshape(count, len(props))
+                out[name] = {n: rows[:, k] for k, (n, _) in enumerate(props)}
+                at += count * len(props)
             else:
-                fields.append((n, order + t))
-        kind = np.dtype(fields)
-        rows = np.frombuffer(body, kind, count, at)
-        at += count * kind.itemsize
-        out[name] = {n: rows[n].astype(np.float64) for n, _ in props}
+                kind = np.dtype([(n, order + t) for n, t in props])
+                rows = np.frombuffer(body, kind, count, at)
+                out[name] = {n: rows[n].astype(np.float64) for n, _ in props}
+                at += count * kind.itemsize
+            continue
+        found: dict[str, list] = {n: [] for n, _ in props}
+        for _ in range(count):  # lists of any length: row by row
+            for n, t in props:
+                if tokens is not None:
+                    size = int(tokens[at]) if isinstance(t, tuple) else 1
+                    at += isinstance(t, tuple)
+                    values = np.array(tokens[at : at + size], np.float64)
+                    at += size
+                else:
+                    size = 1
+                    if isinstance(t, tuple):
+                        size, at, t = int(np.frombuffer(body, order + t[0], 1, at)[0]), at + np.dtype(t[0]).itemsize, t[1]
+                    values = np.frombuffer(body, order + t, size, at).astype(np.float64)
+                    at += size * np.dtype(t).itemsize
+                found[n].append(values)
+        out[name] = {n: v if isinstance(dict(props)[n], tuple) else np.concatenate([*v, np.zeros(0)]) for n, v in found.items()}
     return out
 
 
+def triangles(polygons: list) -> np.ndarray:
+    """Polygons as fans of triangles around their first corners; fewer than three corners make none."""
+    out = [(p[0], p[k], p[k + 1]) for p in polygons for k in range(1, len(p) - 1)]
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
 def ply_points(data: bytes) -> dict[str, np.ndarray]:
     vertex = ply_elements(data).get("vertex", {})
     names = {"red": "r", "green": "g", "blue": "b"}
@@ -86,13 +104,34 @@ def off_mesh(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     rest, at, faces = tokens[3 + 3 * nv :], 0, []
     for _ in range(nf):
         n = int(rest[at])
-        faces.append([int(v) for v in rest[at + 1 : at + 4]])
+        faces.append([int(v) for v in rest[at + 1 : at + 1 + n]])
         at += n + 1
-    return vertices, np.array(faces, np.int64).reshape(-1, 3)
+    return vertices, triangles(faces)
 
 
 def ply_mesh(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     parts = ply_elements(data)
     vertex, face = parts.get("vertex", {}), parts.get("face", {})
-    corners = next(iter(face.values()), np.zeros((0, 3)))
-    return np.stack([vertex[c] for c in "xyz"], 1), corners[:, :3].astype(np.int64)
+    corners = next((v for v in face.values() if isinstance(v, list)), [])
+    return np.stack([vertex[c] for c in "xyz"], 1), triangles(corners)
+
+
+def npz_bytes(columns: dict[str, np.ndarray]) -> bytes:
+    """Named arrays points, normals, features and labels of the columns that there are."""
+    arrays = {}
+    for key, names in (("points", ("x", "y", "z")), ("normals", ("nx", "ny", "nz")), ("features", sorted((n for n in columns if re.fullmatch(r"f[0-9]+", n)), key=lambda n: int(n[1:])))):
+        if names and all(n in columns for n in names):
+            arrays[key] = np.stack([columns[n] for n in names], 1).astype(np.float64)
+    if "label" in columns:
+        arrays["labels"] = np.asarray(columns["label"]).astype(np.int32)
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
+def ply_bytes(columns: dict[str, np.ndarray]) -> bytes:
+    """A binary polygon file with one vertex property (double) for each column."""
+    size = len(next(iter(columns.values()), ()))
+    head = f"ply\nformat binary_little_endian 1.0\nelement vertex {size}\n" + "".join(f"property double {n}\n" for n in columns) + "end_header\n"
+    body = np.stack([np.asarray(v, "<f8") for v in columns.values()], 1) if columns else np.zeros((0, 0), "<f8")
+    return head.encode() + body.tobytes()
