@@ -18,7 +18,8 @@ look like the template and everything can be read back. Loss falls on assistant
 
 Nulls: a null text is empty, a null role is the empty role, null conversation ids form one
 conversation of their own. Unknown ops are errors. Repeated events are repeated events:
-``start`` rows given twice make two messages.
+``start`` rows given twice make two messages. Rows of equal (conv_id, turn) are ordered by role and text. Other columns are not
+read and may have any names; an empty log gives an empty result.
 """
 
 from __future__ import annotations
@@ -70,14 +71,14 @@ def read_back(segment: str) -> list[tuple[str, str]]:
 def event_log(turns: DataFrame) -> DataFrame:
     """The log behind finished ``turns`` (conv_id, turn, role, text).
 
-    Users and others start with their text. Assistants start empty, stream a first piece,
-    regenerate, and stream the whole text in pieces.
+    Users and others start with the first letters of their text and edit the message to the whole text. Assistants
+    start empty, stream a first piece, regenerate, and stream the whole text in pieces.
     """
     text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
     event = lambda op, x: F.struct(F.lit(op).alias("op"), x.alias("text"))
     pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / PIECE) - 1, F.lit(0)).cast("int")), lambda k: event("delta", F.substring(text, k * PIECE + 1, F.lit(PIECE))))
     streamed = F.concat(F.array(event("start", F.lit("")), event("delta", F.substring(text, 1, PIECE)), event("regenerate", F.lit(""))), pieces)
-    events = F.when(role == "assistant", streamed).otherwise(F.array(event("start", text)))
+    events = F.when(role == "assistant", streamed).otherwise(F.array(event("start", F.substring(text, 1, 8)), event("edit", text)))
     message = F.struct(F.xxhash64(role, text), F.monotonically_increasing_id())  # repeated rows stay apart
     return turns.select("conv_id", F.col("turn").alias("seq"), message.alias("message"), role.alias("role"), F.posexplode(events).alias("part", "event")).select("conv_id", "seq", "part", "message", "event.op", "role", "event.text")
 

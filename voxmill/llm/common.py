@@ -18,11 +18,13 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir`` (set to a local folder only where unset)."""
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, a local one, on a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

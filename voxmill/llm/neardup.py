@@ -74,7 +74,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def similar_links(nodes: DataFrame, count: int) -> DataFrame:
     """Spanning candidates (a, b) between ``fp`` values of nodes (fp, sketch, size)."""
     depth = max(0, math.ceil(math.log2(max(count, 1) / (16 * LEAF))))
-    tree = fitted_tree(nodes, depth, count)
+    tree, _ = fitted_tree(nodes, depth, count)
 
     def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

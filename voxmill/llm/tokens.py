@@ -4,7 +4,8 @@ Texts are keyed by SHA-256; counts are stored under (text digest, tokenizer dige
 missing from the cache are encoded once each, however many rows share the text, and appended.
 Content is normalised only as far as no count can change: null is the empty text.
 
-Repeated rows each get their count; a null id stays null; an empty table gives an empty result.
+Repeated rows each get their count; a null id stays null; an empty table gives an empty result. Long texts are counted
+whole. Only the id and text columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from pathlib import Path
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import release_shuffles, shared_dir
+from voxmill.llm.common import join_hot, release_shuffles, shared_dir, staged
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens bigint"
 
@@ -92,20 +93,40 @@ def empty_cache(spark: SparkSession) -> str:
     return path
 
 
-def add_misses(docs: DataFrame, path: str, cache: str, text: str = "text") -> None:
-    """Encode each text whose digest the cache lacks, once, and append the counts to the cache."""
+def content(text: str) -> Column:
+    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
+def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, digest and n_bytes of every row."""
+    return docs.select("doc_id", F.unhex(F.sha2(content(text), 256)).alias("digest"), F.octet_length(content(text)).cast("long").alias("n_bytes"))
+
+
+def add_misses(docs: DataFrame, path: str, cache: str, text: str = "text", keys: DataFrame | None = None) -> None:
+    """Encode each text whose digest the cache lacks, once, and append the counts to the cache.
+
+    Digests are counted and held against the cache first, so that only texts of missing ones are moved. Digests of over a
+    thousandth of these rows, at most a thousand, are met by broadcast and thinned out before any shuffle.
+    """
     spark = docs.sparkSession
     name = tokenizer_digest(path)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == name).select("digest")
-    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    texts = docs.select(F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("content"))
+    keys = keyed(docs, text) if keys is None else keys
+    missing = staged(keys.groupBy("digest").agg(F.count("*").alias("n")).join(stored, "digest", "left_anti"), "missing")
+    total = missing.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not total:
+        return
+    texts = docs.select(F.unhex(F.sha2(content(text), 256)).alias("digest"), content(text).alias("content"))
+    hot = F.broadcast(missing.where(F.col("n") > total / 1000).select("digest"))
+    cold = missing.where(F.col("n") <= total / 1000).select("digest")
+    once = [texts.join(hot, "digest", "left_semi"), texts.join(hot, "digest", "left_anti").join(cold, "digest", "left_semi")]
 
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = counter(path).count
         for part in parts:
             yield pd.DataFrame({"digest": part["digest"], "tokenizer": name, "n_tokens": [count(x) for x in part["content"]]})
 
-    misses = texts.join(stored, "digest", "left_anti").dropDuplicates(["digest"])
+    misses = once[0].dropDuplicates(["digest"]).union(once[1].dropDuplicates(["digest"]))
     misses.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     release_shuffles(spark)
 
@@ -118,9 +139,9 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
     """
     spark = docs.sparkSession
     cache = cache or empty_cache(spark)
-    add_misses(docs, path, cache, text)
-    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.select("doc_id", F.unhex(F.sha2(content, 256)).alias("digest"), F.octet_length(content).cast("long").alias("n_bytes"))
+    keys = staged(keyed(docs, text), "keys")
+    add_misses(docs, path, cache, text, keys)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == tokenizer_digest(path))
-    counts = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rows = keys.groupBy("digest").agg(F.count("*").alias("n"))
+    counts = staged(rows.join(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "digest"), "counts")
+    return join_hot(keys, counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
