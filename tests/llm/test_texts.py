@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxmill.llm import chat, decontaminate, lm, mixing, neardup, quality, repeats, secrets, simhash, tokens
-from voxmill.llm.common import lower_words, words
+from voxmill.llm.common import lower_words, uniform, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -487,12 +487,29 @@ def test_resampling_edges(docs, rows, spark):
 
 def test_kth_largest(spark):
     rng = random.Random(1)
-    keys = [rng.randrange(-(1 << 31), 1 << 31) for _ in range(500)] + [5] * 50 + [-3] * 50
+    keys = [rng.randrange(-(1 << 46), 1 << 46) for _ in range(500)] + [5] * 50 + [-3] * 50
     df = spark.createDataFrame([(k,) for k in keys], "key long")
     for k in (1, 2, 300, 600):
         assert quality.kth_largest(df, k) == sorted(keys, reverse=True)[k - 1]
 
 
+@pytest.mark.parametrize("k", [0, 1, 37, 200, 1000, None])
+def test_draw_is_gumbel_top_k(spark, k):
+    """The k largest sums of weight and noise, whatever the sign of the weights."""
+    rng = random.Random(k or 4)
+    rows = [(i, rng.gauss(0, 0.05), abs(rng.gauss(0, 0.05))) for i in range(300)]
+    scores = spark.createDataFrame(rows, "doc_id long, ratio double, against double")
+    model = quality.Model(None, None, None, accept=(0.01, 1.0), refuse=(0.06, 2.0))
+    noise = {r.doc_id: r.g for r in scores.select("doc_id", (-F.log(-F.log(uniform(42, F.col("doc_id").cast("string"))))).alias("g")).collect()}
+    weight = {i: 40 * min(a - 0.01, (0.06 - b) / 2.0) for i, a, b in rows}
+    n = sum(w > 0 for w in weight.values()) if k is None else k
+    want = set(sorted(weight, key=lambda i: -(weight[i] + noise[i]))[:n])
+    drawn = quality.draw(scores, model, 42, k)
+    assert {r.doc_id for r in drawn.select("doc_id").collect()} == want
+    if k == 37:  # the noise matters: no threshold on the weight draws the same
+        assert want != set(sorted(weight, key=lambda i: -weight[i])[:n])
+
+
 # ------------------------------------------------------------------ 6: mixing
 
 

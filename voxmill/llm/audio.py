@@ -28,6 +28,8 @@ LOW_HZ, HIGH_HZ = 80.0, 3000.0
 CUTS = (-0.15, 0.0, 0.15)
 #: An alignment needs so many equal integers, an overlap of so many, and at most so many differing bits.
 VOTES, OVERLAP, ERRORS = 3, 16, 0.2
+#: Places of one integer that are met in one task.
+SPOTS = 4096
 
 
 @lru_cache(maxsize=8)
@@ -102,10 +104,13 @@ def align(queries: DataFrame, classes: DataFrame) -> DataFrame:
     query_id, class_id, offset (of the query's start in the recording, in frames), votes, error_rate.
     """
     asked = queries.select("query_id", F.posexplode("prints").alias("q_at", "print"))
-    held = classes.select("class_id", F.posexplode("prints").alias("c_at", "print"))
-    wanted = staged(asked.groupBy("print").agg(F.collect_list(F.struct("query_id", "q_at")).alias("spots"), F.count("*").alias("n")), "wanted")
-    met = join_hot(held, wanted, "print").select("class_id", "c_at", F.explode("spots").alias("spot"))
-    votes = met.groupBy(F.col("spot.query_id").alias("query_id"), "class_id", (F.col("c_at") - F.col("spot.q_at")).alias("offset")).agg(F.count("*").alias("votes"))
+    held = staged(classes.select("class_id", F.posexplode("prints").alias("c_at", "print")), "held")
+    # integers at many places of the recordings are dealt to as many parts, each of which meets a copy of the asked ones
+    counts = held.join(asked.select("print").distinct(), "print", "left_semi").groupBy("print").agg(F.ceil(F.count("*") / SPOTS).alias("parts"))
+    asked = asked.join(counts, "print").select("query_id", "q_at", "print", "parts", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    held = held.join(counts, "print").select("class_id", "c_at", "print", F.pmod(F.xxhash64("class_id", "c_at"), F.col("parts")).alias("part"))
+    met = held.join(asked.drop("parts"), ["print", "part"])
+    votes = met.groupBy("query_id", "class_id", (F.col("c_at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
     best = votes.where(F.col("votes") >= VOTES).groupBy("query_id", "class_id").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.abs("offset"), "offset")).alias("best"))
     best = best.select("query_id", "class_id", "best.offset", "best.votes")
     both = best.join(queries.withColumnRenamed("prints", "q"), "query_id").join(classes.withColumnRenamed("prints", "c"), "class_id")
@@ -125,9 +130,12 @@ def search(recordings: DataFrame, excerpts: DataFrame) -> DataFrame:
     """
     prints = staged(fingerprints(recordings).withColumn("digest", F.sha2(F.concat_ws(",", F.col("prints").cast("array<string>")), 256)), "prints")
     classes = staged(prints.where(F.size("prints") > 0).groupBy("digest").agg(F.min("rec_id").alias("class_id"), F.any_value("prints").alias("prints"), F.count("*").alias("n")), "classes")
-    asked = staged(fingerprints(excerpts.where(F.col("rec_id").isNotNull())).dropDuplicates(["rec_id"]).withColumnRenamed("rec_id", "query_id"), "queries")
-    found = align(asked, classes.where("class_id is not null").select("class_id", "prints"))
-    links = found.groupBy("class_id").agg(F.count("*").alias("n_links"), F.min_by(F.struct(F.col("query_id").alias("best_query"), F.col("offset").alias("best_offset"), "votes", "error_rate"), F.struct("error_rate", -F.col("votes"), "query_id")).alias("best"))
+    # excerpts of the same integers are one query, which counts as often as there are ids
+    told = fingerprints(excerpts.where(F.col("rec_id").isNotNull())).withColumn("digest", F.sha2(F.concat_ws(",", F.col("prints").cast("array<string>")), 256))
+    ids = told.groupBy("rec_id").agg(F.min(F.struct("digest", "prints")).alias("x")).select("rec_id", "x.*")
+    asked = staged(ids.where(F.size("prints") > 0).groupBy("digest").agg(F.min("rec_id").alias("query_id"), F.any_value("prints").alias("prints"), F.count("*").alias("asked")), "queries")
+    found = align(asked.select("query_id", "prints"), classes.where("class_id is not null").select("class_id", "prints")).join(asked.select("query_id", "asked"), "query_id")
+    links = found.groupBy("class_id").agg(F.sum("asked").alias("n_links"), F.min_by(F.struct(F.col("query_id").alias("best_query"), F.col("offset").alias("best_offset"), "votes", "error_rate"), F.struct("error_rate", -F.col("votes"), "query_id")).alias("best"))
     told = staged(classes.join(links, "class_id", "left").select("digest", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "best.*", "n"), "told")
     named = join_hot(prints.select("rec_id", "digest", F.size("prints").cast("long").alias("n_prints")).where("n_prints > 0"), told, "digest")
     silent = prints.where(F.size("prints") == 0).select("rec_id", F.lit(0).cast("long").alias("n_prints"), F.col("rec_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))

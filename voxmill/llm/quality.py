@@ -2,16 +2,18 @@
 
 Two generative models over hashed words and word pairs, one of all documents and one of
 labelled good ones, give each document a log ratio per n-gram. A second ratio asks how much a
-document's words (and their beginnings) speak for the labels to avoid. Both are turned into one
-log weight, positive on the accepted side of thresholds fitted on labelled rows left out of
-the models, and the documents are drawn by Gumbel top-k: log weight plus seeded Gumbel noise,
-as many as have a positive weight. The k-th key is found exactly by counting keys by
+document's words (and their beginnings) speak for the labels to avoid. The log weight of a document is the
+lesser of the two log ratios, each measured from a zero point and in a unit fitted on labelled rows left out of
+the models. Documents are drawn without replacement by Gumbel top-k: log weight plus seeded Gumbel noise, the
+``k`` largest. By default k is the number of positive weights. The k-th key is found exactly by counting keys by
 their digits, so nothing is sorted or gathered.
 
 Labels are taken from a bounded sample (about ``LABELLED`` rows, those with the smallest hashes); the
 model of all documents covers every row. Nulls: a null text is empty and has weight zero evidence;
 null ids share one noise value; null labels count as absent. Equal keys at the boundary are
-all kept. Repeated rows are judged each. Without usable labels every document is kept.
+all kept. Repeated rows are judged each; of rows that share a labelled id, the least good evidence stands for the label.
+Without usable labels every document has the same weight, and by default is kept. Long texts are read whole. Other columns
+of documents pass through the pipeline's form untouched, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -42,7 +45,8 @@ AVOID_CUT, AVOID_SURE = 1.4, 1.0
 SHARPNESS = 40.0
 #: A good document lost counts as much as so many bad ones kept, when thresholds are fitted.
 CARE = 10.0
-DIGITS = 1 << 16
+#: Keys are whole millionths, counted by three digits of 16 bits.
+DIGITS, KEY_BITS = 1 << 16, 48
 
 
 def ngram_buckets(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +88,6 @@ class Model:
     avoid: np.ndarray
     accept: tuple[float, float] = (-math.inf, 1.0)
     refuse: tuple[float, float] = (math.inf, 1.0)
-    cut: int | None = None
 
     def evidence(self, texts: "pd.Series", hashes: WordHashes, buckets: WordBuckets) -> tuple[np.ndarray, np.ndarray]:
         ratio, against = np.zeros(len(texts)), np.zeros(len(texts))
@@ -159,11 +162,16 @@ def log_ratio(n: np.ndarray, wanted: np.ndarray, prior: float, share: float) ->
     return np.log((wanted + prior) / (n * share + prior)).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, with thresholds, and the scores (doc_id, ratio, against) of every row."""
+def least_wanted() -> int:
+    """The fewest documents to avoid that a word must occur in to have any lift."""
+    return next(n for n in count(1) if log_ratio(np.zeros(1), np.array([max(n - AVOID_SURE * math.sqrt(n), 0)]), AVOID_PRIOR, 0)[0] > AVOID_CUT)
+
+
+def fit(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> tuple[Model, DataFrame]:
+    """The model, with thresholds, and the scores (``keep``, ratio, against) of every row."""
     sample = staged(labelled_sample(docs, labels), "labelled")
-    # at most 2 * 2 ** BITS rows, and the words to avoid
-    counts = count_grams(docs, sample).where("kind < 2 or wanted > 2").toArrow().to_pandas()
+    # at most 2 * 2 ** BITS rows, and the words that can have a lift
+    counts = count_grams(docs, sample).where((F.col("kind") < 2) | (F.col("wanted") >= least_wanted())).toArrow().to_pandas()
     release_shuffles(docs.sparkSession)
     totals = sample.where("first and not hold").agg(F.count("*"), F.sum(F.col("bad").cast("int"))).first()
     tables = []
@@ -178,8 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
             lift = log_ratio(n, sure, AVOID_PRIOR, (totals[1] or 0) / max(totals[0], 1))
             tables.append(np.where(lift > AVOID_CUT, lift, 0).astype(np.float32))
     model = Model(*tables)
-    scores = staged(evidence(docs, model, "doc_id"), "scores")
-    known = scores.join(F.broadcast(sample.where("hold")), "doc_id").select("ratio", "against", "fine", "bad").toPandas()
+    scores = staged(evidence(docs, model, *keep), "scores")
+    held = sample.where("hold").select("doc_id", "fine", "bad")
+    known = scores.select("doc_id", "ratio", "against").join(F.broadcast(held), "doc_id").groupBy("doc_id", "fine", "bad").agg(F.min("ratio").alias("ratio"), F.max("against").alias("against")).toPandas()
     model.accept = threshold(known["ratio"].to_numpy(), known["fine"].to_numpy(bool))
     cut, spread = threshold(-known["against"].to_numpy(), ~known["bad"].to_numpy(bool))
     model.refuse = -cut, spread
@@ -208,17 +217,18 @@ def gumbel_key(model: Model, seed: int) -> tuple[F.Column, F.Column]:
         if math.isfinite(cut):
             margins.append(sign * (F.col(name) - F.lit(cut)) / F.lit(spread))
     margin = F.least(*margins) if len(margins) > 1 else margins[0] if margins else F.lit(1.0)
-    weight = F.greatest(F.least(margin * SHARPNESS, F.lit(1000.0)), F.lit(-1000.0))
+    weight = margin * SHARPNESS
     noise = -F.log(-F.log(uniform(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    return weight, F.floor((weight + noise) * 1e6).cast("long")
+    most = float(1 << (KEY_BITS - 1)) - 1  # 140 million Gumbel units
+    return weight, F.floor(F.greatest(F.least((weight + noise) * 1e6, F.lit(most)), F.lit(-most))).cast("long")
 
 
 def kth_largest(keys: DataFrame, k: int) -> int | None:
-    """The k-th largest value of ``key`` (within 2 ** 31), by two counts over 16 bits each."""
-    high, above = None, 0
-    moved = keys.select((F.col("key") + F.lit(1 << 31)).alias("key"))
-    for shift in (16, 0):
-        rows = moved if high is None else moved.where(F.shiftright("key", 16) == high)
+    """The k-th largest value of ``key`` (within 2 ** 47), by three counts over 16 bits each; None if there are fewer."""
+    high, above = 0, 0
+    moved = keys.select((F.col("key") + F.lit(1 << (KEY_BITS - 1))).alias("key"))
+    for shift in range(KEY_BITS - 16, -1, -16):
+        rows = moved.where(F.shiftright("key", shift + 16) == high)
         counts = rows.groupBy(F.pmod(F.shiftright("key", shift), F.lit(DIGITS)).alias("digit")).count().toPandas()  # DIGITS rows at most
         counts = counts.sort_values("digit", ascending=False)
         reach = above + counts["count"].cumsum().to_numpy()
@@ -226,35 +236,33 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
         if at >= len(reach):
             return None
         above = int(reach[at] - counts["count"].iloc[at])
-        digit = int(counts["digit"].iloc[at])
-        if high is None:
-            high = digit
-    return (high << 16) + digit - (1 << 31)
+        high = (high << 16) + int(counts["digit"].iloc[at])
+    return high - (1 << (KEY_BITS - 1))
+
 
+def draw(scores: DataFrame, model: Model, seed: int = 42, k: int | None = None) -> DataFrame:
+    """The ``k`` drawn rows of ``scores`` (by default as many as have a positive weight) with log_weight and key.
 
-def draw(scores: DataFrame, model: Model, seed: int = 42) -> DataFrame:
-    """The drawn rows of ``scores`` with log_weight, key and selected; sets ``model.cut``."""
+    All rows are drawn if there are no more than k.
+    """
     weight, key = gumbel_key(model, seed)
     keyed = scores.select("*", weight.alias("log_weight"), key.alias("key"))
-    k = keyed.where("log_weight > 0").count()
-    model.cut = kth_largest(keyed, k) if k else None
-    chosen = keyed.where(F.col("key") >= model.cut) if model.cut is not None else keyed.limit(0)
-    return chosen.select("doc_id", "ratio", "against", "log_weight", (F.col("key") / 1e6).alias("gumbel_key"), F.lit(True).alias("selected"))
+    k = keyed.where("log_weight > 0").count() if k is None else k
+    if k <= 0:
+        return keyed.limit(0)
+    cut = kth_largest(keyed, k)
+    return keyed if cut is None else keyed.where(F.col("key") >= cut)
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 42, k: int | None = None) -> DataFrame:
     """The documents drawn: doc_id, their evidence, log weight and Gumbel key."""
     model, scores = fit(docs, labels)
-    return draw(scores, model, seed)
+    drawn = draw(scores, model, seed, k)
+    return drawn.select("doc_id", "ratio", "against", "log_weight", (F.col("key") / 1e6).alias("gumbel_key"), F.lit(True).alias("selected"))
 
 
-def keep_drawn(docs: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
-    """The rows of ``docs`` that ``resample`` draws, with their own columns."""
-    model, scores = fit(docs, labels)
-    draw(scores, model, seed)
-    if model.cut is None:
-        return docs.limit(0)
-    names = docs.columns
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), "doc_id", "text")
-    _, key = gumbel_key(model, seed)
-    return evidence(inner, model, "__row", "doc_id").where(key >= model.cut).select("__row.*")
+def keep_drawn(docs: DataFrame, labels: DataFrame, seed: int = 42, k: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``resample`` draws, with their own columns, judged in the same pass."""
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "text")
+    model, scores = fit(inner, labels, ("__row", "doc_id"))
+    return draw(scores, model, seed, k).select("__row.*")
