@@ -513,13 +513,54 @@ def test_draw_is_gumbel_top_k(spark, k):
 # ------------------------------------------------------------------ 6: mixing
 
 
-def test_fill_gives_shortages_to_siblings():
-    assert mixing.fill(100, [10, 1000, 1000], [1, 1, 2]) == pytest.approx([10, 30, 60])
-    assert mixing.fill(100, [10, 20], [1, 1]) == [10, 20]
+def fill(total, caps, weights):
+    """Pour by weight; whoever is full leaves the rest to the others."""
+    given, total = [0.0] * len(caps), float(total)
+    while total > 1e-9 and (free := [k for k in range(len(caps)) if weights[k] > 0 and given[k] < caps[k] - 1e-9]):
+        w = sum(weights[k] for k in free)
+        step = min([total / w] + [(caps[k] - given[k]) / weights[k] for k in free])
+        for k in free:
+            given[k] += step * weights[k]
+        total -= step * w
+    return given
+
+
+def brute_budgets(leaves, weights, total, epochs, path=()):
+    """Exact shares of the leaves below a path."""
+    if path in leaves:
+        return {path: total}
+    below = sorted({x[: len(path) + 1] for x in leaves if x[: len(path)] == path}, key=str)
+    caps = [sum(n for x, n in leaves.items() if x[: len(b)] == b) * epochs for b in below]
+    out = {}
+    for b, n in zip(below, fill(min(total, sum(caps)), caps, [weights.get(b, 1.0) for b in below])):
+        out |= brute_budgets(leaves, weights, n, epochs, b)
+    return out
+
+
+def budgets(spark, leaves, weights, total, epochs):
+    width = len(next(iter(leaves)))
+    names = [f"l{k}" for k in range(width)]
+    df = spark.createDataFrame([(*x, n) for x, n in leaves.items()], ", ".join(f"{n} string" for n in names) + ", leaf_tokens long")
+    return {tuple(r[n] for n in names): r.budget for r in mixing.budgets(df, names, weights, total, epochs).collect()}
+
+
+def test_budgets_give_shortages_to_siblings_first(spark):
     leaves = {("a", "x"): 10, ("a", "y"): 500, ("b", "x"): 500}
-    assert mixing.budgets(leaves, {("a",): 1.0, ("b",): 1.0}, 200, 1) == {("a", "x"): 10, ("a", "y"): 90, ("b", "x"): 100}
+    assert budgets(spark, leaves, {("a",): 1.0, ("b",): 1.0}, 200, 1) == {("a", "x"): 10, ("a", "y"): 90, ("b", "x"): 100}
     leaves = {("a", "x"): 10, ("a", "y"): 20, ("b", "x"): 500}
-    assert mixing.budgets(leaves, {}, 200, 1) == {("a", "x"): 10, ("a", "y"): 20, ("b", "x"): 170}
+    assert budgets(spark, leaves, {}, 200, 1) == {("a", "x"): 10, ("a", "y"): 20, ("b", "x"): 170}
+    assert budgets(spark, leaves, {}, 10_000, 1) == leaves and budgets(spark, leaves, {("b",): 0.0}, 200, 1) == {("a", "x"): 10, ("a", "y"): 20, ("b", "x"): 0}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_budgets_against_pouring(spark, seed):
+    rng = random.Random(seed)
+    leaves = {(f"d{rng.randrange(3)}", rng.choice(["en", "de", None]), f"s{k}"): int(rng.paretovariate(0.6) * 50) for k in range(40)}
+    weights = {("d0",): 3.0, ("d1",): 0.5, ("d0", "en"): 2.0, ("d2", "de"): 7.0, **{x: rng.choice([0.0, 1.0, 4.0]) for x in list(leaves)[:8]}}
+    total = int(sum(leaves.values()) * rng.choice([0.3, 0.9, 1.5]))
+    got, want = budgets(spark, leaves, weights, total, 2), brute_budgets(leaves, weights, total, 2)
+    assert set(got) == set(want) and all(abs(got[x] - want[x]) <= 3 for x in want) and all(got[x] <= 2 * leaves[x] for x in leaves)
+    assert abs(sum(got.values()) - sum(want.values())) <= 1e-6 * total + 1
 
 
 @pytest.mark.parametrize(("share", "epochs"), [(0.4, 1), (1.7, 3)])
@@ -530,7 +571,8 @@ def test_mix(docs, rows, share, epochs, monkeypatch):
     for r in rows:
         if len(words(r[1])):
             leaves[r[2], r[3]] += len(words(r[1]))
-    given = mixing.budgets(dict(leaves), {("en",): 3.0}, int(sum(leaves.values()) * share), epochs)
+    given = budgets(docs.sparkSession, dict(leaves), {("en",): 3.0}, int(sum(leaves.values()) * share), epochs)
+    assert sum(given.values()) == min(int(sum(leaves.values()) * share), sum(leaves.values()) * epochs)
     taken = Counter()
     for r in out:
         taken[r.lang, r.source] += r.take_tokens

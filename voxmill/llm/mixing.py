@@ -7,67 +7,81 @@ what all siblings cannot take goes back to their parent's siblings. Leaves then
 documents in an order drawn anew for each epoch from a seed, until the budget is spent; the last
 document may be taken in part (a token prefix).
 
-Budgets are worked out on leaf totals (one row for each leaf), on the driver up to
-``LEAVES`` leaves and by an error beyond. Selection is by two-level running sums: tokens are summed in
+Budgets are worked out on leaf totals (one row for each leaf), level by level, each by running sums over the children of
+a parent in the order in which they fill up; tokens stay whole numbers, and none is lost on the way down. The plan is
+broadcast up to ``LEAVES`` leaves and joined by shuffle beyond. Selection is by two-level running sums: tokens are summed in
 bins of the drawn order, bins get their offset, and only bins that hold a budget's end are sorted, so a
 source with a third of all rows is spread over as many tasks as it has bins.
 
 Null level values form a leaf of their own; a null or empty text has no tokens and is never
-taken. Ties in the drawn order are broken by id, then by text hash; equal rows are taken each.
+taken. Ties in the drawn order are broken by id, then by text hash; equal rows are taken each. Long texts count whole. Other
+columns are not read and may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from math import floor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxmill.llm.common import staged
 
-#: Leaves that the driver works out budgets for, at most.
+#: Leaves whose plan is broadcast, at most.
 LEAVES = 100_000
 #: Rows in a bin of the drawn order, on average.
 BIN_ROWS = 2_000
+#: Draws are the first 60 bits of an md5.
+DRAW_DIGITS = 15
 
 
-def fill(total: float, caps: list[float], weights: list[float]) -> list[float]:
-    """Share ``total`` by weights; whoever reaches its cap leaves the rest to the others."""
-    given, open_ = [0.0] * len(caps), [k for k in range(len(caps)) if weights[k] > 0 and caps[k] > 0]
-    while open_ and total > 1e-9:
-        weight = sum(weights[k] for k in open_)
-        full = [k for k in open_ if caps[k] - given[k] <= total * weights[k] / weight]
-        if not full:
-            for k in open_:
-                given[k] += total * weights[k] / weight
-            return given
-        for k in full:
-            total -= caps[k] - given[k]
-            given[k] = caps[k]
-        open_ = [k for k in open_ if k not in full]
-    return given
+def same(a: DataFrame, b: DataFrame, names: list[str]) -> list[Column]:
+    return [a[c].eqNullSafe(b[f"__{c}"]) for c in names]
+
+
+def renamed(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: f"__{c}" for c in names})
 
 
-def budgets(leaves: dict[tuple, int], weights: dict[tuple, float], total: int, epochs: int) -> dict[tuple, int]:
-    """Whole tokens for each leaf. ``weights`` of a path (a tuple from the top) default to 1."""
-    sums: dict[tuple, int] = defaultdict(int)
-    below: dict[tuple, set] = defaultdict(set)
-    for leaf, tokens in leaves.items():
-        for k in range(len(leaf) + 1):
-            sums[leaf[:k]] += tokens * epochs
-            if k:
-                below[leaf[: k - 1]].add(leaf[:k])
-    out: dict[tuple, int] = {}
-    work = [((), float(min(total, sums[()])))]
-    while work:
-        path, budget = work.pop()
-        if path in leaves:
-            out[path] = int(budget + 1e-6)
-            continue
-        parts = sorted(below[path], key=lambda p: tuple(str(x) for x in p))
-        work += zip(parts, fill(budget, [sums[p] for p in parts], [weights.get(p, 1.0) for p in parts]))
-    return out
+def shared_out(children: DataFrame, names: list[str]) -> DataFrame:
+    """``budget`` of children (names, cap, weight, total), whose parent (all names but the last) has ``total`` to give.
+
+    Children fill up in the order of cap / weight. A child is full if the total covers what filled up before it and, at its own
+    level, itself and all that come after; the others share the rest by weight, in whole tokens that add up to it. A child without weight
+    gets nothing.
+    """
+    c = children.withColumn("cap", F.when(F.col("weight") > 0, F.col("cap")).otherwise(0)).withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0))
+    family = Window.partitionBy(*names[:-1])
+    order = family.orderBy(F.col("cap") / F.col("weight"), names[-1])
+    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    after = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    c = c.withColumn("full", F.col("cap") * after <= (F.col("total") - before) * F.col("weight"))
+    rest = F.col("total") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(family)
+    open_ = F.when(F.col("full"), 0.0).otherwise(F.col("weight"))
+    c = c.withColumns({"rest": rest, "open": F.sum(open_).over(family), "upto": F.sum(open_).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    part = F.floor(F.col("rest") * F.col("upto") / F.col("open")) - F.floor(F.col("rest") * (F.col("upto") - F.col("weight")) / F.col("open"))
+    return c.select(*names, F.when(F.col("full"), F.col("cap")).otherwise(part).cast("long").alias("budget"))
+
+
+def budgets(leaves: DataFrame, levels: list[str], weights: dict[tuple, float], total: int, epochs: int) -> DataFrame:
+    """Whole tokens (levels, budget) for each leaf (levels, leaf_tokens). ``weights`` of a path (a tuple from the top) default to 1."""
+    spark = leaves.sparkSession
+    most = leaves.agg(F.coalesce(F.sum("leaf_tokens"), F.lit(0))).first()[0] * epochs
+    given = None
+    for k in range(1, len(levels) + 1):
+        names = levels[:k]
+        nodes = leaves.groupBy(*names).agg((F.sum("leaf_tokens") * epochs).alias("cap"))
+        kinds = ", ".join(f"`__{c}` {leaves.schema[c].dataType.simpleString()}" for c in names)
+        told = spark.createDataFrame([(*path, float(w)) for path, w in weights.items() if len(path) == k], f"{kinds}, weight double")
+        nodes = nodes.join(told, same(nodes, told, names), "left").select(*names, "cap", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+        if given is None:
+            children = nodes.withColumn("total", F.lit(min(total, most)).cast("long"))
+        else:
+            parents = renamed(given, names[:-1]).withColumnRenamed("budget", "total")
+            children = nodes.join(parents, same(nodes, parents, names[:-1])).select(*names, "cap", "weight", "total")
+        given = staged(shared_out(children, names), "budgets")
+    return given
 
 
 def leaf_totals(rows: DataFrame, levels: list[str]) -> DataFrame:
@@ -75,42 +89,36 @@ def leaf_totals(rows: DataFrame, levels: list[str]) -> DataFrame:
     return rows.groupBy(*levels).agg(F.sum("n_tokens").alias("leaf_tokens"), F.count("*").alias("leaf_rows"))
 
 
-def word_count(text: str) -> F.Column:
+def word_count(text: str) -> Column:
     """How many words (runs of other characters than space and U+0009..U+000D)."""
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return F.regexp_count(content, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def mix(docs: DataFrame, levels: list[str], weights: dict[tuple, float], share: float = 0.6, epochs: int = 2, seed: int = 42, tokens: F.Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, levels: list[str], weights: dict[tuple, float], share: float = 0.6, epochs: int = 2, seed: int = 42, tokens: Column | None = None) -> DataFrame:
     """What is taken: doc_id, the levels, n_tokens, epoch (from 0) and take_tokens.
 
     ``share`` is the total as a share of all tokens; ``epochs`` says how often a document may be taken.
     """
-    spark = docs.sparkSession
     count = word_count("text") if tokens is None else tokens
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.select(*levels, "doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("copy"), count.alias("n_tokens"), key.alias("draw"))
+    copy = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), copy.cast("string")))
+    rows = docs.select(*levels, "doc_id", copy.alias("copy"), count.alias("n_tokens"), name.alias("name"))
     rows = staged(rows.where("n_tokens > 0"), "sizes")
-    totals = leaf_totals(rows, levels)
-    found = totals.limit(LEAVES + 1).collect()
-    if len(found) > LEAVES:
-        raise ValueError(f"more than {LEAVES} leaves")
-    leaves = {tuple(r[c] for c in levels): r["leaf_tokens"] for r in found}
-    total = int(sum(leaves.values()) * share)
-    given = budgets(leaves, weights, total, epochs)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in levels)
-    rows_of = {tuple(r[c] for c in levels): r["leaf_rows"] for r in found}
-    plan = spark.createDataFrame([(*leaf, leaves[leaf], n, rows_of[leaf]) for leaf, n in given.items()], f"{kinds}, leaf_tokens bigint, budget bigint, leaf_rows bigint")
-    same = [rows[c].eqNullSafe(plan[c]) for c in levels]
-    joined = rows.join(F.broadcast(plan), same).select(*[rows[c] for c in levels], "doc_id", "copy", "n_tokens", "draw", "leaf_tokens", "budget", "leaf_rows")
+    totals = staged(leaf_totals(rows, levels), "leaves")
+    whole_sum = totals.agg(F.coalesce(F.sum("leaf_tokens"), F.lit(0))).first()[0]
+    given = renamed(budgets(totals, levels, weights, floor(whole_sum * share), epochs), levels)
+    plan = renamed(totals.join(given, same(totals, given, levels)).select(*levels, "leaf_tokens", "leaf_rows", "budget"), levels)
+    plan = F.broadcast(plan) if totals.count() <= LEAVES else plan
+    joined = rows.join(plan, same(rows, plan, levels)).select(*levels, "doc_id", "copy", "n_tokens", "name", "leaf_tokens", "budget", "leaf_rows")
     # epochs that a budget fills are taken whole; the last one, if any, is a prefix of its order
     whole, part = F.floor(F.col("budget") / F.col("leaf_tokens")), F.col("budget") % F.col("leaf_tokens")
     joined = joined.select("*", whole.alias("whole"), part.alias("part"))
     full = joined.where("whole > 0").select("*", F.explode(F.expr("sequence(0L, whole - 1)")).alias("epoch")).withColumn("take_tokens", F.col("n_tokens"))
-    drawn = F.xxhash64(F.lit(seed), "whole", "draw")
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), "name")), 1, DRAW_DIGITS), 16, 10).cast("long")
     order = joined.where("part > 0").withColumn("at", drawn)
     bins = F.greatest(F.ceil(F.col("leaf_rows") / BIN_ROWS), F.lit(1))
-    order = order.withColumn("bin", F.least(F.floor((F.col("at") / F.lit(2.0**64) + 0.5) * bins), bins - 1))
+    order = order.withColumn("bin", F.least(F.floor(F.col("at") / F.lit(16.0**DRAW_DIGITS) * bins), bins - 1))
     sums = order.groupBy(*levels, "bin").agg(F.sum("n_tokens").alias("bin_tokens"))
     before = F.coalesce(F.sum("bin_tokens").over(Window.partitionBy(*levels).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(*levels, "bin", "bin_tokens", before.alias("bin_start"))

@@ -104,6 +104,39 @@ whole AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || tex
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, size::BIGINT AS formatted_chars FROM whole
 """
 
+
+
+def share_sql(levels: list[str], weight: str) -> str:
+    """Budgets b_k of the nodes of level k = len(levels) from those of the level above: children fill up in the order of cap / weight."""
+    k, names, parent = len(levels), ", ".join(levels), ", ".join(levels[:-1]) or "1"
+    on = " AND ".join(f"n.{c} IS NOT DISTINCT FROM p.{c}" for c in levels[:-1]) or "true"
+    w = f"PARTITION BY {parent} ORDER BY cap / weight, {levels[-1]} NULLS FIRST ROWS BETWEEN"
+    return f"""n{k} AS (SELECT {names}, (sum(leaf_tokens) * 2)::BIGINT AS cap, {weight} AS weight FROM leaves GROUP BY {names}),
+j{k} AS (SELECT n.*, p.budget AS total FROM n{k} n JOIN b{k - 1} p ON {on}),
+s{k} AS (SELECT *, coalesce(sum(cap) OVER ({w} UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER ({w} CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM j{k}),
+f{k} AS (SELECT *, cap * after <= (total - before) * weight AS is_full FROM s{k}),
+r{k} AS (SELECT *, total - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER (PARTITION BY {parent}) AS rest, sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER (PARTITION BY {parent}) AS open_, sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({w} UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM f{k}),
+b{k} AS (SELECT {names}, (CASE WHEN is_full THEN cap ELSE floor(rest * upto / open_) - floor(rest * (upto - weight) / open_) END)::BIGINT AS budget FROM r{k})"""
+
+
+#: Budgets down the tree of domain, lang and source; whole epochs, then a prefix of the next one's order.
+MIX_SOURCES = rf"""
+WITH sizes AS (SELECT doc_id, 'domain' || coalesce(try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,6}})$', 1), '') AS INT) % 4, 0) AS domain, lang, source,
+ len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
+taken AS (SELECT * FROM sizes WHERE n_tokens > 0),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS leaf_tokens FROM taken GROUP BY ALL),
+b0 AS (SELECT floor(sum(leaf_tokens)::DOUBLE * 0.6::DOUBLE)::BIGINT AS budget FROM leaves),
+{share_sql(["domain"], "(CASE domain WHEN 'domain0' THEN 4 WHEN 'domain1' THEN 3 WHEN 'domain2' THEN 2 ELSE 1 END)::DOUBLE")},
+{share_sql(["domain", "lang"], "(CASE lang WHEN 'en' THEN 2 ELSE 1 END)::DOUBLE")},
+{share_sql(["domain", "lang", "source"], "1::DOUBLE")},
+placed AS (SELECT t.*, b.budget // l.leaf_tokens AS whole, b.budget % l.leaf_tokens AS part FROM taken t
+ JOIN leaves l ON t.domain = l.domain AND t.lang IS NOT DISTINCT FROM l.lang AND t.source IS NOT DISTINCT FROM l.source
+ JOIN b3 b ON t.domain = b.domain AND t.lang IS NOT DISTINCT FROM b.lang AND t.source IS NOT DISTINCT FROM b.source),
+starts AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY ('0x' || substr(md5('42:' || whole || ':' || doc_id), 1, 15))::BIGINT, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_ FROM placed)
+SELECT doc_id, domain, lang, source, n_tokens, e::INT AS epoch, n_tokens AS take_tokens FROM placed, range(2) AS t(e) WHERE e < whole
+UNION ALL SELECT doc_id, domain, lang, source, n_tokens, whole::INT AS epoch, least(n_tokens, part - begin_)::BIGINT AS take_tokens FROM starts WHERE begin_ < part
+"""
+
 #: The other operators have parts beyond SQL (models fitted by iteration, fingerprints, spans through decoded layers,
 #: the tokenizer's own library): tests compare them with brute force.
-ORACLES: dict[str, str] = {"op7_substring_dedup": SUBSTRING_DEDUP, "op8_chat_format": CHAT_FORMAT}
+ORACLES: dict[str, str] = {"op7_substring_dedup": SUBSTRING_DEDUP, "op8_chat_format": CHAT_FORMAT, "op6_mix_sources": MIX_SOURCES}
