@@ -339,9 +339,9 @@ for _kernel, _stride, _nempty in (("222", 2, True), ("333", 1, True), ("333", 2,
     )
 
 
-@query("g6_global_pool", f"SELECT c AS cloud_id, {r(*[f'coalesce(avg({x}), 0) AS {x}' for x in DATA])} FROM range(10) AS t(c) LEFT JOIN {FEAT} f ON f.cloud_id = c GROUP BY c")
+@query("g6_global_pool", f"SELECT c AS cloud_id, {r(*[f'coalesce(avg({x}), 0) AS {x}' for x in DATA])} FROM (SELECT cloud_id AS c FROM {CLOUDS} UNION ALL SELECT 0) LEFT JOIN {FEAT} f ON f.cloud_id = c GROUP BY c")
 def g6(spark, d):
-    return values(G.global_pool(feat(spark, d), spark.range(10).withColumnRenamed("id", "cloud_id"), CH), "cloud_id")
+    return values(G.global_pool(feat(spark, d), clouds(spark, d).union(spark.range(1)), CH), "cloud_id")
 
 
 GAMMA, BETA = [1.0, 0.5, 2.0, -1.0], [0.0, 0.1, -0.2, 0.3]

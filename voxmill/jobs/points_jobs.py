@@ -170,9 +170,10 @@ def a10(spark, d):
     return merged(spark, d).select("cloud_id", "point_id", F.col("batch_id").cast("long").alias("batch_id"), "n_points", rounded("x"))
 
 
-@query("a11_split_points", f"SELECT b AS batch_id, count(m.batch_id) AS n_points FROM range(20) AS t(b) LEFT JOIN {MERGED} m ON m.batch_id = b GROUP BY b")
+@query("a11_split_points", f"SELECT b AS batch_id, count(m.batch_id) AS n_points FROM (SELECT unnest(range((SELECT max(batch_id) + 3 FROM {MERGED}))) AS b) LEFT JOIN {MERGED} m ON m.batch_id = b GROUP BY b")
 def a11(spark, d):
-    return P.split_counts(merged(spark, d), 20)
+    points = merged(spark, d)
+    return P.split_counts(points, points.agg(F.max("batch_id")).first()[0] + 3)
 
 
 CELL = ("floor(l_quantity * 7)", "floor(l_extendedprice / 10)", "l_partkey")

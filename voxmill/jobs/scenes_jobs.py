@@ -125,7 +125,7 @@ def r3b(spark, d):
 
 @query("r3_shift_part_labels", f"SELECT cloud_id AS category, point_id, label + 40 - cloud_id * 5 AS label FROM {CLOUD_L}")
 def r3(spark, d):
-    offsets = spark.range(1, 8).select(F.col("id").alias("category"), (F.col("id") * 5 - 40).alias("shift"))
+    offsets = cloud_l(spark, d).select(F.col("cloud_id").alias("category")).distinct().withColumn("shift", F.col("category") * 5 - 40)
     return S.shift_part_labels(cloud_l(spark, d).select(F.col("cloud_id").alias("category"), "point_id", F.col("label").cast("long").alias("label")), offsets).select("category", "point_id", "label")
 
 

@@ -7,11 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxmill.functions.ranks import ranked
 from voxmill.jobs import scenes_jobs, workloads
 from voxmill.jobs.octree_jobs import neigh_sql, uniform_sql
 from voxmill.jobs.points_jobs import alignments
 from voxmill.jobs.registry import query, r, rounded
-from voxmill.jobs.tables import CLOUD_E, CLOUD_L, DEPTH, FULL, INSIDE, cloud_e, cloud_l, clipped, feat, folder, keyed_sql, table
+from voxmill.jobs.tables import CLIPPED, CLOUD_E, CLOUD_L, DEPTH, FULL, INSIDE, cloud_e, cloud_l, clipped, feat, folder, keyed_sql, table
 from voxmill.operators import augment as A
 from voxmill.operators import octree as O
 from voxmill.operators import points as P
@@ -299,10 +300,11 @@ def u2(spark, d):
         del S.READERS["pts"]
 
 
-@query("u3_collate_batch", f"SELECT 6 - (cloud_id - 1) AS batch_id, k, count(*) AS n, sum(nkey)::BIGINT AS keys FROM {neigh_sql()} GROUP BY ALL")
+@query("u3_collate_batch", f"SELECT (SELECT count(DISTINCT cloud_id) FROM {CLIPPED} c WHERE c.cloud_id > n.cloud_id) AS batch_id, k, count(*) AS n, sum(nkey)::BIGINT AS keys FROM {neigh_sql()} n GROUP BY cloud_id, k")
 def u3(spark, d):
-    order = spark.range(1, 8).select(F.col("id").alias("cloud_id"), (7 - F.col("id")).alias("batch_idx"))
-    nodes, neighbours = workloads.collate(O.voxelize(clipped(spark, d), DEPTH), order, DEPTH, FULL)
+    points = clipped(spark, d)
+    order = ranked(points.select("cloud_id").distinct(), -F.floor(F.col("cloud_id") / 4096), [F.desc("cloud_id")], name="batch_idx")
+    nodes, neighbours = workloads.collate(O.voxelize(points, DEPTH), order, DEPTH, FULL)
     there = neighbours.join(nodes.where(F.col("depth") == DEPTH).select(F.col("batch_id").cast("long").alias("cloud_id"), "key"), ["cloud_id", "key"], "left_semi")
     return there.groupBy(F.col("cloud_id").alias("batch_id"), "k").agg(F.count("*").alias("n"), F.sum("nkey").alias("keys"))
 

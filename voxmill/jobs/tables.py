@@ -19,11 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Order keys that make up seven clouds: more orders give more clouds, not fuller ones.
+ORDERS = 50_000
+
+
 def cloud_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven clouds from ``lineitem``, one for each line number; point ids are unique within a cloud."""
+    """Clouds from ``lineitem``, seven for every ORDERS order keys, one for each line number; point ids are unique within a cloud."""
     day = F.datediff("l_shipdate", F.lit("1995-01-01").cast("date"))
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_linenumber").cast("long").alias("cloud_id"),
+        (F.col("l_linenumber") + 7 * F.expr(f"l_orderkey div {ORDERS}")).cast("long").alias("cloud_id"),
         (((F.col("l_orderkey") * 200000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 4000 + day).alias("point_id"),
         (F.col("l_quantity") / 25.5 - 1).alias("x"),
         (F.col("l_extendedprice") / 52500.0 - 1).alias("y"),
@@ -37,7 +41,7 @@ def cloud_l(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DAY = "date_diff('day', DATE '1995-01-01', l_shipdate::DATE)"
-CLOUD_L = f"""(SELECT l_linenumber::BIGINT AS cloud_id, ((l_orderkey * 200000 + l_partkey) * 10000 + l_suppkey) * 4000 + {DAY} AS point_id,
+CLOUD_L = f"""(SELECT (l_linenumber + 7 * (l_orderkey // {ORDERS}))::BIGINT AS cloud_id, ((l_orderkey * 200000 + l_partkey) * 10000 + l_suppkey) * 4000 + {DAY} AS point_id,
  l_quantity / 25.5 - 1 AS x, l_extendedprice / 52500.0::DOUBLE - 1 AS y, {DAY} / 1260.0::DOUBLE - 1 AS z,
  l_discount - 0.05::DOUBLE AS nx, l_tax - 0.04::DOUBLE AS ny, (l_quantity - 25.5::DOUBLE) / 25.0::DOUBLE AS nz, l_quantity AS f0, l_discount AS f1,
  CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label FROM lineitem)"""
