@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Seconds given to logging and to deletion when shuffles are released.
+SETTLE = 0.75
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,10 +68,14 @@ def signed(x: int) -> int:
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the files of shuffles that no plan refers to any more.
 
-    The cleaner learns of them from the driver's garbage collector, which may not run for long.
+    The cleaner learns of them from the driver's garbage collector, which may not run for long. The last job's plan is held
+    until its end has been logged, and executors delete in the background, so on a cluster a moment is left before and after.
     """
+    settle = 0.0 if spark.sparkContext.master.startswith("local[") else SETTLE
+    time.sleep(settle)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(settle)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
