@@ -25,13 +25,14 @@ count as one document: none removes the other's words.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import WordHashes, by_row, join_hot, rolling, staged, words
+from voxmill.llm.common import WordHashes, join_hot, rolling, staged, words
 
 WINDOW, BLOCK, RUN = 50, 25, 8
 
@@ -82,41 +83,53 @@ def removed_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and ``passages``, the hashes of the passages that each document loses."""
     rows = with_words(docs, text).where(F.col("doc_id").isNotNull() & F.col("content").isNotNull())
 
-    def sketches() -> Callable[[str], tuple]:
-        hashes = WordHashes()
-        return lambda t: (sketch(hashes.array(words(t))).view(np.int64),)
-
-    def regions() -> Callable[[str, np.ndarray], tuple]:
-        hashes = WordHashes()
+    kind = docs.schema["doc_id"].dataType
+    named = rows.select(F.col("doc_id").cast("string"), "content")  # ids travel as text: pandas has no long beside null
 
-        def one(t: str, shared: np.ndarray) -> tuple:
-            found = list(stretches(hashes.array(words(t)), np.asarray(shared, np.int64).view(np.uint64)))
-            return [a for a, _, _ in found], [b.view(np.int64) for _, b, _ in found], [p.view(np.int64) for _, _, p in found]
+    def lists(found: list) -> pd.Series:
+        return pd.Series(found, dtype=object)
 
-        return one
-
-    def extend(p: np.ndarray, hits: np.ndarray) -> tuple:
-        # a hit block at k lies in the passages that start at k - (WINDOW - BLOCK) .. k
-        marks = np.asarray(hits, np.int64) - (WINDOW - BLOCK)
-        inside = np.zeros(len(p) + 1, np.int64)
-        np.add.at(inside, np.clip(marks, 0, len(p)), 1)
-        np.add.at(inside, np.clip(marks + WINDOW - BLOCK + 1, 0, len(p)), -1)
-        return (np.unique(np.asarray(p)[np.cumsum(inside[:-1]) > 0]),)
+    def sketches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for part in parts:
+            found = [sketch(hashes.array(words(t))).view(np.int64) for t in part["content"]]
+            some = [k for k, x in enumerate(found) if len(x)]
+            yield pd.DataFrame({"doc_id": lists([part["doc_id"].iloc[k] for k in some]), "sketch": lists([found[k] for k in some])})
 
-    sketched = rows.select("doc_id", by_row(sketches, "sketch array<bigint>")("content").alias("made")).select("doc_id", "made.sketch")
-    sketched = staged(sketched.where(F.size("sketch") > 0), "sketches")
+    def regions(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for part in parts:
+            out = []
+            for doc, t, shared in zip(part["doc_id"], part["content"], part["shared"]):
+                ids = hashes.array(words(t))
+                out += [(doc, a, b.view(np.int64), p.view(np.int64)) for a, b, p in stretches(ids, np.asarray(shared, np.int64).view(np.uint64))]
+            yield pd.DataFrame({n: lists([x[k] for x in out]) for k, n in enumerate(("doc_id", "first_word", "blocks", "passages"))})
+
+    def extend(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            kept = []
+            for p, hits in zip(part["passages"], part["hits"]):
+                # a hit block at k lies in the passages that start at k - (WINDOW - BLOCK) .. k
+                marks = np.asarray(hits, np.int64) - (WINDOW - BLOCK)
+                inside = np.zeros(len(p) + 1, np.int64)
+                np.add.at(inside, np.clip(marks, 0, len(p)), 1)
+                np.add.at(inside, np.clip(marks + WINDOW - BLOCK + 1, 0, len(p)), -1)
+                kept.append(np.unique(np.asarray(p)[np.cumsum(inside[:-1]) > 0]))
+            yield pd.DataFrame({"doc_id": part["doc_id"], "passages": lists(kept)})
+
+    own = lambda df: df.withColumn("doc_id", F.col("doc_id").cast(kind))
+    sketched = staged(own(named.mapInPandas(sketches, "doc_id string, sketch array<bigint>")), "sketches")
     by_run = sketched.select("doc_id", F.explode("sketch").alias("h"))
     shared = staged(by_run.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", "n"), "shared")
     told = join_hot(by_run, shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared"))
-    made = by_row(regions, "first_word array<int>, blocks array<array<bigint>>, passages array<array<bigint>>")("content", "shared")
-    found = rows.join(told, "doc_id").select("doc_id", made.alias("made")).select("doc_id", F.explode(F.arrays_zip("made.first_word", "made.blocks", "made.passages")).alias("x")).select("doc_id", "x.*")
+    found = own(rows.join(told, "doc_id").withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(regions, "doc_id string, first_word int, blocks array<bigint>, passages array<bigint>"))
     left = staged(found.withColumn("row", F.monotonically_increasing_id()), "stretches")
     probes = left.select("row", "doc_id", "first_word", F.posexplode("blocks").alias("at", "h"))
     indexed = F.when((F.col("first_word") + F.col("at")) % BLOCK == 0, F.col("doc_id"))
     anchors = probes.groupBy("h").agg(F.min(indexed).alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", "n")
     hits = join_hot(probes.select("row", "at", "h"), staged(anchors, "anchors"), "h").groupBy("row").agg(F.collect_set("at").alias("hits"))
-    near = left.select("row", "doc_id", "passages").join(hits, "row").select("doc_id", by_row(lambda: extend, "passages array<bigint>")("passages", "hits").alias("made"))
-    near = staged(near.select("doc_id", "made.passages"), "extended").select("doc_id", F.explode("passages").alias("h"))
+    near = left.select("row", "doc_id", "passages").join(hits, "row").select(F.col("doc_id").cast("string"), "passages", "hits")
+    near = staged(own(near.mapInPandas(extend, "doc_id string, passages array<bigint>")), "extended").select("doc_id", F.explode("passages").alias("h"))
     firsts = near.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     lost = join_hot(near, staged(firsts.select("h", "lo", "n"), "firsts"), "h").where("lo < doc_id")
     return staged(lost.groupBy("doc_id").agg(F.collect_set("h").alias("passages")), "lost")
@@ -132,16 +145,19 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, by single spaces)."""
     lost = removed_passages(docs, text)
 
-    def make() -> Callable[[str | None, np.ndarray | None], tuple]:
-        hashes = WordHashes()
-
-        def one(t: str | None, gone: np.ndarray | None) -> tuple:
-            tokens = words(t)
-            left = tokens if gone is None else kept_words(tokens, np.asarray(gone, np.int64).view(np.uint64), hashes)
-            kept = b" ".join(left)
-            return len(tokens), len(tokens) - len(left), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8")
+    kind = docs.schema["doc_id"].dataType
 
-        return one
-
-    made = by_row(make, "n_words bigint, n_removed bigint, kept_sha256 string, kept string")("content", "passages")
-    return with_words(docs, text).join(lost, "doc_id", "left").select("doc_id", made.alias("made")).select("doc_id", "made.*")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for part in parts:
+            out = []
+            for doc, t, gone in zip(part["doc_id"], part["content"], part["passages"]):
+                tokens = words(t)
+                left = tokens if gone is None else kept_words(tokens, np.asarray(gone, np.int64).view(np.uint64), hashes)
+                kept = b" ".join(left)
+                out.append((doc, len(tokens), len(tokens) - len(left), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8")))
+            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    named = with_words(docs, text).join(lost, "doc_id", "left").withColumn("doc_id", F.col("doc_id").cast("string"))
+    done = named.mapInPandas(run, "doc_id string, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    return done.withColumn("doc_id", F.col("doc_id").cast(kind))
