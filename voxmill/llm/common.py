@@ -80,6 +80,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Tables between the steps of one job, under ``spark.checkpoint.dir``.
+
+    A table is dropped once the steps that read it are themselves written; what is returned to the caller stays.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, shared_dir(spark)
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        release_shuffles(self.spark)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str = "n") -> DataFrame:
     """Inner join of ``rows`` with ``table``, which has each ``key`` once and in ``weight`` its rows.
 

@@ -9,9 +9,11 @@ document with a smaller id. The search has these steps, each of which loses noth
 2. *Anchors.* In what is left, non-overlapping blocks of ``BLOCK`` words (at multiples of BLOCK)
    are the index, and every rolling window of BLOCK words probes it. As 2 * BLOCK - 1 is less than
    WINDOW, each shared passage holds a block of one document that the other's probes hit.
-3. *Extension.* Around hits, passages are compared whole (by a hash of all their words) and the
-   smallest document of each is found. The words covered by a document's hit passages are
-   its maximal repeats.
+3. *Extension.* Around hits, passages are compared whole (by a hash of the blocks at their two ends,
+   which cover all their words) and the smallest document of each is found. The words covered by a
+   document's hit passages are its maximal repeats.
+
+The tables of steps are dropped when later ones are written.
 
 Words are hashed with 64 bits; every table is grouped by hash with partial sums, so a
 passage that a third of all documents share costs one row for each. Hot hashes (at most a
@@ -32,9 +34,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import WordHashes, join_hot, rolling, staged, words
+from voxmill.llm.common import Steps, WordHashes, join_hot, mix, rolling, words
 
 WINDOW, BLOCK, RUN = 50, 25, 8
+#: The last block of a passage starts so many words after its first; together they are the passage.
+FAR = WINDOW - BLOCK
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -61,18 +65,22 @@ def sketch(ids: np.ndarray) -> np.ndarray:
     return np.unique(sliding_min(rolling(ids, RUN), WINDOW - RUN + 1))
 
 
-def stretches(ids: np.ndarray, shared: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first word, hashes of blocks, hashes of passages) of runs of passages with a shared sketch."""
+def passages(blocks: np.ndarray) -> np.ndarray:
+    """Hashes of passages from those of the blocks in which they start and end."""
+    return mix(mix(blocks[: max(len(blocks) - FAR, 0)]) + blocks[FAR:])
+
+
+def stretches(ids: np.ndarray, shared: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first word, hashes of blocks) of runs of passages with a shared sketch."""
     if len(ids) < WINDOW:
         return
-    n = len(ids) - WINDOW + 1
     inside = np.isin(sliding_min(rolling(ids, RUN), WINDOW - RUN + 1), shared)
     if not inside.any():
         return
-    blocks, passages = rolling(ids, BLOCK), rolling(ids, WINDOW)
+    blocks = rolling(ids, BLOCK)
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     for a, b in zip(edge[::2], edge[1::2]):
-        yield int(a), blocks[a : min(b + WINDOW - BLOCK, n + WINDOW - BLOCK)], passages[a:b]
+        yield int(a), blocks[a : b + FAR]
 
 
 def with_words(docs: DataFrame, text: str) -> DataFrame:
@@ -102,42 +110,48 @@ def removed_passages(docs: DataFrame, text: str = "text") -> DataFrame:
             out = []
             for doc, t, shared in zip(part["doc_id"], part["content"], part["shared"]):
                 ids = hashes.array(words(t))
-                out += [(doc, a, b.view(np.int64), p.view(np.int64)) for a, b, p in stretches(ids, np.asarray(shared, np.int64).view(np.uint64))]
-            yield pd.DataFrame({n: lists([x[k] for x in out]) for k, n in enumerate(("doc_id", "first_word", "blocks", "passages"))})
+                out += [(doc, a, b.view(np.int64)) for a, b in stretches(ids, np.asarray(shared, np.int64).view(np.uint64))]
+            yield pd.DataFrame({n: lists([x[k] for x in out]) for k, n in enumerate(("doc_id", "first_word", "blocks"))})
 
     def extend(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             kept = []
-            for p, hits in zip(part["passages"], part["hits"]):
-                # a hit block at k lies in the passages that start at k - (WINDOW - BLOCK) .. k
-                marks = np.asarray(hits, np.int64) - (WINDOW - BLOCK)
+            for blocks, hits in zip(part["blocks"], part["hits"]):
+                p = passages(np.asarray(blocks, np.int64).view(np.uint64)).view(np.int64)
+                # a hit block at k lies in the passages that start at k - FAR .. k
+                marks = np.asarray(hits, np.int64) - FAR
                 inside = np.zeros(len(p) + 1, np.int64)
                 np.add.at(inside, np.clip(marks, 0, len(p)), 1)
-                np.add.at(inside, np.clip(marks + WINDOW - BLOCK + 1, 0, len(p)), -1)
-                kept.append(np.unique(np.asarray(p)[np.cumsum(inside[:-1]) > 0]))
+                np.add.at(inside, np.clip(marks + FAR + 1, 0, len(p)), -1)
+                kept.append(np.unique(p[np.cumsum(inside[:-1]) > 0]))
             yield pd.DataFrame({"doc_id": part["doc_id"], "passages": lists(kept)})
 
+    steps = Steps(docs.sparkSession)
     own = lambda df: df.withColumn("doc_id", F.col("doc_id").cast(kind))
-    sketched = staged(own(named.mapInPandas(sketches, "doc_id string, sketch array<bigint>")), "sketches")
-    by_run = sketched.select("doc_id", F.explode("sketch").alias("h"))
-    shared = staged(by_run.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", "n"), "shared")
-    told = join_hot(by_run, shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared"))
-    found = own(rows.join(told, "doc_id").withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(regions, "doc_id string, first_word int, blocks array<bigint>, passages array<bigint>"))
-    left = staged(found.withColumn("row", F.monotonically_increasing_id()), "stretches")
+    by_run = steps.write("sketches", own(named.mapInPandas(sketches, "doc_id string, sketch array<bigint>"))).select("doc_id", F.explode("sketch").alias("h"))
+    shared = steps.write("shared", by_run.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", "n"))
+    told = steps.write("told", join_hot(by_run, shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared")))
+    steps.drop("sketches", "shared")
+    found = own(rows.join(told, "doc_id").withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(regions, "doc_id string, first_word int, blocks array<bigint>"))
+    left = steps.write("stretches", found.withColumn("row", F.monotonically_increasing_id()))
+    steps.drop("told")
     probes = left.select("row", "doc_id", "first_word", F.posexplode("blocks").alias("at", "h"))
     indexed = F.when((F.col("first_word") + F.col("at")) % BLOCK == 0, F.col("doc_id"))
-    anchors = probes.groupBy("h").agg(F.min(indexed).alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", "n")
-    hits = join_hot(probes.select("row", "at", "h"), staged(anchors, "anchors"), "h").groupBy("row").agg(F.collect_set("at").alias("hits"))
-    near = left.select("row", "doc_id", "passages").join(hits, "row").select(F.col("doc_id").cast("string"), "passages", "hits")
-    near = staged(own(near.mapInPandas(extend, "doc_id string, passages array<bigint>")), "extended").select("doc_id", F.explode("passages").alias("h"))
-    firsts = near.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    lost = join_hot(near, staged(firsts.select("h", "lo", "n"), "firsts"), "h").where("lo < doc_id")
-    return staged(lost.groupBy("doc_id").agg(F.collect_set("h").alias("passages")), "lost")
+    anchors = steps.write("anchors", probes.groupBy("h").agg(F.min(indexed).alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", "n"))
+    hits = steps.write("hits", join_hot(probes.select("row", "at", "h"), anchors, "h").groupBy("row").agg(F.collect_set("at").alias("hits")))
+    near = left.select("row", "doc_id", "blocks").join(hits, "row").select(F.col("doc_id").cast("string"), "blocks", "hits")
+    near = steps.write("extended", own(near.mapInPandas(extend, "doc_id string, passages array<bigint>"))).select("doc_id", F.explode("passages").alias("h"))
+    steps.drop("stretches", "anchors", "hits")
+    firsts = steps.write("firsts", near.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", "lo", "n"))
+    lost = join_hot(near, firsts, "h").where("lo < doc_id")
+    lost = steps.write("lost", lost.groupBy("doc_id").agg(F.collect_set("h").alias("passages")))
+    steps.drop("extended", "firsts")
+    return lost
 
 
 def kept_words(tokens: list[bytes], lost: np.ndarray, hashes: WordHashes) -> list[bytes]:
-    passages = rolling(hashes.array(tokens), WINDOW)
-    gone = covered(np.flatnonzero(np.isin(passages, lost)), WINDOW, len(tokens))
+    found = np.flatnonzero(np.isin(passages(rolling(hashes.array(tokens), BLOCK)), lost))
+    gone = covered(found, WINDOW, len(tokens))
     return [t for t, g in zip(tokens, gone) if not g]
 
 
