@@ -1,17 +1,17 @@
-"""Near-duplicates of five-word similarity 0.8 by SimHash candidates.
+"""Near-duplicates of five-word similarity 0.8, with those of SimHash.
 
 Links are those of ``simhash`` (fingerprints of three-word shingles within 3 bits, near-duplicates by
 that operator's definition) and more: texts whose five-word shingle sets have a Jaccard similarity of at least 0.8.
-Candidates for these lie within ``RADIUS`` bits and have an estimated similarity of at
-least ``LOOSE``. The estimate compares 256 one-byte minima, made in one pass over the shingles; its
-spread at 0.8 is 0.025, so that the bound lies four spreads below. Fingerprints of unrelated texts
-are 32 bits apart with a spread of 4, which leaves triangle bounds little to cut at this radius;
-sizes cut first: similar sets differ in size by a quarter at most, so bands of sizes are
-searched against themselves and the next band only.
-
-Within a leaf only spanning candidates are put out. What they connect is a cluster, and every similar
-pair lies in one; inside the clusters candidates are compared by their exact sets, unless they are joined up already.
+Unrelated fingerprints are 32 bits apart with a spread of 4, so triangle bounds cut nothing at the radius that these
+need. Their candidates are therefore texts that agree in one of ``BANDS`` bands of ``ROWS`` minima of the set: at 0.8 a pair is
+missed with a chance of 3 in a million, at 0.3 one pair in 13 is looked at. Bands of equal members are one; what they hold
+is compared by sketches of 256 one-byte minima, whose spread at 0.8 is 0.025: ``LOOSE`` lies four spreads below.
+
+Only spanning candidates are put out. What they connect is a cluster, and every similar pair lies in one; inside
+the clusters candidates are compared by their exact sets, unless they are joined up already.
 Null and empty texts are one group (their fingerprint is zero); rows with a null id are always kept.
+Of texts with equal fingerprints that of the smallest id stands for all. Repeated rows come back from ``groups`` as often as they
+came in; long texts are read whole; other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxmill.llm.common import WordHashes, by_row, grams, join_hot, lower_words, mix, signed, staged
-from voxmill.llm.simhash import LEAF, Links, components, fingerprint, fitted_tree, near_links
+from voxmill.llm.simhash import Links, components, fingerprint, near_links
 
-RADIUS, SHINGLE, BINS, LOOSE = 20, 5, 256, 0.7
-#: Nodes whose exact sets are compared in one task; larger clusters go by pairs of blocks.
-BLOCK = 4096
-#: Sizes in a band differ by less than a quarter; similar sets lie in the same or the next band.
-RATIO = 0.8
+SHINGLE, BINS, LOOSE = 5, 256, 0.7
+#: Two sets of similarity s share a band with a chance of 1 - (1 - s ** ROWS) ** BANDS.
+BANDS, ROWS = 32, 5
+#: Nodes that are compared in one task; larger groups go by pairs of blocks.
+BLOCK = 2048
+_MINIMA = np.random.default_rng(11).integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64, endpoint=False) | np.uint64(1)
 
 
 def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -50,19 +51,32 @@ def sketch(h: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """One key for each band: a hash of the band's number and of the smallest values of ``h`` under its hash functions."""
+    if not len(h):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(h), 1024):
+        np.minimum(least, (h[None, k : k + 1024] * _MINIMA).min(1), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = mix(keys + row)
+    return keys.view(np.int64)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, sketch and size of every row."""
+    """doc_id, fp, sketch and band keys of every row."""
 
     def make() -> Callable[[str | None], tuple]:
         hashes = WordHashes()
 
         def one(text: str | None) -> tuple:
             h = shingle_set(text, hashes)
-            return signed(fingerprint(text)), sketch(h), len(h)
+            return signed(fingerprint(text)), sketch(h), band_keys(h)
 
         return one
 
-    made = by_row(make, "fp bigint, sketch binary, size bigint")(F.col("text").cast("string"))
+    made = by_row(make, "fp bigint, sketch binary, bands array<bigint>")(F.col("text").cast("string"))
     return docs.select("doc_id", made.alias("__made")).select("doc_id", "__made.*")
 
 
@@ -71,81 +85,85 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & (a > 0)).sum(1) / np.maximum(((a > 0) | (b > 0)).sum(1), 1)
 
 
-def similar_links(nodes: DataFrame, count: int) -> DataFrame:
-    """Spanning candidates (a, b) between ``fp`` values of nodes (fp, sketch, size)."""
-    depth = max(0, math.ceil(math.log2(max(count, 1) / (16 * LEAF))))
-    tree, _ = fitted_tree(nodes, depth, count)
+def place(rows: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """``rows`` (fp, key) with home, blocks and block: small groups share a home, large ones are cut into blocks."""
+    homes = max(1, math.ceil(total / BLOCK))
+    blocks = F.ceil(F.col("members") / BLOCK)
+    home = F.when(blocks > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(homes)))
+    sized = join_hot(rows, counts.withColumn("members", F.col("n")), "key")
+    return sized.select("fp", "key", home.alias("home"), blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).alias("block"))
 
-    def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            points = part["fp"].to_numpy(np.int64).view(np.uint64)
-            band = np.floor(np.log(np.maximum(part["size"].to_numpy(), 1)) / -math.log(RATIO) + 1e-9).astype(np.int64)
-            home = tree.home(points)
-            which, leaf = tree.visits(points, RADIUS)
-            later = leaf > home[which]
-            rows = np.concatenate([np.arange(len(points)), which[later], which])
-            at = np.concatenate([home, leaf[later], leaf])
-            bands = np.concatenate([band, band[which[later]], band[which] + 1])
-            own = np.arange(len(rows)) < len(points)
-            yield pd.DataFrame({"leaf": bands << 40 | at, "fp": part["fp"].to_numpy()[rows], "sketch": part["sketch"].to_numpy()[rows], "own": own})
+
+def compared(placed: DataFrame, make: Callable[[pd.Series], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
+    """Spanning links (a, b) of the rows of ``place`` with a ``value``, among all pairs of equal key.
+
+    ``make`` takes the values of some rows and returns what tells which pairs of their positions are linked.
+    """
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
-        points = part["fp"].to_numpy(np.int64).view(np.uint64)
-        sketches = np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(-1, BINS)
-        links, own = Links(len(points)), np.flatnonzero(part["own"].to_numpy(bool))
-        for k in range(0, len(points), 1024):
-            for m in range(0, len(own), 1024):
-                asks, held = np.arange(k, min(k + 1024, len(points))), own[m : m + 1024]
-                i, j = np.nonzero(np.bitwise_count(points[asks][:, None] ^ points[held][None, :]) <= RADIUS)
-                a, b = asks[i], held[j]
-                for n in range(0, len(a), 1 << 15):
-                    x, y = a[n : n + (1 << 15)], b[n : n + (1 << 15)]
-                    open_ = links.parent[x] != links.parent[y]  # joined up already: nothing to add
-                    x, y = x[open_], y[open_]
-                    near = alike(sketches[x], sketches[y]) >= LOOSE
-                    links.add(x[near], y[near])
+        across = part["i"].iat[0] != part["j"].iat[0]
+        part = part.sort_values(["key", "block", "fp"])
+        points, first, node = np.unique(part["fp"].to_numpy(np.int64), return_index=True, return_inverse=True)
+        key, block = part["key"].to_numpy(np.int64), part["block"].to_numpy(np.int64)
+        similar, links = make(part["value"].iloc[first]), Links(len(points))
+        at, step = np.arange(len(part)), 1
+        while len(at := at[at + step < len(part)]) and len(at := at[key[at] == key[at + step]]):
+            pairs = at[block[at] != block[at + step]] if across else at
+            a, b = node[pairs], node[pairs + step]
+            open_ = links.parent[a] != links.parent[b]  # joined up already: nothing to add
+            a, b = a[open_], b[open_]
+            if len(a):
+                near = similar(a, b)
+                links.add(a[near], b[near])
+            step += 1
         moved = np.flatnonzero(links.parent != np.arange(len(points)))
-        return pd.DataFrame({"a": points[moved].view(np.int64), "b": points[links.parent[moved]].view(np.int64)})
-
-    dealt = nodes.where("size > 0").mapInPandas(deal, "leaf bigint, fp bigint, sketch binary, own boolean")
-    return dealt.groupBy("leaf").applyInPandas(link, "a bigint, b bigint")
-
-
-def verified(part: pd.DataFrame) -> pd.DataFrame:
-    """Spanning links (a, b) of the rows (fp, block, shingles) with a similarity of 0.8; of two blocks, those across."""
-    part = part.sort_values(["fp", "shingles"]).drop_duplicates("fp")
-    points, block = part["fp"].to_numpy(np.int64).view(np.uint64), part["block"].to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
-    sketches = np.frombuffer(b"".join(map(sketch, sets)), np.uint8).reshape(-1, BINS)
-    links, across = Links(len(points)), block.min() != block.max() or part["i"].iat[0] != part["j"].iat[0]
-    for k in range(0, len(points), 1024):
-        for m in range(k, len(points), 1024):
-            i, j = np.nonzero(np.bitwise_count(points[k : k + 1024][:, None] ^ points[m : m + 1024][None, :]) <= RADIUS)
-            a, b = i + k, j + m
-            ahead = (a < b) & (block[a] != block[b] if across else True)
-            a, b = a[ahead], b[ahead]
-            for n in range(0, len(a), 1 << 15):
-                x, y = a[n : n + (1 << 15)], b[n : n + (1 << 15)]
-                open_ = links.parent[x] != links.parent[y]
-                x, y = x[open_], y[open_]
-                near = alike(sketches[x], sketches[y]) >= LOOSE
-                for p, q in zip(x[near].tolist(), y[near].tolist()):
-                    if links.parent[p] != links.parent[q]:
-                        both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-                        if 5 * both >= 4 * (len(sets[p]) + len(sets[q]) - both):
-                            links.add(np.array([p]), np.array([q]))
-    moved = np.flatnonzero(links.parent != np.arange(len(points)))
-    return pd.DataFrame({"a": points[moved].view(np.int64), "b": points[links.parent[moved]].view(np.int64)})
+        return pd.DataFrame({"a": points[moved], "b": points[links.parent[moved]]})
+
+    dealt = placed.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("fp", "key", "home", "blocks", "block", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return dealt.groupBy("home", "blocks", "i", "j").applyInPandas(link, "a bigint, b bigint")
+
+
+def by_sketch(values: pd.Series) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Pairs with an estimated similarity of ``LOOSE``."""
+    held = np.frombuffer(b"".join(values), np.uint8).reshape(-1, BINS)
+
+    def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pieces = [alike(held[a[n : n + 4096]], held[b[n : n + 4096]]) >= LOOSE for n in range(0, len(a), 4096)]
+        return np.concatenate(pieces)
+
+    return similar
+
+
+def by_set(values: pd.Series) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Pairs with an exact similarity of 0.8."""
+    sets = [np.frombuffer(x, np.uint64) for x in values]
+    loose = by_sketch(pd.Series(list(map(sketch, sets))))
+
+    def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        near = loose(a, b)
+        for n in np.flatnonzero(near):
+            x, y = sets[a[n]], sets[b[n]]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            near[n] = 5 * both >= 4 * (len(x) + len(y) - both)
+        return near
+
+    return similar
+
+
+def similar_links(nodes: DataFrame) -> DataFrame:
+    """Spanning candidates (a, b) between ``fp`` values of nodes (fp, sketch, bands)."""
+    keys = nodes.select("fp", F.explode("bands").alias("key"))
+    held = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.bit_xor(F.xxhash64("fp")).alias("all"))
+    shared = staged(held.where("n > 1").groupBy("n", "least", "all").agg(F.min("key").alias("key")).select("key", "n"), "shared")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return compared(place(keys, shared, total).join(nodes.select("fp", F.col("sketch").alias("value")), "fp"), by_sketch)
 
 
 def exact_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
     """Links (a, b) of exactly compared sets within clusters (node, label); the sets are those of the nodes' ``first_id``."""
-    counts = clusters.groupBy("label").agg(F.count("*").alias("n")).withColumn("members", F.col("n"))
-    buckets = max(1, math.ceil(clusters.count() / BLOCK))
-    blocks = F.ceil(F.col("members") / BLOCK)
-    home = F.when(blocks > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(buckets)))
-    placed = join_hot(clusters, counts, "label").select(F.col("node").alias("fp"), home.alias("home"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block"))
-    placed = placed.join(nodes.select("fp", "first_id"), "fp")
+    rows = clusters.select(F.col("node").alias("fp"), F.col("label").alias("key"))
+    placed = place(rows, rows.groupBy("key").agg(F.count("*").alias("n")), rows.count()).join(nodes.select("fp", "first_id"), "fp")
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -153,24 +171,22 @@ def exact_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataF
             texts = part.pop("text")
             same = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64) == part["fp"].to_numpy(np.int64)
             part = part[same]
-            yield part.assign(shingles=[shingle_set(t, hashes).tobytes() for t in texts[same]])
+            yield part.assign(value=[shingle_set(t, hashes).tobytes() for t in texts[same]])
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    chosen = texts.join(placed, F.col("doc_id") == F.col("first_id")).select("fp", "home", "blocks", "block", "text")
-    sets = chosen.mapInPandas(read, "fp bigint, home bigint, blocks bigint, block bigint, shingles binary")
-    dealt = sets.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("fp", "home", "blocks", "block", "shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return dealt.groupBy("home", "blocks", "i", "j").applyInPandas(verified, "a bigint, b bigint")
+    chosen = texts.join(placed, F.col("doc_id") == F.col("first_id")).select("fp", "key", "home", "blocks", "block", "text")
+    sets = chosen.mapInPandas(read, "fp bigint, key bigint, home bigint, blocks bigint, block bigint, value binary")
+    return compared(sets, by_set)
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id and group_id (smallest id of its near-duplicates) of every row."""
     signed = staged(signatures(docs), "signatures")
-    best = F.min_by(F.struct("sketch", "size"), "doc_id")
+    best = F.min_by(F.struct("sketch", "bands"), "doc_id")
     nodes = signed.groupBy("fp").agg(F.min("doc_id").alias("first_id"), best.alias("x"), F.count("*").alias("n"))
     nodes = staged(nodes.where("first_id is not null").select("fp", "first_id", "n", "x.*"), "nodes")
     count = nodes.count()
-    similar = exact_links(docs, nodes, components(similar_links(nodes, count)))
+    similar = exact_links(docs, nodes, components(similar_links(nodes)))
     labels = components(near_links(nodes.select("fp"), 3, count).union(similar))
     named = labels.join(nodes.select("fp", "first_id"), labels["node"] == F.col("fp"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("group_id"))
