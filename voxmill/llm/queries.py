@@ -5,8 +5,9 @@ from __future__ import annotations
 from importlib.resources import files
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxmill.llm import audio, chat, decontaminate, lm, mixing, quality, repeats, secrets, simhash, tokens
+from voxmill.llm import align, audio, chat, decontaminate, lm, mixing, negatives, packing, quality, repeats, secrets, simhash, tokens
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = "public_tokenizers"
@@ -64,6 +65,21 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (str(files(TOKENIZERS) / name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.align_documents(table(spark, sf_dir, "documents"), a, b)
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), str(files(TOKENIZERS) / "byte_bpe_50k.json"), end=2, ids=False)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids divisible by 7 are moved on by one; anchors are the ids divisible by 50."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     x.__name__: x
     for x in (
@@ -77,6 +93,9 @@ QUERIES = {
         op8_chat_format,
         op9_token_counts,
         op10_simhash_near_dedup,
+        op11_token_alignment,
+        op12_best_fit_packing,
+        op13_hard_negatives,
     )
 }
 
@@ -137,6 +156,16 @@ SELECT doc_id, domain, lang, source, n_tokens, e::INT AS epoch, n_tokens AS take
 UNION ALL SELECT doc_id, domain, lang, source, n_tokens, whole::INT AS epoch, least(n_tokens, part - begin_)::BIGINT AS take_tokens FROM starts WHERE begin_ < part
 """
 
+#: All scores of all anchors, as brute force does it.
+HARD_NEGATIVES = """
+WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM rows a JOIN rows b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+best AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM best JOIN scores USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+"""
+
 #: The other operators have parts beyond SQL (models fitted by iteration, fingerprints, spans through decoded layers,
 #: the tokenizer's own library): tests compare them with brute force.
-ORACLES: dict[str, str] = {"op7_substring_dedup": SUBSTRING_DEDUP, "op8_chat_format": CHAT_FORMAT, "op6_mix_sources": MIX_SOURCES}
+ORACLES: dict[str, str] = {"op7_substring_dedup": SUBSTRING_DEDUP, "op8_chat_format": CHAT_FORMAT, "op6_mix_sources": MIX_SOURCES, "op13_hard_negatives": HARD_NEGATIVES}
