@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxmill.functions import keys as K
+from voxmill.operators import blocks as B
 from voxmill.operators import features as G
 from voxmill.operators import lookup as J
 from voxmill.operators import octree as O
@@ -94,7 +95,7 @@ def dense(feat):
 def test_conv_forms_agree_with_dense(cloud):
     nodes, feat = cloud
     w = C.example_weights(27, 4, 3)
-    joined, blocks = table(C.conv(feat, nodes, 4, w)), table(C.conv_blocks(feat, 4, w))
+    joined, blocks = table(C.conv(feat, nodes, 4, w)), table(B.conv_blocks(feat, 4, w))
     grid, _ = dense(feat)
     padded = np.pad(grid, ((0, 0), (1, 1), (1, 1), (1, 1), (0, 0)))
     assert joined.keys() == blocks.keys()
@@ -178,3 +179,46 @@ def test_child_index_in_small_blocks(nodes):
 def test_empty_cloud(spark):
     empty = O.voxelize(spark.createDataFrame([], POINTS), 4)
     assert O.build_nodes(empty, 4, 2).count() == 0 and O.average_signal(empty, 2).count() == 0
+
+
+@pytest.mark.parametrize("kernel, stride", [("333", 1), ("333", 2), ("222", 2), ("311", 1), ("131", 2)])
+@pytest.mark.parametrize("nempty", [True, False])
+@pytest.mark.parametrize("height", [1, 3])
+def test_block_forms_agree_with_the_join_form(cloud, kernel, stride, nempty, height):
+    nodes, feat = cloud
+    size = len(O.kernel_offsets(kernel))
+    w, deep = C.example_weights(size, 4, 3), C.example_weights(size, 4)
+    groups = [C.example_weights(size, 1, 2), C.example_weights(size, 3, 1)]
+    upper = G.avg_pool(feat, nodes, 4, 4).select("cloud_id", "depth", "key", "data")
+    back = (upper, 3) if stride == 2 else (feat, 4)
+    pairs = [
+        (C.conv(feat, nodes, 4, w, [1.0, 2.0, 3.0], kernel, stride, nempty), B.conv_blocks(feat, 4, w, kernel, height, nodes, [1.0, 2.0, 3.0], stride, nempty)),
+        (C.deconv(back[0], nodes, back[1], C.example_weights(size, 2, 4), kernel, stride, nempty), B.deconv_blocks(back[0], nodes, back[1], C.example_weights(size, 2, 4), kernel, height, stride, nempty)),
+        (C.depthwise_conv(feat, nodes, 4, deep, kernel, stride, nempty), B.depthwise_blocks(feat, nodes, 4, deep, kernel, height, stride, nempty)),
+        (C.group_conv(feat, nodes, 4, groups, kernel, stride, nempty), B.group_blocks(feat, nodes, 4, groups, kernel, height, stride, nempty)),
+    ]
+    for joined, blocks in pairs:
+        want, got = table(joined), table(blocks)
+        assert want.keys() == got.keys() and all(np.allclose(got[k], v, atol=1e-9) for k, v in want.items())
+
+
+def test_single_nodes_at_block_borders(spark):
+    """Nodes at corners, edges, faces and inside of blocks: each other block that they reach has rim only."""
+    spots = [(7, 7, 7), (8, 7, 7), (7, 0, 3), (3, 3, 3), (15, 15, 15), (0, 0, 0)]
+    rows = spark.createDataFrame([(c, *xyz, [1.0 + c]) for c, xyz in enumerate(spots)], "cloud_id long, x long, y long, z long, data array<double>")
+    feat = rows.select("cloud_id", F.lit(4).alias("depth"), K.xyz_to_key(F.col("x"), F.col("y"), F.col("z"), 4).alias("key"), "data")
+    w = C.example_weights(27, 1, 1)
+    for height in (1, 2, 3, 4):
+        got = table(B.conv_blocks(feat, 4, w, height=height))
+        assert {c: v[0] for (c, _), v in got.items()} == {c: (1.0 + c) * w[13, 0, 0] for c in range(len(spots))}
+    assert B.conv_blocks(feat.limit(0), 4, w).count() == 0
+
+
+def test_deep_shell_by_blocks(spark):
+    """At depth 9 each node of a shell has its neighbours counted, in the join form and by blocks."""
+    points = shell_points(spark, 512).where("x < 40 and y < 300")
+    feat = points.select(F.lit(0).cast("long").alias("cloud_id"), F.lit(9).alias("depth"), K.xyz_to_key(F.col("x"), F.col("y"), F.col("z"), 9).alias("key"), F.array(F.lit(1.0)).alias("data"))
+    nodes = feat.select("cloud_id", "depth", "key", F.lit(True).alias("nempty"))
+    ones = np.ones((27, 1, 1))
+    both = B.conv_blocks(feat, 9, ones).alias("b").join(C.conv(feat, nodes, 9, ones).alias("j"), ["cloud_id", "key"], "full")
+    assert both.where("b.data is null or j.data is null or b.data[0] != j.data[0]").count() == 0 and both.count() > 1000

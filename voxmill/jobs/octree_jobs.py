@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxmill.functions import keys as K
 from voxmill.jobs.registry import query, r, rounded
 from voxmill.jobs.tables import CLIPPED, CLOUD_L, DEPTH, FULL, clipped, cloud_l, feat, feat_sql, keyed_sql, key_sql, leaf, leaf_sql, nodes, nodes_sql, tree, xyz_sql
+from voxmill.operators import blocks as B
 from voxmill.operators import features as G
 from voxmill.operators import lookup as J
 from voxmill.operators import octree as O
@@ -450,7 +451,7 @@ def c3b(spark, d):
 
 @query("c3_conv_blocks", f"SELECT cloud_id, 4 AS depth, key, {r(*D3)} FROM {conv_sql('333', 1, W3)}")
 def c3c(spark, d):
-    return values(C.conv_blocks(feat(spark, d), DEPTH, W3), "cloud_id", "depth", "key", channels=3)
+    return values(B.conv_blocks(feat(spark, d), DEPTH, W3), "cloud_id", "depth", "key", channels=3)
 
 
 _WD = C.example_weights(27, 3, CH)
@@ -495,3 +496,56 @@ _WL = C.example_weights(CH, 3)
 @query("c7_linear", f"SELECT cloud_id, depth, key, {r(*[' + '.join(f'd{i} * {_WL[i, o].item()!r}::DOUBLE' for i in range(CH)) + f' + {BIAS[o]}::DOUBLE AS d{o}' for o in range(3)])} FROM {FEAT}")
 def c7(spark, d):
     return values(C.linear(feat(spark, d), _WL, BIAS), "cloud_id", "depth", "key", channels=3)
+
+
+# ---------------------------------------------------------------- stencils by blocks
+
+@query("c3_conv_blocks_stride2", f"SELECT cloud_id, 3 AS depth, key, {r(*D3)} FROM {conv_sql('333', 2, W3, BIAS)}")
+def c3d(spark, d):
+    f, n = tree(spark, d)
+    return values(B.conv_blocks(f, DEPTH, W3, nodes=n, bias=BIAS, stride=2, height=2), "cloud_id", "depth", "key", channels=3)
+
+
+_zeros = ", ".join(f"coalesce(d{o}, 0) + {BIAS[o]}::DOUBLE AS d{o}" for o in range(3))
+
+
+@query("c3_conv_blocks_all_nodes", f"SELECT n.cloud_id, 4 AS depth, n.key, {r(*_zeros.split(', '))} FROM (SELECT cloud_id, key FROM {NODES} WHERE depth = 4) n LEFT JOIN (SELECT cloud_id, key, {', '.join('sum(' + ' + '.join(f'd{i} * w{i * 3 + o}' for i in range(CH)) + f') AS d{o}' for o in range(3))} FROM {met_sql('333', 1, False)} JOIN {weights_sql(W3)} USING (k) GROUP BY cloud_id, key) USING (cloud_id, key)".replace("n.cloud_id, 4", "cloud_id, 4").replace(" n.key,", " key,"))
+def c3e(spark, d):
+    f, n = tree(spark, d)
+    return values(B.conv_blocks(f, DEPTH, W3, nodes=n, bias=BIAS, nempty=False), "cloud_id", "depth", "key", channels=3)
+
+
+#: A level so deep that nearly every point has a node of its own, and most blocks one row or only rim.
+DEEP = 9
+_deep = feat_sql(DEEP)
+_spots = f"(SELECT *, {', '.join(f'{e} AS {c}' for e, c in zip(xyz_sql('key', DEEP), 'xyz'))} FROM {_deep})"
+_around = ", ".join(f"({k}, {o // 9 - 1}, {o // 3 % 3 - 1}, {o % 3 - 1})" for k, o in enumerate(O.kernel_offsets("333")))
+_deep_met = f"(SELECT a.cloud_id, a.key, a.k, b.d0, b.d1, b.d2, b.d3 FROM (SELECT cloud_id, key, k, x + dx AS x, y + dy AS y, z + dz AS z FROM {_spots}, (VALUES {_around}) AS o(k, dx, dy, dz)) a JOIN {_spots} b ON b.cloud_id = a.cloud_id AND b.x = a.x AND b.y = a.y AND b.z = a.z)"
+
+
+@query("c3_conv_blocks_deep", f"SELECT cloud_id, {DEEP} AS depth, key, {r(*['sum(' + ' + '.join(f'd{i} * w{i * 3 + o}' for i in range(CH)) + f') AS d{o}' for o in range(3)])} FROM {_deep_met} JOIN {weights_sql(W3)} USING (k) GROUP BY cloud_id, key")
+def c3f(spark, d):
+    return values(B.conv_blocks(feat(spark, d, DEEP), DEEP, W3), "cloud_id", "depth", "key", channels=3)
+
+
+@query("c4_deconv_blocks", deconv_sql("333", 1, _WD, DEPTH, FEAT))
+def c4c(spark, d):
+    f, n = tree(spark, d)
+    return values(B.deconv_blocks(f, n, DEPTH, _WD, height=2), "cloud_id", "depth", "key", channels=3)
+
+
+@query("c4_deconv_blocks_stride2", deconv_sql("333", 2, _WD, DEPTH, COARSE))
+def c4d(spark, d):
+    return values(B.deconv_blocks(feat(spark, d, 3), nodes(spark, d), 3, _WD, stride=2), "cloud_id", "depth", "key", channels=3)
+
+
+@query("c5_depthwise_blocks", f"SELECT cloud_id, 4 AS depth, key, {r(*DATA)} FROM (SELECT cloud_id, key, {', '.join(f'sum({c} * w{k}) AS {c}' for k, c in enumerate(DATA))} FROM {met_sql('333', 1)} JOIN {weights_sql(_WC)} USING (k) GROUP BY cloud_id, key)")
+def c5b(spark, d):
+    f, n = tree(spark, d)
+    return flat(B.depthwise_blocks(f, n, DEPTH, _WC))
+
+
+@query("c6_group_blocks", f"SELECT cloud_id, 4 AS depth, key, {r(*DATA)} FROM (SELECT cloud_id, key, {', '.join(f'sum(d{2 * (o // 2)} * w{o % 2} + d{2 * (o // 2) + 1} * w{2 + o % 2}) * {1 + o // 2} AS d{o}' for o in range(4))} FROM {met_sql('333', 1)} JOIN {weights_sql(_WG[0])} USING (k) GROUP BY cloud_id, key)")
+def c6b(spark, d):
+    f, n = tree(spark, d)
+    return flat(B.group_blocks(f, n, DEPTH, _WG))

@@ -3,9 +3,7 @@
 A node's key says which rows have it as a neighbour, so features are sent to those rows without a join,
 multiplied on the way, and summed by row: one shuffle, of partial sums. What no row asked for is dropped by a semi-join on the
 same key, which moves the nodes only. Features are those of non-empty nodes where ``nempty`` says so. Weights
-(kernel size x channels x channels, part of the query, not of the data) are broadcast. For wide channels
-``conv_blocks`` copies each node to the blocks of space its neighbourhood touches and does the
-arithmetic with NumPy inside a block; a block holds at most 8 ** height nodes and their rim.
+(kernel size x channels x channels, part of the query, not of the data) are broadcast. For wide channels see ``blocks``.
 """
 
 from __future__ import annotations
@@ -18,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.functions.keys import parent, zeros
-from voxmill.operators.octree import kernel_keys, kernel_offsets
+from voxmill.operators.octree import kernel_keys
 
 
 def rows_of(nodes: DataFrame, depth: int, stride: int, nempty: bool) -> DataFrame:
@@ -136,35 +134,6 @@ def linear(feat: DataFrame, weights: np.ndarray, bias: list[float] | None = None
     return feat.withColumn("data", F.pandas_udf(product, "array<double>")(F.col("data")))
 
 
-def conv_blocks(feat: DataFrame, depth: int, weights: np.ndarray, kernel: str = "333", height: int = 3) -> DataFrame:
-    """``conv`` at stride 1 over non-empty nodes, by blocks of space with a rim of neighbours."""
-    offsets = [((o // 9 - 1), (o // 3 % 3 - 1), (o % 3 - 1)) for o in kernel_offsets(kernel)]
-    cout = weights.shape[2]
-    # the rows that have a node as a neighbour lie in at most eight blocks
-    both = [*kernel_keys(F.col("key"), depth, kernel, back=True), F.col("key")]
-    blocks = F.array_compact(F.array_distinct(F.array(*[parent(v, height) for v in both])))
-    copies = feat.select("cloud_id", "key", "data", F.explode(blocks).alias("block"))
-    bound = 1 << depth
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        keys = part["key"].to_numpy(np.int64)
-        order = np.argsort(keys)
-        keys, data = keys[order], np.stack(part["data"].to_list())[order]
-        own = (keys >> (3 * height)) == part["block"].iloc[0]
-        xyz = np.stack([sum(((keys >> (3 * i + s)) & 1) << i for i in range(depth)) for s in (2, 1, 0)], 1)[own]
-        out = np.zeros((own.sum(), cout))
-        for k, offset in enumerate(offsets):
-            there = xyz + np.array(offset)
-            ok = ((there >= 0) & (there < bound)).all(1)
-            code = sum(((there[:, a] >> i) & 1) << (3 * i + 2 - a) for i in range(depth) for a in range(3))
-            spot = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
-            ok &= keys[spot] == code
-            out[ok] += data[spot[ok]] @ weights[k]
-        return pd.DataFrame({"cloud_id": part["cloud_id"].iloc[0], "depth": depth, "key": keys[own], "data": list(out)})
-
-    return copies.groupBy("cloud_id", "block").applyInPandas(run, "cloud_id bigint, depth int, key bigint, data array<double>")
-
-
 def example_weights(*shape: int) -> np.ndarray:
     """Small weights by rule: ((7 n + 3) mod 11 - 5) / 10 for the n-th number."""
     return (((7 * np.arange(prod(shape)) + 3) % 11 - 5) / 10.0).reshape(shape)
