@@ -181,9 +181,7 @@ def test_empty_cloud(spark):
     assert O.build_nodes(empty, 4, 2).count() == 0 and O.average_signal(empty, 2).count() == 0
 
 
-@pytest.mark.parametrize("kernel, stride", [("333", 1), ("333", 2), ("222", 2), ("311", 1), ("131", 2)])
-@pytest.mark.parametrize("nempty", [True, False])
-@pytest.mark.parametrize("height", [1, 3])
+@pytest.mark.parametrize("kernel, stride, nempty, height", [("333", 1, True, 1), ("333", 2, True, 3), ("222", 2, False, 1), ("311", 1, False, 3)])
 def test_block_forms_agree_with_the_join_form(cloud, kernel, stride, nempty, height):
     nodes, feat = cloud
     size = len(O.kernel_offsets(kernel))

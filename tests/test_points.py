@@ -13,6 +13,7 @@ from voxmill.operators import scenes, splits
 from voxmill.operators.mesh import vertex_normals
 from voxmill.schema import POINTS, validate_points
 from voxmill.sources import files as S
+from voxmill.sources import stores
 
 A, B = 1 / sqrt(2), 1 / sqrt(3)
 
@@ -114,7 +115,8 @@ def test_binary_files(spark, tmp_path):
     rows = S.read_points(files).collect()
     assert len(rows) == 7 and sorted(r.label for r in rows if r.label is not None) == [0, 1, 2, 3, 4]
     assert sorted(r.r for r in rows if r.path.endswith("ply")) == [0.0, 255.0]
-    lidar = S.read_lidar(files.where(F.col("path").endswith(".bin")), files.where(F.col("path").endswith(".label"))).collect()
+    assert S.point_files(spark, str(tmp_path)).count() == 2 and len(S.read_points(S.point_files(spark, str(tmp_path))).collect()) == 7
+    lidar = S.read_lidar(spark, str(tmp_path)).collect()
     assert sorted(r.label for r in lidar if r.path.endswith("0.bin")) == [0, 1, 2, 3, 4] and all(r.label == 0 for r in lidar if r.path.endswith("1.bin"))
 
 
@@ -144,11 +146,68 @@ def test_polygons_become_triangles(spark, tmp_path):
 def test_points_written_and_read_again(spark, tmp_path, form):
     rows = [(k % 2, k, k * 0.1, -k * 0.2, k * 0.3, 0.0, 1.0, 0.0, [k * 1.0, 2.0], k % 3) for k in range(20)]
     df = spark.createDataFrame(rows, POINTS)
-    assert S.save_files(S.packed_clouds(df, form, "PNFL", 2, rows=4), f"file:{tmp_path}") == len(list(tmp_path.rglob(f"*.{form}"))) > 2
+    S.save_files(S.packed_clouds(df, form, "PNFL", 2, rows=4), f"file:{tmp_path}")
+    assert len(list(tmp_path.rglob(f"*.{form}"))) > 2 and not list(tmp_path.rglob("_temporary*"))
     back = S.read_points(S.binary_files(spark, str(tmp_path)), color=False).collect()
     assert sorted((r.x, r.y, r.z, r.nx, r.ny, r.nz, r.label) for r in back) == sorted((r[2], r[3], r[4], *r[5:8], r[9]) for r in rows)
+    with pytest.raises(Exception, match="nowhere"):
+        S.save_files(S.packed_clouds(df, form), "nowhere:/folder")
+
+
+def test_lidar_in_ranges(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    scans = {("08", "000000"): 5000, ("08", "000001"): 3, ("09", "000000"): 700, ("10", "000000"): 0}
+    want = {}
+    for (sequence, frame), n in scans.items():
+        for side in ("velodyne", "labels"):
+            (tmp_path / "sequences" / sequence / side).mkdir(parents=True, exist_ok=True)
+        points, codes = rng.normal(size=(n, 4)).astype("<f4"), rng.integers(0, 1 << 32, n, dtype=np.uint32)
+        points.tofile(tmp_path / "sequences" / sequence / "velodyne" / f"{frame}.bin")
+        if sequence == "08":  # one label file is too short
+            codes[: n - (frame == "000001")].astype("<u4").tofile(tmp_path / "sequences" / sequence / "labels" / f"{frame}.label")
+        want |= {(sequence, frame, k): (*map(float, points[k]), int(codes[k]) if sequence == "08" and (frame == "000000" or k < 2) else 0) for k in range(n)}
+    df = S.read_lidar(spark, str(tmp_path), split=16 * 512)
+    assert df.rdd.getNumPartitions() >= 11 and "Exchange" not in df._jdf.queryExecution().toString()
+    got = {(r.sequence, r.path[-10:-4], r.point_id): (r.x, r.y, r.z, r.intensity, r.label) for r in df.collect()}
+    assert got == want
+    tree = S.read_lidar_tree(spark, f"file:{tmp_path}", {"08": "train", "09": "test"})
+    assert {tuple(r) for r in tree.groupBy("sequence", "split").count().collect()} == {("08", "train", 5003), ("08", "train_val", 5003), ("09", "test", 700)}
+    (tmp_path / "sequences" / "08" / "velodyne" / "bad.bin").write_bytes(b"123")
+    with pytest.raises(Exception, match="whole records"):
+        S.read_lidar(spark, str(tmp_path)).count()
+
+
+def test_failed_job_leaves_no_files(spark, tmp_path):
+    files = spark.range(40, numPartitions=4).select(F.format_string("a/%d.bin", "id").alias("path"), F.expr("cast(raise_error('stop') as binary)").alias("content"))
+    some = spark.range(40, numPartitions=4).select(F.format_string("a/%d.bin", "id").alias("path"), F.when(F.col("id") < 39, F.encode(F.col("id").cast("string"), "utf-8")).otherwise(F.expr("cast(raise_error('stop') as binary)")).alias("content"))
+    for failing in (files, some):
+        with pytest.raises(Exception, match="stop"):
+            S.save_files(failing, str(tmp_path))
+        assert not list(tmp_path.rglob("*"))
+    S.save_files(some.where("id < 39"), str(tmp_path))
+    assert {p.name: p.read_text() for p in tmp_path.rglob("*.bin")} == {f"{k}.bin": str(k) for k in range(39)}
+
+
+@pytest.mark.parametrize("step", [1, 7, 64, 1 << 20])
+def test_segments_as_a_stream(step):
+    import io
+
+    numbers = list(range(1000, 1400))
+    for text, want in ((f'{{"a": [1, 2], "segIndices" :\n [{", ".join(map(str, numbers))}], "b": [3]}}', numbers), ('{"segIndices": []}', []), ('{"other": [1]}', []), ('{"segIndices":[5]}', [5])):
+        assert [int(x) for part in stores.segment_numbers(io.BytesIO(text.encode()), step) for x in part] == want
     with pytest.raises(ValueError):
-        S.save_files(S.packed_clouds(df, form), "s3:/nowhere")
+        list(stores.segment_numbers(io.BytesIO(b'{"segIndices": [1, 2'), step))
+
+
+def test_equal_faces_are_read_at_once():
+    head = b"ply\nformat binary_little_endian 1.0\nelement vertex 4\nproperty float x\nproperty float y\nproperty float z\nelement face 2\nproperty uchar flag\nproperty list uchar int vertex_indices\nend_header\n" + np.arange(12, dtype="<f4").tobytes()
+    for corners, want in (([[0, 1, 2], [1, 2, 3]], [[0, 1, 2], [1, 2, 3]]), ([[0, 1, 2, 3], [3, 2, 1, 0]], [[0, 1, 2], [0, 2, 3], [3, 2, 1], [3, 1, 0]]), ([[0, 1], [2, 3]], []), ([[0, 1, 2], [3]], [[0, 1, 2]])):
+        body = b"".join(bytes([9, len(c)]) + np.array(c, "<i4").tobytes() for c in corners)
+        assert stores_mesh(head + body).tolist() == want
+
+
+def stores_mesh(data):
+    return S.parsers.ply_mesh(data)[1]
 
 
 def test_ranks_and_running_sums(spark):

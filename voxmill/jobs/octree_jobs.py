@@ -506,10 +506,10 @@ def c3d(spark, d):
     return values(B.conv_blocks(f, DEPTH, W3, nodes=n, bias=BIAS, stride=2, height=2), "cloud_id", "depth", "key", channels=3)
 
 
-_zeros = ", ".join(f"coalesce(d{o}, 0) + {BIAS[o]}::DOUBLE AS d{o}" for o in range(3))
+_zeros = [f"coalesce(d{o}, 0) + {BIAS[o]}::DOUBLE AS d{o}" for o in range(3)]
 
 
-@query("c3_conv_blocks_all_nodes", f"SELECT n.cloud_id, 4 AS depth, n.key, {r(*_zeros.split(', '))} FROM (SELECT cloud_id, key FROM {NODES} WHERE depth = 4) n LEFT JOIN (SELECT cloud_id, key, {', '.join('sum(' + ' + '.join(f'd{i} * w{i * 3 + o}' for i in range(CH)) + f') AS d{o}' for o in range(3))} FROM {met_sql('333', 1, False)} JOIN {weights_sql(W3)} USING (k) GROUP BY cloud_id, key) USING (cloud_id, key)".replace("n.cloud_id, 4", "cloud_id, 4").replace(" n.key,", " key,"))
+@query("c3_conv_blocks_all_nodes", f"SELECT cloud_id, 4 AS depth, key, {r(*_zeros)} FROM (SELECT cloud_id, key FROM {NODES} WHERE depth = 4) n LEFT JOIN (SELECT cloud_id, key, {', '.join('sum(' + ' + '.join(f'd{i} * w{i * 3 + o}' for i in range(CH)) + f') AS d{o}' for o in range(3))} FROM {met_sql('333', 1, False)} JOIN {weights_sql(W3)} USING (k) GROUP BY cloud_id, key) USING (cloud_id, key)")
 def c3e(spark, d):
     f, n = tree(spark, d)
     return values(B.conv_blocks(f, DEPTH, W3, nodes=n, bias=BIAS, nempty=False), "cloud_id", "depth", "key", channels=3)

@@ -194,11 +194,22 @@ def sweeps(spark, d) -> DataFrame:
 def s4(spark, d):
     path = folder(spark)
     S.save_files(sweeps(spark, d), path)
-    files = S.binary_files(spark, path)
-    found = S.read_lidar(files.where(F.col("path").endswith(".bin")), files.where(F.col("path").endswith(".label")))
+    found = S.read_lidar(spark, path, split=1 << 14)  # small ranges, so that one scan is many tasks here, too
     return found.select(F.substring_index("path", "/", -1).alias("name"), "point_id", "x", "y", "z", "intensity", "label")
 
 
+@query("s4_read_lidar_tree", f"SELECT split, cloud_id || '_' || piece || '.bin' AS name, count(*) AS n, sum(CASE WHEN piece % 2 = 1 THEN label ELSE 0 END)::BIGINT AS label FROM (SELECT *, point_id % 64 AS piece, CASE cloud_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS part FROM {CLOUD_L}) JOIN (VALUES ('train', 'train'), ('val', 'val'), ('test', 'test'), ('train', 'train_val'), ('val', 'train_val')) AS v(part, split) USING (part) GROUP BY ALL")
+def s4b(spark, d):
+    """Scans in the folders of their sequences, read by split."""
+    path = folder(spark)
+    files = sweeps(spark, d)
+    cloud = F.regexp_extract("path", r"/([0-9]+)_", 1)
+    S.save_files(files.withColumn("path", F.concat(F.lit("sequences/"), cloud, F.lit("/"), "path")), path)
+    clouds = [r.cloud_id for r in cloud_l(spark, d).select("cloud_id").distinct().collect()]  # one name a sequence
+    found = S.read_lidar_tree(spark, path, {str(c): ("train", "val", "test")[c % 3] for c in clouds})
+    return found.groupBy("split", F.substring_index("path", "/", -1).alias("name")).agg(F.count("*").alias("n"), F.sum("label").alias("label"))
+
+
 @query("s5_read_points_txt", READ.replace("round((x)", "round(round((x)::DOUBLE, 6)"))
 def s5(spark, d):
     path = folder(spark)
@@ -220,8 +231,7 @@ def s6(spark, d):
     name = F.concat(F.col("mesh_id").cast("string"), F.when(F.col("mesh_id") % 2 == 1, ".off").otherwise(".ply"))
     path = folder(spark)
     S.save_files(both.select(name.alias("path"), F.udf(mesh, "binary", useArrow=False)("mesh_id", "v").alias("content")), path)
-    files = S.binary_files(spark, path)
-    vertices, faces = S.read_mesh(files)
+    vertices, faces = S.read_mesh(S.binary_files(spark, path))
     return faces.join(vertices.withColumnRenamed("vid", "v0"), ["path", "v0"]).select("fid", *[rounded(c) for c in "xyz"])
 
 
@@ -241,7 +251,7 @@ def s8(spark, d):
     rows = events.join(pieces, "user_id").withColumn("piece", F.pmod(F.xxhash64("event_id"), F.col("pieces")))
     rows = rows.groupBy("user_id", "piece").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "k"))), lambda v: v["k"]), ",").alias("k"))
     rows.select("user_id", F.concat(F.lit('{"segIndices": ['), "k", F.lit("]}")).alias("value"), "piece").repartition("user_id", "piece").write.partitionBy("user_id", "piece").text(path)
-    found = S.read_segments(spark, f"{path}/*/*/*.txt").withColumn("user_id", F.regexp_extract("path", r"user_id=(\d+)", 1).cast("long"))
+    found = S.read_segments(spark, path, ".txt").withColumn("user_id", F.regexp_extract("path", r"user_id=(\d+)", 1).cast("long"))
     return found.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("segment").alias("segments"))
 
 
@@ -291,13 +301,13 @@ def u1(spark, d):
 
 @query("u2_read_hook", READ)
 def u2(spark, d):
-    """A reader registered for a suffix of its own."""
-    S.READERS["pts"] = lambda files, **flags: S.read_points_npz(files.withColumn("path", F.regexp_replace("path", "pts$", "npz")), **flags)
+    """A parser registered for a suffix of its own."""
+    S.PARSERS["pts"] = S.parsers.npz_points
     try:
         files = stored(spark, d, "npz").withColumn("path", F.regexp_replace("path", "npz$", "pts"))
         return read_back(S.read_points(files, color=False))
     finally:
-        del S.READERS["pts"]
+        del S.PARSERS["pts"]
 
 
 @query("u3_collate_batch", f"SELECT (SELECT count(DISTINCT cloud_id) FROM {CLIPPED} c WHERE c.cloud_id > n.cloud_id) AS batch_id, k, count(*) AS n, sum(nkey)::BIGINT AS keys FROM {neigh_sql()} n GROUP BY cloud_id, k")

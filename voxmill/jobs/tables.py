@@ -5,14 +5,12 @@ Every frame has a twin in SQL (upper case), so that queries and oracles start al
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.operators import octree
 from voxmill.operators import points as P
+from voxmill.staging import folder, kept  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,23 +74,6 @@ def leaf(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> DataFrame:
     return octree.average_signal(octree.voxelize(clipped(spark, sf_dir), depth), channels=2)
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: under ``spark.checkpoint.dir``, or a local one on a local master only."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="voxmill-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back: worked out once, however often it is used."""
-    path = folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def tree(spark: SparkSession, sf_dir: str, depth: int = DEPTH, full: int = FULL) -> tuple[DataFrame, DataFrame]:
     """Features and nodes of one level, from leaves that are built once."""
     leaves = kept(leaf(spark, sf_dir, depth))

@@ -2,17 +2,18 @@
 
 The rows of a level are cut into cubes of 8 ** height keys. Each node is copied to the (at most eight) blocks whose rows it reaches, so
 that a block holds its rows and the rim around them: the rim is what neighbouring blocks exchange, in the direction the stencil
-takes (rows gather from neighbours, or, transposed, neighbours send to rows). Inside a block each kernel position is
-one matrix product over all rows that have that neighbour, with NumPy. One shuffle moves the copies, one the rows; nothing grows with the
+takes (rows gather from neighbours, or, transposed, neighbours send to rows). Blocks are dealt and sorted by one shuffle and read as a stream;
+as many whole blocks as make up ROWS rows are worked out at once, so that many small blocks (a deep, sparse level) cost no more than few
+full ones: each kernel position is one matrix product over all rows that have that neighbour, with NumPy. Nothing grows with the
 channels but the rows' width, where the join form of ``stencil`` writes each product out as columns.
 
-A block holds at most 8 ** height rows and their rim, whatever the cloud; blocks that have rim but no rows give an empty typed table.
+A block holds at most 8 ** height rows and their rim, whatever the cloud; blocks that have rim but no rows give no rows.
 Results are those of the functions of the same name in ``stencil``, up to the order in which doubles are added.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -25,6 +26,9 @@ from voxmill.operators.octree import kernel_keys, kernel_offsets
 from voxmill.operators.stencil import rows_of
 
 SCHEMA = "cloud_id bigint, depth int, key bigint, data array<double>"
+NAMES = ["cloud_id", "depth", "key", "data"]
+#: Rows that are held before the blocks that they make up are worked out.
+ROWS = 1 << 16
 #: What a kernel position does to the features (rows x channels) that stand there.
 Product = Callable[[int, np.ndarray], np.ndarray]
 
@@ -68,30 +72,64 @@ def stencil_blocks(feat: DataFrame, rows: DataFrame, depth: int, channels: int,
     out_depth = depth + (0 if stride == 1 else 1 if transposed else -1)
     offsets = [(o // 9 - 1, o // 3 % 3 - 1, o % 3 - 1) for o in kernel_offsets(kernel)]
     blocks = F.array_compact(F.array_distinct(F.array(*[parent(v, height) for v in reached_rows(depth, kernel, stride, transposed)])))
-    copies = feat.select(F.col("cloud_id").cast("long").alias("cloud_id"), "key", "data", F.explode(blocks).alias("block"))
-    asked = rows.select(F.col("cloud_id").cast("long").alias("cloud_id"), "key", parent(F.col("key"), height).alias("block"))
+    own = F.col("cloud_id").cast("long").alias("cloud_id")
+    copies = feat.select(own, "key", "data", F.explode(blocks).alias("block"), F.lit(True).alias("rim"))
+    asked = rows.select(own, "key", F.lit(None).cast("array<double>").alias("data"), parent(F.col("key"), height).alias("block"), F.lit(False).alias("rim"))
     shift = np.array(bias if bias is not None else [0.0] * channels)
-    bound = 1 << depth
-
-    def run(near: pa.Table, own: pa.Table) -> pa.Table:
-        keys = np.asarray(own["key"].combine_chunks())
-        out, met = np.zeros((len(keys), channels)), np.zeros(len(keys), bool)
-        if len(keys) and len(near):
-            near = near.sort_by("key")
-            held, data = np.asarray(near["key"].combine_chunks()), np.asarray(near["data"].combine_chunks().flatten()).reshape(len(near), -1)
-            at = coordinates(keys, out_depth)
+    bound, span = 1 << depth, 3 * depth
+
+    def worked_out(part: pa.Table) -> pa.RecordBatch:
+        """Whole blocks, one after another, all at once: a node is told by its block's number and its key."""
+        cloud, block, key, rim = (part[c].combine_chunks() for c in ("cloud_id", "block", "key", "rim"))
+        number, key, rim = numbered(cloud, block), np.asarray(key), rim.to_numpy(zero_copy_only=False)
+        ask = np.flatnonzero(~rim)
+        held = (number[rim] << span) | key[rim]
+        out, met = np.zeros((len(ask), channels)), np.zeros(len(ask), bool)
+        if len(held) and len(ask):
+            data = np.asarray(part["data"].combine_chunks().flatten()).reshape(len(held), -1)
+            at = coordinates(key[ask], out_depth)
             for k, offset in enumerate(offsets):
                 there, inside = sources(at, offset, stride, transposed, bound)
-                code = morton(there, depth)
+                code = (number[ask] << span) | morton(there, depth)
                 spot = np.minimum(np.searchsorted(held, code), len(held) - 1)
                 hit = np.flatnonzero(inside & (held[spot] == code))
                 out[hit] += product(k, data[spot[hit]])
                 met[hit] = True
-        kept = np.arange(len(keys)) if keep else np.flatnonzero(met)
-        cloud = own["cloud_id"].combine_chunks().take(pa.array(kept))
-        return pa.Table.from_arrays([cloud, pa.array(np.full(len(kept), out_depth, np.int32)), pa.array(keys[kept]), lists(out[kept] + shift)], ["cloud_id", "depth", "key", "data"])
-
-    return copies.groupBy("cloud_id", "block").cogroup(asked.groupBy("cloud_id", "block")).applyInArrow(run, SCHEMA)
+        kept = np.arange(len(ask)) if keep else np.flatnonzero(met)
+        return pa.RecordBatch.from_arrays([cloud.take(pa.array(ask[kept])), pa.array(np.full(len(kept), out_depth, np.int32)), pa.array(key[ask[kept]]), lists(out[kept] + shift)], NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) < ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            cuts = block_starts(table, 1 << (62 - span))
+            for i, j in zip(cuts, cuts[1:]):
+                yield worked_out(table.slice(i, j - i))
+            held = table.slice(cuts[-1]).to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            cuts = [*block_starts(table, 1 << (62 - span)), len(table)]
+            for i, j in zip(cuts, cuts[1:]):
+                yield worked_out(table.slice(i, j - i))
+
+    dealt = copies.unionByName(asked).repartition("cloud_id", "block").sortWithinPartitions("cloud_id", "block", "rim", "key")
+    return dealt.mapInArrow(run, SCHEMA)
+
+
+def numbered(cloud: pa.Array, block: pa.Array) -> np.ndarray:
+    """The number of each row's block, counted from 0; rows of a block follow each other."""
+    a, b = np.asarray(cloud), np.asarray(block)
+    return np.cumsum(np.r_[False, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+
+
+def block_starts(table: pa.Table, most: int) -> list[int]:
+    """Rows at which a block starts: the first, every ``most``-th after it, and the last."""
+    number = numbered(table["cloud_id"].combine_chunks(), table["block"].combine_chunks())
+    firsts = np.flatnonzero(np.diff(number, prepend=-1))
+    return sorted({*firsts[::most].tolist(), *firsts[-1:].tolist()})
 
 
 def _rows(feat: DataFrame, nodes: DataFrame | None, depth: int, stride: int, nempty: bool) -> DataFrame:

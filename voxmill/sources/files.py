@@ -1,13 +1,12 @@
 """Readers and writers of point clouds, meshes, labels and listings.
 
-Binary readers take a table of files (path, content), as Spark's ``binaryFile`` source gives it. Files are parsed one at
-a time by a small helper, and their columns go on as Arrow batches of BATCH rows; keep the results as Parquet.
+Readers of files that must be parsed whole take a table of files (path, content), as Spark's ``binaryFile`` source gives it. Each file is
+read and parsed once by a small helper, and its columns go on as Arrow batches of BATCH rows; keep the results as Parquet. Files of records
+(LiDAR) and long arrays (segments) are read in ranges and steps by the data sources of ``stores``, which also has the sink for files.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.sources import parsers
+from voxmill.sources import parsers, stores
+from voxmill.staging import kept
 
 FIELDS = ("x", "y", "z", "nx", "ny", "nz", "r", "g", "b", "label")
 #: Rows of a file that are sent on at once.
@@ -62,30 +62,40 @@ def read_points_ply(files: DataFrame, normal: bool = True, color: bool = True, l
     return _parsed(files, lambda _, data: parsers.ply_points(data), names)
 
 
-#: Readers by what follows the last dot of a path; users may add their own.
-READERS: dict[str, Callable[..., DataFrame]] = {"npz": read_points_npz, "ply": read_points_ply}
+#: Parsers (bytes to columns) by what follows the last dot of a path; users may add their own.
+PARSERS: dict[str, Callable[[bytes], dict[str, np.ndarray]]] = {"npz": parsers.npz_points, "ply": parsers.ply_points}
 
 
-def read_points(files: DataFrame, **flags: bool) -> DataFrame:
-    """Each file by the reader of its suffix; files of other kinds are left out."""
-    suffix = F.substring_index("path", ".", -1)
-    parts = [read(files.where(suffix == kind), **flags) for kind, read in READERS.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+def point_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files below ``path`` that a parser is known for; no others are read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(PARSERS)}}}").load(path).select("path", "content")
 
 
-def read_lidar(scans: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(path, point_id, x, y, z, intensity, label) of LiDAR scans; label files lie beside them, zero where there is none."""
-    fields = ("x", "y", "z", "intensity")
-    points = _parsed(scans, lambda _, data: parsers.lidar_points(data), fields)
-    if labels is None:
-        return points.withColumn("label", F.lit(0).cast("long"))
-    codes = _parsed(labels, lambda _, data: {"code": np.frombuffer(data, "<u4")}, ("code",))
-    codes = codes.select(F.col("path").alias("label_path"), "point_id", F.col("code").alias("label"))
-    beside = F.regexp_replace(F.regexp_replace("path", "velodyne", "labels"), r"\.bin$", ".label")
-    return points.withColumn("label_path", beside).join(codes, ["label_path", "point_id"], "left").select("path", "point_id", *fields, F.coalesce("label", F.lit(0).cast("long")).alias("label"))
+def read_points(files: DataFrame, normal: bool = True, color: bool = True, label: bool = True) -> DataFrame:
+    """Each file by the parser of its suffix, in one pass over ``files``; files of other kinds have no rows."""
+    known = dict(PARSERS)  # as it is now: users' parsers travel with the tasks
+    nothing = lambda _: {}
+    return _parsed(files, lambda path, data: known.get(path.rpartition(".")[2], nothing)(data), _wanted(normal, color, label))
+
+
+def read_lidar(spark: SparkSession, path: str, sequences: list[str] | None = None, split: int | None = None) -> DataFrame:
+    """(path, sequence, point_id, x, y, z, intensity, label) of the LiDAR scans (.bin) below ``path``.
+
+    Label files lie beside the scans (velodyne -> labels, .bin -> .label) and are read with them, range by range; the label is zero where there is
+    none. ``sequences`` are the only ones that are read, if given; ``split`` is the size of a task's range in bytes.
+    """
+    return stores.read_store(spark, stores.LidarFiles, path, sequences=None if sequences is None else ",".join(sequences), split=split)
+
+
+def read_lidar_tree(spark: SparkSession, path: str, sequences: dict[str, str]) -> DataFrame:
+    """``read_lidar`` of the sequences named, with ``split`` (train, val, test, as ``sequences`` says); train and val rows are of split train_val, too.
+
+    The split follows from the path alone, so points are read once and never shuffled.
+    """
+    names = F.create_map(*[F.lit(x) for pair in sequences.items() for x in pair])
+    points = read_lidar(spark, path, sorted(sequences))
+    told = names[F.col("sequence")]
+    return points.withColumn("split", F.explode(F.when(told.isin("train", "val"), F.array(told, F.lit("train_val"))).otherwise(F.array(told))))
 
 
 def read_points_txt(spark: SparkSession, path: str) -> DataFrame:
@@ -95,15 +105,26 @@ def read_points_txt(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mesh(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices (path, vid, x, y, z) and triangles (path, fid, v0, v1, v2) of PLY and OFF files; polygons are cut into triangles."""
+    """Vertices (path, vid, x, y, z) and triangles (path, fid, v0, v1, v2) of PLY and OFF files; polygons are cut into triangles.
 
-    def mesh(path: str, content: bytes) -> tuple[np.ndarray, np.ndarray]:
-        return (parsers.ply_mesh if path.lower().endswith("ply") else parsers.off_mesh)(content)
+    Each file is read and parsed once: its rows, with a tag, are written to the shared folder, a folder for each of the two tables.
+    """
+    names = (("x", "y", "z"), ("v0", "v1", "v2"))
 
-    def table(part: int, names: tuple[str, ...], row: str) -> DataFrame:
-        return _parsed(files, lambda path, content: dict(zip(names, mesh(path, content)[part].T)), names, row)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                if not content.as_py():
+                    continue
+                for part, rows in enumerate((parsers.ply_mesh if path.lower().endswith("ply") else parsers.off_mesh)(content.as_py())):
+                    for k in range(0, len(rows), BATCH):
+                        n = min(BATCH, len(rows) - k)
+                        own = [pa.array(np.ascontiguousarray(c)) for c in rows[k : k + n].T]
+                        other = [pa.nulls(n, pa.int64() if part == 0 else pa.float64())] * 3
+                        yield pa.RecordBatch.from_arrays([pa.repeat(path, n), pa.repeat("vf"[part], n), pa.array(np.arange(k, k + n)), *(own + other if part == 0 else other + own)], ["path", "part", "at", *names[0], *names[1]])
 
-    return table(0, ("x", "y", "z"), "vid"), table(1, ("v0", "v1", "v2"), "fid")
+    both = kept(files.select("path", "content").mapInArrow(run, "path string, part string, at bigint, x double, y double, z double, v0 bigint, v1 bigint, v2 bigint"), ["part"])
+    return tuple(both.where(F.col("part") == tag).select("path", F.col("at").alias(row), *own) for tag, row, own in (("v", "vid", names[0]), ("f", "fid", names[1])))
 
 
 def read_filelist(spark: SparkSession, path: str) -> DataFrame:
@@ -115,10 +136,9 @@ def write_filelist(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws(" ", "name", F.col("label").cast("string"))).write.text(path)
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """(path, point_id, segment) of files with an array segIndices."""
-    rows = spark.read.json(path, multiLine=True, schema="segIndices array<bigint>").select(F.input_file_name().alias("path"), F.posexplode("segIndices").alias("at", "segment"))
-    return rows.select("path", F.col("at").cast("long").alias("point_id"), "segment")
+def read_segments(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
+    """(path, point_id, segment) of the files below ``path`` with an array segIndices, which is read as a stream."""
+    return stores.read_store(spark, stores.SegmentFiles, path, suffix=suffix)
 
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
@@ -143,29 +163,10 @@ def letters(points: DataFrame, info: str = "PNFLB", channels: int = 0) -> DataFr
     return points.select(*cols)
 
 
-def save_files(files: DataFrame, folder: str) -> int:
-    """Write files (path below ``folder``, content), each by the task that holds it; returns their number.
-
-    ``folder`` must be mounted on all executors. A file appears whole or not at all, and one written again by a
-    repeated task is the same.
-    """
-    scheme, _, rest = folder.rpartition(":")
-    if scheme not in ("", "file"):
-        raise ValueError(f"no mounted folder: {folder}")
-    root = os.path.normpath(rest) if scheme else folder
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                target = os.path.join(root, path.lstrip("/"))
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                part = f"{target}.{uuid.uuid4().hex}"
-                with open(part, "wb") as f:
-                    f.write(content.as_py())
-                os.replace(part, target)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
-
-    return files.select("path", "content").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def save_files(files: DataFrame, folder: str) -> None:
+    """Write files (path below ``folder``, content) to any store that pyarrow reaches: all of them if the job ends well, else none."""
+    files.sparkSession.dataSource.register(stores.FileSink)
+    files.select("path", "content").write.format(stores.FileSink.name()).mode("append").save(folder)
 
 
 def packed_clouds(points: DataFrame, form: str, info: str = "PNFLB", channels: int = 0, rows: int = 1_000_000) -> DataFrame:

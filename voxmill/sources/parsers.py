@@ -41,6 +41,27 @@ def ply_header(data: bytes) -> tuple[str, list[tuple[str, int, list]], bytes]:
     return form, elements, data[end.end() :]
 
 
+def equal_lists(body: bytes, at: int, count: int, props: list, order: str) -> np.ndarray | None:
+    """The rows of an element whose lists are all as long as those of its first row, as one structured array; else None."""
+    fields, spot = [], at
+    for n, t in props:
+        if isinstance(t, tuple):
+            if spot + np.dtype(t[0]).itemsize > len(body):
+                return None
+            size = int(np.frombuffer(body, order + t[0], 1, spot)[0])
+            fields += [(f"size of {n}", order + t[0]), (n, order + t[1], (size,))]
+            spot += np.dtype(t[0]).itemsize + size * np.dtype(t[1]).itemsize
+        else:
+            fields.append((n, order + t))
+            spot += np.dtype(t).itemsize
+    kind = np.dtype(fields)
+    if at + count * kind.itemsize > len(body):
+        return None
+    rows = np.frombuffer(body, kind, count, at)
+    same = all((rows[f"size of {n}"] == rows[n].shape[1]).all() for n, t in props if isinstance(t, tuple))
+    return rows if same else None
+
+
 def ply_elements(data: bytes) -> dict[str, dict]:
     """Elements of a polygon file, ascii or binary (either byte order), as columns; of lists, a list of arrays."""
     form, elements, body = ply_header(data)
@@ -58,6 +79,10 @@ def ply_elements(data: bytes) -> dict[str, dict]:
                 out[name] = {n: rows[n].astype(np.float64) for n, _ in props}
                 at += count * kind.itemsize
             continue
+        if tokens is None and (rows := equal_lists(body, at, count, props, order)) is not None:  # no need to go row by row
+            out[name] = {n: list(rows[n].astype(np.float64)) if isinstance(t, tuple) else rows[n].astype(np.float64) for n, t in props}
+            at += rows.nbytes
+            continue
         found: dict[str, list] = {n: [] for n, _ in props}
         for _ in range(count):  # lists of any length: row by row
             for n, t in props:
@@ -79,6 +104,10 @@ def ply_elements(data: bytes) -> dict[str, dict]:
 
 def triangles(polygons: list) -> np.ndarray:
     """Polygons as fans of triangles around their first corners; fewer than three corners make none."""
+    if polygons and len(polygons[0]) >= 3 and len({len(p) for p in polygons}) == 1:
+        corners = np.asarray(polygons)
+        fans = [corners[:, [0, k, k + 1]] for k in range(1, corners.shape[1] - 1)]
+        return np.stack(fans, 1).reshape(-1, 3).astype(np.int64)
     out = [(p[0], p[k], p[k + 1]) for p in polygons for k in range(1, len(p) - 1)]
     return np.array(out, np.int64).reshape(-1, 3)
 
