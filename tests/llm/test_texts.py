@@ -115,7 +115,7 @@ def test_empty_tables(spark, none):
     assert lm.interpolated_scores(none).count() == 0
     assert secrets.scan_secrets(none).count() == 0
     assert tokens.token_counts(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
-    assert mixing.mix(mixing.with_domain(none), mixing.LEVELS, {}).count() == 0
+    assert mixing.mix(none, mixing.LEVELS, {}).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.resample(none, labels).count() == 0 and quality.keep_drawn(none, labels).count() == 0
     items = spark.createDataFrame([], "item_id long, text string")
@@ -566,7 +566,7 @@ def test_budgets_against_pouring(spark, seed):
 @pytest.mark.parametrize(("share", "epochs"), [(0.4, 1), (1.7, 3)])
 def test_mix(docs, rows, share, epochs, monkeypatch):
     monkeypatch.setattr(mixing, "BIN_ROWS", 5)
-    out = mixing.mix(mixing.with_domain(docs), ["lang", "source"], {("en",): 3.0}, share, epochs, 1, mixing.word_count("text")).collect()
+    out = mixing.mix(docs, {"lang": "lang", "source": "source"}, {("en",): 3.0}, share, epochs, 1, mixing.word_count("text")).collect()
     leaves = Counter()
     for r in rows:
         if len(words(r[1])):
@@ -580,5 +580,55 @@ def test_mix(docs, rows, share, epochs, monkeypatch):
     assert taken == Counter({k: v for k, v in given.items() if v})
     partial = Counter((r.lang, r.source) for r in out if r.take_tokens < r.n_tokens)
     assert max(partial.values(), default=0) <= 1  # one document at most is cut in each leaf
-    again = mixing.mix(mixing.with_domain(docs), ["lang", "source"], {("en",): 3.0}, share, epochs, 1).collect()
+    again = mixing.mix(docs, {"lang": "lang", "source": "source"}, {("en",): 3.0}, share, epochs, 1).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, out))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_budgets_with_fractional_weights_are_exact(spark, seed):
+    """Whole tokens by shares rounded down, in fractions; none is lost on the way down."""
+    from fractions import Fraction
+
+    rng = random.Random(seed)
+    leaves = {(f"d{rng.randrange(4)}", f"s{k}"): rng.choice([3, 40, 999, 10**12]) for k in range(30)}
+    weights = {(f"d{k}",): rng.choice([0.1, 0.3, 0.7, 1 / 3]) for k in range(4)} | {x: rng.choice([0.1, 0.2, 0.6, 0.7, 1e-6, 123456.789]) for x in list(leaves)[:20]}
+    whole = {x: Fraction(round(w * mixing.UNIT)) for x, w in weights.items()}
+
+    def share(total, below):
+        """below: (cap, weight) by name; the same rule as the operator's, in fractions."""
+        order = sorted(below, key=lambda n: (below[n][0] / below[n][1], n))
+        full, spent = [], 0
+        for k, n in enumerate(order):
+            if below[n][0] * sum(below[m][1] for m in order[k:]) <= (total - spent) * below[n][1]:
+                full.append(n)
+            spent += below[n][0]
+        rest, open_, out, upto = total - sum(below[n][0] for n in full), [n for n in order if n not in full], {n: int(below[n][0]) for n in full}, Fraction(0)
+        for n in open_:
+            w, all_ = below[n][1], sum(below[m][1] for m in open_)
+            out[n] = int(rest * (upto + w) // all_) - int(rest * upto // all_)
+            upto += w
+        return out
+
+    for part in (0.001, 0.31, 0.77):
+        total = int(sum(leaves.values()) * part)
+        got = budgets(spark, leaves, weights, total, 1)
+        tops = sorted({x[0] for x in leaves})
+        above = share(total, {d: (Fraction(sum(n for x, n in leaves.items() if x[0] == d)), whole[(d,)]) for d in tops})
+        want = {}
+        for d in tops:
+            want |= {(d, n): v for n, v in share(above[d], {x[1]: (Fraction(n), whole.get(x, Fraction(mixing.UNIT))) for x, n in leaves.items() if x[0] == d}).items()}
+        assert got == want and sum(got.values()) == total
+    assert budgets(spark, {("a",): 3}, {("a",): 0.7}, 3, 1) == {("a",): 3}
+
+
+def test_columns_of_any_name_come_back_as_they_were(spark):
+    rng = random.Random(8)
+    text = prose(rng, 60)
+    rows = [(k, text if k < 3 else prose(rng, 60), "en", "src1", 0) for k in range(8)] + [(None, None, None, None, None)]
+    names = ("__rank", "rank", "row", "copy", "id", "domain", "fp", "group_id", "whole")
+    docs = spark.createDataFrame(rows, SCHEMA).select("*", *[F.concat(F.lit(f"{n}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names])
+    kept = neardup.keep_first(docs)
+    assert kept.columns == docs.columns and kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == {0, 3, 4, 5, 6, 7, None}
+    for made in (kept, secrets.redact(docs), decontaminate.drop_leaks(docs, spark.createDataFrame([(1, "x y z")], "item_id long, text string"))):
+        assert all(r[n] == f"{n}-{'none' if r.doc_id is None else r.doc_id}" for r in made.collect() for n in names)
+    assert {r.domain for r in mixing.mix(docs, mixing.LEVELS, mixing.WEIGHTS, 1.0, 1).collect()} == {"domain1"}

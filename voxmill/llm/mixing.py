@@ -32,6 +32,8 @@ from voxmill.llm.common import staged
 LEAVES = 100_000
 #: Rows in a bin of the drawn order, on average.
 BIN_ROWS = 2_000
+#: Weights are counted in parts of one UNIT-th; sums of a parent's weights stay below 10^19 of them.
+UNIT = 1_000_000
 #: Draws are the first 60 bits of an md5.
 DRAW_DIGITS = 15
 
@@ -47,20 +49,26 @@ def renamed(df: DataFrame, names: list[str]) -> DataFrame:
 def shared_out(children: DataFrame, names: list[str]) -> DataFrame:
     """``budget`` of children (names, cap, weight, total), whose parent (all names but the last) has ``total`` to give.
 
-    Children fill up in the order of cap / weight. A child is full if the total covers what filled up before it and, at its own
-    level, itself and all that come after; the others share the rest by weight, in whole tokens that add up to it. A child without weight
-    gets nothing.
+    Weights are counted in millionths, and all sums and quotients are of whole numbers. Children fill up in the order of cap / weight. A child is full
+    if the total covers what filled up before it and, at its own level, itself and all that come after; the others share the rest by weight: each gets
+    what the shares up to it, rounded down, have gained, and the last one's is the whole rest. A child without weight gets nothing.
     """
-    c = children.withColumn("cap", F.when(F.col("weight") > 0, F.col("cap")).otherwise(0)).withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0))
+    some = F.col("weight") > 0
+    whole = F.greatest(F.round(F.col("weight") * UNIT), F.lit(1.0)).cast("decimal(18,0)")
+    c = children.withColumn("cap", F.when(some, F.col("cap")).otherwise(0)).withColumn("weight", F.when(some, whole).otherwise(F.lit(UNIT).cast("decimal(18,0)")))
     family = Window.partitionBy(*names[:-1])
-    order = family.orderBy(F.col("cap") / F.col("weight"), names[-1])
+    order = family.orderBy(F.col("cap") / F.col("weight").cast("double"), names[-1])
     before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     after = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    c = c.withColumn("full", F.col("cap") * after <= (F.col("total") - before) * F.col("weight"))
+    big = lambda x: x.cast("decimal(19,0)")
+    c = c.withColumns({"before": before, "after": after.cast("decimal(19,0)")})
+    c = c.withColumn("full", big(F.col("cap")) * F.col("after") <= big(F.col("total") - F.col("before")) * F.col("weight"))
     rest = F.col("total") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(family)
-    open_ = F.when(F.col("full"), 0.0).otherwise(F.col("weight"))
-    c = c.withColumns({"rest": rest, "open": F.sum(open_).over(family), "upto": F.sum(open_).over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    part = F.floor(F.col("rest") * F.col("upto") / F.col("open")) - F.floor(F.col("rest") * (F.col("upto") - F.col("weight")) / F.col("open"))
+    open_ = F.when(F.col("full"), F.lit(0).cast("decimal(18,0)")).otherwise(F.col("weight"))
+    upto = F.sum(open_).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    c = c.withColumns({"rest": big(rest), "open": F.sum(open_).over(family).cast("decimal(19,0)"), "upto": upto.cast("decimal(19,0)")})
+    c = c.withColumn("below", (F.col("upto") - F.col("weight")).cast("decimal(19,0)"))
+    part = F.expr("CASE WHEN open > 0 THEN (rest * upto) div open - (rest * below) div open ELSE 0 END")
     return c.select(*names, F.when(F.col("full"), F.col("cap")).otherwise(part).cast("long").alias("budget"))
 
 
@@ -95,15 +103,17 @@ def word_count(text: str) -> Column:
     return F.regexp_count(content, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def mix(docs: DataFrame, levels: list[str], weights: dict[tuple, float], share: float = 0.6, epochs: int = 2, seed: int = 42, tokens: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, levels: dict[str, str], weights: dict[tuple, float], share: float = 0.6, epochs: int = 2, seed: int = 42, tokens: Column | None = None) -> DataFrame:
     """What is taken: doc_id, the levels, n_tokens, epoch (from 0) and take_tokens.
 
-    ``share`` is the total as a share of all tokens; ``epochs`` says how often a document may be taken.
+    ``levels`` names the levels of the tree from the top, each with its SQL expression over the columns of ``docs``. ``share`` is the total as a share of all tokens; ``epochs`` says how often a document may be taken.
     """
     count = word_count("text") if tokens is None else tokens
     copy = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), copy.cast("string")))
-    rows = docs.select(*levels, "doc_id", copy.alias("copy"), count.alias("n_tokens"), name.alias("name"))
+    named = [F.expr(e).alias(n) for n, e in levels.items()]
+    levels = list(levels)
+    rows = docs.select(*named, "doc_id", copy.alias("copy"), count.alias("n_tokens"), name.alias("name"))
     rows = staged(rows.where("n_tokens > 0"), "sizes")
     totals = staged(leaf_totals(rows, levels), "leaves")
     whole_sum = totals.agg(F.coalesce(F.sum("leaf_tokens"), F.lit(0))).first()[0]
@@ -134,12 +144,7 @@ def mix(docs: DataFrame, levels: list[str], weights: dict[tuple, float], share:
     return full.select(*out).unionByName(last.select(*out))
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
-    """``docs`` with the top level of the query's tree: sources fall into four domains by their number."""
-    number = F.regexp_extract(F.coalesce("source", F.lit("")), r"([0-9]{1,6})$", 1)
-    return docs.withColumn("domain", F.concat(F.lit("domain"), F.coalesce(number.try_cast("int") % 4, F.lit(0))))
-
-
 #: The weights of the query and of the pipeline; other paths weigh 1.
 WEIGHTS = {("domain0",): 4.0, ("domain1",): 3.0, ("domain2",): 2.0, ("domain3",): 1.0, **{(f"domain{k}", "en"): 2.0 for k in range(4)}}
-LEVELS = ["domain", "lang", "source"]
+#: Sources fall into four domains by the number at their end.
+LEVELS = {"domain": r"concat('domain', coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]{1,6})$', 1) as int) % 4, 0))", "lang": "lang", "source": "source"}

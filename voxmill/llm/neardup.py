@@ -198,7 +198,7 @@ def groups(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each group, that of the smallest id (of equal ids, one), and all rows without id."""
     firsts = staged(groups(docs).where("doc_id = group_id").select("doc_id").distinct(), "firsts")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text").cast("string"))))
-    kept = docs.where("doc_id is not null").join(firsts, "doc_id", "left_semi").withColumn("__rank", rank).where("__rank = 1").select(*names)
-    return kept.unionByName(docs.where("doc_id is null"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("copy"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("copy"))
+    kept = rows.join(firsts, F.col("id") == F.col("doc_id"), "left_semi").withColumn("rank", rank).where("rank = 1")
+    return kept.unionByName(rows.where("id is null"), allowMissingColumns=True).select("row.*")

@@ -106,13 +106,15 @@ def nearest(blocks: DataFrame, anchors: DataFrame, width: int, k: int, share: tu
     schema = "a_id bigint, a_label bigint, a_vector array<int>, window int, id bigint, label bigint, n bigint, score bigint"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.schema([("a_id", pa.int64()), ("a_label", pa.int64()), ("a_vector", pa.list_(pa.int32())), ("window", pa.int32()), *[(c, pa.int64()) for c in ("id", "label", "n", "score")]]).empty_table()
         left = left.sort_by("id")
         rows = {c: left[c].combine_chunks() for c in ("id", "label", "vector", "n")}
         asks = {c: right[c].combine_chunks() for c in ("a_id", "a_label", "a_vector", "scores")}
         out = [np.empty((5, 0), np.int64)]  # anchor, window, row, score, copies
         vectors, wanted = matrix(rows["vector"], width), matrix(asks["a_vector"], width)
         label, a_label, ids, a_ids, copies = (np.asarray(x) for x in (rows["label"], asks["a_label"], rows["id"], asks["a_id"], rows["n"]))
-        lists = Lists(vectors) if share and len(right) else None
+        lists = Lists(vectors) if share else None
         for one in np.unique(a_label):
             own = np.flatnonzero(label == one)
             if not share:

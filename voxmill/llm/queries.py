@@ -39,7 +39,7 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(mixing.with_domain(table(spark, sf_dir, "documents")), mixing.LEVELS, mixing.WEIGHTS)
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.LEVELS, mixing.WEIGHTS)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,16 +126,16 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS l
 
 
 def share_sql(levels: list[str], weight: str) -> str:
-    """Budgets b_k of the nodes of level k = len(levels) from those of the level above: children fill up in the order of cap / weight."""
+    """Budgets b_k of the nodes of level k = len(levels) from those of the level above: children fill up in the order of cap / weight (in millionths)."""
     k, names, parent = len(levels), ", ".join(levels), ", ".join(levels[:-1]) or "1"
     on = " AND ".join(f"n.{c} IS NOT DISTINCT FROM p.{c}" for c in levels[:-1]) or "true"
-    w = f"PARTITION BY {parent} ORDER BY cap / weight, {levels[-1]} NULLS FIRST ROWS BETWEEN"
-    return f"""n{k} AS (SELECT {names}, (sum(leaf_tokens) * 2)::BIGINT AS cap, {weight} AS weight FROM leaves GROUP BY {names}),
+    w = f"PARTITION BY {parent} ORDER BY cap::DOUBLE / weight::DOUBLE, {levels[-1]} NULLS FIRST ROWS BETWEEN"
+    return f"""n{k} AS (SELECT {names}, (sum(leaf_tokens) * 2)::HUGEINT AS cap, round({weight} * 1000000)::HUGEINT AS weight FROM leaves GROUP BY {names}),
 j{k} AS (SELECT n.*, p.budget AS total FROM n{k} n JOIN b{k - 1} p ON {on}),
-s{k} AS (SELECT *, coalesce(sum(cap) OVER ({w} UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER ({w} CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM j{k}),
+s{k} AS (SELECT *, coalesce(sum(cap) OVER ({w} UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS before, sum(weight) OVER ({w} CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM j{k}),
 f{k} AS (SELECT *, cap * after <= (total - before) * weight AS is_full FROM s{k}),
 r{k} AS (SELECT *, total - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER (PARTITION BY {parent}) AS rest, sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER (PARTITION BY {parent}) AS open_, sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({w} UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM f{k}),
-b{k} AS (SELECT {names}, (CASE WHEN is_full THEN cap ELSE floor(rest * upto / open_) - floor(rest * (upto - weight) / open_) END)::BIGINT AS budget FROM r{k})"""
+b{k} AS (SELECT {names}, (CASE WHEN is_full THEN cap ELSE (rest * upto)::HUGEINT // open_::HUGEINT - (rest * (upto - weight))::HUGEINT // open_::HUGEINT END)::BIGINT AS budget FROM r{k})"""
 
 
 #: Budgets down the tree of domain, lang and source; whole epochs, then a prefix of the next one's order.
