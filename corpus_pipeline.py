@@ -40,7 +40,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the budgets of the source tree take: ids, epochs and token prefixes."""
-    return mixing.mix(mixing.with_domain(docs), mixing.LEVELS, mixing.WEIGHTS)
+    return mixing.mix(docs, mixing.LEVELS, mixing.WEIGHTS)
 
 
 STAGES = [
