@@ -229,3 +229,11 @@ def test_category_lists_by_equal_parts(spark):
     lines = spark.createDataFrame([("train", 0, "data/a/x"), ("val", 1, "data/ab/y"), ("test", 2, "data/a/a/z"), ("test", 3, "data/c/a")], "list string, position long, line string")
     got = splits.category_filelists(lines, spark.createDataFrame([("a", 4), ("ab", 5)], "category string, category_id int")).collect()
     assert {(r.list, r.position, r.line) for r in got} == {("train_val", 0, "a/x 4"), ("train_val", 1, "ab/y 5"), ("test", 2, "a/a/z 4"), ("test", 3, "a 4")}
+
+
+def test_ranks_leave_columns_of_any_name(spark):
+    names = ("piece", "n", "at", "start", "within", "rank", "by_g")
+    df = spark.createDataFrame([(k, k % 2) for k in range(20)], "position long, g long").select("position", F.col("position").alias("cloud_id"), "g", *[F.lit(f"my {n}").alias(n) for n in names])
+    for made in (splits.take(df, 20, 0.5), splits.assign_batches(df, 4), splits.assign_batches(df, 4, seed=3)):
+        assert made.columns[: len(df.columns)] == df.columns and all(r[n] == f"my {n}" for r in made.collect() for n in names)
+    assert ranked(df, F.lit(0), [F.col("position")], ["g"], name="place").where("place != position div 2").count() == 0

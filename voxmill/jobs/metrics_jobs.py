@@ -135,9 +135,9 @@ def e10(spark, d):
     return M.scene_iou(near(spark, d), ids).select("kind", "id", rounded("score"))
 
 
-@query("e11_category_summary", f"SELECT {r('avg(iou) AS category_mean', 'sum(iou * n) / sum(n) AS instance_mean')} FROM (SELECT epoch, avg((pred = label)::INT) AS iou, count(*) AS n FROM {NEAR} WHERE point_id % 7 >= epoch GROUP BY epoch)")
+@query("e11_category_summary", f"SELECT {r('avg(iou) AS category_mean', 'sum(iou * n) / sum(n) AS instance_mean')} FROM (SELECT label, avg((pred = label)::INT) AS iou, count(*) AS n FROM {NEAR} GROUP BY label)")
 def e11(spark, d):
-    scores = near(spark, d).where(F.col("point_id") % 7 >= F.col("epoch")).groupBy("epoch").agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("iou"), F.count("*").alias("n"))
+    scores = near(spark, d).groupBy("label").agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("iou"), F.count("*").alias("n"))
     return M.category_summary(scores).select(rounded("category_mean"), rounded("instance_mean"))
 
 

@@ -181,7 +181,7 @@ RATIOS = [0.01, 0.02, 0.05, 0.1, 0.25, 0.5, 1.0]
 
 @query("r9_ratio_split", f"SELECT ratio::DOUBLE AS ratio, category, split, name FROM (SELECT *, row_number() OVER (PARTITION BY category, split ORDER BY name) AS rn, count(*) OVER (PARTITION BY category, split) AS n FROM {FILES}), (VALUES {', '.join(f'({x}::DOUBLE)' for x in RATIOS)}) AS t(ratio) WHERE rn <= ceil(n * ratio)")
 def r9(spark, d):
-    return L.ratio_split(files(spark, d), RATIOS)
+    return L.ratio_split(files(spark, d), RATIOS, F.substring("name", 1, 6))
 
 
 @query("r10_sequence_split", f"WITH t AS (SELECT name, doc_id % 22 AS sequence, CASE WHEN doc_id % 22 = 8 THEN 'val' WHEN doc_id % 22 < 11 THEN 'train' ELSE 'test' END AS split FROM {FILES}) SELECT * FROM t UNION ALL SELECT name, sequence, 'train_val' FROM t WHERE split <> 'test'")
@@ -213,7 +213,7 @@ def j12(spark, d):
 
 @query("r12_holdout_split", f"SELECT category, name, CASE WHEN row_number() OVER (PARTITION BY category ORDER BY name) <= floor(count(*) OVER (PARTITION BY category) * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM {FILES} WHERE name IN (SELECT name FROM {PARTNERS})")
 def r12(spark, d):
-    return L.holdout_split(files(spark, d), partners(spark, d), 0.8)
+    return L.holdout_split(files(spark, d), partners(spark, d), 0.8, F.substring("name", 1, 6))
 
 
 @query("r13_rewrite_suffix", f"SELECT replace(category || '/' || name || '.points', '.points', '.npz') AS line FROM {FILES}")

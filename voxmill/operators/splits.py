@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxmill.functions.ranks import ranked
+from voxmill.functions.ranks import free, ranked
 
 
 #: Rows of a list that are ordered in one task, where positions say where to cut.
@@ -21,7 +21,8 @@ def take(files: DataFrame, total: int, ratio: float, order: str = "position", bl
     ``block`` cuts the list into pieces along ``order`` (see ``ranked``): by default PIECE positions each.
     """
     block = F.floor(F.col(order) / PIECE) if block is None else block
-    return ranked(files, block, [F.col(order)], name="__rank").where(F.col("__rank") < ceil(total * ratio)).drop("__rank")
+    (rank,) = free(files, "rank")
+    return ranked(files, block, [F.col(order)], name=rank).where(F.col(rank) < ceil(total * ratio)).drop(rank)
 
 
 def assign_batches(clouds: DataFrame, size: int, seed: int | None = None) -> DataFrame:
@@ -31,8 +32,9 @@ def assign_batches(clouds: DataFrame, size: int, seed: int | None = None) -> Dat
     else:
         digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cloud_id").cast("string")))
         block, order = F.substring(digest, 1, 4), [digest, F.col("cloud_id")]
-    placed = ranked(clouds, block, order, name="__rank")
-    return placed.select(*clouds.columns, F.floor(F.col("__rank") / size).cast("long").alias("batch"), (F.col("__rank") % size).cast("int").alias("batch_idx"))
+    (rank,) = free(clouds, "rank")
+    placed = ranked(clouds, block, order, name=rank)
+    return placed.select(*clouds.columns, F.floor(F.col(rank) / size).cast("long").alias("batch"), (F.col(rank) % size).cast("int").alias("batch_idx"))
 
 
 def class_index(files: DataFrame) -> DataFrame:
@@ -41,12 +43,21 @@ def class_index(files: DataFrame) -> DataFrame:
     return files.join(F.broadcast(index), "category")  # one row a folder
 
 
-def ratio_split(files: DataFrame, ratios: list[float]) -> DataFrame:
-    """For each ratio the first ceil(n * ratio) files, by name, of each category and split."""
-    w = Window.partitionBy("category", "split")
-    ranked = files.withColumn("rn", F.row_number().over(w.orderBy("name"))).withColumn("n", F.count("*").over(w))
-    wide = ranked.withColumn("ratio", F.explode(F.array(*[F.lit(float(x)) for x in ratios])))
-    return wide.where(F.col("rn") <= F.ceil(F.col("n") * F.col("ratio"))).select("ratio", "category", "split", "name")
+def numbered(files: DataFrame, by: list[str], block: Column | None) -> DataFrame:
+    """``by`` and name of files, with ``rank`` by name and the number ``n`` within ``by``.
+
+    ``block`` cuts the names into pieces of bounded size, in their order (a prefix of them, say; see ``ranked``); without it a category is one piece.
+    """
+    named = files.select(*by, "name", (F.lit(0) if block is None else block).alias("piece"))
+    counts = named.groupBy(*by).agg(F.count("*").alias("n"))
+    theirs = counts.withColumnsRenamed({c: f"of_{c}" for c in by})
+    return ranked(named, F.col("piece"), [F.col("name")], by).join(theirs, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by])
+
+
+def ratio_split(files: DataFrame, ratios: list[float], block: Column | None = None) -> DataFrame:
+    """For each ratio the first ceil(n * ratio) files, by name, of each category and split. ``block``: see ``numbered``."""
+    wide = numbered(files, ["category", "split"], block).withColumn("ratio", F.explode(F.array(*[F.lit(float(x)) for x in ratios])))
+    return wide.where(F.col("rank") < F.ceil(F.col("n") * F.col("ratio"))).select("ratio", "category", "split", "name")
 
 
 def sequence_split(files: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -79,11 +90,10 @@ def drop_listed(files: DataFrame, blacklist: DataFrame, on: list[str]) -> DataFr
     return files.join(blacklist.select(*on), on, "left_anti")
 
 
-def holdout_split(files: DataFrame, partners: DataFrame, ratio: float) -> DataFrame:
-    """Of the files that both listings have, the first int(ratio * n) by name of each category train, the others test."""
-    w = Window.partitionBy("category")
-    both = match_listings(files, partners, ["name"]).withColumn("rn", F.row_number().over(w.orderBy("name"))).withColumn("n", F.count("*").over(w))
-    return both.select("category", "name", F.when(F.col("rn") <= F.floor(F.col("n") * F.lit(ratio)), "train").otherwise("test").alias("split"))
+def holdout_split(files: DataFrame, partners: DataFrame, ratio: float, block: Column | None = None) -> DataFrame:
+    """Of the files that both listings have, the first int(ratio * n) by name of each category train, the others test. ``block``: see ``numbered``."""
+    both = numbered(match_listings(files, partners, ["name"]), ["category"], block)
+    return both.select("category", "name", F.when(F.col("rank") < F.floor(F.col("n") * F.lit(ratio)), "train").otherwise("test").alias("split"))
 
 
 def rewrite_suffix(lines: DataFrame, old: str, new: str) -> DataFrame:
