@@ -13,6 +13,7 @@ from voxmill.operators import features as G
 from voxmill.operators import lookup as J
 from voxmill.operators import octree as O
 from voxmill.operators import stencil as C
+from voxmill.operators import stored as T
 
 CH = 4
 DATA = [f"d{k}" for k in range(CH)]
@@ -549,3 +550,47 @@ def c5b(spark, d):
 def c6b(spark, d):
     f, n = tree(spark, d)
     return flat(B.group_blocks(f, n, DEPTH, _WG))
+
+
+# ---------------------------------------------------------------- stored trees
+
+def stored(spark, d, *depths: int, cells: tuple[int, ...] = ()) -> T.StoredTree:
+    """Levels of cloud L in buckets of (cloud, ancestor at depth 2)."""
+    return T.store_tree(nodes(spark, d, index=True), {k: feat(spark, d, k) for k in depths}, CH, prefix=2, buckets=16, cells=cells)
+
+
+@query("j1_stored_search_key", f"SELECT q.cloud_id, q.point_id, q.key, coalesce(n.child, -1) AS idx FROM {QK} q LEFT JOIN (SELECT * FROM {LEVEL} WHERE nempty) n USING (cloud_id, key)")
+def j1s(spark, d):
+    asked = queries(spark, d).withColumn("key", K.xyz_to_key(F.col("x"), F.col("y"), F.col("z"), DEPTH)).select("cloud_id", "point_id", "key")
+    return T.search_key(stored(spark, d, DEPTH), asked, DEPTH)
+
+
+@query("j4_stored_neighbors", f"SELECT cloud_id, k, count(*) AS n, sum(key)::BIGINT AS keys, sum(nkey * (key + 1))::DOUBLE AS mixed FROM {neigh_sql()} GROUP BY cloud_id, k")
+def j4s(spark, d):
+    found = T.neighbors(stored(spark, d, DEPTH), DEPTH)
+    return found.groupBy("cloud_id", "k").agg(F.count("*").alias("n"), F.sum("key").alias("keys"), F.sum(F.col("nkey") * (F.col("key") + 1)).cast("double").alias("mixed"))
+
+
+@query("j6_stored_nearest", f"SELECT q.cloud_id, point_id, {r(*ZERO)} FROM (SELECT *, CASE WHEN {BOUNDS} THEN key END AS k FROM {QK}) q LEFT JOIN {FEAT} f ON f.cloud_id = q.cloud_id AND f.key = q.k")
+def j6s(spark, d):
+    return values(T.nearest(stored(spark, d, DEPTH), queries(spark, d), DEPTH), "cloud_id", "point_id")
+
+
+@query("j7_stored_linear", f"SELECT cloud_id, point_id, {r(*DATA)} FROM {linear_sql(Q)}")
+def j7s(spark, d):
+    return values(T.linear(stored(spark, d, DEPTH, cells=(DEPTH,)), queries(spark, d), DEPTH), "cloud_id", "point_id")
+
+
+@query("g3_stored_max_pool", f"SELECT cloud_id, 3 AS depth, key >> 3 AS key, {r(*[f'max({c}) AS {c}' for c in DATA])} FROM {FEAT} GROUP BY cloud_id, key >> 3")
+def g3s(spark, d):
+    return flat(T.max_pool(stored(spark, d, DEPTH), DEPTH))
+
+
+@query("g5_stored_avg_pool", f"SELECT cloud_id, 3 AS depth, key >> 3 AS key, {r(*[f'sum({c}) / (count(*) + 1e-8) AS {c}' for c in DATA])} FROM {FEAT} GROUP BY cloud_id, key >> 3")
+def g5s(spark, d):
+    return flat(T.avg_pool(stored(spark, d, DEPTH), DEPTH))
+
+
+@query("g11_stored_upsample", f"SELECT cloud_id, depth, key, {r(*DATA)} FROM (SELECT cloud_id, key AS pk, {', '.join(DATA)} FROM {COARSE}) JOIN (SELECT cloud_id AS c, depth, key FROM {NODES} WHERE depth = 4 AND nempty) ON c = cloud_id AND key >> 3 = pk")
+def g11s(spark, d):
+    return flat(T.nearest_upsample(stored(spark, d, DEPTH, DEPTH - 1), DEPTH - 1))

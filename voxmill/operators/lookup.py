@@ -39,34 +39,55 @@ def nearest(feat: DataFrame, query: DataFrame, depth: int, channels: int, bound_
     return align(feat, asked, channels)
 
 
-def linear(feat: DataFrame, query: DataFrame, depth: int, channels: int, bound_check: bool = True) -> DataFrame:
-    """Trilinear feature over cell centres; weights of the cells found are scaled to one.
+def _extent(depth: int, bound_check: bool) -> tuple[int, int]:
+    """Bits and shift of places, which are named by their lower cell, with bounds by the cell after it: they start one cell outside and need one more bit."""
+    return (depth + 1, 1) if bound_check else (depth, 0)
 
-    (cloud_id, point_id, data). Without ``bound_check`` cells outside wrap to the far side. Points that meet no cell get zeros.
-    Cells, of which there are fewer than points, are sent to the eight places between cells that they touch and put side by
-    side there; a point then looks up its own place once. Points are not multiplied, and each row of ``query`` gives one row.
-    """
-    corners = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
-    # places are named by their lower cell, with bounds by the cell after it: they start one cell outside and need one more bit
-    bits, shift = (depth + 1, 1) if bound_check else (depth, 0)
+
+CORNERS = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
+
+
+def cells_around(feat: DataFrame, depth: int, bound_check: bool = True) -> DataFrame:
+    """(cloud_id, place, c0 .. c7): the features of the eight cells around each place between cells, null where there is no cell."""
+    bits, shift = _extent(depth, bound_check)
     steps = [axis_steps(F.col("key"), a, bits, wrap=True) for a in range(3)]
-    parts = [[steps[a][1 + shift - o] for a, o in enumerate(at)] for at in corners]
+    parts = [[steps[a][1 + shift - o] for a, o in enumerate(at)] for at in CORNERS]
     places = F.array(*[F.struct(F.lit(n).alias("corner"), x.bitwiseOR(y).bitwiseOR(z).alias("place")) for n, (x, y, z) in enumerate(parts)])
     sent = feat.select("cloud_id", "data", F.explode(places).alias("o")).select("cloud_id", "o.place", "o.corner", "data")
-    around = sent.groupBy("cloud_id", "place").agg(*[F.max(F.when(F.col("corner") == n, F.col("data"))).alias(f"c{n}") for n in range(8)])
+    return sent.groupBy("cloud_id", "place").agg(*[F.max(F.when(F.col("corner") == n, F.col("data"))).alias(f"c{n}") for n in range(8)])
+
+
+def placed(query: DataFrame, depth: int, bound_check: bool = True) -> DataFrame:
+    """(cloud_id, point_id, ix.., fx.., place): the place of each query point and where it lies between the cells there."""
+    bits, shift = _extent(depth, bound_check)
     base = [F.floor(F.col(c) - 0.5) for c in "xyz"]
     asked = query.select("cloud_id", "point_id", *[b.cast("long").alias(f"i{c}") for b, c in zip(base, "xyz")], *[(F.col(c) - 0.5 - b).alias(f"f{c}") for b, c in zip(base, "xyz")])
     place = xyz_to_key(*[F.col(f"i{c}") + shift for c in "xyz"], bits)
     if bound_check:
         place = F.when(reduce(lambda a, b: a & b, [F.col(f"i{c}").between(-1, (1 << depth) - 1) for c in "xyz"]), place)
-    met = asked.withColumn("place", place).join(around, ["cloud_id", "place"], "left")
-    weights = [reduce(lambda a, b: a * b, [F.col(f"f{c}") if o else 1.0 - F.col(f"f{c}") for c, o in zip("xyz", at)]) for at in corners]
+    return asked.withColumn("place", place)
+
+
+def weighted(met: DataFrame, channels: int) -> DataFrame:
+    """(cloud_id, point_id, data) of points that have met the cells around them."""
+    weights = [reduce(lambda a, b: a * b, [F.col(f"f{c}") if o else 1.0 - F.col(f"f{c}") for c, o in zip("xyz", at)]) for at in CORNERS]
     met = met.select("cloud_id", "point_id", *[F.when(F.col(f"c{n}").isNotNull(), w).otherwise(0.0).alias(f"w{n}") for n, w in enumerate(weights)], *[f"c{n}" for n in range(8)])
     total = reduce(lambda a, b: a + b, [F.col(f"w{n}") for n in range(8)]) + 1e-12
     sums = [reduce(lambda a, b: a + b, [F.coalesce(F.col(f"w{n}") * F.col(f"c{n}")[k], F.lit(0.0)) for n in range(8)]) for k in range(channels)]
     return met.select("cloud_id", "point_id", F.array(*[s / total for s in sums]).alias("data"))
 
 
+def linear(feat: DataFrame, query: DataFrame, depth: int, channels: int, bound_check: bool = True) -> DataFrame:
+    """Trilinear feature over cell centres; weights of the cells found are scaled to one.
+
+    (cloud_id, point_id, data). Without ``bound_check`` cells outside wrap to the far side. Points that meet no cell get zeros.
+    Cells, of which there are fewer than points, are sent to the eight places between cells that they touch and put side by
+    side there; a point then looks up its own place once. Points are not multiplied, and each row of ``query`` gives one row.
+    """
+    met = placed(query, depth, bound_check).join(cells_around(feat, depth, bound_check), ["cloud_id", "place"], "left")
+    return weighted(met, channels)
+
+
 def interpolate(feat: DataFrame, query: DataFrame, depth: int, channels: int, method: str = "linear", low: float = -1.0, high: float = 1.0) -> DataFrame:
     """Features at points given in [low, high]."""
     size = (1 << depth) / (high - low)
