@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxmill.functions.clouds import meet
 from voxmill.functions.ranks import ranked, running_sum
 from voxmill.operators import features as G
 from voxmill.operators import points as P
@@ -237,3 +238,18 @@ def test_ranks_leave_columns_of_any_name(spark):
     for made in (splits.take(df, 20, 0.5), splits.assign_batches(df, 4), splits.assign_batches(df, 4, seed=3)):
         assert made.columns[: len(df.columns)] == df.columns and all(r[n] == f"my {n}" for r in made.collect() for n in names)
     assert ranked(df, F.lit(0), [F.col("position")], ["g"], name="place").where("place != position div 2").count() == 0
+
+
+def test_points_meet_their_cloud(spark):
+    """Broadcast up to a number of clouds; beyond it by parts, so that one cloud is many tasks. Both give the same."""
+    rng = np.random.default_rng(9)
+    points = spark.createDataFrame([(int(c), k, *map(float, xyz)) for k, (c, xyz) in enumerate(zip(rng.integers(0, 5, 500) // 3, rng.normal(size=(500, 3))))], "cloud_id long, point_id long, x double, y double, z double").withColumn("part", F.lit("mine"))
+    boxes = P.bbox(points)
+    few, many, plain = meet(points, boxes), meet(points, boxes, most=0), points.join(boxes, "cloud_id")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(few) and "hashpartitioning" not in plan(few)
+    assert "SortMergeJoin" in plan(many) and "Exchange hashpartitioning(cloud_id" in plan(many)
+    rows = lambda df: sorted(map(tuple, df.select(*plain.columns).collect()))
+    assert rows(few) == rows(many) == rows(plain)
+    lone = spark.createDataFrame([(7, [1.0] * 16)], "cloud_id long, m array<double>")
+    assert rows(meet(points, lone, how="left", most=0).select(*plain.columns[:6], *[F.lit(0).alias(c) for c in plain.columns[6:]])) == rows(points.select("*", *[F.lit(0).alias(c) for c in plain.columns[6:]]))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxmill.functions.clouds import meet
 from voxmill.functions.keys import norm, normalized, uniform
 from voxmill.operators.points import NORMAL, XYZ, bbox, clip, rotation
 
@@ -43,7 +44,7 @@ def augment(points: DataFrame, params: DataFrame, orient: str | None = None) ->
     m = rotation(tuple(F.col(f"a{c}") for c in "xyz"))
     sure = lambda v, name: F.coalesce(v, F.lit(0.0)).alias(name)  # noqa: E731  never null, so no null filter drags the draws down to the points
     turns = params.select("cloud_id", *[F.col(f"f{c}") for c in "xyz"], *[sure(F.col(f"{p}{c}"), f"{p}{c}") for p in "st" for c in "xyz"], *[sure(m[i][j], f"m{i}{j}") for i in range(3) for j in range(3)])  # once a cloud
-    p = points.join(turns, "cloud_id")
+    p = meet(points, turns)
     p = p.withColumns({n: F.when(F.col(f"f{c}"), -F.col(n)).otherwise(F.col(n)) for c in "xyz" for n in (c, f"n{c}")})
     turned = {names[j]: F.col(names[0]) * F.col(f"m0{j}") + F.col(names[1]) * F.col(f"m1{j}") + F.col(names[2]) * F.col(f"m2{j}") for names in (XYZ, NORMAL) for j in range(3)}
     p = p.withColumns(turned)
@@ -109,7 +110,7 @@ def noise_lattice(points: DataFrame, granularity: float, seed: int) -> DataFrame
 
 def elastic_distort(points: DataFrame, granularity: float, magnitude: float, seed: int) -> DataFrame:
     """Points moved by trilinear samples of blurred noise; outside the lattice nothing moves."""
-    p = points.join(bbox(points), "cloud_id")
+    p = meet(points, bbox(points))
     at = {c: (F.col(c) - F.col(f"min_{c}")) / granularity + 1.0 for c in "xyz"}
     p = p.select("cloud_id", "point_id", *[at[c].alias(c) for c in "xyz"])
     corners = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(c).alias("z")) for a in (0, 1) for b in (0, 1) for c in (0, 1)])

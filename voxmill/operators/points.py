@@ -12,6 +12,7 @@ from math import cos, sin
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxmill.functions.clouds import meet
 from voxmill.functions.keys import normalized
 from voxmill.functions.ranks import ranked
 
@@ -96,7 +97,7 @@ def bbox(points: DataFrame) -> DataFrame:
 
 
 def with_bbox(points: DataFrame) -> DataFrame:
-    return points.join(bbox(points), "cloud_id")
+    return meet(points, bbox(points))
 
 
 def centre(c: str) -> Column:
@@ -161,7 +162,7 @@ def align_axes(points: DataFrame, matrices: DataFrame) -> DataFrame:
     for i, c in enumerate(XYZ):
         row = [F.element_at("m", 4 * i + j + 1) for j in range(4)]
         moved[c] = F.coalesce(F.col("x") * row[0] + F.col("y") * row[1] + F.col("z") * row[2] + row[3], F.col(c))
-    return points.join(matrices, "cloud_id", "left").withColumns(moved).select(*points.columns)
+    return meet(points, matrices, how="left").withColumns(moved).select(*points.columns)
 
 
 def merge_points(parts: list[DataFrame]) -> DataFrame:
@@ -172,7 +173,7 @@ def merge_points(parts: list[DataFrame]) -> DataFrame:
     clouds = both.groupBy("part", "cloud_id").agg(F.count("*").alias("n_points"))
     block = F.struct("part", F.floor(F.col("cloud_id") / 4096))
     numbered = ranked(clouds, block, [F.col("part"), F.col("cloud_id")], name="batch_id")
-    return both.join(numbered, ["part", "cloud_id"]).drop("part")
+    return meet(both, numbered, ("part", "cloud_id")).drop("part")
 
 
 def split_counts(points: DataFrame, batches: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxmill.functions.classes import LIDAR_CLASSES
+from voxmill.functions.clouds import meet
 from voxmill.operators.points import bbox
 
 
@@ -21,7 +22,7 @@ def assign_chunks(points: DataFrame, crop: float, stride: float, least: int) ->
     boxes = bbox(points)
     small = F.greatest(*[F.col(f"max_{c}") - F.col(f"min_{c}") for c in "xyz"]) < crop
     count = {c: F.ceil(F.greatest(F.col(f"max_{c}") - crop, F.lit(0.0)) / stride) + 1 for c in "xyz"}
-    placed = points.select("cloud_id", "point_id", *"xyz").join(boxes, "cloud_id")
+    placed = meet(points.select("cloud_id", "point_id", *"xyz"), boxes)
     for c in "xyz":
         offset = F.col(c) - F.col(f"min_{c}")
         first = F.greatest(F.ceil((offset - crop) / stride), F.lit(0).cast("long"))
