@@ -1,6 +1,9 @@
 """Fingerprints and alignments of recordings."""
 
+from collections import Counter
+
 import numpy as np
+import pytest
 
 from voxmill.llm import audio
 
@@ -49,3 +52,45 @@ def test_search(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "rec_id long, rate int, pcm binary")
     assert audio.search(none, none).count() == 0
+
+
+def brute_align(query, held):
+    """The best alignment of two lists of integers (None: silent) by trying every offset."""
+    first = lambda x, k: x[k] is not None and (k == 0 or x[k] != x[k - 1])
+    votes = Counter(c - q for q in range(len(query)) if first(query, q) for c in range(len(held)) if first(held, c) and held[c] == query[q])
+    votes = {k: n for k, n in votes.items() if n >= audio.VOTES}
+    if not votes:
+        return None
+    offset = max(votes, key=lambda k: (votes[k], -abs(k), k))
+    pairs = [(query[k - offset], held[k]) for k in range(max(offset, 0), min(len(held), len(query) + offset))]
+    bits = [32 if a is None or b is None else ((a ^ b) & 0xFFFFFFFF).bit_count() for a, b in pairs if a is not None or b is not None]
+    if len(bits) < audio.OVERLAP or sum(bits) / (32 * len(bits)) > audio.ERRORS:
+        return None
+    return offset, votes[offset], round(sum(bits) / (32 * len(bits)), 12)
+
+
+@pytest.mark.parametrize("spots", [4096, 3])
+def test_alignment_against_every_offset(spark, monkeypatch, spots):
+    monkeypatch.setattr(audio, "SPOTS", spots)
+    rng = np.random.default_rng(5)
+    tone = lambda n: [int(x) for x in np.repeat(rng.integers(-9, 9, n), rng.integers(1, 5, n))]
+    held = [tone(40) for _ in range(12)] + [[None] * 50, tone(3), [7] * 60]
+    for k in range(0, 12, 3):
+        held[k][10:16] = [None] * 6
+    queries = [h[a : a + 30] for h, a in zip(held[:8], range(0, 40, 5))] + [[None] * 20, [7] * 40, tone(30)]
+    for q in queries[:6]:
+        q[4] = int(rng.integers(-9, 9))
+    sides = [spark.createDataFrame([(k, x) for k, x in enumerate(xs)], f"{n} long, prints array<int>") for xs, n in ((queries, "query_id"), (held, "class_id"))]
+    got = {(r.query_id, r.class_id): (r.offset, r.votes, round(r.error_rate, 12)) for r in audio.align(*sides).collect()}
+    want = {(q, c): x for q in range(len(queries)) for c in range(len(held)) if (x := brute_align(queries[q], held[c]))}
+    assert got == want and len(want) >= 6
+
+
+def test_silence_and_held_tones_are_not_met_window_by_window(spark):
+    quiet, tone = np.zeros(8000 * 20, "<i2"), np.round(np.sin(np.arange(8000 * 20) * (np.pi / 16)) * 9000).astype("<i2")
+    rows = [(k, 8000, np.concatenate([quiet, tone, tune(k)]).tobytes()) for k in range(30)]
+    table = spark.createDataFrame(rows, "rec_id long, rate int, pcm binary")
+    prints = audio.fingerprints(table).collect()[0].prints
+    assert sum(x is None for x in prints) > 500 and audio.starts(audio.fingerprints(table), "rec_id", "at").groupBy("rec_id").count().agg({"count": "max"}).first()[0] < 450
+    out = audio.search(table, spark.createDataFrame([(100 + k, 8000, audio.excerpt(tune(k)).tobytes()) for k in range(30)], "rec_id long, rate int, pcm binary")).collect()
+    assert sum(r.best_query == 100 + r.rec_id and abs(r.best_offset - (320_000 + len(tune(0)) // 5 + 37) / audio.HOP) <= 1 for r in out) >= 29

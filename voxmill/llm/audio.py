@@ -3,13 +3,17 @@
 A recording (16-bit mono samples) becomes pitch-class frames: twelve sums of spectral power, scaled
 to length one. Sixteen filters compare areas of the frames in a window of ``SPAN`` frames;
 areas come from one integral image, whatever their size. Each comparison is cut to two bits,
-so that a window is a packed 32-bit integer. Two recordings are aligned by the offset at which most
-of their integers agree, and accepted if the share of differing bits over the whole overlap
-is small.
+so that a window is a packed 32-bit integer; a window in which nothing sounds has none (null). Two recordings are
+aligned by the offset at which most of their integers agree, and accepted if the share of differing bits over what
+sounds in the overlap is small; where only one of them sounds, all bits differ.
+
+An integer that holds on (a tone) gives one vote, at its start, and silence gives none, so neither is met window by
+window. Integers at many places are dealt to parts on both sides, so that no task meets more than SPOTS by SPOTS places.
 
 Recordings with the same integers are one class, so copies are compared once; links are counted
 for classes and given to all members. Null, empty or too short samples give no integers and align
-with nothing. Repeated rows come back as often as they came in; null ids never are queries.
+with nothing. Repeated rows come back as often as they came in; null ids never are queries. A recording is one row, however long, and is
+worked on whole. Other columns are not read and may have any names; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ LOW_HZ, HIGH_HZ = 80.0, 3000.0
 CUTS = (-0.15, 0.0, 0.15)
 #: An alignment needs so many equal integers, an overlap of so many, and at most so many differing bits.
 VOTES, OVERLAP, ERRORS = 3, 16, 0.2
-#: Places of one integer that are met in one task.
+#: Places of one integer that are met in one task, on either side.
 SPOTS = 4096
 
 
@@ -61,7 +65,23 @@ def filters() -> list[tuple[int, int, int, int, int]]:
 
 def fingerprint(pcm: bytes | None, rate: int) -> np.ndarray:
     """One packed integer (int32) for every window of SPAN frames."""
+    return packed_windows(chroma(pcm, rate))
+
+
+def heard(image: np.ndarray) -> np.ndarray:
+    """For every window of SPAN frames whether anything sounds in it."""
+    sounding = np.r_[0, np.cumsum(image.any(1))]
+    return sounding[SPAN:] > sounding[:-SPAN]
+
+
+def windows(pcm: bytes | None, rate: int) -> list[int | None]:
+    """The integers of a recording, None for silent windows."""
     image = chroma(pcm, rate)
+    return [x if on else None for x, on in zip(packed_windows(image).tolist(), heard(image).tolist())]
+
+
+def packed_windows(image: np.ndarray) -> np.ndarray:
+    """Windows of frames to integers."""
     n = len(image) - SPAN + 1
     if n < 1:
         return np.empty(0, np.int32)
@@ -84,7 +104,8 @@ def fingerprint(pcm: bytes | None, rate: int) -> np.ndarray:
             a = area(x + w // 4, w // 2, y, h)
         else:  # the middle classes against the outer ones
             a = area(x, w, y + h // 4, h // 2)
-        level = np.digitize(np.log((1 + a) / (1 + whole - a)), CUTS).astype(np.uint32)
+        level = np.digitize(np.round(np.log((1 + a) / (1 + whole - a)), 9), CUTS)  # rounded: equal areas are equal in any window
+        level = level.astype(np.uint32)
         out = (out << np.uint32(2)) | (level ^ (level >> np.uint32(1)))
     return out.view(np.int32)
 
@@ -94,7 +115,7 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
 
     Samples are large and the work on each is long, so they are sent row by row, never in batches of thousands.
     """
-    prints = F.udf(lambda pcm, rate: fingerprint(pcm, 8000 if rate is None else rate).tolist(), "array<int>", useArrow=False)
+    prints = F.udf(lambda pcm, rate: windows(pcm, 8000 if rate is None else rate), "array<int>", useArrow=False)
     return recordings.select("rec_id", prints("pcm", "rate").alias("prints"))
 
 
@@ -103,35 +124,49 @@ def align(queries: DataFrame, classes: DataFrame) -> DataFrame:
 
     query_id, class_id, offset (of the query's start in the recording, in frames), votes, error_rate.
     """
-    asked = queries.select("query_id", F.posexplode("prints").alias("q_at", "print"))
-    held = staged(classes.select("class_id", F.posexplode("prints").alias("c_at", "print")), "held")
-    # integers at many places of the recordings are dealt to as many parts, each of which meets a copy of the asked ones
-    counts = held.join(asked.select("print").distinct(), "print", "left_semi").groupBy("print").agg(F.ceil(F.count("*") / SPOTS).alias("parts"))
-    asked = asked.join(counts, "print").select("query_id", "q_at", "print", "parts", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
-    held = held.join(counts, "print").select("class_id", "c_at", "print", F.pmod(F.xxhash64("class_id", "c_at"), F.col("parts")).alias("part"))
-    met = held.join(asked.drop("parts"), ["print", "part"])
+    asked, held = staged(starts(queries, "query_id", "q_at"), "asked"), staged(starts(classes, "class_id", "c_at"), "held")
+    sizes = [side.groupBy("print").agg(F.ceil(F.count("*") / SPOTS).alias(n)) for side, n in ((asked, "q_parts"), (held, "c_parts"))]
+    counts = sizes[0].join(sizes[1], "print")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    asked = asked.join(counts, "print").select("query_id", "q_at", "print", F.pmod(F.xxhash64("query_id", "q_at"), F.col("q_parts")).alias("q_part"), numbers("c_parts").alias("c_part"))
+    held = held.join(counts, "print").select("class_id", "c_at", "print", numbers("q_parts").alias("q_part"), F.pmod(F.xxhash64("class_id", "c_at"), F.col("c_parts")).alias("c_part"))
+    met = held.join(asked, ["print", "q_part", "c_part"])
     votes = met.groupBy("query_id", "class_id", (F.col("c_at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
     best = votes.where(F.col("votes") >= VOTES).groupBy("query_id", "class_id").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.abs("offset"), "offset")).alias("best"))
     best = best.select("query_id", "class_id", "best.offset", "best.votes")
     both = best.join(queries.withColumnRenamed("prints", "q"), "query_id").join(classes.withColumnRenamed("prints", "c"), "class_id")
     start, skip = F.greatest("offset", F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
-    overlap = F.least(F.size("c") - start, F.size("q") - skip)
-    both = both.withColumn("overlap", overlap).where(F.col("overlap") >= OVERLAP)
-    bits = F.zip_with(F.slice("c", start + 1, F.col("overlap")), F.slice("q", skip + 1, F.col("overlap")), lambda a, b: F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(0xFFFFFFFF))))
-    error = F.aggregate(bits, F.lit(0), lambda s, x: s + x) / (32.0 * F.col("overlap"))
+    length = F.least(F.size("c") - start, F.size("q") - skip)
+    both = both.withColumn("length", length).where(F.col("length") >= OVERLAP)
+    differ = lambda a, b: F.when(a.isNull() & b.isNull(), None).when(a.isNull() | b.isNull(), 32).otherwise(F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(0xFFFFFFFF))))
+    bits = F.filter(F.zip_with(F.slice("c", start + 1, F.col("length")), F.slice("q", skip + 1, F.col("length")), differ), lambda x: x.isNotNull())
+    both = both.withColumn("bits", bits).where(F.size("bits") >= OVERLAP)
+    error = F.aggregate("bits", F.lit(0), lambda s, x: s + x) / (32.0 * F.size("bits"))
     return both.withColumn("error_rate", error).where(F.col("error_rate") <= ERRORS).select("query_id", "class_id", "offset", "votes", "error_rate")
 
 
+def starts(rows: DataFrame, name: str, at: str) -> DataFrame:
+    """(``name``, ``at``, print): where integers start to hold in ``prints``."""
+    each = F.transform("prints", lambda x, k: F.struct(k.alias(at), x.alias("print"), F.when(k > 0, F.get("prints", k - 1)).alias("before")))
+    first = F.filter(each, lambda x: x["print"].isNotNull() & ~x["print"].eqNullSafe(x["before"]))
+    return rows.select(name, F.explode(first).alias("x")).select(name, f"x.{at}", "x.print")
+
+
+def digest(prints: str) -> F.Column:
+    """Equal for equal lists of integers."""
+    return F.sha2(F.array_join(F.col(prints).cast("array<string>"), ",", "-"), 256)
+
+
 def search(recordings: DataFrame, excerpts: DataFrame) -> DataFrame:
     """Every recording with its class and how the ``excerpts`` (query recordings) align with it.
 
     rec_id, n_prints, class_id (smallest id with the same integers), n_links (queries aligned), and
     the best one's best_query, best_offset, votes and error_rate (null without links).
     """
-    prints = staged(fingerprints(recordings).withColumn("digest", F.sha2(F.concat_ws(",", F.col("prints").cast("array<string>")), 256)), "prints")
+    prints = staged(fingerprints(recordings).withColumn("digest", digest("prints")), "prints")
     classes = staged(prints.where(F.size("prints") > 0).groupBy("digest").agg(F.min("rec_id").alias("class_id"), F.any_value("prints").alias("prints"), F.count("*").alias("n")), "classes")
     # excerpts of the same integers are one query, which counts as often as there are ids
-    told = fingerprints(excerpts.where(F.col("rec_id").isNotNull())).withColumn("digest", F.sha2(F.concat_ws(",", F.col("prints").cast("array<string>")), 256))
+    told = fingerprints(excerpts.where(F.col("rec_id").isNotNull())).withColumn("digest", digest("prints"))
     ids = told.groupBy("rec_id").agg(F.min(F.struct("digest", "prints")).alias("x")).select("rec_id", "x.*")
     asked = staged(ids.where(F.size("prints") > 0).groupBy("digest").agg(F.min("rec_id").alias("query_id"), F.any_value("prints").alias("prints"), F.count("*").alias("asked")), "queries")
     found = align(asked.select("query_id", "prints"), classes.where("class_id is not null").select("class_id", "prints")).join(asked.select("query_id", "asked"), "query_id")
