@@ -6,10 +6,13 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import time
 import urllib.parse
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -294,6 +297,28 @@ def test_secrets_beyond_64_mb_of_inflated_data(filler):
     assert [(a, kind, b) for a, kind, b in secrets.scan(text)[1] if kind == 0] == [(2, 0, len(text) - 2)]
 
 
+@pytest.mark.parametrize("depth", [2, 3, 6])
+def test_members_inside_members(depth):
+    data = b"head " + SECRET.encode()
+    for k in range(depth):
+        data = b"some bytes \0\xff" * (k % 2) + (gzip.compress(data) if k % 3 else zlib.compress(data)) + b" more " * (k % 2)
+    text = f"x {base64.b64encode(gzip.compress(data)).decode()} y"
+    assert [kind for _, kind, _ in secrets.scan(text)[1]] == [0]
+    lines = base64.encodebytes(gzip.compress(b"z" * 99 + SECRET.encode()) * 40)
+    assert [kind for _, kind, _ in secrets.scan("x " + base64.b64encode(gzip.compress(b"x\n" + lines + b"end")).decode())[1]] == [0]
+    wide = base64.b64encode((" so " * 30 + SECRET).encode("utf-16-le"))
+    assert [kind for _, kind, _ in secrets.scan("x " + base64.b64encode(gzip.compress(b"a " + wide + b" b")).decode())[1]] == [0]
+
+
+def test_a_small_text_that_holds_much_takes_little_memory(tmp_path):
+    """78 KB of text that inflate to 60 MB without a line end; measured in a process of its own."""
+    text = base64.b64encode(gzip.compress(b"a" * (60 << 20) + b" " + SECRET.encode())).decode()
+    (tmp_path / "text").write_text(text)
+    code = "import resource, sys, time; from voxmill.llm import secrets; t = open(sys.argv[1]).read(); a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; s = time.time(); f = secrets.scan(t)[1]; print(len(f), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a) // 1024, time.time() - s)"
+    out = subprocess.run([sys.executable, "-c", code, str(tmp_path / "text")], capture_output=True, text=True, check=True, cwd=Path(__file__).parent.parent.parent).stdout.split()
+    assert int(out[0]) >= 1 and int(out[1]) < 400 and float(out[2]) < 15, out
+
+
 def test_scan_ends_on_cycles_and_long_texts():
     assert secrets.scan("%25" * 1000)[2] == 2
     assert secrets.scan("%2525252541" + "a" * 100_000)[0] == [(10 - 1 - 0, 2, 0)][:0] + brute_base("%2525252541" + "a" * 100_000)

@@ -2,10 +2,11 @@ r"""Secret scans through nested encodings.
 
 Each text starts a worklist of layers. A layer is scanned, then unwrapped: URL and Unicode escapes
 (percent, backslash, character references) are undone in place; base64 runs become layers of
-their own at each of the four alignments, and so does what gzip or zlib members in them hold. In
+their own at each of the four alignments, and so does what gzip or zlib members in them hold, and the members in those. In
 such layers every byte that no pattern has is a line end, so that a stray byte costs nothing. New layers join the worklist until
 none is left. Every layer carries a map from its characters to the root's, so that whatever is
-found is reported as a span of code points in the root text. A layer is entered once for each
+found is reported as a span of code points in the root text. What comes out of a packed member has one span, so it needs no
+map, and is inflated, decoded and searched in steps: memory does not grow with it but for stretches without a line end. A layer is entered once for each
 content and map: the same content at another place of the root is a layer of its own.
 
 Escapes that make up new escapes (``%252541``, ``&amp;#37;41``) are undone in the same pass over the text, however
@@ -24,6 +25,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -61,6 +63,8 @@ PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
 #: Inflated data is read in steps of STEP bytes and scanned in pieces of about PIECE bytes, cut at line ends.
 #: LONGEST bytes without any are cut all the same, and the pieces then overlap by half.
 STEP, PIECE, LONGEST = 1 << 20, 1 << 22, 1 << 26
+#: First bytes by which a member is told from those it lies in.
+HEAD = 64
 
 
 def base_matches(text: str) -> list[tuple[int, int, int]]:
@@ -81,6 +85,14 @@ class Layer:
     def __init__(self, text: str, first: np.ndarray | None = None, last: np.ndarray | None = None) -> None:
         self.text, self.first, self.last = text, first, last
 
+    @classmethod
+    def flat(cls, text: str, a: int, b: int) -> "Layer":
+        """A text all of which stands for root characters a to b."""
+        return cls(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text)))
+
+    def is_flat(self) -> bool:
+        return self.first is not None and len(self.text) > 1 and not self.first.strides[0]
+
     def key(self) -> bytes:
         """Equal for layers of equal content and map."""
         digest = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
@@ -111,13 +123,13 @@ def undone(layer: Layer) -> Layer | None:
     What has been read is a stack of characters; whenever its end is an escape, the character meant takes its
     place and is looked at in turn.
     """
-    text, changed, k, parts = layer.text, False, 0, []
+    text, changed, k, parts, flat = layer.text, False, 0, [], layer.is_flat()
     chars, begins, ends, starters = [], [], [], []
     while True:
         if not starters or len(chars) - starters[-1] > REACH:  # nothing is open: on to what may start an escape
             m = STARTER.search(text, k)
             stop = m.start() if m else len(text)
-            parts += [("".join(chars), begins, ends), (text[k:stop], np.arange(k, stop), np.arange(k + 1, stop + 1))]
+            parts += [("".join(chars), begins, ends), (text[k:stop], *(((), ()) if flat else (np.arange(k, stop), np.arange(k + 1, stop + 1))))]
             chars, begins, ends, starters, k = [], [], [], [], stop
         if k == len(text):
             break
@@ -142,8 +154,8 @@ def undone(layer: Layer) -> Layer | None:
     if not changed:
         return None
     text = "".join(x for x, _, _ in parts)
-    if layer.first is not None and not layer.first.strides[0]:  # one span for all of it
-        return Layer(text, np.broadcast_to(layer.first[0], len(text)), np.broadcast_to(layer.last[0], len(text)))
+    if flat:
+        return Layer.flat(text, int(layer.first[0]), int(layer.last[0]))
     begin, end = (np.concatenate([np.asarray(x[n], np.int64) for x in parts]) for n in (1, 2))
     return Layer(text, begin, end) if layer.first is None else Layer(text, layer.first[begin], layer.last[end - 1])
 
@@ -171,20 +183,110 @@ def inflated(data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
         yield b"", end
 
 
+class Unpacker:
+    """Takes bytes in steps and gives their plain text in pieces that no match crosses, with that of the packed members in them.
+
+    ``heads`` are the first bytes of the members that this one lies in: a member that begins like one of them would never end.
+    """
+
+    def __init__(self, heads: tuple[bytes, ...] = ()) -> None:
+        self.heads, self.live, self.tail, self.held = heads, [], b"", b""
+
+    def feed(self, data: bytes) -> Iterator[bytes]:
+        for member in self.live:
+            yield from member.feed(data)
+        window = self.tail + data
+        for m in PACKED.finditer(window):
+            head = window[m.start() : m.start() + HEAD]
+            if m.end() > len(self.tail) and head not in self.heads:  # one within the tail was found before
+                self.live.append(Member((*self.heads, head) if len(head) == HEAD else self.heads))
+                yield from self.live[-1].feed(window[m.start() :])
+        self.live = [x for x in self.live if not x.over]
+        self.tail = window[-2:]
+        self.held += data.translate(PLAIN)
+        if len(self.held) >= PIECE:
+            cut = self.held.rfind(b"\n") + 1
+            if cut:
+                yield self.held[:cut]
+                self.held = self.held[cut:]
+            elif len(self.held) >= LONGEST:
+                yield self.held
+                self.held = self.held[len(self.held) // 2 :]
+
+    def close(self) -> Iterator[bytes]:
+        for member in self.live:
+            yield from member.inside.close()
+        yield self.held
+        self.live, self.held = [], b""
+
+
+class Member:
+    """A packed member inside other data, which is fed on from its start and may turn out to be none."""
+
+    def __init__(self, heads: tuple[bytes, ...]) -> None:
+        self.unpack, self.inside, self.over = zlib.decompressobj(47), Unpacker(heads), False
+
+    def feed(self, data: bytes) -> Iterator[bytes]:
+        rest = data
+        while rest and not self.over:
+            before = self.unpack.copy()
+            try:
+                out, rest = self.unpack.decompress(rest, STEP), self.unpack.unconsumed_tail
+                yield from self.inside.feed(out)
+                self.over = self.unpack.eof
+            except zlib.error:
+                self.over = True
+                yield from self.inside.feed(up_to_fault(before, rest))
+        if self.over:
+            yield from self.inside.close()
+
+
+def up_to_fault(unpack: "zlib._Decompress", data: bytes) -> bytes:
+    """What comes before a fault counts: at most what a window of bytes gives."""
+    out = []
+    try:
+        for k in range(len(data)):
+            out.append(unpack.decompress(data[k : k + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
 def pieces(data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
-    """What ``inflated`` yields, as plain bytes in pieces that no match crosses."""
-    held, end = b"", at
+    """What ``inflated`` yields, as plain text in pieces, and the end of the last whole member so far."""
+    unpacker, end = Unpacker((data[at : at + HEAD],)), at
     for out, end in inflated(data, at):
-        held += out.translate(PLAIN)
-        if len(held) >= PIECE:
-            cut = held.rfind(b"\n") + 1
-            if cut:
-                yield held[:cut], end
-                held = held[cut:]
-            elif len(held) >= LONGEST:
-                yield held, end
-                held = held[len(held) // 2 :]
-    yield held, end
+        for piece in unpacker.feed(out):
+            yield piece, end
+    for piece in unpacker.close():
+        yield piece, end
+
+
+def flat_layers(layer: "Layer") -> Iterator["Layer"]:
+    """The base64 runs of a layer of one span, decoded in steps at all four alignments."""
+    text, span = layer.text, (int(layer.first[0]), int(layer.last[0]))
+    bodies = (m[0].rstrip("=") for m in BASE64.finditer(text))
+    if "\n" in text or "\\n" in text:
+        bodies = chain(bodies, (BREAKS.sub("", m[0]) for m in WRAPPED.finditer(text)))
+    for body in bodies:
+        for skip in range(min(4, len(body) - 15)):
+            views = [Unpacker(), Unpacker(), Unpacker()]  # all bytes, and of two-byte characters the first and the second ones
+            for piece in decoded(body, skip, views):
+                if STRETCH.search(piece):
+                    yield Layer.flat(piece.decode("ascii"), *span)
+
+
+def decoded(body: str, skip: int, views: list[Unpacker]) -> Iterator[bytes]:
+    end = len(body) - ((len(body) - skip) % 4 == 1)
+    for k in range(skip, end, STEP):
+        token = body[k : min(k + STEP, end)].translate({45: 43, 95: 47})
+        data = base64.b64decode(token + "=" * (-len(token) % 4))
+        yield from views[0].feed(data)
+        if 3 * data.count(0) > len(data):
+            yield from views[1].feed(data[0::2])
+            yield from views[2].feed(data[1::2])
+    for view in views:
+        yield from view.close()
 
 
 def blobs(text: str) -> Iterator[tuple[str, np.ndarray]]:
@@ -201,6 +303,9 @@ def blobs(text: str) -> Iterator[tuple[str, np.ndarray]]:
 
 def unbase64(layer: Layer) -> Iterator[Layer]:
     """Layers of the base64 runs, at all four alignments: other text may stand right before or after a blob."""
+    if layer.is_flat():
+        yield from flat_layers(layer)
+        return
     for body, spots in blobs(layer.text):
         body = body.translate({45: 43, 95: 47})
         end = int(spots[-1]) + 1
@@ -217,7 +322,7 @@ def unbase64(layer: Layer) -> Iterator[Layer]:
                 for piece, stop in pieces(data, at):
                     a, b = layer.root(int(spot[at // 3 * 4]), end)
                     if STRETCH.search(piece):
-                        yield Layer(piece.decode("ascii"), np.broadcast_to(np.int64(a), len(piece)), np.broadcast_to(np.int64(b), len(piece)))
+                        yield Layer.flat(piece.decode("ascii"), a, b)
                 plain = plain[:at] + b"\n" * (stop - at) + plain[stop:] if stop > at else plain
                 at = max(stop, at + 2)
             k = np.arange(len(plain))
