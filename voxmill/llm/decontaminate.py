@@ -11,7 +11,9 @@ shingles than the item is one window, all of it, compared exactly without a fing
 Words are runs of letters, digits and other non-ASCII characters, A-Z in lower case. An item of
 fewer than five words has one shingle, all its words; an item without words (or null) matches
 nothing. Null texts match nothing. Items are handled in blocks of a bounded size, each
-broadcast. Repeated rows yield one result.
+broadcast. Repeated rows yield one result in ``find_leaks`` and are all kept, or all dropped, by ``drop_leaks``. Long texts are read
+whole; of windows of equal similarity the first counts. Other columns than id and text are not read, may have any names and come back as they
+were; empty tables of documents give empty results, an empty benchmark drops nothing.
 """
 
 from __future__ import annotations

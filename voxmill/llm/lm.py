@@ -12,7 +12,8 @@ a bounded size, their numbers grow with the corpus. An n-gram is listed once a c
 makes up a third of a corpus is no larger than any other.
 
 Null text is empty (one end token); a null id is treated as the empty id when folds are dealt
-and returned as null. Repeated rows are scored, and counted, each.
+and returned as null. Repeated rows are scored, and counted, each. Long texts are read whole; ties do not arise, as all counts
+enter. Other columns than the id and the text are not read and may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ thousand, those in over a thousandth of the rows) are joined by broadcast, the o
 shuffle.
 
 Null text has no words. Rows with a null id neither lose words nor cause a loss. Rows with equal ids
-count as one document: none removes the other's words.
+count as one document: none removes the other's words. Long texts are read whole. Of documents that share a passage the one of the smallest id
+keeps it; ties of ids are as above. Other columns than the id and the text are not read and may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
