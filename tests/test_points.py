@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxmill.functions import classes
 from voxmill.functions.clouds import meet
 from voxmill.functions.ranks import ranked, running_sum
 from voxmill.operators import features as G
@@ -253,3 +254,9 @@ def test_points_meet_their_cloud(spark):
     assert rows(few) == rows(many) == rows(plain)
     lone = spark.createDataFrame([(7, [1.0] * 16)], "cloud_id long, m array<double>")
     assert rows(meet(points, lone, how="left", most=0).select(*plain.columns[:6], *[F.lit(0).alias(c) for c in plain.columns[6:]])) == rows(points.select("*", *[F.lit(0).alias(c) for c in plain.columns[6:]]))
+
+
+def test_categories_by_folder(spark):
+    files = spark.createDataFrame([("points/02691156/a.ply",), ("points/04379243/b.ply",), ("points/unknown/c.ply",), ("03001627/02691156/d.ply",)], "path string")
+    got = {r.path[-5]: r.category for r in splits.with_category(files, classes.part_folders(spark)).collect()}
+    assert got == {"a": "Aero", "b": "Table", "d": "Chair"} and set(classes.FOLDERS) == set(classes.PARTS)

@@ -44,6 +44,8 @@ def test_look_ups(made):
         (T.align(tree, asked, 5), J.align(feat, asked, 2)),
         (T.nearest(tree, points, 5), J.nearest(feat, points, 5, 2)),
         (T.linear(tree, points, 5), J.linear(feat, points, 5, 2)),
+        (T.search_xyz(tree, points, 5), J.search_xyz(points, nodes, 5, nempty=True)),
+        (T.interpolate(tree, points, 5, low=0.0, high=32.0), J.interpolate(feat, points, 5, 2, low=0.0, high=32.0)),
     ):
         got, want = got.select(*sorted(want.columns)), want.select(*sorted(want.columns))
         moved = shuffles(got)
@@ -64,6 +66,7 @@ def test_pooling_and_upsampling_without_a_shuffle(made):
     for got, want in (
         (T.max_pool(tree, 5).select("cloud_id", "key", "data"), G.max_pool(feat, 5, 2).select("cloud_id", "key", "data")),
         (T.avg_pool(tree, 5).select("cloud_id", "key", "data"), G.avg_pool(feat, nodes, 5, 2).select("cloud_id", "key", "data")),
+        (T.max_unpool(tree, 5).select("cloud_id", "key", "data"), G.max_unpool(G.max_pool(feat, 5, 2), 4, 2, nodes).select("cloud_id", "key", "data")),
         (T.nearest_upsample(tree, 4).select("cloud_id", "key", "data"), G.nearest_upsample(upper, 4, nodes).select("cloud_id", "key", "data")),
     ):
         assert shuffles(got) == [] and rows(got) == rows(want)

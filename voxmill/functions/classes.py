@@ -21,6 +21,12 @@ SCENE_IDS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16, 24, 28, 33, 34, 3
 #: Shape categories and how many parts each has.
 PARTS = {"Aero": 4, "Bag": 2, "Cap": 2, "Car": 4, "Chair": 4, "EarPhone": 3, "Guitar": 3, "Knife": 2, "Lamp": 4, "Laptop": 2, "Motor": 6, "Mug": 2, "Pistol": 3, "Rocket": 3, "Skate": 3, "Table": 3}
 
+#: The folder that holds each shape category.
+FOLDERS = {
+    "Aero": "02691156", "Bag": "02773838", "Cap": "02954340", "Car": "02958343", "Chair": "03001627", "EarPhone": "03261776", "Guitar": "03467517", "Knife": "03624134",
+    "Lamp": "03636649", "Laptop": "03642806", "Motor": "03790512", "Mug": "03797390", "Pistol": "03948459", "Rocket": "04099429", "Skate": "04225987", "Table": "04379243",
+}
+
 
 def lidar_names(spark: SparkSession) -> DataFrame:
     """(id, name) for ``remap_lidar_labels``."""
@@ -36,3 +42,8 @@ def part_offsets(spark: SparkSession) -> DataFrame:
     """(category, shift): where the parts of each category begin in one numbering of all."""
     starts = [0, *accumulate(PARTS.values())]
     return spark.createDataFrame(list(zip(PARTS, starts)), "category string, shift long")
+
+
+def part_folders(spark: SparkSession) -> DataFrame:
+    """(folder, category): listings of shapes name folders, labels and tables of parts name categories."""
+    return spark.createDataFrame([(f, c) for c, f in FOLDERS.items()], "folder string, category string")

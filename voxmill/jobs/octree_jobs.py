@@ -586,6 +586,14 @@ def g3s(spark, d):
     return flat(T.max_pool(stored(spark, d, DEPTH), DEPTH))
 
 
+_pairs = ", ".join(f"max_by({{'v': {c}, 's': key % 8}}, {{'v': {c}, 'o': -(key % 8)}}) AS m{k}" for k, c in enumerate(DATA))
+
+
+@query("g4_stored_max_unpool", f"SELECT cloud_id, 4 AS depth, key, {r(*[f'CASE WHEN m{k}.s = key % 8 THEN m{k}.v ELSE 0 END AS d{k}' for k in range(CH)])} FROM (SELECT cloud_id, key >> 3 AS up, {_pairs} FROM {FEAT} GROUP BY cloud_id, key >> 3) JOIN (SELECT cloud_id, key, key >> 3 AS up FROM {FEAT}) USING (cloud_id, up)")
+def g4s(spark, d):
+    return flat(T.max_unpool(stored(spark, d, DEPTH), DEPTH))
+
+
 @query("g5_stored_avg_pool", f"SELECT cloud_id, 3 AS depth, key >> 3 AS key, {r(*[f'sum({c}) / (count(*) + 1e-8) AS {c}' for c in DATA])} FROM {FEAT} GROUP BY cloud_id, key >> 3")
 def g5s(spark, d):
     return flat(T.avg_pool(stored(spark, d, DEPTH), DEPTH))

@@ -30,12 +30,12 @@ def depad(feat: DataFrame, nodes: DataFrame) -> DataFrame:
 def max_pool(feat: DataFrame, depth: int, channels: int, nodes: DataFrame | None = None, within: tuple[str, ...] = ("cloud_id",)) -> DataFrame:
     """Maxima over siblings, with ``idx``, which sibling (0..7, the first on ties) has it.
 
-    With ``nodes``, empty parents get zeros and no index. ``within`` may name columns by which the rows are dealt already, such as blocks.
+    With ``nodes``, empty parents get zeros and no index. ``within`` may name more columns, by which the rows are dealt already, such as blocks; they come back.
     """
     sibling = F.col("key") % 8
     best = [F.max(F.struct(F.col("data")[k].alias("v"), (-sibling).alias("s"))).alias(f"m{k}") for k in range(channels)]
     out = feat.groupBy(*within, parent(F.col("key")).alias("key")).agg(*best)
-    out = out.select("cloud_id", F.lit(depth - 1).alias("depth"), "key", F.array(*[F.col(f"m{k}.v") for k in range(channels)]).alias("data"), F.array(*[(-F.col(f"m{k}.s")).cast("int") for k in range(channels)]).alias("idx"))
+    out = out.select("cloud_id", F.lit(depth - 1).alias("depth"), "key", F.array(*[F.col(f"m{k}.v") for k in range(channels)]).alias("data"), F.array(*[(-F.col(f"m{k}.s")).cast("int") for k in range(channels)]).alias("idx"), *within[1:])
     if nodes is None:
         return out
     level = nodes.where(F.col("depth") == depth - 1).select(*NODE)

@@ -40,7 +40,7 @@ def assign_batches(clouds: DataFrame, size: int, seed: int | None = None) -> Dat
 def class_index(files: DataFrame) -> DataFrame:
     """``category_id``: the position of the category in the sorted list of categories."""
     index = files.select("category").distinct().withColumn("category_id", F.row_number().over(Window.orderBy("category")) - 1)
-    return files.join(F.broadcast(index), "category")  # one row a folder
+    return files.join(index, "category")  # one row a folder; Spark broadcasts it if its size allows it
 
 
 def numbered(files: DataFrame, by: list[str], block: Column | None) -> DataFrame:
@@ -81,6 +81,16 @@ def category_filelists(lines: DataFrame, categories: DataFrame) -> DataFrame:
     return met.select(F.when(F.col("list") == "test", "test").otherwise("train_val").alias("list"), "category", rank.alias("part"), "position", F.concat_ws(" ", cut, F.col("category_id").cast("string")).alias("line"))
 
 
+def with_category(files: DataFrame, folders: DataFrame, path: str = "path") -> DataFrame:
+    """``files`` with the ``category`` of the folder (folder, category) that stands in their path; others are left out.
+
+    Paths are cut at slashes and met by equal parts; the first of a path's folders that is known counts.
+    """
+    cut = files.select(F.col(path).alias("path")).distinct().select("path", F.posexplode(F.split("path", "/")).alias("place", "folder"))
+    found = cut.join(folders.select("folder", "category"), "folder").groupBy("path").agg(F.min_by("category", "place").alias("category"))
+    return files.join(found.withColumnRenamed("path", path), path).select(*files.columns, "category")
+
+
 def match_listings(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """Files of a that have a partner in b."""
     return a.join(b.select(*on), on, "left_semi")

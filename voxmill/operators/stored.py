@@ -96,6 +96,11 @@ def search_key(tree: StoredTree, query: DataFrame, depth: int) -> DataFrame:
     return _blocked(tree, query, depth).join(at.hint("merge"), ["cloud_id", "block", "key"], "left").withColumn("idx", F.coalesce("idx", F.lit(-1).cast("long"))).drop("block")
 
 
+def search_xyz(tree: StoredTree, query: DataFrame, depth: int) -> DataFrame:
+    """As ``search_key`` for coordinates x, y, z scaled to [0, 2 ** depth)."""
+    return search_key(tree, query.withColumn("key", xyz_to_key(F.col("x"), F.col("y"), F.col("z"), depth)), depth)
+
+
 def align(tree: StoredTree, query: DataFrame, depth: int) -> DataFrame:
     """``query`` (cloud_id, key) plus ``data`` at the same key, zeros where there is none."""
     held = tree.level(depth).select("cloud_id", "block", "key", "data")
@@ -114,6 +119,13 @@ def linear(tree: StoredTree, query: DataFrame, depth: int) -> DataFrame:
     return lookup.weighted(asked.join(tree.spark.table(tree.cells[depth]).hint("merge"), ["cloud_id", "block", "place"], "left"), tree.channels)
 
 
+def interpolate(tree: StoredTree, query: DataFrame, depth: int, method: str = "linear", low: float = -1.0, high: float = 1.0) -> DataFrame:
+    """Features at points given in [low, high]."""
+    size = (1 << depth) / (high - low)
+    scaled = query.withColumns({c: (F.col(c) - F.lit(low)) * F.lit(size) for c in "xyz"})
+    return {"linear": linear, "nearest": nearest}[method](tree, scaled, depth)
+
+
 def neighbors(tree: StoredTree, depth: int, kernel: str = "333", nempty: bool = False) -> DataFrame:
     """(cloud_id, depth, key, k, nkey) of the neighbours that exist at stride 1; with nempty both ends are non-empty."""
     level = tree.level(depth).where("nempty" if nempty else "true").select("cloud_id", "block", "key")
@@ -129,7 +141,16 @@ def neighbors(tree: StoredTree, depth: int, kernel: str = "333", nempty: bool =
 
 def max_pool(tree: StoredTree, depth: int) -> DataFrame:
     """``features.max_pool`` of the stored features, without a shuffle."""
-    return features.max_pool(tree.feat(depth), depth, tree.channels, within=("cloud_id", "block"))
+    return features.max_pool(tree.feat(depth), depth, tree.channels, within=("cloud_id", "block")).drop("block")
+
+
+def max_unpool(tree: StoredTree, depth: int) -> DataFrame:
+    """The maxima over siblings of ``depth``, back at the non-empty nodes that have them, zeros at the others; without a shuffle."""
+    best = features.max_pool(tree.feat(depth), depth, tree.channels, within=("cloud_id", "block"))
+    level = tree.level(depth).where("nempty").select("cloud_id", "block", F.col("key").alias("own"), parent(F.col("key")).alias("key"))
+    met = level.join(best.hint("merge"), ["cloud_id", "block", "key"])
+    data = F.array(*[F.when(F.col("idx")[k] == F.col("own") % 8, F.col("data")[k]).otherwise(0.0) for k in range(tree.channels)])
+    return met.select("cloud_id", F.lit(depth).alias("depth"), F.col("own").alias("key"), data.alias("data"))
 
 
 def avg_pool(tree: StoredTree, depth: int) -> DataFrame:
