@@ -14,6 +14,8 @@ from voxmill.functions.keys import norm, uniform
 
 #: Faces in a block of the running areas.
 FACES = 4096
+#: Slots of a face that one row lists.
+SLOTS = 4096
 
 
 def corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -65,7 +67,11 @@ def pick_faces(draws: DataFrame, areas: DataFrame) -> DataFrame:
     run = running_area(areas)
     sizes = areas.groupBy("mesh_id").agg(F.count("*").alias("n_faces"))
     slot = lambda v: F.least(F.floor(v / F.col("total") * F.col("n_faces")), F.col("n_faces") - 1).cast("long")
-    listed = run.select("mesh_id", "fid", "low", "high", "total", F.explode(F.sequence(slot(F.col("low")), slot(F.col("high")))).alias("slot"))
+    # a face with most of the area is listed in most slots: in runs of SLOTS, so that no row holds them all
+    reached = run.select("mesh_id", "fid", "low", "high", "total", slot(F.col("low")).alias("from"), slot(F.col("high")).alias("to"))
+    runs = reached.withColumn("run", F.explode(F.sequence(F.expr(f"`from` div {SLOTS}"), F.expr(f"`to` div {SLOTS}"))))
+    own = F.sequence(F.greatest("from", F.col("run") * SLOTS), F.least("to", F.col("run") * SLOTS + (SLOTS - 1)))
+    listed = runs.select("mesh_id", "fid", "low", "high", "total", F.explode(own).alias("slot"))
     asked = draws.join(sizes, "mesh_id").withColumn("slot", F.floor(F.col("u") * F.col("n_faces")).cast("long"))
     met = asked.join(listed, ["mesh_id", "slot"]).where((F.col("u") * F.col("total") >= F.col("low")) & (F.col("u") * F.col("total") < F.col("high")))
     return met.groupBy("mesh_id", "point_id").agg(F.min("fid").alias("fid"))
