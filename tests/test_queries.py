@@ -13,7 +13,7 @@ from voxmill.jobs import catalog
 DATA = Path("/root/testdata/sf0.001")
 SOME = ["o2_average_signal", "o6_child_index", "o9_merge_octrees", "j2_search_xyzb", "j7_linear", "g5_avg_pool_222_2", "c3_conv", "c4_deconv_stride2", "e4_iou_per_shape", "e10_scene_iou", "j10_assign_chunks", "r7_sample_surface", "a2_augment", "a6_elastic_distort", "s2_read_points_ply",
         "s1_read_points_npz", "s4_read_lidar", "s6_read_mesh", "s8_read_segmentation_json", "s10_write_points_ply", "u1_preprocess_hook", "u2_read_hook", "r1_remap_scene_labels", "r2_remap_lidar_labels", "r3_shift_shape_parts", "r11_category_filelists", "w1_cumsum", "w1_cumsum_exclusive",
-        "w3_range_grid", "a7_resample_with_noise", "a8_take", "a9_assign_batches", "a10_merge_points", "j7_linear_wrapping", "j8_interp", "c1_octree2col", "c2_col2octree", "c3_conv_stride2", "c3_conv_blocks", "c4_deconv", "c5_depthwise_conv", "c6_group_conv", "g12_upsample_linear", "e6_vote", "s3_read_points", "s4_read_lidar_tree", "c3_conv_blocks_stride2", "c3_conv_blocks_deep", "c4_deconv_blocks_stride2", "j1_stored_search_key", "j4_stored_neighbors", "j7_stored_linear", "g4_stored_max_pool", "g11_stored_upsample"]
+        "w3_range_grid", "a7_resample_with_noise", "a8_take", "a9_assign_batches", "a10_merge_points", "j7_linear_wrapping", "j8_interp", "c1_octree2col", "c2_col2octree", "c3_conv_stride2", "c3_conv_blocks", "c4_deconv", "c5_depthwise_conv", "c6_group_conv", "g12_upsample_linear", "e6_vote", "s3_read_points", "s4_read_lidar_tree", "c3_conv_blocks_stride2", "c3_conv_blocks_deep", "c4_deconv_blocks_stride2", "j1_stored_search_key", "j4_stored_neighbors", "j7_stored_linear", "g4_stored_max_unpool", "g11_stored_upsample"]
 
 
 @pytest.fixture(scope="module")

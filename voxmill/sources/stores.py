@@ -2,7 +2,8 @@
 
 Readers list the store once, cut what they found to ranges of bytes, and read in the tasks, in Arrow batches of bounded size:
 nothing is shuffled, and one large file is many tasks. The sink writes below a temporary folder; a file appears under its
-name only when all tasks are done (commit), and a job that fails leaves none (abort).
+name only when all tasks are done (commit), and a job that fails leaves none (abort); what tasks that are still running then write
+stays in the temporary folder, which readers pass over.
 """
 
 from __future__ import annotations
@@ -192,13 +193,19 @@ class FileWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, root = store(self.path)
         done = []
-        for batch in iterator:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                part = f"{root}/{self.hidden}/{uuid.uuid4().hex}"
-                files.create_dir(f"{root}/{self.hidden}", recursive=True)
-                with files.open_output_stream(part) as out:
-                    out.write(content.as_buffer() if content.is_valid else b"")
-                done.append((part, f"{root}/{path.lstrip('/')}"))
+        try:
+            for batch in iterator:
+                for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                    part = f"{root}/{self.hidden}/{uuid.uuid4().hex}"
+                    files.create_dir(f"{root}/{self.hidden}", recursive=True)
+                    done.append((part, f"{root}/{path.lstrip('/')}"))
+                    with files.open_output_stream(part) as out:
+                        out.write(content.as_buffer() if content.is_valid else b"")
+        except BaseException:
+            for part, _ in done:
+                if files.get_file_info(part).is_file:
+                    files.delete_file(part)
+            raise
         return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
