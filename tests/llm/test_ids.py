@@ -32,7 +32,7 @@ def test_ids_survive_text_operators(docs, spark):
     assert ids(lm.interpolated_scores(docs)) == ALL
     assert ids(repeats.remove_repeats(docs)) == ALL
     assert ids(tokens.token_counts(docs, str(public_tokenizers.path("byte_bpe_50k.json")))) == ALL
-    assert ids(mixing.mix(docs, ["lang", "source"], {}, share=1.0, epochs=1)) == ALL
+    assert ids(mixing.mix(docs, {"lang": "lang", "source": "source"}, {}, share=1.0, epochs=1)) == ALL
     labels = spark.createDataFrame([(BIG + 1, 1, 0)], "doc_id long, quality int, toxic int")
     assert ids(quality.resample(docs, labels)) == ALL
 
