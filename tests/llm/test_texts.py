@@ -170,6 +170,41 @@ def test_near_duplicates_on_both_sides_of_the_bound(spark, monkeypatch, block):
     assert {got[k] for k in range(480, 510)} == {480}
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_large_groups_of_near_duplicates(spark, monkeypatch, block):
+    """One key holds a large family, small ones at all distances from each other and strangers; another key is one family."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng, sketches = np.random.default_rng(8), []
+    family = lambda base, n, edits: [np.where(rng.random(256) < edits, rng.integers(1, 256, 256), base) for _ in range(n)]
+    bases = rng.integers(1, 256, (5, 256))
+    sketches += family(bases[0], 150, 0.08) + family(bases[1], 40, 0.1) + family(bases[2], 30, 0.17) + family(bases[0], 40, 0.25) + list(rng.integers(1, 256, (20, 256)))
+    sketches += family(bases[3], 120, 0.05) + family(bases[4], 5, 0.1)
+    sketches = np.array(sketches, np.uint8)
+    key = np.repeat([0, 1, 2], [280, 120, 5])
+    fps = rng.permutation(10**12 + np.arange(405)) * np.where(rng.random(405) < 0.5, -1, 1)
+    nodes = spark.createDataFrame([(int(f), int(k), bytearray(x)) for f, k, x in zip(fps, key, sketches)], "fp long, key long, value binary")
+    asked = []
+
+    def fetch(placed):
+        asked.append(placed.count())
+        return placed.join(nodes.select("fp", "value"), "fp")
+
+    rows = nodes.select("fp", "key")
+    got = neardup.compared(rows, rows.groupBy("key").agg(F.count("*").alias("n")), 405, fetch, neardup.by_sketch)
+    label = {r.node: r.label for r in simhash.components(got).collect()}
+    want = simhash.Links(405)
+    for k in range(405):
+        with_k = np.flatnonzero(key == key[k])
+        near = with_k[neardup.alike(sketches[with_k], sketches[[k]]) >= neardup.LOOSE]
+        want.add(np.full(len(near), k), near)
+    assert len(set(want.parent)) > 10
+    named = {}
+    for k, f in enumerate(fps.tolist()):
+        named.setdefault(want.parent[k], set()).add(f)
+    assert {frozenset(x) for x in named.values() if len(x) > 1} == {frozenset(f for f in label if label[f] == v) for v in set(label.values())}
+    assert asked == ([405] if block == 4096 else [405, 280])  # the key that is one family is not met again
+
+
 # ------------------------------------------------------------------ 7: substrings
 
 

@@ -7,6 +7,8 @@ need. Their candidates are therefore texts that agree in one of ``BANDS`` bands
 missed with a chance of 3 in a million, at 0.3 one pair in 13 is looked at. Bands of equal members are one; what they hold
 is compared by sketches of 256 one-byte minima, whose spread at 0.8 is 0.025: ``LOOSE`` lies four spreads below.
 
+In groups too large for one task, blocks meet themselves and their neighbours first; only what is not joined up by that meets the whole group.
+
 Only spanning candidates are put out. What they connect is a cluster, and every similar pair lies in one; inside
 the clusters candidates are compared by their exact sets, unless they are joined up already.
 Null and empty texts are one group (their fingerprint is zero); rows with a null id are always kept.
@@ -33,6 +35,8 @@ SHINGLE, BINS, LOOSE = 5, 256, 0.7
 BANDS, ROWS = 32, 5
 #: Nodes that are compared in one task; larger groups go by pairs of blocks.
 BLOCK = 2048
+#: Where a row is compared: its group, the group's home (many small groups share one) and blocks, its own block, those it meets, and what it is known to be linked to.
+PLACED = ("fp", "key", "home", "blocks", "block", "low", "high", "label")
 _MINIMA = np.random.default_rng(11).integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64, endpoint=False) | np.uint64(1)
 
 
@@ -86,16 +90,36 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def place(rows: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """``rows`` (fp, key) with home, blocks and block: small groups share a home, large ones are cut into blocks."""
+    """``rows`` (fp, key) with what ``PLACED`` names: small groups share a home, large ones are cut into blocks that meet themselves and their neighbours."""
     homes = max(1, math.ceil(total / BLOCK))
     blocks = F.ceil(F.col("members") / BLOCK)
-    home = F.when(blocks > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(homes)))
+    home, block = F.when(blocks > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(homes))), F.pmod(F.xxhash64("fp"), blocks)
     sized = join_hot(rows, counts.withColumn("members", F.col("n")), "key")
-    return sized.select("fp", "key", home.alias("home"), blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).alias("block"))
+    low, high = F.greatest(block - 1, F.lit(0).cast("bigint")), F.least(block + 1, blocks - 1)
+    return sized.select("fp", "key", home.alias("home"), blocks.alias("blocks"), block.alias("block"), low.alias("low"), high.alias("high"), F.col("fp").alias("label"))
+
 
+def apart(hot: DataFrame, links: DataFrame) -> DataFrame:
+    """What ``links`` leave open in the groups ``hot`` (fp, key), placed anew.
 
-def compared(placed: DataFrame, make: Callable[[pd.Series], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
-    """Spanning links (a, b) of the rows of ``place`` with a ``value``, among all pairs of equal key.
+    A group's largest component needs no more comparisons inside. The rows outside of it come in blocks from 0, which meet all blocks of
+    the group; its own rows come in the blocks after, which meet those alone. Groups that are one component are gone.
+    """
+    labels = components(links)
+    told = hot.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "key", F.coalesce("label", "fp").alias("label"))
+    told = staged(told, "told")
+    sizes = told.groupBy("key", "label").agg(F.count("*").alias("n"))
+    tops = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    tops = staged(tops.where("n > most").withColumn("members", F.col("n")), "tops")
+    outer, inner = F.ceil((F.col("members") - F.col("most")) / BLOCK), F.ceil(F.col("most") / BLOCK)
+    at, inside = F.xxhash64("fp"), F.col("label") == F.col("top")
+    block = F.when(inside, outer + F.pmod(at, inner)).otherwise(F.pmod(at, outer))
+    high = F.when(inside, outer - 1).otherwise(outer + inner - 1)
+    return join_hot(told, tops, "key").select("fp", "key", F.col("key").alias("home"), (outer + inner).alias("blocks"), block.alias("block"), F.lit(0).cast("bigint").alias("low"), high.alias("high"), "label")
+
+
+def linked(valued: DataFrame, make: Callable[[pd.Series], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
+    """Spanning links (a, b) between the rows (``PLACED`` and a ``value``) of equal key whose blocks meet; rows of equal label count as linked.
 
     ``make`` takes the values of some rows and returns what tells which pairs of their positions are linked.
     """
@@ -105,7 +129,9 @@ def compared(placed: DataFrame, make: Callable[[pd.Series], Callable[[np.ndarray
         part = part.sort_values(["key", "block", "fp"])
         points, first, node = np.unique(part["fp"].to_numpy(np.int64), return_index=True, return_inverse=True)
         key, block = part["key"].to_numpy(np.int64), part["block"].to_numpy(np.int64)
-        similar, links = make(part["value"].iloc[first]), Links(len(points))
+        _, least, label = np.unique(part["label"].to_numpy(np.int64)[first], return_index=True, return_inverse=True)
+        similar, links, start = make(part["value"].iloc[first]), Links(len(points)), least[label]
+        links.parent = start.copy()
         at, step = np.arange(len(part)), 1
         while len(at := at[at + step < len(part)]) and len(at := at[key[at] == key[at + step]]):
             pairs = at[block[at] != block[at + step]] if across else at
@@ -116,14 +142,29 @@ def compared(placed: DataFrame, make: Callable[[pd.Series], Callable[[np.ndarray
                 near = similar(a, b)
                 links.add(a[near], b[near])
             step += 1
-        moved = np.flatnonzero(links.parent != np.arange(len(points)))
+        moved = np.flatnonzero((links.parent != start) & (start == np.arange(len(points))))
         return pd.DataFrame({"a": points[moved], "b": points[links.parent[moved]]})
 
-    dealt = placed.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("fp", "key", "home", "blocks", "block", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = valued.select("*", F.explode(F.sequence("low", "high")).alias("other"))
+    dealt = dealt.select("fp", "key", "home", "blocks", "block", "label", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     return dealt.groupBy("home", "blocks", "i", "j").applyInPandas(link, "a bigint, b bigint")
 
 
+def compared(rows: DataFrame, counts: DataFrame, total: int, fetch: Callable[[DataFrame], DataFrame], make: Callable[[pd.Series], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
+    """Spanning links (a, b) of ``rows`` (fp, key; ``counts`` has the n of each key) among all pairs of equal key.
+
+    ``fetch`` adds the values. Groups of three blocks and more are compared in two steps: blocks with themselves and their neighbours, then
+    what that left apart with all of the group. A group of copies is joined up by the first, so its work does not grow with its square.
+    """
+    near = linked(fetch(place(rows, counts, total)), make)
+    large = counts.where(F.col("n") > 2 * BLOCK)
+    if large.isEmpty():
+        return near
+    near = staged(near, "near")
+    hot = join_hot(rows, large, "key")
+    return near.union(linked(fetch(apart(hot, near)), make))
+
+
 def by_sketch(values: pd.Series) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """Pairs with an estimated similarity of ``LOOSE``."""
     held = np.frombuffer(b"".join(values), np.uint8).reshape(-1, BINS)
@@ -157,13 +198,13 @@ def similar_links(nodes: DataFrame) -> DataFrame:
     held = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.bit_xor(F.xxhash64("fp")).alias("all"))
     shared = staged(held.where("n > 1").groupBy("n", "least", "all").agg(F.min("key").alias("key")).select("key", "n"), "shared")
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return compared(place(keys, shared, total).join(nodes.select("fp", F.col("sketch").alias("value")), "fp"), by_sketch)
+    return compared(keys, shared, total, lambda placed: placed.join(nodes.select("fp", F.col("sketch").alias("value")), "fp"), by_sketch)
 
 
 def exact_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
     """Links (a, b) of exactly compared sets within clusters (node, label); the sets are those of the nodes' ``first_id``."""
     rows = clusters.select(F.col("node").alias("fp"), F.col("label").alias("key"))
-    placed = place(rows, rows.groupBy("key").agg(F.count("*").alias("n")), rows.count()).join(nodes.select("fp", "first_id"), "fp")
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -173,10 +214,12 @@ def exact_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataF
             part = part[same]
             yield part.assign(value=[shingle_set(t, hashes).tobytes() for t in texts[same]])
 
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    chosen = texts.join(placed, F.col("doc_id") == F.col("first_id")).select("fp", "key", "home", "blocks", "block", "text")
-    sets = chosen.mapInPandas(read, "fp bigint, key bigint, home bigint, blocks bigint, block bigint, value binary")
-    return compared(sets, by_set)
+    def fetch(placed: DataFrame) -> DataFrame:
+        texts = docs.select(F.col("doc_id").alias("first_id"), F.col("text").cast("string").alias("text"))
+        chosen = texts.join(placed.join(nodes.select("fp", "first_id"), "fp"), "first_id").select(*PLACED, "text")
+        return chosen.mapInPandas(read, ", ".join(f"{c} bigint" for c in PLACED) + ", value binary")
+
+    return compared(rows, counts, rows.count(), fetch, by_set)
 
 
 def groups(docs: DataFrame) -> DataFrame:
