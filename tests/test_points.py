@@ -208,6 +208,18 @@ def test_equal_faces_are_read_at_once():
         assert stores_mesh(head + body).tolist() == want
 
 
+def test_obj_meshes(spark, tmp_path):
+    """Corners with texture and normal numbers, counted back, continued lines, polygons, comments, and a file without faces."""
+    (tmp_path / "a.OBJ").write_text("# a\nv 0 0 0 1\nv 1 0 0\nv 1 1 0.5\nvn 0 0 1\nv 0 1 0\nf 1/1/1 2//1 3/2 \\\n4\nf -1 -2 -3\n")
+    (tmp_path / "b.obj").write_text("v 0 0 0\n")
+    (tmp_path / "c.off").write_text("OFF3 1 0\n0 0 0\n1 0 0\n0 1 0\n3 0 1 2\n")
+    v, f = S.read_mesh(S.binary_files(spark, str(tmp_path)))
+    name = lambda r: r.path.rpartition("/")[2]
+    assert sorted((name(r), r.vid, r.x, r.y, r.z) for r in v.collect() if name(r) == "a.OBJ") == [("a.OBJ", 0, 0, 0, 0), ("a.OBJ", 1, 1, 0, 0), ("a.OBJ", 2, 1, 1, 0.5), ("a.OBJ", 3, 0, 1, 0)]
+    assert sorted((name(r), r.fid, r.v0, r.v1, r.v2) for r in f.collect()) == [("a.OBJ", 0, 0, 1, 2), ("a.OBJ", 1, 0, 2, 3), ("a.OBJ", 2, 3, 2, 1), ("c.off", 0, 0, 1, 2)]
+    assert v.count() == 8
+
+
 def stores_mesh(data):
     return S.parsers.ply_mesh(data)[1]
 

@@ -105,7 +105,7 @@ def read_points_txt(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mesh(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices (path, vid, x, y, z) and triangles (path, fid, v0, v1, v2) of PLY and OFF files; polygons are cut into triangles.
+    """Vertices (path, vid, x, y, z) and triangles (path, fid, v0, v1, v2) of PLY, OBJ and OFF files; polygons are cut into triangles.
 
     Each file is read and parsed once: its rows, with a tag, are written to the shared folder, a folder for each of the two tables.
     """
@@ -116,7 +116,7 @@ def read_mesh(files: DataFrame) -> tuple[DataFrame, DataFrame]:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 if not content.as_py():
                     continue
-                for part, rows in enumerate((parsers.ply_mesh if path.lower().endswith("ply") else parsers.off_mesh)(content.as_py())):
+                for part, rows in enumerate(parsers.MESHES.get(path.lower().rpartition(".")[2], parsers.off_mesh)(content.as_py())):
                     for k in range(0, len(rows), BATCH):
                         n = min(BATCH, len(rows) - k)
                         own = [pa.array(np.ascontiguousarray(c)) for c in rows[k : k + n].T]

@@ -138,6 +138,19 @@ def off_mesh(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return vertices, triangles(faces)
 
 
+def obj_mesh(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices and triangles of ``v`` and ``f`` lines; corners count from 1, or back from the last vertex so far if negative."""
+    vertices, faces = [], []
+    for line in data.decode("utf-8", "replace").replace("\\\n", " ").splitlines():
+        kind, *rest = line.split() or [""]
+        if kind == "v":
+            vertices.append([float(x) for x in rest[:3]])
+        elif kind == "f":
+            corners = [int(x.partition("/")[0]) for x in rest]
+            faces.append([c - 1 if c > 0 else len(vertices) + c for c in corners])
+    return np.array(vertices, np.float64).reshape(-1, 3), triangles(faces)
+
+
 def ply_mesh(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     parts = ply_elements(data)
     vertex, face = parts.get("vertex", {}), parts.get("face", {})
@@ -145,6 +158,10 @@ def ply_mesh(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([vertex[c] for c in "xyz"], 1), triangles(corners)
 
 
+#: By what follows the last dot of a path; files of other kinds are read as OFF.
+MESHES = {"ply": ply_mesh, "obj": obj_mesh}
+
+
 def npz_bytes(columns: dict[str, np.ndarray]) -> bytes:
     """Named arrays points, normals, features and labels of the columns that there are."""
     arrays = {}
