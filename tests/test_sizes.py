@@ -1,9 +1,13 @@
 """Queries on tables with more rows or larger keys than the driver's small ones."""
 
+import io
+import json
+
 import duckdb
 import pytest
 
 from voxmill.jobs import catalog
+from voxmill.sources import stores
 
 from .test_queries import DATA
 
@@ -24,3 +28,21 @@ def test_point_ids_of_large_order_keys(spark, tmp_path):
     con.execute(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM '{DATA}/lineitem.parquet'")
     once = con.execute(catalog.ORACLES["p1_validate_points"]).df().iloc[0]
     assert sums.n_points == 3 * once.n_points and sums.repeated_ids == 3 * once.repeated_ids and sums.n_clouds == 3 * once.n_clouds
+
+
+@pytest.mark.parametrize("step", [1, 7, 64, 1 << 20])
+def test_many_scenes_in_a_file(step):
+    want = [(f'scene "{k}\\', list(range(k, k + k % 5))) for k in range(40)]
+    text = "\n".join(json.dumps({"params": {"a": [1]}, "sceneId": s, "segIndices": x}) for s, x in want) + '\n{"segIndices": [7]}'
+    got = {}
+    for scene, at, numbers in stores.segment_arrays(io.BytesIO(text.encode()), step):
+        assert at == len(got.setdefault(scene, []))
+        got[scene] += numbers.tolist()
+    assert got == {s: x for s, x in want if x} | {None: [7]}
+
+
+def test_small_files_are_many_tasks(tmp_path):
+    for k in range(600):
+        (tmp_path / f"{k}.json").write_text('{"segIndices": [1]}')
+    parts = stores.SegmentReader({"path": str(tmp_path)}).partitions()
+    assert sum(len(p.parts) for p in parts) == 600 and max(len(p.parts) for p in parts) <= 256

@@ -245,13 +245,13 @@ def s7(spark, d):
 @query("s8_read_segmentation_json", "SELECT user_id, count(*) AS n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS segments FROM events GROUP BY user_id")
 def s8(spark, d):
     path = folder(spark)
-    # a scene's segments in files of about 4096 events each, so that no scene is one row
+    # a scene's segments in objects of about 4096 events each, so that no scene is one row, and many objects in a file
     events = table(spark, d, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").alias("k"))
     pieces = events.groupBy("user_id").agg(F.ceil(F.count("*") / 4096).alias("pieces"))
     rows = events.join(pieces, "user_id").withColumn("piece", F.pmod(F.xxhash64("event_id"), F.col("pieces")))
     rows = rows.groupBy("user_id", "piece").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "k"))), lambda v: v["k"]), ",").alias("k"))
-    rows.select("user_id", F.concat(F.lit('{"segIndices": ['), "k", F.lit("]}")).alias("value"), "piece").repartition("user_id", "piece").write.partitionBy("user_id", "piece").text(path)
-    found = S.read_segments(spark, path, ".txt").withColumn("user_id", F.regexp_extract("path", r"user_id=(\d+)", 1).cast("long"))
+    rows.select(F.concat(F.lit('{"sceneId": "'), F.col("user_id").cast("string"), F.lit('", "segIndices": ['), "k", F.lit("]}"))).write.text(path)
+    found = S.read_segments(spark, path, ".txt").withColumn("user_id", F.col("scene").cast("long"))
     return found.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("segment").alias("segments"))
 
 

@@ -137,7 +137,7 @@ def write_filelist(df: DataFrame, path: str) -> None:
 
 
 def read_segments(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
-    """(path, point_id, segment) of the files below ``path`` with an array segIndices, which is read as a stream."""
+    """(path, scene, point_id, segment) of the files below ``path`` with arrays segIndices, which are read as a stream; ``scene`` is the sceneId before the array, or null."""
     return stores.read_store(spark, stores.SegmentFiles, path, suffix=suffix)
 
 

@@ -8,6 +8,7 @@ stays in the temporary folder, which readers pass over.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -21,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 #: Bytes of a partition, about, and rows of a batch.
 SPLIT, BATCH = 32 << 20, 1 << 17
+#: What opening a file costs, in bytes read: a task has some 256 small files at most.
+OPEN = 128 << 10
 #: Bytes of a LiDAR record (four floats) and of its label.
 RECORD, CODE = 16, 4
 
@@ -110,9 +113,13 @@ class LidarFiles(DataSource):
 
 
 class SegmentReader(DataSourceReader):
-    """Reads the numbers of the array ``segIndices`` as a stream: never more than a step of a file is held."""
+    """Reads the numbers of the arrays ``segIndices`` as a stream: never more than a step of a file is held.
+
+    A file holds one scene or, object after object, many; a scene is named by the ``sceneId`` before its array.
+    """
 
     KEY = re.compile(rb'"segIndices"\s*:\s*\[')
+    SCENE = re.compile(rb'"sceneId"\s*:\s*("(?:[^"\\]|\\.)*")')
 
     def __init__(self, options: dict) -> None:
         self.path, self.suffix, self.step = options["path"], options.get("suffix", ".json"), int(options.get("step", 1 << 20))
@@ -120,48 +127,81 @@ class SegmentReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out, held, size = [], [], 0
         for path, n in listed(self.path, (self.suffix,)):
-            if held and size + n > SPLIT:
+            if held and size + n + OPEN > SPLIT:
                 out.append(Ranges(held))
                 held, size = [], 0
             held.append((path, 0, n, -1))
-            size += n
+            size += n + OPEN
         return [*out, Ranges(held)] if held or not out else out
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         files, _ = store(self.path)
+        held, rows = [], 0
         for path, _, _, _ in partition.parts:
-            at = 0
             with files.open_input_stream(path) as stream:
-                for numbers in segment_numbers(stream, self.step):
-                    yield pa.RecordBatch.from_arrays([pa.repeat(path, len(numbers)), pa.array(np.arange(at, at + len(numbers))), pa.array(numbers)], ["path", "point_id", "segment"])
+                for scene, at, numbers in segment_arrays(stream, self.step):
+                    held.append((path, scene, at, numbers))
+                    rows += len(numbers)
+                    if rows >= BATCH:
+                        yield segment_batch(held)
+                        held, rows = [], 0
+        if held:
+            yield segment_batch(held)
+
+
+def segment_batch(held: list[tuple[str, str | None, int, np.ndarray]]) -> pa.RecordBatch:
+    """One batch of runs of numbers: (path, scene, position of the first, numbers)."""
+    paths, scenes, firsts, runs = zip(*held)
+    run = pa.array(np.repeat(np.arange(len(held)), [len(x) for x in runs]))
+    places = np.concatenate([np.arange(at, at + len(x)) for at, x in zip(firsts, runs)])
+    return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()).take(run), pa.array(scenes, pa.string()).take(run), pa.array(places), pa.array(np.concatenate(runs))], ["path", "scene", "point_id", "segment"])
+
+
+def segment_arrays(stream: pa.NativeFile, step: int) -> Iterator[tuple[str | None, int, np.ndarray]]:
+    """(scene, position of the first, numbers) of every array, step by step; nothing if the key is not there."""
+    held, scene, at, inside = b"", None, 0, False
+    while True:
+        data = stream.read(step)
+        held, pos = held + data, 0
+        while True:
+            if not inside:
+                m = SegmentReader.KEY.search(held, pos)
+                name = SegmentReader.SCENE.search(held, pos, m.start() if m else len(held))
+                if name:
+                    scene = json.loads(name[1])
+                if m is None:
+                    pos = begun(held, max(pos, name.end() if name else 0))
+                    break
+                inside, at, pos = True, 0, m.end()
+            end = held.find(b"]", pos)
+            cut = end if end >= 0 else held.rfind(b",", pos)
+            if cut >= 0:
+                whole, pos = held[pos:cut], cut + 1
+                if whole.strip():
+                    numbers = np.fromstring(whole.decode("ascii"), np.int64, sep=",")
+                    yield scene, at, numbers
                     at += len(numbers)
+            if end < 0:
+                break
+            inside, scene = False, None
+        held = held[pos:]
+        if not data:
+            if inside:
+                raise ValueError("the array segIndices does not end")
+            return
+
+
+def begun(held: bytes, pos: int) -> int:
+    """Where a key or a scene's name may have begun that more bytes complete, with any white space in it."""
+    key, scene = held.rfind(b'"segIndices"', pos), held.rfind(b'"sceneId"', pos)
+    if scene >= 0 and key < scene and re.fullmatch(rb'\s*(:\s*("(?:[^"\\]|\\.)*\\?)?)?', held[scene + 9 :]):
+        return scene
+    return key if key >= 0 and not held[key + 12 :].strip(b" \t\r\n:") else max(pos, len(held) - 12)
 
 
 def segment_numbers(stream: pa.NativeFile, step: int) -> Iterator[np.ndarray]:
-    """The numbers of the array, step by step; none if the key is not there."""
-    held, inside = b"", False
-    while True:
-        data = stream.read(step)
-        held += data
-        if not inside:
-            m = SegmentReader.KEY.search(held)
-            if m is None:
-                if not data:
-                    return
-                # the key may have begun, with any white space in it
-                start = held.rfind(b'"segIndices"')
-                held = held[start:] if start >= 0 and not held[start + 12 :].strip(b" \t\r\n:") else held[-12:]
-                continue
-            inside, held = True, held[m.end() :]
-        end = held.find(b"]")
-        cut = end if end >= 0 else held.rfind(b",")
-        whole, held = held[: max(cut, 0)], held[cut + 1 :]
-        if whole.strip():
-            yield np.fromstring(whole.decode("ascii"), np.int64, sep=",")
-        if end >= 0:
-            return
-        if not data:
-            raise ValueError("the array segIndices does not end")
+    """The numbers of all arrays, step by step."""
+    return (numbers for _, _, numbers in segment_arrays(stream, step))
 
 
 class SegmentFiles(DataSource):
@@ -170,7 +210,7 @@ class SegmentFiles(DataSource):
         return "voxmill_segments"
 
     def schema(self) -> str:
-        return "path string, point_id bigint, segment bigint"
+        return "path string, scene string, point_id bigint, segment bigint"
 
     def reader(self, schema: object) -> SegmentReader:
         return SegmentReader(self.options)
