@@ -46,3 +46,14 @@ def test_small_files_are_many_tasks(tmp_path):
         (tmp_path / f"{k}.json").write_text('{"segIndices": [1]}')
     parts = stores.SegmentReader({"path": str(tmp_path)}).partitions()
     assert sum(len(p.parts) for p in parts) == 600 and max(len(p.parts) for p in parts) <= 256
+
+
+def test_resample_of_many_points(spark, tmp_path):
+    """Draws are by ranks in 64 slots, also where the table has more than 65,536 points."""
+    con = duckdb.connect()
+    grown = f"SELECT * REPLACE (vec_id + k * (SELECT max(vec_id) + 1 FROM '{DATA}/embeddings.parquet') AS vec_id) FROM '{DATA}/embeddings.parquet', range(70000 // (SELECT count(*) FROM '{DATA}/embeddings.parquet') + 1) AS t(k)"
+    con.execute(f"COPY ({grown}) TO '{tmp_path}/embeddings.parquet'")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    got, want = catalog.QUERIES["a7_resample_with_noise"](spark, str(tmp_path)).toPandas(), con.execute(catalog.ORACLES["a7_resample_with_noise"]).df()
+    met = got.merge(want, on=["cloud_id", "draw", "point_id"], suffixes=("", "_sql"))
+    assert len(met) == len(got) == len(want) and all((met[c] - met[f"{c}_sql"]).abs().max() < 2e-6 for c in "xyz")

@@ -134,7 +134,7 @@ _draws = f"(SELECT cloud_id, draw, floor({uniform_sql(31, 'cloud_id', 'draw')} *
 
 @query("a7_resample_with_noise", f"SELECT cloud_id, draw, point_id, {r(*[c + ' + ' + gaussian_sql(31, 'cloud_id', 'draw', chr(39) + c + chr(39)) + f' * 0.01::DOUBLE AS {c}' for c in 'xyz'])} FROM {_draws} JOIN {_ranked} USING (cloud_id, rank)")
 def a7(spark, d):
-    return A.resample_with_noise(cloud_e(spark, d), 200, 0.01, 31).select("cloud_id", "draw", "point_id", *[rounded(c) for c in "xyz"])
+    return A.resample_with_noise(cloud_e(spark, d), 200, 0.01, 31, slots=64).select("cloud_id", "draw", "point_id", *[rounded(c) for c in "xyz"])
 
 
 # the shells are scaled by the number of parts, so that the work follows the tables
