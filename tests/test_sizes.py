@@ -57,3 +57,9 @@ def test_resample_of_many_points(spark, tmp_path):
     got, want = catalog.QUERIES["a7_resample_with_noise"](spark, str(tmp_path)).toPandas(), con.execute(catalog.ORACLES["a7_resample_with_noise"]).df()
     met = got.merge(want, on=["cloud_id", "draw", "point_id"], suffixes=("", "_sql"))
     assert len(met) == len(got) == len(want) and all((met[c] - met[f"{c}_sql"]).abs().max() < 2e-6 for c in "xyz")
+
+
+def test_blocks_read_their_features_once(spark):
+    """Without nodes, rows and rim come of one pass over the features."""
+    plan = catalog.QUERIES["c3_conv_blocks_deep"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("Relation[") == 1

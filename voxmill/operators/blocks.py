@@ -64,26 +64,32 @@ def lists(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values, np.float64).ravel()))
 
 
-def stencil_blocks(feat: DataFrame, rows: DataFrame, depth: int, channels: int, product: Product, kernel: str, stride: int = 1, transposed: bool = False, keep: bool = False, bias: list[float] | None = None, height: int = 3) -> DataFrame:
+def stencil_blocks(feat: DataFrame, rows: DataFrame | None, depth: int, channels: int, product: Product, kernel: str, stride: int = 1, transposed: bool = False, keep: bool = False, bias: list[float] | None = None, height: int = 3) -> DataFrame:
     """``product`` summed over the kernel for ``rows`` (cloud_id, key); those without any source are dropped, or kept as zeros with ``keep``.
 
     ``feat`` is of level ``depth``; rows are of that level, of the one above (stride 2) or of the one below (stride 2, transposed).
+    Without ``rows`` (stride 1) they are those of ``feat``, which is then read once: a node asks where its own block holds it.
     """
     out_depth = depth + (0 if stride == 1 else 1 if transposed else -1)
     offsets = [(o // 9 - 1, o // 3 % 3 - 1, o % 3 - 1) for o in kernel_offsets(kernel)]
-    blocks = F.array_compact(F.array_distinct(F.array(*[parent(v, height) for v in reached_rows(depth, kernel, stride, transposed)])))
+    home, there = parent(F.col("key"), height), [parent(v, height) for v in reached_rows(depth, kernel, stride, transposed)]
+    blocks = F.array_compact(F.array_distinct(F.array(*there, *([home] if rows is None else []))))
     own = F.col("cloud_id").cast("long").alias("cloud_id")
-    copies = feat.select(own, "key", "data", F.explode(blocks).alias("block"), F.lit(True).alias("rim"))
-    asked = rows.select(own, "key", F.lit(None).cast("array<double>").alias("data"), parent(F.col("key"), height).alias("block"), F.lit(False).alias("rim"))
+    moved = feat.select(own, "key", "data", F.explode(blocks).alias("block"), F.lit(True).alias("held"))
+    if rows is None:
+        moved = moved.withColumn("asks", F.col("block") == home)
+    else:
+        asked = rows.select(own, "key", F.lit(None).cast("array<double>").alias("data"), home.alias("block"), F.lit(False).alias("held"), F.lit(True).alias("asks"))
+        moved = moved.withColumn("asks", F.lit(False)).unionByName(asked)
     shift = np.array(bias if bias is not None else [0.0] * channels)
     bound, span = 1 << depth, 3 * depth
 
     def worked_out(part: pa.Table) -> pa.RecordBatch:
         """Whole blocks, one after another, all at once: a node is told by its block's number and its key."""
-        cloud, block, key, rim = (part[c].combine_chunks() for c in ("cloud_id", "block", "key", "rim"))
-        number, key, rim = numbered(cloud, block), np.asarray(key), rim.to_numpy(zero_copy_only=False)
-        ask = np.flatnonzero(~rim)
-        held = (number[rim] << span) | key[rim]
+        cloud, block, key, here, asks = (part[c].combine_chunks() for c in ("cloud_id", "block", "key", "held", "asks"))
+        number, key, here = numbered(cloud, block), np.asarray(key), here.to_numpy(zero_copy_only=False)
+        ask = np.flatnonzero(asks.to_numpy(zero_copy_only=False))
+        held = (number[here] << span) | key[here]
         out, met = np.zeros((len(ask), channels)), np.zeros(len(ask), bool)
         if len(held) and len(ask):
             data = np.asarray(part["data"].combine_chunks().flatten()).reshape(len(held), -1)
@@ -115,7 +121,7 @@ def stencil_blocks(feat: DataFrame, rows: DataFrame, depth: int, channels: int,
             for i, j in zip(cuts, cuts[1:]):
                 yield worked_out(table.slice(i, j - i))
 
-    dealt = copies.unionByName(asked).repartition("cloud_id", "block").sortWithinPartitions("cloud_id", "block", "rim", "key")
+    dealt = moved.repartition("cloud_id", "block").sortWithinPartitions("cloud_id", "block", "key")
     return dealt.mapInArrow(run, SCHEMA)
 
 
@@ -132,11 +138,11 @@ def block_starts(table: pa.Table, most: int) -> list[int]:
     return sorted({*firsts[::most].tolist(), *firsts[-1:].tolist()})
 
 
-def _rows(feat: DataFrame, nodes: DataFrame | None, depth: int, stride: int, nempty: bool) -> DataFrame:
+def _rows(nodes: DataFrame | None, depth: int, stride: int, nempty: bool) -> DataFrame | None:
     if nodes is None and (stride != 1 or not nempty):
         raise ValueError("only the non-empty rows of stride 1 are known without nodes")
     if nodes is None:
-        return feat.select("cloud_id", "key")
+        return None
     if nempty:
         return rows_of(nodes, depth, stride, nempty)
     return nodes.where(F.col("depth") == (depth - 1 if stride == 2 else depth)).select("cloud_id", "key")
@@ -144,7 +150,7 @@ def _rows(feat: DataFrame, nodes: DataFrame | None, depth: int, stride: int, nem
 
 def conv_blocks(feat: DataFrame, depth: int, weights: np.ndarray, kernel: str = "333", height: int = 3, nodes: DataFrame | None = None, bias: list[float] | None = None, stride: int = 1, nempty: bool = True) -> DataFrame:
     """``stencil.conv`` by blocks. Without ``nodes`` the rows are those of ``feat`` (stride 1)."""
-    rows = _rows(feat, nodes, depth, stride, nempty)
+    rows = _rows(nodes, depth, stride, nempty)
     return stencil_blocks(feat, rows, depth, weights.shape[2], lambda k, x: x @ weights[k], kernel, stride, keep=not nempty, bias=bias, height=height)
 
 
@@ -165,4 +171,4 @@ def group_blocks(feat: DataFrame, nodes: DataFrame, depth: int, weights: list[np
     ends = np.cumsum([w.shape[1] for w in weights])
     slices = [slice(end - w.shape[1], end) for end, w in zip(ends, weights)]
     product = lambda k, x: np.concatenate([x[:, s] @ w[k] for s, w in zip(slices, weights)], 1)
-    return stencil_blocks(feat, _rows(feat, nodes, depth, stride, nempty), depth, sum(w.shape[2] for w in weights), product, kernel, stride, keep=not nempty, height=height)
+    return stencil_blocks(feat, _rows(nodes, depth, stride, nempty), depth, sum(w.shape[2] for w in weights), product, kernel, stride, keep=not nempty, height=height)
