@@ -4,9 +4,11 @@ import io
 import json
 
 import duckdb
+import numpy as np
 import pytest
 
 from voxmill.jobs import catalog
+from voxmill.jobs.tables import FITS, ORDERS
 from voxmill.sources import stores
 
 from .test_queries import DATA
@@ -30,6 +32,44 @@ def test_point_ids_of_large_order_keys(spark, tmp_path):
     assert sums.n_points == 3 * once.n_points and sums.repeated_ids == 3 * once.repeated_ids and sums.n_clouds == 3 * once.n_clouds
 
 
+#: Queries whose results have point ids of cloud L, or count them.
+WITH_IDS = ["e5_restore_clipped"]
+#: Cloud L's point id in SQL, and the same with an order key that counts from its cloud's first where the id would be no long.
+PLAIN = "l_orderkey * 200000 + l_partkey"
+COUNTED = f"CASE WHEN abs({PLAIN}) <= {FITS} THEN {PLAIN} ELSE l_orderkey % {ORDERS} * 200000 + l_partkey END"
+
+
+@pytest.fixture(scope="module")
+def large_keys(tmp_path_factory):
+    """The smallest tables, but with lineitem's orders three times: as they are, around the last key whose ids fit, and far beyond."""
+    folder, con = tmp_path_factory.mktemp("large_keys"), duckdb.connect()
+    for t in DATA.glob("*.parquet"):
+        if t.stem != "lineitem":
+            (folder / t.name).symlink_to(t)
+    shifted = f"SELECT * REPLACE (l_orderkey + k AS l_orderkey) FROM '{DATA}/lineitem.parquet', (VALUES (0), (1152000), (9000000)) AS t(k)"
+    con.execute(f"COPY ({shifted}) TO '{folder}/lineitem.parquet'")
+    for t in folder.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {t.stem} AS SELECT * FROM '{t}'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", WITH_IDS)
+def test_large_order_keys(spark, large_keys, name):
+    """Every row is there and equals that of the SQL with ids that stay longs."""
+    folder, con = large_keys
+    assert PLAIN in catalog.ORACLES[name]
+    want = con.execute(catalog.ORACLES[name].replace(PLAIN, COUNTED)).df()
+    got = catalog.QUERIES[name](spark, folder).toPandas()
+    assert set(got.columns) == set(want.columns) and len(got) == len(want) > 0
+    by = [c for c in ("cloud_id", "point_id", "chunk_id") if c in want.columns] or list(want.columns)
+    got, want = (df.sort_values(by).reset_index(drop=True) for df in (got, want))
+    for c in want.columns:
+        if want[c].dtype.kind == "f":
+            assert np.allclose(got[c].astype(float), want[c], rtol=0, atol=2e-6, equal_nan=True)
+        else:
+            assert (got[c] == want[c]).all()
+
+
 @pytest.mark.parametrize("step", [1, 7, 64, 1 << 20])
 def test_many_scenes_in_a_file(step):
     want = [(f'scene "{k}\\', list(range(k, k + k % 5))) for k in range(40)]
