@@ -33,7 +33,7 @@ def test_point_ids_of_large_order_keys(spark, tmp_path):
 
 
 #: Queries whose results have point ids of cloud L, or count them.
-WITH_IDS = ["e5_restore_clipped", "j10_assign_chunks", "j1_search_key", "j2_search_xyzb", "j6_nearest", "o1_point_to_node", "p12_normalize_box", "p13_preprocess_scene", "p14_preprocess_lidar", "p17_align_axes", "p18_label_filter", "p1_validate_points", "p2_orient_normal_x", "p2_orient_normal_xyz", "p2_orient_normal_z", "a2_augment", "j1_stored_search_key", "j7_linear", "j6_stored_nearest", "j7_linear_wrapping", "j8_interp"]
+WITH_IDS = ["e5_restore_clipped", "j10_assign_chunks", "j1_search_key", "j2_search_xyzb", "j6_nearest", "o1_point_to_node", "p12_normalize_box", "p13_preprocess_scene", "p14_preprocess_lidar", "p17_align_axes", "p18_label_filter", "p1_validate_points", "p2_orient_normal_x", "p2_orient_normal_xyz", "p2_orient_normal_z", "a2_augment", "j1_stored_search_key", "j7_linear", "j6_stored_nearest", "j7_linear_wrapping", "j8_interp", "j7_stored_linear"]
 #: Cloud L's point id in SQL, and the same with an order key that counts from its cloud's first where the id would be no long.
 PLAIN = "l_orderkey * 200000 + l_partkey"
 COUNTED = f"CASE WHEN abs({PLAIN}) <= {FITS} THEN {PLAIN} ELSE l_orderkey % {ORDERS} * 200000 + l_partkey END"
