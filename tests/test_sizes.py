@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 
 import duckdb
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 
 from voxmill.jobs import catalog
 from voxmill.jobs.tables import FITS, ORDERS
+from voxmill.operators import lookup
 from voxmill.sources import stores
 
 from .test_queries import DATA
@@ -103,3 +105,23 @@ def test_blocks_read_their_features_once(spark):
     """Without nodes, rows and rim come of one pass over the features."""
     plan = catalog.QUERIES["c3_conv_blocks_deep"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") + plan.count("Relation[") == 1
+
+
+@pytest.mark.parametrize("name", ["j7_linear"])
+def test_trilinear_sums_are_compiled(spark, capsys, name):
+    """Java leaves methods of over 8000 bytes uncompiled: a point then took some 45 us of CPU."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        catalog.QUERIES[name](spark, str(DATA)).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
+
+
+def test_null_channels_count_as_zero(spark):
+    """As sums in SQL pass over them; the cell's weight still counts."""
+    feat = spark.createDataFrame([(1, 0, [None, 2.0]), (1, 1, [3.0, None])], "cloud_id long, key long, data array<double>")
+    query = spark.createDataFrame([(1, 7, 0.5, 0.5, 0.75), (1, 8, 2.5, 2.5, 2.5), (1, 9, None, 0.5, 0.5)], "cloud_id long, point_id long, x double, y double, z double")
+    got = {r.point_id: r.data for r in lookup.linear(feat, query, 2, 2).collect()}
+    assert np.allclose(got[7], [0.75, 1.5]) and got[8] == got[9] == [0.0, 0.0]
