@@ -107,7 +107,7 @@ def test_blocks_read_their_features_once(spark):
     assert plan.count("Relation [") + plan.count("Relation[") == 1
 
 
-@pytest.mark.parametrize("name", ["j7_linear", "j7_linear_wrapping", "j8_interp"])
+@pytest.mark.parametrize("name", ["j7_linear", "j7_linear_wrapping", "j8_interp", "j7_stored_linear"])
 def test_trilinear_sums_are_compiled(spark, capsys, name):
     """Java leaves methods of over 8000 bytes uncompiled: a point then took some 45 us of CPU."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
