@@ -10,7 +10,7 @@ import pytest
 
 from voxmill.jobs import catalog
 from voxmill.jobs.tables import FITS, ORDERS
-from voxmill.operators import lookup
+from voxmill.operators import augment, lookup
 from voxmill.sources import stores
 
 from .test_queries import DATA
@@ -125,3 +125,41 @@ def test_null_channels_count_as_zero(spark):
     query = spark.createDataFrame([(1, 7, 0.5, 0.5, 0.75), (1, 8, 2.5, 2.5, 2.5), (1, 9, None, 0.5, 0.5)], "cloud_id long, point_id long, x double, y double, z double")
     got = {r.point_id: r.data for r in lookup.linear(feat, query, 2, 2).collect()}
     assert np.allclose(got[7], [0.75, 1.5]) and got[8] == got[9] == [0.0, 0.0]
+
+
+def test_augmentation_is_compiled(spark, capsys):
+    """As above; without length and sign of a normal worked out for each axis, its method is short enough."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        catalog.QUERIES["a2_augment"](spark, str(DATA)).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
+
+
+@pytest.mark.parametrize("even", [True, False])
+def test_augmented_rows(spark, even):
+    """Each point by plain numbers: flip, turn, shift, scale, thin normals; null and short normals, columns with names of the helper's own."""
+    rows = [(1, 1, 0.1, -0.2, 0.3, 0.6, 0.0, -0.8), (1, 2, 0.4, 0.5, -0.6, None, 0.0, 1.0), (1, 3, 0.9, 0.9, 0.9, 0.0, 0.0, 0.0), (2, 1, -0.3, 0.2, 0.1, 0.0, 1.0, 0.0)]
+    points = spark.createDataFrame([(*r, 7.0, 8.0) for r in rows], "cloud_id long, point_id long, x double, y double, z double, nx double, ny double, nz double, length double, dx double")
+    sizes = (0.9, 0.9, 0.9) if even else (0.9, 0.8, 1.1)
+    given = {1: ((0.2, -0.4, 1.0), sizes, (0.05, 0.0, -0.1), (True, False, True)), 2: ((0.0, 0.3, -2.0), sizes, (0.0, 0.1, 0.0), (False, None, False))}
+    params = spark.createDataFrame([(c, *sum(p, ())) for c, p in given.items()], "cloud_id long, ax double, ay double, az double, sx double, sy double, sz double, tx double, ty double, tz double, fx boolean, fy boolean, fz boolean")
+    got = {(r.cloud_id, r.point_id): r for r in augment.augment(points, params).collect()}
+    want = {}
+    for cloud, point, *v in rows:
+        angle, size, shift, flip = given[cloud]
+        (ca, cb, cc), (sa, sb, sc) = np.cos(angle), np.sin(angle)
+        m = np.array([[1, 0, 0], [0, ca, sa], [0, -sa, ca]]) @ [[cb, 0, -sb], [0, 1, 0], [sb, 0, cb]] @ [[cc, sc, 0], [-sc, cc, 0], [0, 0, 1]]
+        p, n = (np.array(part, float) * [-1 if f else 1 for f in flip] @ m for part in (v[:3], v[3:]))
+        p = (p + shift) * size
+        if not even:
+            n = n / size
+            n = n / max(np.sqrt((n * n).sum()), 1e-12)
+        if (abs(p) < 0.99).all():
+            want[cloud, point] = [*p, *n]
+    assert set(got) == set(want) and len(want) > 2
+    for k, w in want.items():
+        assert np.allclose([np.nan if got[k][c] is None else got[k][c] for c in ("x", "y", "z", "nx", "ny", "nz")], w, atol=1e-12, equal_nan=True)
+        assert got[k]["length"] == 7.0 and got[k]["dx"] == 8.0

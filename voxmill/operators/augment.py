@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxmill.functions.clouds import meet
-from voxmill.functions.keys import norm, normalized, uniform
+from voxmill.functions.keys import norm, uniform
+from voxmill.functions.ranks import free
 from voxmill.operators.points import NORMAL, XYZ, bbox, clip, rotation
 
 #: Fixed value: the reference angle of half a turn.
@@ -42,16 +43,18 @@ def augment(points: DataFrame, params: DataFrame, orient: str | None = None) ->
     """Flip, rotate, shift, scale, orient normals, and clip to the unit cube, in this order."""
     cols = points.columns
     m = rotation(tuple(F.col(f"a{c}") for c in "xyz"))
+    m = [[F.when(F.col(f"f{c}"), -v).otherwise(v) for v in row] for c, row in zip("xyz", m)]  # a flip is the sign of its row
     sure = lambda v, name: F.coalesce(v, F.lit(0.0)).alias(name)  # noqa: E731  never null, so no null filter drags the draws down to the points
-    turns = params.select("cloud_id", *[F.col(f"f{c}") for c in "xyz"], *[sure(F.col(f"{p}{c}"), f"{p}{c}") for p in "st" for c in "xyz"], *[sure(m[i][j], f"m{i}{j}") for i in range(3) for j in range(3)])  # once a cloud
+    turns = params.select("cloud_id", *[sure(F.col(f"{p}{c}"), f"{p}{c}") for p in "st" for c in "xyz"], *[sure(m[i][j], f"m{i}{j}") for i in range(3) for j in range(3)])  # once a cloud
+    same, length, *thin = free(points, "same", "length", "dx", "dy", "dz")
+    even = (F.col("sx") == F.col("sy")) & (F.col("sy") == F.col("sz"))
+    turns = turns.withColumns({same: even, **{d: F.when(even, 1.0).otherwise(F.col(f"s{c}")) for c, d in zip("xyz", thin)}})
     p = meet(points, turns)
-    p = p.withColumns({n: F.when(F.col(f"f{c}"), -F.col(n)).otherwise(F.col(n)) for c in "xyz" for n in (c, f"n{c}")})
     turned = {names[j]: F.col(names[0]) * F.col(f"m0{j}") + F.col(names[1]) * F.col(f"m1{j}") + F.col(names[2]) * F.col(f"m2{j}") for names in (XYZ, NORMAL) for j in range(3)}
     p = p.withColumns(turned)
-    p = p.withColumns({c: F.col(c) + F.col(f"t{c}") for c in "xyz"})
-    same = (F.col("sx") == F.col("sy")) & (F.col("sy") == F.col("sz"))
-    thin = normalized(*[F.col(f"n{c}") / F.col(f"s{c}") for c in "xyz"])
-    p = p.withColumns({**{c: F.col(c) * F.col(f"s{c}") for c in "xyz"}, **{f"n{c}": F.when(same, F.col(f"n{c}")).otherwise(t) for c, t in zip("xyz", thin)}})
+    p = p.withColumns({**{c: (F.col(c) + F.col(f"t{c}")) * F.col(f"s{c}") for c in "xyz"}, **{n: F.col(n) / F.col(d) for n, d in zip(NORMAL, thin)}})
+    p = p.withColumn(length, F.when(F.col(same), 1.0).otherwise(F.greatest(norm(*[F.col(n) for n in NORMAL]), F.lit(1e-12))))  # once a point: in branches it is worked out for each axis
+    p = p.withColumns({n: F.col(n) / F.col(length) for n in NORMAL})
     if orient:
         sign = F.when(F.col(f"n{orient}") > 0, 1.0).otherwise(-1.0)
         p = p.withColumns({n: F.col(n) * sign for n in NORMAL})
