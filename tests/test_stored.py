@@ -76,3 +76,18 @@ def test_levels_above_the_blocks_are_refused(made):
     _, nodes, feat, *_ = made
     with pytest.raises(ValueError):
         T.store_tree(nodes, {2: feat}, 2, prefix=3)
+
+
+def test_features_of_stored_cells_are_worked_out_once(spark, made):
+    """The level and its cells are two tables of the same features."""
+    _, nodes, feat, _, _ = made
+    seen = spark.sparkContext.accumulator(0)
+
+    def tally(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    tree = T.store_tree(nodes, {5: feat.mapInPandas(tally, feat.schema)}, 2, prefix=3, buckets=6, cells=(5,))
+    tree.drop()
+    assert seen.value == feat.count()
