@@ -90,6 +90,24 @@ def test_small_files_are_many_tasks(tmp_path):
     assert sum(len(p.parts) for p in parts) == 600 and max(len(p.parts) for p in parts) <= 256
 
 
+def test_ranges_grow_where_tasks_would_be_many(tmp_path):
+    """Ranges of one record would be 100,900 tasks; whatever their size, every record is read once, in order."""
+    scans = {"big.bin": 100_000} | {f"{k}.bin": 3 for k in range(300)}
+    points = np.random.default_rng(8).normal(size=(100_000, 4)).astype("<f4")
+    for name, n in scans.items():
+        points[:n].tofile(tmp_path / name)
+    reader = stores.LidarReader({"path": str(tmp_path), "split": "16"})
+    parts = reader.partitions()
+    assert 2000 < len(parts) < 10_000
+    got = {}
+    for batch in (b for p in parts for b in reader.read(p)):
+        at, x, label = (batch.column(c).to_numpy() for c in ("point_id", "x", "label"))
+        name = batch.column("path")[0].as_py().rpartition("/")[2]
+        assert at[0] == got.get(name, 0) and (np.diff(at) == 1).all() and (x == points[at, 0]).all() and not label.any()
+        got[name] = at[-1] + 1
+    assert got == scans
+
+
 def test_resample_of_many_points(spark, tmp_path):
     """Draws are by ranks in 64 slots, also where the table has more than 65,536 points."""
     con = duckdb.connect()

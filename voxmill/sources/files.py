@@ -82,7 +82,8 @@ def read_lidar(spark: SparkSession, path: str, sequences: list[str] | None = Non
     """(path, sequence, point_id, x, y, z, intensity, label) of the LiDAR scans (.bin) below ``path``.
 
     Label files lie beside the scans (velodyne -> labels, .bin -> .label) and are read with them, range by range; the label is zero where there is
-    none. ``sequences`` are the only ones that are read, if given; ``split`` is the size of a task's range in bytes.
+    none. ``sequences`` are the only ones that are read, if given; ``split`` is the size of a task's range in bytes;
+    ranges grow where there would be many more of them than stores.TASKS.
     """
     return stores.read_store(spark, stores.LidarFiles, path, sequences=None if sequences is None else ",".join(sequences), split=split)
 

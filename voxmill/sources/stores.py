@@ -24,6 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 SPLIT, BATCH = 32 << 20, 1 << 17
 #: What opening a file costs, in bytes read: a task has some 256 small files at most.
 OPEN = 128 << 10
+#: Tasks of a read of LiDAR scans, about (at most twice as many): each has a fixed cost and a place in the driver, so where there would be more, ranges grow.
+TASKS = 1 << 12
 #: Bytes of a LiDAR record (four floats) and of its label.
 RECORD, CODE = 16, 4
 
@@ -63,16 +65,16 @@ class LidarReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         files = dict(listed(self.path, (".bin", ".label")))
+        scans = {scan: n for scan, n in files.items() if scan.endswith(".bin") and (self.sequences is None or sequence_of(scan) in self.sequences)}
+        split = max(self.split, -(-sum(scans.values()) // (RECORD * TASKS)))
         out, held, size = [], [], 0
-        for scan, n in files.items():
-            if not scan.endswith(".bin") or self.sequences is not None and sequence_of(scan) not in self.sequences:
-                continue
+        for scan, n in scans.items():
             if n % RECORD:
                 raise ValueError(f"{scan} does not consist of whole records")
             codes = files.get(label_path(scan), -CODE) // CODE
-            for first in range(0, n // RECORD, self.split):
-                part = (scan, first, min(self.split, n // RECORD - first), codes)
-                if held and size + part[2] > self.split:
+            for first in range(0, n // RECORD, split):
+                part = (scan, first, min(split, n // RECORD - first), codes)
+                if held and size + part[2] > split:
                     out.append(Ranges(held))
                     held, size = [], 0
                 held.append(part)
